@@ -23,7 +23,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,15 +140,21 @@ def shingle_sets(docs: DataFrame, p: Params) -> DataFrame:
     return docs.mapInArrow(sets, T.StructType([docs.schema["id"], T.StructField("items", T.ArrayType(T.LongType()))]))
 
 
-def _propose(live: DataFrame, leaders: int | None) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) to hold against each other in buckets (bucket, rep, comp, pop); and what stays for later."""
-    other = live.select("bucket", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"))
+def _near(p: Params) -> Column:
+    """Whether the sizes and odd sketches of two sides (n, sketch and n2, sketch2) leave a link possible."""
+    differing = reduce(lambda x, y: x + y, (F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch2")[i])) for i in range(p.sketch_bits // 64)))
+    return (100 * F.least("n", "n2") >= p.percent * F.greatest("n", "n2")) & (differing <= most_differing_bits(p))
+
+
+def _propose(live: DataFrame, leaders: int | None, p: Params) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) to confirm in buckets (bucket, rep, comp, pop, n, sketch); and what stays for later."""
+    other = live.select("bucket", *(F.col(c).alias(f"{c}2") for c in ("rep", "comp", "n", "sketch")))
+    pair = [F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")]
     if leaders is None:
-        pairs = live.join(other, "bucket").where("rep < rep2 and comp != comp2")
-        return pairs.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct(), live.limit(0)
+        return live.join(other, "bucket").where((F.col("rep") < F.col("rep2")) & (F.col("comp") != F.col("comp2")) & _near(p)).select(*pair).distinct(), live.limit(0)
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("pop"), "rep"))
     first = live.withColumn("rank", rank).where(F.col("rank") <= leaders)
-    pairs = first.join(other, "bucket").where("comp != comp2").select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
+    pairs = first.join(other, "bucket").where((F.col("comp") != F.col("comp2")) & _near(p)).select(*pair)
     return pairs.distinct(), live.join(first.select("bucket", "rep"), ["bucket", "rep"], "left_anti")
 
 
@@ -169,32 +175,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = stage(entries.join(shared, "bucket"), "buckets")
-    popular = members.groupBy("rep").agg(F.sum("size").alias("pop"))
-    waiting = stage(members.join(popular, "rep").select("bucket", "rep", "pop"), "members")
+    popular = members.groupBy("rep").agg(F.sum("size").alias("pop")).join(classes.select("rep", "n", "sketch"), "rep")
+    waiting = stage(members.select("bucket", "rep").join(popular, "rep"), "members")
     reps = waiting.select(F.col("rep").alias("id")).distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sets = stage(
-        shingle_sets(texts.join(sized_broadcast(reps), "id", "left_semi"), p)
-        .join(classes.select(F.col("rep").alias("id"), "n", "sketch"), "id")
-        .where(F.size("items") == F.col("n")).dropDuplicates(["id"]),
-        "sets",
-    )
-    sketches = sets.select("id", "n", "sketch")
-    labels = tested = None
+    full_sets = shingle_sets(texts.join(sized_broadcast(reps), "id", "left_semi"), p).join(classes.select(F.col("rep").alias("id"), "n"), "id")
+    sets = stage(full_sets.where(F.size("items") == F.col("n")).dropDuplicates(["id"]), "sets")
+    labels = None
     for leaders in (*p.leaders, None):
         now = waiting if labels is None else waiting.join(labels, waiting.rep == labels.node, "left")
-        now = now.select("bucket", "rep", "pop", (F.col("rep") if labels is None else F.coalesce("comp", "rep")).alias("comp"))
+        now = now.select("bucket", "rep", "pop", "n", "sketch", (F.col("rep") if labels is None else F.coalesce("comp", "rep")).alias("comp"))
         mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
         live = stage(now.join(mixed, "bucket"), "live")
         if live.isEmpty():
             break
-        pairs, rest = _propose(live, leaders)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        waiting = rest.select("bucket", "rep", "pop")
-        links = confirmed(pairs, sketches, sets, p)
+        pairs, rest = _propose(live, leaders, p)
+        waiting = rest.drop("comp")
+        links = confirmed(pairs, sets, p)
         edges = links if labels is None else links.union(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))
         labels = connected_components(edges)
     out = signed.select("id", "n_shingles", "set_key").join(classes.select("set_key", "rep"), "set_key", "left")
@@ -209,19 +206,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """The pairs (a, b) whose odd sketches are near enough and whose full sets confirm the link."""
+def confirmed(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """The pairs (a, b) whose full sets confirm the link."""
 
-    def side(df: DataFrame, key: str, *cols: str) -> DataFrame:
-        return df.select(F.col("id").alias(key), *(F.col(c).alias(f"{c}_{key}") for c in cols))
+    def side(key: str) -> DataFrame:
+        return sets.select(F.col("id").alias(key), F.col("n").alias(f"n_{key}"), F.col("items").alias(f"items_{key}"))
 
-    differing = reduce(lambda x, y: x + y, (F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(p.sketch_bits // 64)))
-    near = (
-        pairs.join(side(sketches, "a", "n", "sketch"), "a").join(side(sketches, "b", "n", "sketch"), "b")
-        .where((100 * F.least("n_a", "n_b") >= p.percent * F.greatest("n_a", "n_b")) & (differing <= most_differing_bits(p)))
-        .select("a", "b")
-    )
-    met = near.join(side(sets, "a", "items", "n"), "a").join(side(sets, "b", "items", "n"), "b")
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
     met = met.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), F.size(F.array_intersect("items_a", "items_b")).cast("long").alias("common"))
     return met.where(100 * F.col("common") >= p.percent * (F.col("total") - F.col("common"))).select("a", "b")
 
