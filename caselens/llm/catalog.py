@@ -2,11 +2,33 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+from caselens.llm.ann import op2_ann
+from caselens.llm.bpe import op5_bpe
+from caselens.llm.decontaminate import OP8_SQL, op8_decontaminate
+from caselens.llm.language import op6_language_id
+from caselens.llm.line_dedup import op3_line_dedup
+from caselens.llm.lm_score import OP10_SQL, op10_lm_score
 from caselens.llm.near_dedup import OP1_SQL, op1_near_dedup
+from caselens.llm.quality import op9_quality
+from caselens.llm.sharding import op7_sharding
+from caselens.llm.token_counts import op4_token_counts
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_ann": op2_ann,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_token_counts": op4_token_counts,
+    "op5_bpe": op5_bpe,
+    "op6_language_id": op6_language_id,
+    "op7_sharding": op7_sharding,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_quality": op9_quality,
+    "op10_lm_score": op10_lm_score,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {
     "op1_near_dedup": OP1_SQL,
+    "op8_decontaminate": OP8_SQL,
+    "op10_lm_score": OP10_SQL,
 }
