@@ -28,14 +28,15 @@ from caselens.llm.common import read_table, stage
 class Params:
     """k nearest; centroids from at most sample_rows rows (and sample_bytes); sqrt(n) lists, at most max_lists.
 
-    probe: share of the lists that a query probes. columns: width of a column block. eps: width of the test.
+    probe: share of the lists that a query probes; on nearly isotropic vectors of 64 components 0.7 finds 0.97 of the
+    nearest, 0.25 only 0.75. columns: width of a column block. eps: width of the test.
     """
 
     k: int = 10
     sample_rows: int = 20_000
     sample_bytes: int = 16 << 20
     max_lists: int = 4096
-    probe: float = 0.25
+    probe: float = 0.7
     columns: int = 16
     eps: float = 2.1
     chunk_rows: int = 8192
