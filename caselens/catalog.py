@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from caselens.queries import behavior, clean, detect, stats, views  # noqa: F401
+from caselens.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
