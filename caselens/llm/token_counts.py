@@ -8,6 +8,9 @@ stands in every text has one entry a block, hence no hot key.
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -15,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,19 +37,37 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=1)
+def unassigned() -> re.Pattern:
+    """Characters that Python's Unicode tables lack; the library's tables may be newer and class them otherwise."""
+    ranges: list[list[int]] = []
+    for c in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(c)) == "Cn":
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+
+
 def splitter(path: str, pattern: str):
-    """Function from a text to its pre-tokens; added tokens inside the text are pre-tokens of their own."""
-    find = regex.compile(pattern).findall
-    added = [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
-    if not added:
-        return find
-    special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")")
+    """Function from a text to its pre-tokens; added tokens inside the text are pre-tokens of their own.
+
+    Texts with unassigned characters are split by the library itself, all others by the pattern.
+    """
+    find, tok = regex.compile(pattern).findall, tokenizer(path)
+    added = [t.content for t in tok.get_added_tokens_decoder().values()]
+    special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
+    def plain(text: str) -> list[str]:
+        if text.isascii() or not unassigned().search(text):
+            return find(text)
+        return [text[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(text)]
 
     def split(text: str) -> list[str]:
         if not any(a in text for a in added):
-            return find(text)
-        parts = special.split(text)
-        return [x for i, part in enumerate(parts) for x in ([part] if i % 2 else find(part))]
+            return plain(text)
+        return [x for i, part in enumerate(special.split(text)) for x in ([part] if i % 2 else plain(part))]
 
     return split
 
@@ -146,9 +168,18 @@ def token_counts(docs: DataFrame, tokenizer_file: str, pattern: str, id_col: str
                 yield pa.RecordBatch.from_arrays([block, pa.array([some], INTS), no_ids, none, pa.array([total[some].astype(np.int64)], LONGS)], names=kind.names)
 
     counted = cut.repartition("part", F.when(F.col("part") < 0, F.col("block"))).mapInArrow(count, kind)
-    entries = counted.select("block", F.explode(F.arrays_zip("place", "id", "n_bytes", "n_tokens")).alias("x")).select("block", "x.*")
-    total = entries.groupBy("block", "place").agg(F.max("id").alias("id"), F.max("n_bytes").alias("n_bytes"), F.coalesce(F.sum("n_tokens"), F.lit(0).cast("long")).alias("n_tokens"))
-    return total.select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
+    result = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
+
+    def total(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        own = rows.filter(pc.greater(pc.list_value_length(rows.column("n_bytes")), 0))
+        ids, sizes = own.column("id").combine_chunks().flatten(), own.column("n_bytes").combine_chunks().flatten()
+        some = rows.filter(pc.greater(pc.list_value_length(rows.column("n_tokens")), 0))
+        places, tokens = (some.column(c).combine_chunks().flatten().to_numpy() for c in ("place", "n_tokens"))
+        sums = np.bincount(places, tokens, len(ids)).astype(np.int64)
+        return pa.Table.from_arrays([ids, sizes, pa.array(sums)], names=result.names)
+
+    return counted.groupBy("block").applyInArrow(total, result)
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:
