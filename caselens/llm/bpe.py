@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
-Each text is encoded where it lies: no shuffle. Long texts are cut first, always between a character that is
-not white space and one that is: no match of the splitting pattern spans such a place, and none looks
-back over it, so the pieces of the cuts are those of the whole text.
+Each text is encoded where it lies: no shuffle. Long texts are cut first, always between a letter, digit or ASCII
+mark and a blank or line end: no match of the splitting pattern spans such a place, and none looks back
+over it, so the pieces of the cuts are those of the whole text.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from caselens.llm.common import read_table
 
 #: Characters from which on a text is cut before it is encoded.
 CUT_CHARS = 1 << 16
-SAFE = regex.compile(r"(?<=\S)(?=\s)")
+SAFE = regex.compile(r"(?<=[\p{L}\p{N}!-~])(?=[ \n])")
 
 
 @lru_cache(maxsize=4)
