@@ -8,8 +8,6 @@ stands in every text has one entry a block, hence no hot key.
 
 from __future__ import annotations
 
-import re
-import sys
 import unicodedata
 import zlib
 from collections import Counter
@@ -27,7 +25,7 @@ from tokenizers import Tokenizer
 
 from caselens.llm.common import read_table
 
-LONGS, INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
+LONGS, INTS, SHORTS = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int16())
 #: Distinct pre-tokens whose counts a task remembers; beyond it the memory starts afresh and some are counted again.
 REMEMBERED = 2_000_000
 
@@ -37,17 +35,19 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
-@lru_cache(maxsize=1)
-def unassigned() -> re.Pattern:
-    """Characters that Python's Unicode tables lack; the library's tables may be newer and class them otherwise."""
-    ranges: list[list[int]] = []
-    for c in range(sys.maxunicode + 1):
-        if unicodedata.category(chr(c)) == "Cn":
-            if ranges and ranges[-1][1] == c - 1:
-                ranges[-1][1] = c
-            else:
-                ranges.append([c, c])
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+class Assigned:
+    """Whether Python's Unicode tables have all characters of a text; the library's may be newer and class the others otherwise."""
+
+    def __init__(self) -> None:
+        self.known: set[str] = set()
+
+    def __call__(self, text: str) -> bool:
+        if text.isascii():
+            return True
+        new = set(text) - self.known
+        good = {c for c in new if unicodedata.category(c) != "Cn"}
+        self.known |= good
+        return len(good) == len(new)
 
 
 def splitter(path: str, pattern: str):
@@ -55,12 +55,12 @@ def splitter(path: str, pattern: str):
 
     Texts with unassigned characters are split by the library itself, all others by the pattern.
     """
-    find, tok = regex.compile(pattern).findall, tokenizer(path)
+    find, tok, assigned = regex.compile(pattern).findall, tokenizer(path), Assigned()
     added = [t.content for t in tok.get_added_tokens_decoder().values()]
     special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
     def plain(text: str) -> list[str]:
-        if text.isascii() or not unassigned().search(text):
+        if assigned(text):
             return find(text)
         return [text[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(text)]
 
@@ -102,7 +102,7 @@ def frequencies(docs: DataFrame, id_col: str, text_col: str, path: str, pattern:
                     place_of.append(len(counted))
                 id_list = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.nulls(1, pa.list_(pa.string())), pa.nulls(1, INTS), pa.nulls(1, pa.list_(pa.int16())),
+                    [pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.nulls(1, pa.list_(pa.string())), pa.nulls(1, INTS), pa.nulls(1, SHORTS),
                      pa.nulls(1, INTS), id_list, pa.array([sizes], LONGS)], names=schema.names)
                 if not number:
                     continue
@@ -138,23 +138,23 @@ def token_counts(docs: DataFrame, tokenizer_file: str, pattern: str, id_col: str
     Added special tokens inside a text are what the library makes of them: one token. Other columns are ignored.
     """
     spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cut = frequencies(docs, id_col, text_col, tokenizer_file, pattern, parts)
     kind = T.StructType([
-        T.StructField("block", T.LongType()), T.StructField("place", T.ArrayType(T.IntegerType())), T.StructField("id", cut.schema["ids"].dataType),
-        T.StructField("n_bytes", T.ArrayType(T.LongType())), T.StructField("n_tokens", T.ArrayType(T.LongType())),
+        T.StructField("block", T.LongType()), T.StructField("place", T.ArrayType(T.ShortType())), T.StructField("id", cut.schema["ids"].dataType),
+        T.StructField("n_bytes", T.ArrayType(T.LongType())), T.StructField("n_tokens", T.ArrayType(T.IntegerType())),
     ])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_file)
         known: dict[str, int] = {}
-        none = pa.array([[]], LONGS)
+        none, no_counts = pa.array([[]], LONGS), pa.array([[]], INTS)
         for b in batches:
             for i in range(b.num_rows):
                 block, pieces = b.column("block").slice(i, 1), b.column("pieces")[i].as_py()
                 if pieces is None:
-                    place = pa.array([np.arange(len(b.column("ids")[i]))], INTS)
-                    yield pa.RecordBatch.from_arrays([block, place, b.column("ids").slice(i, 1), b.column("bytes").slice(i, 1), none], names=kind.names)
+                    place = pa.array([np.arange(len(b.column("ids")[i]), dtype=np.int16)], SHORTS)
+                    yield pa.RecordBatch.from_arrays([block, place, b.column("ids").slice(i, 1), b.column("bytes").slice(i, 1), no_counts], names=kind.names)
                     continue
                 new = [x for x in pieces if x not in known]
                 if len(known) + len(new) > REMEMBERED:
@@ -165,9 +165,10 @@ def token_counts(docs: DataFrame, tokenizer_file: str, pattern: str, id_col: str
                 total = np.bincount(b.column("places")[i].values.to_numpy(), each * b.column("times")[i].values.to_numpy())
                 some = np.flatnonzero(total)
                 no_ids = pa.array([[]], b.column("ids").type)
-                yield pa.RecordBatch.from_arrays([block, pa.array([some], INTS), no_ids, none, pa.array([total[some].astype(np.int64)], LONGS)], names=kind.names)
+                yield pa.RecordBatch.from_arrays([block, pa.array([some.astype(np.int16)], SHORTS), no_ids, none, pa.array([total[some].astype(np.int32)], INTS)], names=kind.names)
 
-    counted = cut.repartition("part", F.when(F.col("part") < 0, F.col("block"))).mapInArrow(count, kind)
+    at = F.when(F.col("part") < 0, F.pmod(F.col("block"), F.lit(parts))).otherwise(F.col("part")).cast("int")
+    counted = cut.repartitionById(parts, at).mapInArrow(count, kind)
     result = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def total(rows: pa.Table) -> pa.Table:
