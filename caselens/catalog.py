@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caselens.queries import behavior, clean, detect, rules, sop, stats, views  # noqa: F401
+from caselens.queries import behavior, clean, detect, ingest, ml, rules, sop, stats, textbatch, views  # noqa: F401
 from caselens.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
