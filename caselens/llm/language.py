@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -48,21 +47,30 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log frequencies by language of the known words and, for each length, n-grams; floor: of what a language lacks."""
+    """Log frequencies by language of the known words and, for each length, n-grams: numbers of the keys, and a row of `scores` for each."""
 
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[int, dict[str, np.ndarray]]
-
-    def word_scores(self, word: str) -> np.ndarray | None:
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        for table_n, table in self.grams.items():
-            found = [table[g] for g in grams(word, table_n) if g in table]
-            if found:
-                return np.mean(found, axis=0)
-        return None
+    words: dict[str, int]
+    grams: dict[int, dict[str, int]]
+    scores: np.ndarray
+
+    def word_scores(self, found: list[str]) -> np.ndarray:
+        """A row for each word: its own log frequencies if it is known, else the mean of its longest known n-grams, else zeros."""
+        at = np.array([self.words.get(w, -1) for w in found], np.int64)
+        out = np.where((at >= 0)[:, None], self.scores[at], 0.0) if len(self.scores) else np.zeros((len(found), len(self.langs)))
+        left = np.flatnonzero(at < 0)
+        for n, table in self.grams.items():
+            if not len(left) or not table:
+                continue
+            parts = [[i for g in grams(found[w], n) if (i := table.get(g)) is not None] for w in left]
+            sizes = np.array([len(x) for x in parts])
+            some = sizes > 0
+            if some.any():
+                rows = self.scores[np.fromiter((i for x in parts for i in x), np.int64, sizes.sum())]
+                starts = np.cumsum(sizes[some]) - sizes[some]
+                out[left[some]] = np.add.reduceat(rows, starts, axis=0) / sizes[some][:, None]
+            left = left[~some]
+        return out
 
 
 def _counted(rows: DataFrame, p: Params) -> list:
@@ -106,31 +114,42 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", p: Para
     found = pd.concat([_counted(totals, p), _counted(parts, p)])
     langs = sorted(found["lang"].unique())
     at = {x: i for i, x in enumerate(langs)}
-    model = Model(langs, {}, {n: {} for n in p.grams})
+    model, scores = Model(langs, {}, {n: {} for n in p.grams}, np.zeros((0, len(langs)))), []
     for kind_n, rows in found.groupby("kind"):
         size = rows.groupby("lang")["total"].max().reindex(langs)
-        floor = np.log(0.5 / size.fillna(size.max()).to_numpy(float)).astype(np.float32)
+        floor = np.log(0.5 / size.fillna(size.max()).to_numpy(float))
         table = model.grams[kind_n] if kind_n else model.words
         logs = np.log(rows["n"].to_numpy(float) / rows["total"].to_numpy(float))
         for key, lang, score in zip(rows["key"], rows["lang"], logs, strict=True):
             if key not in table:
-                table[key] = floor.copy()
-            table[key][at[lang]] = score
+                table[key] = len(scores)
+                scores.append(floor.copy())
+            scores[table[key]][at[lang]] = score
+    model.scores = np.array(scores).reshape(len(scores), len(langs))
     return model
 
 
-def predict_text(model: Model, text: str | None, remembered, p: Params = Params()) -> tuple[str, float]:
-    """(language, probability) of a whole text; `und`, 0 without a letter or a model."""
-    if not model.langs or text is None or not LETTER.search(text):
-        return p.unknown, 0.0
-    total = np.zeros(len(model.langs))
-    for word, n in Counter(words(text)).items():
-        scores = remembered(word)
-        if scores is not None:
-            total += n * scores
-    odds = np.exp(total - total.max())
-    best = int(np.argmax(total))
-    return model.langs[best], float(odds[best] / odds.sum())
+def predict_texts(model: Model, texts: list[str | None], p: Params = Params()) -> tuple[list[str], np.ndarray]:
+    """(languages, probabilities) of whole texts; `und`, 0 without a letter or a model. Distinct words are scored once."""
+    number: dict[str, int] = {}
+    word_of: list[int] = []
+    times: list[int] = []
+    text_of, lettered = [], []
+    for text in texts:
+        lettered.append(bool(model.langs) and text is not None and bool(LETTER.search(text)))
+        counted = Counter(words(text)) if lettered[-1] else {}
+        word_of += [number.setdefault(w, len(number)) for w in counted]
+        times += counted.values()
+        text_of.append(len(counted))
+    if not any(lettered):
+        return [p.unknown] * len(texts), np.zeros(len(texts))
+    each = model.word_scores(list(number))[np.array(word_of, np.int64)] * np.array(times, float)[:, None]
+    doc = np.repeat(np.arange(len(texts)), text_of)
+    total = np.stack([np.bincount(doc, each[:, i], len(texts)) for i in range(len(model.langs))], axis=1)
+    odds = np.exp(total - total.max(axis=1, keepdims=True))
+    best = total.argmax(axis=1)
+    score = np.where(lettered, odds[np.arange(len(texts)), best] / odds.sum(axis=1), 0.0)
+    return [model.langs[i] if ok else p.unknown for i, ok in zip(best, lettered, strict=True)], score
 
 
 def predicted(docs: DataFrame, model: Model, text_col: str = "text", p: Params = Params()) -> DataFrame:
@@ -144,8 +163,8 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text", p: Params =
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        remembered = lru_cache(maxsize=200_000)(shared.value.word_scores)
-        return pd.DataFrame([predict_text(shared.value, None if t is None else t, remembered, p) for t in texts], columns=["lang_pred", "score"])
+        langs, scores = predict_texts(shared.value, texts.where(texts.notna(), None).tolist(), p)
+        return pd.DataFrame({"lang_pred": langs, "score": scores})
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
     return docs.select(*kept, predict(F.col(f"`{text_col}`")).alias("__found")).select(*kept, "__found.lang_pred", "__found.score")
