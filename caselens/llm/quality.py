@@ -27,13 +27,15 @@ TARGETS = ("quality", "toxic")
 
 @dataclass(frozen=True)
 class Params:
-    """bits: 2^bits hashed features; doubt: deviations by which rates must differ; strongest: largest weight."""
+    """bits: 2^bits hashed features; doubt: deviations by which the log odds of a feature
+    must differ from 0, so that one seen in a few documents has no weight; strongest: largest weight. A document is kept with keep_quality
+    or more and less than keep_toxic; the latter is high because most documents are clean."""
 
-    bits: int = 18
-    doubt: float = 5.0
+    bits: int = 24
+    doubt: float = 3.5
     strongest: float = 6.0
     keep_quality: float = 0.5
-    keep_toxic: float = 0.5
+    keep_toxic: float = 0.9
 
 
 def features(text: str | None, bits: int) -> np.ndarray:
@@ -63,43 +65,58 @@ def features(text: str | None, bits: int) -> np.ndarray:
     return np.unique(np.fromiter((zlib.crc32(x.encode("utf-8", "replace")) & mask for x in found), np.int64, len(found)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> np.ndarray:
-    """Weights: a row for each target, a column for each hashed feature, and last the prior log odds.
+@dataclass(frozen=True)
+class Weights:
+    """Sorted hashed features, a row of weights for each (a column for each target), and the prior log odds of each target."""
+
+    bins: np.ndarray
+    values: np.ndarray
+    prior: np.ndarray
+
+    def evidence(self, found: np.ndarray) -> np.ndarray:
+        if not len(self.bins):
+            return self.prior
+        at = np.minimum(np.searchsorted(self.bins, found), len(self.bins) - 1)
+        return self.prior + self.values[at[self.bins[at] == found]].sum(axis=0)
 
-    A document's label is positive if most of its label rows are; null labels don't count. All labelled documents are counted.
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> Weights:
+    """Weights of the features that tell targets apart. All labelled documents are counted, and only features of weight leave the cluster.
+
+    A document's label is positive if most of its label rows are; null labels don't count.
     """
     told = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*[F.avg((F.col(t) > 0).cast("int")).alias(t) for t in TARGETS])
     told = told.select("id", *[(F.col(t) > 0.5).cast("int").alias(t) for t in TARGETS])
     met = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sized_broadcast(told), "id").select(*TARGETS, "text")
-    bins = 1 << p.bits
-    cells = [(t, v) for t in range(len(TARGETS)) for v in (1, 0)]
+    every = 1 << p.bits  # stands in all documents
+    names = [f"{v}_{t}" for t in TARGETS for v in ("yes", "no")]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [features(t.as_py(), p.bits) for t in b.column(2)]
-            label = [np.array([-1 if x is None else x for x in b.column(t).to_pylist()]) for t in range(len(TARGETS))]
-            sums = np.zeros((bins + 1, len(cells)), np.int64)
-            for c, (t, v) in enumerate(cells):
-                some = [got[i] for i in np.flatnonzero(label[t] == v)]
-                sums[:bins, c] = np.bincount(np.concatenate([np.empty(0, np.int64), *some]), minlength=bins)
-                sums[bins, c] = len(some)
-            at = np.flatnonzero(sums.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(sums[at, c]) for c in range(len(cells)))], names=["bin", *(f"c{c}" for c in range(len(cells)))])
-
-    names = [f"c{c}" for c in range(len(cells))]
-    counted = met.mapInArrow(count, "bin long, " + ", ".join(f"{c} long" for c in names)).groupBy("bin").agg(*[F.sum(c).alias(c) for c in names]).toPandas()  # 2^bits rows at most
-    sums = np.zeros((bins + 1, len(cells)))
-    sums[counted["bin"].to_numpy(np.int64)] = counted[names].to_numpy(float)
-    weights = np.zeros((len(TARGETS), bins + 1), np.float32)
-    for t in range(len(TARGETS)):
-        yes, no = sums[:bins, 2 * t], sums[:bins, 2 * t + 1]
-        n1, n0 = max(1.0, sums[bins, 2 * t]), max(1.0, sums[bins, 2 * t + 1])
-        both = (yes + no) / (n1 + n0)
-        z = (yes / n1 - no / n0) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n1 + 1 / n0))
-        odds = np.clip(np.log((yes + 0.5) / (n1 + 1)) - np.log((no + 0.5) / (n0 + 1)), -p.strongest, p.strongest)
-        weights[t, :bins] = np.where(np.abs(z) >= p.doubt, odds, 0)
-        weights[t, bins] = np.log((sums[bins, 2 * t] + 0.5) / (sums[bins, 2 * t + 1] + 0.5))
-    return weights
+            got = [np.append(features(t.as_py(), p.bits), every) for t in b.column(2)]
+            found, which = np.unique(np.concatenate([np.empty(0, np.int64), *got]), return_inverse=True)
+            sizes = [len(x) for x in got]
+            sums = []
+            for t in range(len(TARGETS)):
+                label = np.repeat(np.array([-1 if x is None else x for x in b.column(t).to_pylist()], np.int64), sizes)
+                sums += [np.bincount(which[label == v], minlength=len(found)) for v in (1, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(x.astype(np.int64)) for x in sums)], names=["bin", *names])
+
+    counted = stage(met.mapInArrow(count, "bin long, " + ", ".join(f"{c} long" for c in names)).groupBy("bin").agg(*[F.sum(c).alias(c) for c in names]), "counts")
+    totals = counted.where(F.col("bin") == every).first()
+    n = {c: float(totals[c]) if totals else 0.0 for c in names}
+    odds, sure = [], []
+    for t in TARGETS:
+        yes, no = F.col(f"yes_{t}"), F.col(f"no_{t}")
+        gap = F.log((yes + 0.5) / (n[f"yes_{t}"] + 1)) - F.log((no + 0.5) / (n[f"no_{t}"] + 1))
+        sure.append(F.abs(gap) >= p.doubt * F.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5)))
+        odds.append(F.when(sure[-1], F.greatest(F.lit(-p.strongest), F.least(F.lit(p.strongest), gap))).otherwise(0.0).alias(t))
+    some = sure[0]
+    for x in sure[1:]:
+        some = some | x
+    kept = counted.where((F.col("bin") != every) & some).select("bin", *odds).orderBy("bin").toPandas()  # 2^bits rows at most, hundreds in fact
+    prior = [np.log((n[f"yes_{t}"] + 0.5) / (n[f"no_{t}"] + 0.5)) for t in TARGETS]
+    return Weights(kept["bin"].to_numpy(np.int64), kept[list(TARGETS)].to_numpy(float).reshape(-1, len(TARGETS)), np.array(prior))
 
 
 def _logit(x: Column) -> Column:
@@ -119,7 +136,7 @@ def _strength(sites: DataFrame, n: str, s: str) -> tuple[float, float]:
     return rate, min(1e6, max(1.0, rate * (1 - rate) / between - 1))
 
 
-def posteriors(docs: DataFrame, weights: np.ndarray, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
+def posteriors(docs: DataFrame, weights: Weights, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
     """(id_col, host, path, and for each target evidence_, host_, path_ and p_; keep) of every row of docs.
 
     evidence is in log odds. Null and empty texts have the prior as their evidence; null hosts and paths are sites of their
@@ -131,7 +148,7 @@ def posteriors(docs: DataFrame, weights: np.ndarray, host: Column, path: Column,
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for b in batches:
-            got = [w[:, features(t.as_py(), p.bits)].sum(axis=1) + w[:, -1] for t in b.column(3)]
+            got = [w.evidence(features(t.as_py(), p.bits)) for t in b.column(3)]
             sums = np.clip(np.array(got, float).reshape(b.num_rows, len(TARGETS)), -20, 20)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(sums[:, t]) for t in range(len(TARGETS)))], names=[*b.schema.names[:3], *names])
 
