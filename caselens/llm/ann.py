@@ -58,6 +58,7 @@ def nearest_lists(x: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
 
 
 def kmeans(x: np.ndarray, k: int, iterations: int, seed: int) -> np.ndarray:
+    """Centres of at most k clusters of the rows of x, none without rows."""
     x = np.unique(x, axis=0)
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
@@ -66,8 +67,8 @@ def kmeans(x: np.ndarray, k: int, iterations: int, seed: int) -> np.ndarray:
         n = np.bincount(at, minlength=len(c))
         total = np.zeros_like(c)
         np.add.at(total, at, x)
-        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
-    return c
+        c = total[n > 0] / n[n > 0][:, None]
+    return c[np.unique(nearest_lists(x, c, 1))]
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -131,7 +132,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     most = min(p.sample_rows, max(1, p.sample_bytes // (8 * d)))
     sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id", F.lit(p.seed)), "id").select("v").limit(most).toLocalIterator()])
     centroids = kmeans(sample, min(p.max_lists, max(1, round(n**0.5))), p.iterations, p.seed)
-    probes = max(1, min(len(centroids), round(p.probe * len(centroids))))
+    probes = min(len(centroids), max(p.k + 1, round(p.probe * len(centroids))))  # no list is empty: k candidates at least
 
     # No query needs more than the k + 1 smallest ids of equal vectors: one may be its own.
     smallest = F.dense_rank().over(Window.partitionBy("v").orderBy("id"))
