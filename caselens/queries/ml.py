@@ -216,4 +216,4 @@ def h23(spark, sf):
 def h24(spark, sf):
     from caselens.plans.analysis import ml_sample
 
-    return ml_sample(t.deviations(spark, sf).where("severity = 'critical'"))
+    return ml_sample(t.deviations(spark, sf))
