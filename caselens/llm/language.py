@@ -24,6 +24,8 @@ from caselens.llm.common import read_table, stage
 
 WORDS = regex.compile(r"[\p{L}\p{M}]+")
 LETTER = regex.compile(r"\p{L}")
+#: Texts that are scored together in a task.
+BATCH = 2000
 
 
 @dataclass(frozen=True)
@@ -163,8 +165,9 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text", p: Params =
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        langs, scores = predict_texts(shared.value, texts.where(texts.notna(), None).tolist(), p)
-        return pd.DataFrame({"lang_pred": langs, "score": scores})
+        whole = texts.where(texts.notna(), None).tolist()
+        parts = [predict_texts(shared.value, whole[at : at + BATCH], p) for at in range(0, len(whole), BATCH)]
+        return pd.DataFrame({"lang_pred": [x for langs, _ in parts for x in langs], "score": np.concatenate([np.empty(0), *(s for _, s in parts)])})
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
     return docs.select(*kept, predict(F.col(f"`{text_col}`")).alias("__found")).select(*kept, "__found.lang_pred", "__found.score")
