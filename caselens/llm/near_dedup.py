@@ -10,8 +10,8 @@ Buckets can hold very many classes. They aren't expanded into all pairs: in each
 its most connected classes as leaders (the ones whose buckets are fullest: the original of a family of
 near copies shares a bucket with more of them than any copy), all others are held against the leaders,
 confirmed links are contracted to components, and leaders leave the bucket, each having been held
-against everything in another component. Later rounds have more leaders, the last one has all of those left, so no
-candidate is lost and none is capped.
+against everything in another component. A later round has more leaders. In the last one what is left meets in
+blocks within tasks, so no candidate is lost and none is capped, and only confirmed links are written.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -32,7 +33,7 @@ from caselens.llm.common import connected_components, read_table, sized_broadcas
 
 @dataclass(frozen=True)
 class Params:
-    """shingle: words; a link needs 100 * shared >= percent * union; bands x rows MinHash samples.
+    """shingle: words; a link needs 100 * shared >= percent * union; bands x rows MinHash samples; block: members in a task.
 
     At similarity 0.85 a pair shares none of 32 bands of 6 rows with a probability of 2.6e-7.
     """
@@ -44,6 +45,7 @@ class Params:
     sketch_bits: int = 512
     seed: int = 7
     leaders: tuple[int, ...] = (1, 16)
+    block: int = 1024
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -146,18 +148,48 @@ def _near(p: Params) -> Column:
     return (100 * F.least("n", "n2") >= p.percent * F.greatest("n", "n2")) & (differing <= most_differing_bits(p))
 
 
-def _propose(live: DataFrame, leaders: int | None, p: Params) -> tuple[DataFrame, DataFrame]:
+def _propose(live: DataFrame, leaders: int, p: Params) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) to confirm in buckets (bucket, rep, comp, pop, n, sketch); and what stays for later."""
     other = live.select("bucket", *(F.col(c).alias(f"{c}2") for c in ("rep", "comp", "n", "sketch")))
     pair = [F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")]
-    if leaders is None:
-        return live.join(other, "bucket").where((F.col("rep") < F.col("rep2")) & (F.col("comp") != F.col("comp2")) & _near(p)).select(*pair).distinct(), live.limit(0)
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("pop"), "rep"))
     first = live.withColumn("rank", rank).where(F.col("rank") <= leaders)
     pairs = first.join(other, "bucket").where((F.col("comp") != F.col("comp2")) & _near(p)).select(*pair)
     return pairs.distinct(), live.join(first.select("bucket", "rep"), ["bucket", "rep"], "left_anti")
 
 
+def _rest(live: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """Confirmed links (a, b) among all that is left in the buckets, as forests: pairs that are connected by then aren't looked at.
+
+    Buckets are cut into blocks of bounded size and every two blocks of a bucket meet in a task, with their sketches and
+    full sets; only links leave it, one less than members at most.
+    """
+    cuts = live.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / p.block).cast("int").alias("cuts"))
+    held = live.select("bucket", "rep", "comp", "n", "sketch").join(cuts, "bucket").join(sets.select(F.col("id").alias("rep"), "items"), "rep")
+    own = F.pmod(F.xxhash64("rep"), "cuts").cast("int")
+    held = held.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    held = held.select("bucket", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "rep", "comp", "n", "sketch", "items")
+    most = most_differing_bits(p)
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        comp, n = pd.factorize(pdf["comp"])[0], pdf["n"].to_numpy()
+        bits, items, reps = np.stack(pdf["sketch"].to_numpy()).view(np.uint64), pdf["items"].to_numpy(), pdf["rep"].to_numpy()
+        found = []
+        for x in range(len(pdf) - 1):
+            rest = np.flatnonzero(comp[x + 1 :] != comp[x]) + x + 1
+            size = (100 * np.minimum(n[rest], n[x]) >= p.percent * np.maximum(n[rest], n[x])) & (np.bitwise_count(bits[rest] ^ bits[x]).sum(axis=1) <= most)
+            for y in rest[size]:
+                if comp[y] != comp[x]:
+                    both = len(np.intersect1d(items[x], items[y], assume_unique=True))
+                    if 100 * both >= p.percent * (n[x] + n[y] - both):
+                        found.append((min(reps[x], reps[y]), max(reps[x], reps[y])))
+                        comp[comp == comp[y]] = comp[x]
+        return pd.DataFrame(found, columns=["a", "b"]) if found else pd.DataFrame({"a": reps[:0], "b": reps[:0]})
+
+    ids = live.schema["rep"].dataType
+    return held.groupBy("bucket", "i", "j").applyInPandas(links, T.StructType([T.StructField("a", ids), T.StructField("b", ids)])).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id, kept.
 
@@ -189,9 +221,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         live = stage(now.join(mixed, "bucket"), "live")
         if live.isEmpty():
             break
-        pairs, rest = _propose(live, leaders, p)
-        waiting = rest.drop("comp")
-        links = confirmed(pairs, sets, p)
+        if leaders is None:
+            links = _rest(live, sets, p)
+        else:
+            pairs, rest = _propose(live, leaders, p)
+            waiting = rest.drop("comp")
+            links = confirmed(pairs, sets, p)
         edges = links if labels is None else links.union(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))
         labels = connected_components(edges)
     out = signed.select("id", "n_shingles", "set_key").join(classes.select("set_key", "rep"), "set_key", "left")
