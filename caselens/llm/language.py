@@ -87,7 +87,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", p: Para
     """Learn from the texts and languages of docs; rows without either are passed over, other columns are not looked at."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, BATCH) for whole in batches for at in range(0, whole.num_rows, BATCH)):
             found: dict[str, Counter] = {}
             for lang, text in zip(b.column(0), b.column(1), strict=True):
                 found.setdefault(lang.as_py(), Counter()).update(words(text.as_py()))
