@@ -14,6 +14,8 @@ from caselens.llm.common import read_table, stage
 
 #: Probability below which the language of a document counts as not found.
 LEAST_SCORE = 0.5
+#: Near duplicates share 0.8 of their shingles; at that a pair shares none of 40 bands of 5 rows with a probability of 1.3e-7.
+NEAR = near_dedup.Params(percent=80, bands=40, rows=5)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +33,8 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
-    found = near_dedup.near_duplicates(docs)
+    """One document of each group of near duplicates (similarity of 0.8 or more), the one with the smallest id."""
+    found = near_dedup.near_duplicates(docs, p=NEAR)
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

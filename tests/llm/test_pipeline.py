@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as cp
 from caselens.llm.common import read_table
 from tests.conftest import SF
@@ -42,3 +44,16 @@ def test_stages_take_odd_documents(spark):
     for docs in (odd_documents(spark), odd_documents(spark).limit(0)):
         for name, step in cp.STAGES:
             docs = cp.stage(step(spark, docs, SF), "t")
+
+
+def test_near_dedup_links_from_four_fifths(spark):
+    r = random.Random(8)
+    rows, columns = [], read_table(spark, SF, "documents").columns
+    for family in range(8):
+        base = [f"w{r.randrange(900)}" for _ in range(104)]
+        for copy, cut in enumerate((0, 18, 26)):  # similarities 0.82 and 0.74 to the first
+            rows.append((family * 10 + copy * (1 if family % 2 else 3), " ".join(base[: 104 - cut] if copy < 2 else base[cut:])))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = {x["doc_id"] for x in cp.remove_near_duplicates(spark, docs.select(*columns), SF).collect()}
+    assert near == {i for i, (_, c) in nd.brute(rows, 80).items() if i == c}
+    assert near != {i for i, (_, c) in nd.brute(rows, 85).items() if i == c}
