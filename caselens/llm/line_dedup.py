@@ -6,6 +6,10 @@ A run of at least `guarantee` words that stands in two places holds a whole wind
 fingerprint; a match of less than `noise` words is never found. Every fingerprint is joined to its earliest
 place only, so that a passage in very many documents makes one row for each, and the match is extended in
 both directions as far as the lines agree. The lines of the later run go.
+
+The earliest place may agree less far than another earlier one. Hence around every repeated fingerprint the
+shortest runs of at least `guarantee` words that start or end at a line are looked up too, each by its own hash
+and earliest place. They cover every line of every run of that length, and all but the earliest of each go.
 """
 
 from __future__ import annotations
@@ -65,12 +69,45 @@ def fingerprints(tables: DataFrame, p: Params) -> DataFrame:
     return grams.select("key", least.alias("least")).where("least is not null").select("key", "least.*").distinct()
 
 
+def long_runs(tables: DataFrame, prints: DataFrame, p: Params) -> DataFrame:
+    """(key, gone): numbers of the lines of each shortest run of `guarantee` words or more that stands in an earlier place too.
+
+    tables are documents, and prints (key, pos) their repeated fingerprints; a run that stands in two places holds one.
+    """
+    anchors = prints.groupBy("key").agg(F.collect_set("pos").alias("anchors"))
+    lines = tables.join(anchors, "key").select("key", "anchors", F.posexplode(F.arrays_zip("at", "hashes", "words")).alias("pos", "line"))
+    lines = lines.select("key", "pos", "line.*", F.when(F.array_contains("anchors", F.col("pos")), F.col("pos")).alias("anchor"))
+    doc = Window.partitionBy("key")
+    upto, onward = (doc.orderBy("pos").rowsBetween(*x) for x in ((Window.unboundedPreceding, 0), (0, Window.unboundedFollowing)))
+    placed = lines.withColumns({
+        "end": F.sum("words").over(upto), "total": F.sum("words").over(doc), "last": F.max("anchor").over(upto), "next": F.min("anchor").over(onward),
+    }).withColumn("start", F.col("end") - F.col("words"))
+    ahead = doc.orderBy("start").rangeBetween(0, p.guarantee - 1)
+    behind = doc.orderBy("end").rangeBetween(1 - p.guarantee, 0)
+
+    def unit(enough: Column, over, low: Column, high: Column) -> Column:
+        hashes, at = (F.collect_list(c).over(over) for c in ("hashes", "at"))
+        return F.when(enough, F.struct(F.xxhash64(hashes).alias("unit"), low.alias("pos"), high.alias("high"), at.alias("at")))
+
+    size = F.count(F.lit(1))
+    units = placed.select(
+        "key", "last", "next",
+        unit(F.col("start") + p.guarantee <= F.col("total"), ahead, F.col("pos"), F.col("pos") + size.over(ahead) - 1).alias("ahead"),
+        unit(F.col("end") >= p.guarantee, behind, F.col("pos") - size.over(behind) + 1, F.col("pos")).alias("behind"),
+    )
+    held = F.array(F.when(F.col("next") <= F.col("ahead.high"), F.col("ahead")), F.when(F.col("last") >= F.col("behind.pos"), F.col("behind")))
+    units = units.select("key", F.explode(F.filter(held, lambda x: x.isNotNull())).alias("u")).select("key", "u.unit", F.col("u.pos").cast("int").alias("pos"), "u.at")
+    first = units.groupBy("unit").agg(F.min(F.struct("key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("unit", "first")
+    return units.join(first, "unit").where(F.struct("key", "pos") != F.col("first")).select("key", F.col("at").alias("gone"))
+
+
 def later_runs(tables: DataFrame, p: Params) -> DataFrame:
     """(key, gone): numbers of the lines of each document that repeat an earlier run."""
     prints = stage(fingerprints(tables, p), "fingerprints")
     first = prints.groupBy("gram").agg(F.min(F.struct("key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "first")
+    repeated = prints.join(first, "gram")
     hits = (
-        prints.join(first, "gram").where(F.struct("key", "pos") != F.col("first"))
+        repeated.where(F.struct("key", "pos") != F.col("first"))
         .groupBy("key", F.col("first.key").alias("key0"), (F.col("pos") - F.col("first.pos")).alias("shift"))
         .agg(F.sort_array(F.collect_set("pos")).alias("anchors"))
     )
@@ -87,6 +124,7 @@ def later_runs(tables: DataFrame, p: Params) -> DataFrame:
         return F.slice("at", low + 1, high - low + 1)
 
     gone = met.select("key", F.array_distinct(F.flatten(F.array_distinct(F.transform("anchors", run)))).alias("gone"))
+    gone = gone.unionByName(long_runs(tables, repeated.select("key", "pos"), p))
     return gone.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 

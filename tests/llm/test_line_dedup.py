@@ -74,6 +74,19 @@ def test_matches_are_extended_both_ways(spark):
     assert check(spark, rows)[2] == ["own c", "own d"]
 
 
+def test_runs_that_the_earliest_place_holds_in_part(spark):
+    r = random.Random(7)
+    x, y, z = sentence(r, 25), sentence(r, 15), sentence(r, 12)
+
+    def own():
+        return sentence(r, 30)
+
+    texts = [[own(), x, own()], [own(), x, y, own()], [own(), x, y, own()], [own(), z, x, own()], [own(), z, x, y, own()], [y, own()], [own(), z, x, y, own()], [own(), y, x, own()], [y, x]]
+    kept = check(spark, [(i, "\n".join(t)) for i, t in enumerate(texts)])
+    assert kept[2] == [texts[2][0], texts[2][3]] and y in kept[1]
+    assert kept[6] == [texts[6][0], texts[6][4]] and kept[8] == []
+
+
 def test_repeats_within_a_document(spark):
     r = random.Random(5)
     s = [sentence(r, 25), sentence(r, 25)]
