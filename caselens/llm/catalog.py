@@ -8,7 +8,7 @@ from caselens.llm.bpe import op5_bpe
 from caselens.llm.decontaminate import OP8_SQL, op8_decontaminate
 from caselens.llm.language import op6_language_id
 from caselens.llm.line_dedup import op3_line_dedup
-from caselens.llm.lm_score import OP10_SQL, op10_lm_score
+from caselens.llm.lm_score import OP10_BACKOFF_SQL, OP10_SQL, op10_lm_score, op10_lm_score_backoff
 from caselens.llm.near_dedup import OP1_SQL, op1_near_dedup
 from caselens.llm.quality import op9_quality
 from caselens.llm.sharding import op7_sharding
@@ -25,10 +25,12 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_lm_score": op10_lm_score,
+    "op10_lm_score_backoff": op10_lm_score_backoff,
     "pipeline": corpus_pipeline.run,
 }
 SQL = {
     "op1_near_dedup": OP1_SQL,
     "op8_decontaminate": OP8_SQL,
     "op10_lm_score": OP10_SQL,
+    "op10_lm_score_backoff": OP10_BACKOFF_SQL,
 }

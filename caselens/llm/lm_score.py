@@ -22,13 +22,17 @@ from caselens.llm.common import blocks_for, read_table, text_bytes
 
 @dataclass(frozen=True)
 class Params:
-    """order: longest n-gram; alpha: factor of each step back; bytes of text in a block, and behind a part of the counts."""
+    """order: longest n-gram; alpha: factor of each step back; bytes of text in a block, and behind a part of the counts.
+
+    held_out: a text scored under the counts of its own corpus leaves its own n-grams out of them.
+    """
 
     order: int = 2
     alpha: float = 0.4
     block_bytes: int = 12 << 20
     part_bytes: int = 8 << 20
     seed: int = 3
+    held_out: bool = False
 
 
 ALL = np.uint64(0)  # the empty n-gram: its count is the number of words
@@ -66,12 +70,25 @@ def distinct_keys(keys: list[np.ndarray], parts: int) -> tuple[np.ndarray, np.nd
     return found[order], n[order], part[order]
 
 
-def word_scores(keys: list[np.ndarray], known: np.ndarray, counts: np.ndarray, p: Params) -> np.ndarray:
-    """Natural log of every word's stupid-backoff score; a word never counted has half an occurrence."""
+def word_scores(keys: list[np.ndarray], known: np.ndarray, counts: np.ndarray, p: Params, left_out: np.ndarray | None = None) -> np.ndarray:
+    """Natural log of every word's stupid-backoff score; a word never counted has half an occurrence.
+
+    left_out: sizes of the texts, if each leaves its own n-grams out of the counts.
+    """
     by_key = np.argsort(known)
-    at = [counts[by_key[np.searchsorted(known, k, sorter=by_key)]] for k in keys]
-    total = max(1, int(counts[known == ALL][0]))
-    score = np.log(np.where(at[0] > 0, at[0], 0.5) / total)
+    total = counts[known == ALL][0]
+    text = None if left_out is None else np.repeat(np.arange(len(left_out)), left_out)
+    at = []
+    for k in keys:
+        place = by_key[np.searchsorted(known, k, sorter=by_key)]
+        n = counts[place]
+        if left_out is not None:
+            _, which, own = np.unique(text * len(known) + place, return_inverse=True, return_counts=True)
+            n = n - own[which]
+        at.append(n)
+    if left_out is not None:
+        total = total - left_out[text]
+    score = np.log(np.where(at[0] > 0, at[0], 0.5) / np.maximum(1, total))
     for n in range(2, p.order + 1):
         exists = keys[n - 1] != ALL
         seen = exists & (at[n - 1] > 0)
@@ -90,7 +107,7 @@ def scored(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_
     """
     n, size = text_bytes(corpus if corpus is not None else docs, text_col)
     blocks, parts = max(blocks_for(size, p.block_bytes), blocks_for(n, 50_000)), blocks_for(size, p.part_bytes)
-    ids = docs.schema[id_col].dataType
+    ids, held_out = docs.schema[id_col].dataType, p.held_out and corpus is None
 
     def dealt(df: DataFrame) -> DataFrame:
         row = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
@@ -124,7 +141,7 @@ def scored(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_
         keys, sizes = ngram_keys(rows["text"].tolist(), p)
         known, _, _ = distinct_keys(keys, parts)
         counts = np.concatenate(answers.sort_values("part")["counts"].to_list())
-        each = word_scores(keys, known, counts, p)
+        each = word_scores(keys, known, counts, p, sizes if held_out else None)
         sums = np.bincount(np.repeat(np.arange(len(rows)), sizes), each, len(rows))
         return pd.DataFrame({id_col: rows["id"].to_numpy(), "n_words": sizes, "log_score": sums})
 
@@ -136,12 +153,20 @@ def scored(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_
     return mine.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, result)
 
 
-def op10_lm_score(spark, sf_dir: str) -> DataFrame:
-    found = scored(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+def _rounded(found: DataFrame) -> DataFrame:
     mean = F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6))
     return found.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), mean.alias("mean_log_score"))
 
 
+def op10_lm_score(spark, sf_dir: str) -> DataFrame:
+    return _rounded(scored(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op10_lm_score_backoff(spark, sf_dir: str) -> DataFrame:
+    """Order 3, every document under the counts of all others, so that words do step back."""
+    return _rounded(scored(read_table(spark, sf_dir, "documents").select("doc_id", "text"), p=Params(order=3, block_bytes=8 << 20, held_out=True)))
+
+
 OP10_SQL = r"""
 with doc as (
   select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents
@@ -157,3 +182,26 @@ s as (
 select d.doc_id, coalesce(n, 0)::bigint as n_words, round(coalesce(s, 0), 6) as log_score, case when n > 0 then round(s / n, 6) end as mean_log_score
 from doc d left join sums using (doc_id)
 """
+
+OP10_BACKOFF_SQL = r"""
+with doc as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents
+), tok as (
+  select doc_id, i, w[i] as c, case when i > 1 then w[i - 1] end as b, case when i > 2 then w[i - 2] end as a
+  from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from doc)
+), others as (
+  select *, count(*) over () - count(*) over (partition by doc_id) as total,
+    count(*) over (partition by c) - count(*) over (partition by doc_id, c) as n1,
+    case when b is not null then count(*) over (partition by b, c) - count(*) over (partition by doc_id, b, c) end as n2,
+    case when a is not null then count(*) over (partition by a, b, c) - count(*) over (partition by doc_id, a, b, c) end as n3
+  from tok
+), before as (
+  select *, lag(n1) over (partition by doc_id order by i) as v1, lag(n2) over (partition by doc_id order by i) as v2 from others
+), s as (
+  select doc_id, case when n3 > 0 then ln(n3 / v2)
+    when n2 > 0 then ln(n2 / v1) + case when a is not null then ln(0.4) else 0 end
+    else ln(case when n1 > 0 then n1 else 0.5 end / greatest(total, 1)) + least(i - 1, 2) * ln(0.4) end as s from before
+), sums as (select doc_id, count(*) as n, sum(s) as s from s group by doc_id)
+select d.doc_id, coalesce(n, 0)::bigint as n_words, round(coalesce(s, 0), 6) as log_score, case when n > 0 then round(s / n, 6) end as mean_log_score
+from doc d left join sums using (doc_id)
+"""

@@ -44,6 +44,20 @@ def test_backoff_on_another_corpus(spark):
             assert found[i]["n_words"] == n and math.isclose(found[i]["log_score"], s, abs_tol=1e-9)
 
 
+def test_backoff_scores_equal_sql(same_rows):
+    same_rows(lm.op10_lm_score_backoff, lm.OP10_BACKOFF_SQL)
+
+
+def test_backoff_on_the_other_documents(spark):
+    texts = ["a b c a b d a b c", "a b c d", None, "b c a b", "zz a b", "", "zz a b", "b c d"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for order in (1, 2, 3):
+        found = {r["doc_id"]: r for r in lm.scored(docs, p=lm.Params(order=order, block_bytes=12, part_bytes=4, held_out=True)).collect()}
+        for i, text in enumerate(texts):
+            [(n, s)] = brute([text], texts[:i] + texts[i + 1 :], order)
+            assert found[i]["n_words"] == n and math.isclose(found[i]["log_score"], s, abs_tol=1e-9)
+
+
 def test_scores_of_odd_documents(spark):
     docs = odd_documents(spark)
     texts = [r["text"] for r in docs.collect()]
