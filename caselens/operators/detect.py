@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselens.functions import vocab
+from caselens.operators.textbatch import numbered
 
 CONTEXT = "struct<missing_step:string,step_1:string,step_2:string,unexpected_step:string,approval_type:string,issue:string,duration_hours:double,gap_days:double>"
 COLUMNS = ("case_id", "officer_id", "deviation_type", "severity", "description", "expected_behavior", "actual_behavior", "context")
@@ -37,13 +38,13 @@ def step_named(description: Column) -> Column:
 
 
 def expected_sequence(rules: DataFrame) -> DataFrame:
-    """(idx, step_name) of the procedure that the sequence rules name, in step order; a rule table is small.
+    """(idx, step_name) of the procedure that the sequence rules name, in step order.
 
     Without any named step the standard steps stand in; without sequence rules there is no procedure.
     """
     named = rules.where(F.col("rule_type") == "sequence").select("step_number", "rule_id", step_named(F.col("rule_description")).alias("step_name"))
-    order = Window.orderBy(F.coalesce("step_number", F.lit(999)), "rule_id")
-    found = named.where("step_name is not null").select((F.row_number().over(order) - 1).cast("int").alias("idx"), "step_name")
+    placed = named.where("step_name is not null").select(F.struct(F.coalesce("step_number", F.lit(999)).alias("step_number"), "rule_id").alias("place"), "step_name")
+    found = numbered(placed, "place").select(F.col("position").cast("int").alias("idx"), "step_name")
     counts = named.agg(F.count(F.lit(1)).alias("rules"), F.count("step_name").alias("named"))
     standard = counts.where("rules > 0 and named = 0").select(F.posexplode(F.array(*map(F.lit, vocab.STANDARD_STEPS))).alias("idx", "step_name"))
     return found.unionByName(standard)

@@ -136,12 +136,14 @@ def parsed(answers: DataFrame, json: Column) -> DataFrame:
 
 def merged(results: DataFrame) -> DataFrame:
     """One row of rows (batch, result): lists joined in the order of batches, so many entries of each kept; calls summed."""
-    ordered = results.agg(F.array_sort(F.collect_list(F.struct("batch", "result"))).alias("all"), F.sum(F.coalesce("result.api_calls_made", F.lit(1))).alias("api_calls_made"), F.count(F.lit(1)).alias("batches"))
-
-    def joined(name: str) -> Column:
-        return F.slice(F.flatten(F.filter(F.transform("all", lambda x: x["result"].getField(name)), lambda x: x.isNotNull())), 1, KEPT[name])
-
-    return ordered.select("batches", "api_calls_made", *[joined(k).alias(k) for k in KEPT])
+    results = kept(results)
+    out = results.agg(F.count(F.lit(1)).alias("batches"), F.sum(F.coalesce("result.api_calls_made", F.lit(1))).alias("api_calls_made"))
+    for name, most in KEPT.items():
+        entries = results.select("batch", "result", F.posexplode(f"result.{name}").alias("place", "entry"))
+        first = entries.orderBy("batch", "result", "place").limit(most)  # at most so many rows of each partition meet
+        row = F.array_sort(F.collect_list(F.struct("batch", "result", "place", "entry")))
+        out = out.crossJoin(first.agg(F.transform(row, lambda x: x["entry"]).alias(name)))
+    return out
 
 
 def usage(calls: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caselens.functions import vocab
-from caselens.operators import ingest, rules, sop, stats, textbatch
+from caselens.operators import detect, ingest, rules, sop, stats, textbatch
 from caselens.operators.ml import clusters, outliers, sampling
 from caselens.plans import analysis
 from caselens.plans.graphs import components
@@ -162,3 +162,23 @@ def test_stream_of_logs(spark, tmp_path):
     q = stream.ingest(source.select("case_id", "officer_id", "step_name", "action", F.col("ts").cast("string").alias("timestamp")), str(tmp_path / "out"), str(tmp_path / "state"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out" / "good")).count() == logs.count()
+
+
+def test_merged_answers_bring_only_the_first_entries_together(spark):
+    answer = "struct<behavioral_patterns:array<struct<pattern:string>>,hidden_rules:array<string>,systemic_issues:array<string>,time_patterns:array<string>,risk_insights:array<string>,recommendations:array<string>,api_calls_made:int>"
+    rows = [(b, ([(f"p{b}.{i}",) for i in range(b % 4)] if b % 5 else None, None, [], ["t"], [None, f"r{b}"], [f"x{b}"] * 3, b % 3 or None)) for b in range(40)]
+    merged = textbatch.merged(spark.createDataFrame(rows[::-1], f"batch long, result {answer}").repartition(5))
+    [found] = merged.collect()
+    assert found["batches"] == 40 and found["api_calls_made"] == sum(b % 3 or 1 for b in range(40))
+    assert [x["pattern"] for x in found["behavioral_patterns"]] == [f"p{b}.{i}" for b in range(40) if b % 5 for i in range(b % 4)][:10]
+    assert found["hidden_rules"] == [] == found["systemic_issues"] and found["time_patterns"] == ["t"] * 5
+    assert found["risk_insights"] == [x for b in range(5) for x in (None, f"r{b}")] and found["recommendations"] == [f"x{b}" for b in range(4) for _ in range(3)][:10]
+    assert merged._jdf.queryExecution().executedPlan().toString().count("TakeOrderedAndProject") >= 6
+    [none] = textbatch.merged(spark.createDataFrame([], f"batch long, result {answer}")).collect()
+    assert none["batches"] == 0 and none["recommendations"] == []
+
+
+def test_expected_sequence_has_no_window_over_all_rules(spark):
+    rules_ = t.rules(spark)
+    plan = detect.expected_sequence(rules_)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("windowspecdefinition(__span" in x for x in plan.splitlines() if "row_number()" in x)
