@@ -74,6 +74,16 @@ def a4(spark, sf):
     return files.headers(t.read(spark, sf, "events"), "events")
 
 
+@query("a4_preview_rows", """select r.position, h.header, case h.header when 'event_id' then r.event_id::varchar when 'user_id' then r.user_id::varchar else r.event_type end as value
+from (select row_number() over (order by event_id)::int - 1 as position, event_id, user_id, event_type from events order by event_id limit 3) r
+cross join (select unnest(['event_id', 'user_id', 'event_type']) as header) h""")
+def a4_rows(spark, sf):
+    events = t.read(spark, sf, "events").select("event_id", "user_id", "event_type")
+    first, names = files.preview(events, "event_id"), files.headers(events, "events").select("header")
+    values = F.from_json("row", "map<string,string>")
+    return first.crossJoin(F.broadcast(names)).select("position", "header", F.element_at(values, F.col("header")).alias("value"))
+
+
 @query("a5_filtered_scan", "select o_orderkey, o_totalprice from orders where o_orderpriority = '1-URGENT' and o_totalprice >= 100000 and o_totalprice < 200000")
 def a5(spark, sf):
     return t.read(spark, sf, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice >= 100000 and o_totalprice < 200000").select("o_orderkey", "o_totalprice")
@@ -130,15 +140,17 @@ def a12(spark, sf):
     return spark.read.schema("severity string, description string").json(path).groupBy("severity").agg(F.count(F.lit(1)).alias("n"), F.min("description").alias("first_description"))
 
 
+def document_texts(spark, sf) -> DataFrame:
+    """All documents, each written to a text file of its own and loaded as a procedure."""
+    path = scratch(spark, "sops")
+    t.read(spark, sf, "documents").select("lang", "doc_id", "text").write.partitionBy("lang", "doc_id").text(path)
+    return files.sop_texts(spark, path)
+
+
 @query("a13_sop_texts", "select lang as title, '1.0' as version, 'txt' as file_type, 'pending' as status, max(length(text))::int as longest from documents group by lang")
 def a13(spark, sf):
-    path = scratch(spark, "sops")
-    longest = t.read(spark, sf, "documents").groupBy("lang").agg(F.max_by("text", F.struct(F.length("text"), -F.col("doc_id"))).alias("text"))
-    longest.repartition("lang").write.partitionBy("lang").text(path)
-    found = files.sop_texts(spark, f"{path}/lang=*")
-    title = F.regexp_extract(F.input_file_name(), "lang=([^/]*)/", 1)
-    texts = spark.read.text(f"{path}/lang=*", wholetext=True).select(title.alias("title"), F.length(F.regexp_replace("value", "\n$", "")).alias("longest"))
-    return texts.crossJoin(F.broadcast(found.select("version", "file_type", "status").distinct()))
+    texts = document_texts(spark, sf).withColumn("length", F.length(F.regexp_replace("text", "\n$", "")))
+    return texts.groupBy(F.col("lang").alias("title"), "version", "file_type", "status").agg(F.max("length").alias("longest"))
 
 
 @query("b1_log_fields", f"with {RAW} select event_id as log_seq, case_id, officer_id, step_name, action, status from parsed")

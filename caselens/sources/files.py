@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BOM = "﻿"
@@ -20,9 +20,11 @@ def json_logs(spark: SparkSession, path: str, schema: str | None = None) -> Data
     return reader.json(path, multiLine=True)
 
 
-def preview(df: DataFrame, n: int = 3) -> DataFrame:
-    """The headers and first n rows as (position, row): the row is JSON."""
-    return df.limit(n).select(F.monotonically_increasing_id().alias("position"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row"))
+def preview(df: DataFrame, order: str, n: int = 3) -> DataFrame:
+    """The first n rows in the order of a column as (position, row): the row is JSON."""
+    first = df.orderBy(order).limit(n)
+    position = F.row_number().over(Window.orderBy(order)) - 1  # n rows
+    return first.select(position.alias("position"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row"))
 
 
 def headers(df: DataFrame, file: str) -> DataFrame:
@@ -72,7 +74,9 @@ def export_json(df: DataFrame, path: str) -> None:
 
 
 def sop_texts(spark: SparkSession, path: str, version: str = "1.0") -> DataFrame:
-    """Procedure texts of a folder, one row a file, with name, version, type and status."""
+    """Procedure texts of a folder, one row a file, with name, version, type and status, and the columns that its folders name."""
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    df = spark.read.text(path, wholetext=True).select(name.alias("file"), F.col("value").alias("text"))
-    return df.select("file", F.regexp_replace("file", r"\.[^.]*$", "").alias("title"), F.lit(version).alias("version"), F.lower(F.element_at(F.split("file", r"\."), -1)).alias("file_type"), F.lit("pending").alias("status"), "text")
+    df = spark.read.text(path, wholetext=True)
+    folders = [c for c in df.columns if c != "value"]
+    df = df.select(name.alias("file"), F.col("value").alias("text"), *folders)
+    return df.select("file", F.regexp_replace("file", r"\.[^.]*$", "").alias("title"), F.lit(version).alias("version"), F.lower(F.element_at(F.split("file", r"\."), -1)).alias("file_type"), F.lit("pending").alias("status"), "text", *folders)

@@ -6,6 +6,7 @@ from caselens.operators import detect, ingest, rules, sop, stats, textbatch
 from caselens.operators.ml import clusters, outliers, sampling
 from caselens.plans import analysis
 from caselens.plans.graphs import components
+from caselens.queries import ingest as q_ingest
 from caselens.sources import files
 from caselens.sources import tables as t
 from caselens.streaming import logs as stream
@@ -182,3 +183,15 @@ def test_expected_sequence_has_no_window_over_all_rules(spark):
     rules_ = t.rules(spark)
     plan = detect.expected_sequence(rules_)._jdf.queryExecution().optimizedPlan().toString()
     assert all("windowspecdefinition(__span" in x for x in plan.splitlines() if "row_number()" in x)
+
+
+def test_every_document_is_loaded_as_a_text(spark):
+    want = {r["doc_id"]: (r["lang"], r["text"] or "") for r in t.read(spark, SF, "documents").collect()}
+    found = q_ingest.document_texts(spark, SF).collect()
+    assert {r["doc_id"]: (r["lang"], r["text"].removesuffix("\n")) for r in found} == want and len(found) == len(want)
+    assert {(r["version"], r["file_type"], r["status"]) for r in found} == {("1.0", "txt", "pending")}
+
+
+def test_preview_is_the_first_rows_in_order(spark):
+    rows = spark.createDataFrame([(i, None if i % 2 else "x") for i in range(50)], "k long, v string").repartition(7)
+    assert [(r["position"], r["row"]) for r in files.preview(rows, "k").orderBy("position").collect()] == [(0, '{"k":0,"v":"x"}'), (1, '{"k":1,"v":null}'), (2, '{"k":2,"v":"x"}')]
