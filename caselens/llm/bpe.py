@@ -2,7 +2,8 @@
 
 Each text is encoded where it lies: no shuffle. Long texts are cut first, always between a letter, digit or ASCII
 mark and a blank or line end: no match of the splitting pattern spans such a place, and none looks back
-over it, so the pieces of the cuts are those of the whole text.
+over it, so the pieces of the cuts are those of the whole text. That holds for `public_tokenizers.PATTERN`; under
+any other pattern texts are encoded uncut.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pyarrow as pa
 import regex
 import tiktoken
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caselens.llm.common import read_table
+from caselens.llm.common import read_table, slices
 
 #: Characters from which on a text is cut before it is encoded.
 CUT_CHARS = 1 << 16
@@ -50,25 +52,35 @@ def safe_cuts(text: str, size: int = CUT_CHARS) -> Iterator[str]:
 def encode_text(enc: tiktoken.Encoding, text: str | None) -> list[int]:
     if not text:
         return []
-    return [i for part in safe_cuts(text) for i in enc.encode_ordinary(part)] if len(text) > CUT_CHARS else enc.encode_ordinary(text)
+    if len(text) > CUT_CHARS and enc._pat_str == public_tokenizers.PATTERN:
+        return [i for part in safe_cuts(text) for i in enc.encode_ordinary(part)]
+    return enc.encode_ordinary(text)
 
 
-def with_ids(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
-    """docs and the ids of each whole text, as array<int>; a null or empty text has none. All columns are kept."""
-    schema = T.StructType([f for f in docs.schema.fields if f.name != ids_col] + [T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
-    kept = [f.name for f in schema.fields[:-1]]
+def with_ids(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", same_col: str | None = None) -> DataFrame:
+    """docs and the ids of each whole text, as array<int>; a null or empty text has none. All other columns are kept.
+
+    same_col: name of a further column that tells whether the bytes decoded from the ids are those of the text (null: none).
+    Texts are encoded in parts of at most 1000 rows and 8 MB.
+    """
+    added = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + ([T.StructField(same_col, T.BooleanType())] if same_col else [])
+    kept = [f for f in docs.schema.fields if f.name not in [x.name for x in added]]
+    schema = T.StructType(kept + added)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                ids = [np.array(encode_text(enc, t.as_py()), np.int32) for t in part.column(text_col)]
+            for part in slices(b, text_col):
+                texts = part.column(text_col).to_pylist()
+                ids = [np.array(encode_text(enc, t), np.int32) for t in texts]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), lists], names=schema.names)
+                out = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))]
+                if same_col:
+                    out.append(pa.array([enc.decode_bytes(x.tolist()) == (t or "").encode() for x, t in zip(ids, texts, strict=True)]))
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *out], names=schema.names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(encode, schema)
+    columns = dict.fromkeys([*(f.name for f in kept), text_col])
+    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(encode, schema)
 
 
 def decoded(ids_col: str, rank_file: str, pattern: str):
@@ -89,8 +101,6 @@ def ids_digest(ids: pd.Series) -> pd.Series:
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = with_ids(docs, *vocabulary).select("doc_id", "token_ids")

@@ -19,13 +19,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from caselens.llm.common import read_table, stage
+from caselens.llm.common import read_table, slices, stage
 
-WORDS = regex.compile(r"[\p{L}\p{M}]+")
+WORDS = regex.compile(r"\p{M}*\p{L}[\p{L}\p{M}]*")
 LETTER = regex.compile(r"\p{L}")
-#: Texts that are scored together in a task.
-BATCH = 2000
+#: Texts, and bytes of them, that are counted or scored together in a task.
+BATCH, BATCH_BYTES = 1000, 2 << 20
 
 
 @dataclass(frozen=True)
@@ -39,7 +40,7 @@ class Params:
 
 def words(text: str | None) -> list[str]:
     """Lower-case words of letters and marks; marks without a letter are no words."""
-    return [] if text is None else [w for w in WORDS.findall(text.lower())]
+    return [] if text is None else WORDS.findall(text.lower())
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -87,7 +88,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", p: Para
     """Learn from the texts and languages of docs; rows without either are passed over, other columns are not looked at."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(at, BATCH) for whole in batches for at in range(0, whole.num_rows, BATCH)):
+        for b in (part for whole in batches for part in slices(whole, 1, BATCH, BATCH_BYTES)):
             found: dict[str, Counter] = {}
             for lang, text in zip(b.column(0), b.column(1), strict=True):
                 found.setdefault(lang.as_py(), Counter()).update(words(text.as_py()))
@@ -163,14 +164,16 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text", p: Params =
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        whole = texts.where(texts.notna(), None).tolist()
-        parts = [predict_texts(shared.value, whole[at : at + BATCH], p) for at in range(0, len(whole), BATCH)]
-        return pd.DataFrame({"lang_pred": [x for langs, _ in parts for x in langs], "score": np.concatenate([np.empty(0), *(s for _, s in parts)])})
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, text_col, BATCH, BATCH_BYTES):
+                langs, score = predict_texts(shared.value, b.column(text_col).to_pylist(), p)
+                yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(langs, pa.string()), pa.array(score)], names=schema.names)
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*kept, predict(F.col(f"`{text_col}`")).alias("__found")).select(*kept, "__found.lang_pred", "__found.score")
+    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
+    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    columns = dict.fromkeys([*(f.name for f in kept), text_col])
+    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(predict, schema)
 
 
 def held_out(id_col: str = "doc_id"):

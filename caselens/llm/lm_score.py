@@ -1,41 +1,50 @@
-"""Stupid-backoff language-model scores from hash-partitioned n-gram counts.
+"""Stupid-backoff language-model scores from n-gram count tables that are partitioned by hash.
 
-Texts are dealt out in blocks. Every block explodes its n-grams, of all orders, and sends each distinct one
-once, with its count, to the part of the count table that its hash belongs to; there the counts of all blocks are
-summed and each block gets back the totals of the n-grams it asked for. Joined to the block's texts they give
-the score of every word, summed by document. A very frequent n-gram is one row a block, never a hot key.
+Texts are taken in blocks as they lie. A block explodes its n-grams of an order and counts them, and sends each distinct
+one once to the part of the count table that its hash belongs to; there the counts of all blocks are summed. Joined back to
+the exploded n-grams, the counts give the score of every word, and scores are summed by document. A very frequent
+n-gram is one row a block, never a hot key.
+
+Orders 1 and 2 are looked up first. A longer n-gram is in the table only if the two that it is made of are, so only those
+are exploded in the next round; nothing that the table holds is passed over. The n-grams of a block and part
+stand in one row, as byte planes: a row for each n-gram would take three times the disk.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caselens.llm.common import blocks_for, read_table, text_bytes
+from caselens.llm.common import blocks_for, read_table, slices, text_bytes
 
 
 @dataclass(frozen=True)
 class Params:
-    """order: longest n-gram; alpha: factor of each step back; bytes of text in a block, and behind a part of the counts.
+    """order: longest n-gram; alpha: factor of each step back; least: occurrences from which on an n-gram of two words or more is in the table.
 
-    held_out: a text scored under the counts of its own corpus leaves its own n-grams out of them.
+    held_out: a text scored under the counts of its own corpus leaves its own n-grams out of them. block_bytes: text that is taken
+    together, and part_bytes: text behind a part of the count table.
     """
 
-    order: int = 2
+    order: int = 3
     alpha: float = 0.4
-    block_bytes: int = 12 << 20
+    least: int = 2
+    held_out: bool = False
+    block_bytes: int = 16 << 20
     part_bytes: int = 8 << 20
     seed: int = 3
-    held_out: bool = False
-
 
-ALL = np.uint64(0)  # the empty n-gram: its count is the number of words
+    def rounds(self) -> list[tuple[int, ...]]:
+        """Orders that are looked up together; order 0 is the empty n-gram, whose count is the number of words."""
+        return [tuple(range(min(2, self.order) + 1)), *((n,) for n in range(3, self.order + 1))]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -44,142 +53,233 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def ngram_keys(texts: list[str | None], p: Params) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each order the keys of the n-grams that end at each word (ALL where the text has too few before), and words of each text."""
-    parts = []
-    for text in texts:
-        words = [] if text is None else text.encode("utf-8", "replace").lower().split()
-        parts.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
-    sizes = np.array([len(x) for x in parts], np.int64)
-    h = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-    weights = np.random.default_rng(p.seed).integers(1, 2**63, p.order, np.uint64) * np.uint64(2) + np.uint64(1)
-    at = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    keys, total = [], np.zeros(len(h), np.uint64)
-    for n in range(1, p.order + 1):
-        total[n - 1 :] += h[: len(h) - n + 1] * weights[n - 1]
-        keys.append(np.where(at >= n - 1, np.maximum(_mix(total + np.uint64(n)), np.uint64(1)), ALL))
-    return keys, sizes
-
-
-def distinct_keys(keys: list[np.ndarray], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, their counts, their parts), by part and key."""
-    found, n = np.unique(np.concatenate([k[k != ALL] for k in keys]), return_counts=True)
-    found, n = np.append(found, ALL), np.append(n, len(keys[0]))
-    part = (found % np.uint64(parts)).astype(np.int32)
-    order = np.lexsort((found, part))
-    return found[order], n[order], part[order]
-
-
-def word_scores(keys: list[np.ndarray], known: np.ndarray, counts: np.ndarray, p: Params, left_out: np.ndarray | None = None) -> np.ndarray:
-    """Natural log of every word's stupid-backoff score; a word never counted has half an occurrence.
-
-    left_out: sizes of the texts, if each leaves its own n-grams out of the counts.
-    """
-    by_key = np.argsort(known)
-    total = counts[known == ALL][0]
-    text = None if left_out is None else np.repeat(np.arange(len(left_out)), left_out)
-    at = []
-    for k in keys:
-        place = by_key[np.searchsorted(known, k, sorter=by_key)]
-        n = counts[place]
-        if left_out is not None:
-            _, which, own = np.unique(text * len(known) + place, return_inverse=True, return_counts=True)
-            n = n - own[which]
-        at.append(n)
-    if left_out is not None:
-        total = total - left_out[text]
-    score = np.log(np.where(at[0] > 0, at[0], 0.5) / np.maximum(1, total))
-    for n in range(2, p.order + 1):
-        exists = keys[n - 1] != ALL
-        seen = exists & (at[n - 1] > 0)
-        before = np.concatenate([[0], at[n - 2][:-1]]) if len(score) else score
-        ratio = np.log(np.where(seen, at[n - 1], 1) / np.where(seen, np.maximum(before, 1), 1))
-        score = np.where(seen, ratio, np.where(exists, np.log(p.alpha) + score, score))
-    return score
+def planes(x: np.ndarray) -> bytes:
+    """Numbers as byte planes, lowest bytes first: the high ones are mostly zero and compress well."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def numbers(b: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    words = [] if text is None else text.encode("utf-8", "replace").lower().split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+class Block:
+    """Texts as numbers of their words: the hashes of distinct words, most frequent first, a number for each word, words of each text."""
+
+    def __init__(self, vocabulary: np.ndarray, words: np.ndarray, sizes: np.ndarray, p: Params):
+        self.hashes, self.sizes, self.p = vocabulary[words], sizes, p
+        self.at = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.counts: dict[int, np.ndarray] = {}  # for each order, how often the n-gram that ends at a word stands in the table
+        self.weights = np.random.default_rng(p.seed).integers(1, 2**63, max(1, p.order), np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def exploded(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct n-grams in order, how often each, places of the words that they end at, number of the n-gram at each place)."""
+        if n == 0:
+            return np.zeros(1, np.uint64), np.array([len(self.at)]), np.empty(0, np.int64), np.empty(0, np.int64)
+        ok = self.at >= n - 1
+        if n > 2:  # orders 1 and 2 are of the same round
+            known = self.counts[n - 1] >= self.p.least
+            ok[1:] &= known[1:] & known[:-1]
+        places = np.flatnonzero(ok)
+        total = np.full(len(places), n, np.uint64)
+        for j in range(n):
+            total += self.hashes[places - j] * self.weights[j]
+        keys, which, times = np.unique(_mix(total), return_inverse=True, return_counts=True)
+        return keys, times, places, which
+
+    def joined(self, n: int, told: np.ndarray) -> None:
+        """Take the table's counts of the n-grams that `exploded` has."""
+        if n == 0:
+            self.total = told[0] - np.repeat(self.sizes, self.sizes) if self.p.held_out else np.full(len(self.at), told[0])
+            return
+        _, _, places, which = self.exploded(n)
+        found = told[which]
+        if self.p.held_out:
+            text = np.repeat(np.arange(len(self.sizes)), self.sizes)[places]
+            _, pair, own = np.unique(text * max(1, len(told)) + which, return_inverse=True, return_counts=True)
+            found = found - own[pair]
+        self.counts[n] = np.zeros(len(self.at), np.int64)
+        self.counts[n][places] = found
+
+    def scores(self) -> tuple[np.ndarray, np.ndarray]:
+        """Natural log of every word's score, and whether it steps back; a word never counted has half an occurrence."""
+        once = self.counts[1]
+        score, back = np.log(np.where(once > 0, once, 0.5) / np.maximum(1, self.total)), np.zeros(len(once), bool)
+        for n in range(2, self.p.order + 1):
+            exists, own = self.at >= n - 1, self.counts[n]
+            seen = exists & (own >= max(1, self.p.least))
+            before = np.concatenate([[0], self.counts[n - 1][:-1]])[: len(own)]
+            ratio = np.log(np.where(seen, own, 1) / np.where(seen, np.maximum(before, 1), 1))
+            score = np.where(seen, ratio, np.where(exists, np.log(self.p.alpha) + score, score))
+            back = np.where(exists, ~seen, back)
+        return score, back
+
+
+def blocks(docs: DataFrame, id_col: str, text_col: str, p: Params, asks: bool, counts: bool) -> DataFrame:
+    """A row for each block of texts: ids, words of each text, its vocabulary, and the number of every word (low and high bytes)."""
+    b = T.BinaryType()
+    schema = T.StructType([
+        T.StructField("block", T.LongType()), T.StructField("counts", T.BooleanType()), T.StructField("asks", T.BooleanType()), T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)),
+        T.StructField("sizes", b), T.StructField("vocabulary", b), T.StructField("low", b), T.StructField("high", b),
+    ])
+
+    def whole(block: int, ids: list[pa.Array], hashes: list[np.ndarray]) -> pa.RecordBatch:
+        h = np.concatenate(hashes)
+        words, which, times = np.unique(h, return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        number, ids = rank[which], pa.concat_arrays(ids)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([2 * block + (not asks)], pa.int64()), pa.array([counts]), pa.array([asks]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+             pa.array([np.array([len(x) for x in hashes], np.int32).tobytes()]), pa.array([words[order].tobytes()]), pa.array([number.astype(np.uint16).tobytes()]), pa.array([(number >> 16).astype(np.uint8).tobytes()])],
+            names=schema.names)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, hashes, size = 0, [], [], 0
+        for batch in batches:
+            for part in slices(batch, 2, rows=10_000, size=p.block_bytes):
+                block = block if ids else part.column(0)[0].as_py()
+                ids.append(part.column(1))
+                hashes += [word_hashes(t.as_py()) for t in part.column(2)]
+                size += part.column(2).nbytes
+                if size >= p.block_bytes:
+                    yield whole(block, ids, hashes)
+                    ids, hashes, size = [], [], 0
+        if ids:
+            yield whole(block, ids, hashes)
+
+    rows = docs.select(F.monotonically_increasing_id(), F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    return rows.mapInArrow(take, schema)
+
+
+def _block(b: pa.RecordBatch, i: int, p: Params) -> Block:
+    sizes, vocabulary, low, high = (np.frombuffer(b.column(c)[i].as_py(), kind) for c, kind in (("sizes", np.int32), ("vocabulary", np.uint64), ("low", np.uint16), ("high", np.uint8)))
+    return Block(vocabulary, low.astype(np.int32) + (high.astype(np.int32) << 16), sizes.astype(np.int64), p)
+
+
+def _joined(block: Block, told: list[list[dict]], rounds: list[tuple[int, ...]]) -> Block:
+    """The block with the counts of the rounds so far; told: for each round, rows (n, part, counts)."""
+    for orders, rows in zip(rounds, told, strict=False):
+        for n in orders:
+            parts = [numbers(r["counts"], np.int64) for r in sorted((r for r in rows or [] if r["n"] == n), key=lambda r: r["part"])]
+            block.joined(n, np.concatenate([np.empty(0, np.int64), *parts]))
+    return block
+
+
+ASKED = "block long, counts boolean, n int, part int, grams binary, times binary"
+
+
+def _explode(batches: Iterator[pa.RecordBatch], p: Params, parts: int, nth: int) -> Iterator[pa.RecordBatch]:
+    """The n-grams of the nth round, with their counts in the block; a row for each order and part of the count table."""
+    rounds = p.rounds()
+    for b in batches:
+        for i in range(b.num_rows):
+            block = _joined(_block(b, i, p), [b.column(f"told{r}")[i].as_py() for r in range(nth)], rounds)
+            for n in rounds[nth]:
+                keys, times, _, _ = block.exploded(n)
+                part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # in the order of the keys
+                first = np.flatnonzero(np.diff(part, prepend=np.uint64(2**63)))
+                ends = [*first[1:], len(keys)]
+                size = len(first)
+                if size:
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([b.column("block")[i].as_py()] * size, pa.int64()), pa.array([b.column("counts")[i].as_py()] * size), pa.array([n] * size, pa.int32()), pa.array(part[first].astype(np.int32)),
+                        pa.array([planes(np.diff(keys[x:y], prepend=np.uint64(0))) for x, y in zip(first, ends, strict=True)], pa.binary()),
+                        pa.array([planes(times[x:y].astype(np.uint32)) for x, y in zip(first, ends, strict=True)], pa.binary()),
+                    ], names=["block", "counts", "n", "part", "grams", "times"])
+
+
+def _summed(rows: pa.Table) -> pa.Table:
+    """A part of the count table: the sums of all blocks, given back to each for the n-grams that it has."""
+    grams = [np.cumsum(numbers(x.as_py(), np.uint64)) for x in rows.column("grams")]
+    times = [numbers(x.as_py(), np.uint32) * np.int64(y.as_py()) for x, y in zip(rows.column("times"), rows.column("counts"), strict=True)]
+    _, which = np.unique(np.concatenate(grams), return_inverse=True)
+    sums = np.bincount(which, np.concatenate(times)).astype(np.int64)[which]
+    back = np.split(sums, np.cumsum([len(x) for x in grams])[:-1])
+    return pa.table({"block": rows.column("block"), "n": rows.column("n"), "part": rows.column("part"), "counts": pa.array([planes(x) for x in back], pa.binary())})
+
+
+def _score(batches: Iterator[pa.RecordBatch], p: Params, names: list[str]) -> Iterator[pa.RecordBatch]:
+    rounds = p.rounds()
+    for b in batches:
+        for i in range(b.num_rows):
+            if not b.column("asks")[i].as_py():
+                continue
+            block = _joined(_block(b, i, p), [b.column(f"told{r}")[i].as_py() for r in range(len(rounds))], rounds)
+            each, back = block.scores()
+            ids, sizes = b.column("ids").slice(i, 1).flatten(), block.sizes
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            sums, stepped = np.bincount(text, each, len(sizes)).astype(float), np.bincount(text, back, len(sizes)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(stepped), pa.array(sums)], names=names)
 
 
 def scored(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
-    """(id_col, n_words, log_score) of every row of docs, under the n-gram counts of corpus (docs itself if none is given).
+    """(id_col, n_words, n_back, log_score) of every row of docs, under the n-gram counts of corpus (docs itself if none is given).
 
-    Words are split at ASCII white space and lower-cased (A-Z). log_score is the sum over words of ln S; the first words of a
-    text, having too few before them, take the longest order they have. Null, empty and blank texts have no words and
-    score 0. Rows are scored one by one, also repeated ones and ones without an id; other columns are ignored.
+    Words are split at ASCII white space and lower-cased (A-Z). log_score is the sum over words of ln S, n_back the number of words that
+    step back at least once; the first words of a text, having too few before them, take the longest order they have. N-grams
+    of two words or more that were counted less often than `least` count as unseen. Null, empty and blank texts have no words and
+    score 0. Rows are scored one by one, also repeated ones and ones without an id; other columns are ignored. Both tables must
+    keep the order of their rows when they are read again, as written ones do: blocks follow it.
     """
-    n, size = text_bytes(corpus if corpus is not None else docs, text_col)
-    blocks, parts = max(blocks_for(size, p.block_bytes), blocks_for(n, 50_000)), blocks_for(size, p.part_bytes)
-    ids, held_out = docs.schema[id_col].dataType, p.held_out and corpus is None
-
-    def dealt(df: DataFrame) -> DataFrame:
-        row = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-        return df.select(F.pmod(row, F.lit(blocks)).alias("block"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-
-    longs = T.ArrayType(T.LongType())
-    sent = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("keys", longs), T.StructField("counts", longs)])
-    told = T.StructType([T.StructField("block", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("counts", longs)])
-    result = T.StructType([T.StructField(id_col, ids), T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType())])
-
-    def send(counted: bool, asking: bool):
-        def per_block(pdf: pd.DataFrame) -> pd.DataFrame:
-            found, n, part = distinct_keys(ngram_keys(pdf["text"].tolist(), p)[0], parts)
-            cut = np.flatnonzero(np.diff(part)) + 1
-            return pd.DataFrame({
-                "part": part[np.concatenate([[0], cut])], "block": pdf["block"].iloc[0] if asking else -1,
-                "keys": np.array([*np.split(found.view(np.int64), cut), None], object)[:-1], "counts": np.array([*np.split(n if counted else n * 0, cut), None], object)[:-1],
-            })
-
-        return per_block
-
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes = pdf["keys"].map(len).to_numpy()
-        _, which = np.unique(np.concatenate(pdf["keys"].to_list()), return_inverse=True)
-        sums = np.bincount(which, np.concatenate(pdf["counts"].to_list())).astype(np.int64)[which]
-        back = np.split(sums, np.cumsum(sizes)[:-1])
-        out = pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "counts": np.array([*back, None], object)[:-1]})
-        return out[out["block"] >= 0]
-
-    def score(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        keys, sizes = ngram_keys(rows["text"].tolist(), p)
-        known, _, _ = distinct_keys(keys, parts)
-        counts = np.concatenate(answers.sort_values("part")["counts"].to_list())
-        each = word_scores(keys, known, counts, p, sizes if held_out else None)
-        sums = np.bincount(np.repeat(np.arange(len(rows)), sizes), each, len(rows))
-        return pd.DataFrame({id_col: rows["id"].to_numpy(), "n_words": sizes, "log_score": sums})
-
-    mine = dealt(docs)
-    rows = mine.groupBy("block").applyInPandas(send(corpus is None, True), sent)
+    p = p if corpus is None else replace(p, held_out=False)
+    parts = blocks_for(text_bytes(corpus if corpus is not None else docs, text_col)[1], p.part_bytes)
+    whole = blocks(docs, id_col, text_col, p, asks=True, counts=corpus is None)
     if corpus is not None:
-        rows = rows.union(dealt(corpus).groupBy("block").applyInPandas(send(True, False), sent))
-    answers = rows.groupBy("part").applyInPandas(total, told)
-    return mine.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, result)
+        other = corpus.select(F.lit(None).cast(docs.schema[id_col].dataType).alias(id_col), F.col(f"`{text_col}`").alias(text_col))
+        whole = whole.union(blocks(other, id_col, text_col, p, asks=False, counts=True))
+    met = whole.repartition("block")
+    for r in range(len(p.rounds())):
+        grams = met.mapInArrow(partial(_explode, p=p, parts=parts, nth=r), ASKED)
+        told = grams.groupBy("part").applyInArrow(_summed, "block long, n int, part int, counts binary")
+        told = told.groupBy("block").agg(F.collect_list(F.struct("n", "part", "counts")).alias(f"told{r}"))
+        met = met.join(told.hint("merge"), "block", "left")
+    names = [id_col, "n_words", "n_back", "log_score"]
+    kind = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_back", T.LongType()), T.StructField("log_score", T.DoubleType())])
+    return met.mapInArrow(partial(_score, p=p, names=names), kind)
 
 
 def _rounded(found: DataFrame) -> DataFrame:
     mean = F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6))
-    return found.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), mean.alias("mean_log_score"))
+    return found.select("doc_id", "n_words", "n_back", F.round("log_score", 6).alias("log_score"), mean.alias("mean_log_score"))
 
 
 def op10_lm_score(spark, sf_dir: str) -> DataFrame:
+    """Order 3 under the n-grams that all documents hold twice or more."""
     return _rounded(scored(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op10_lm_score_backoff(spark, sf_dir: str) -> DataFrame:
-    """Order 3, every document under the counts of all others, so that words do step back."""
-    return _rounded(scored(read_table(spark, sf_dir, "documents").select("doc_id", "text"), p=Params(order=3, block_bytes=8 << 20, held_out=True)))
+    """Order 3, every document under the counts of all others."""
+    return _rounded(scored(read_table(spark, sf_dir, "documents").select("doc_id", "text"), p=Params(least=1, held_out=True))).drop("n_back")
 
 
 OP10_SQL = r"""
 with doc as (
   select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents
-), uni as (select doc_id, i, w[i] as word, case when i > 1 then w[i - 1] end as before from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from doc)),
-c1 as (select word, count(*) as n from uni group by word),
-c2 as (select before, word, count(*) as n from uni where before is not null group by before, word),
-total as (select count(*) as n from uni),
-s as (
-  select u.doc_id, case when u.before is null then ln(a.n / t.n) else ln(b.n / v.n) end as s
-  from uni u join c1 a on a.word = u.word cross join total t
-  left join c2 b on b.word = u.word and b.before = u.before left join c1 v on v.word = u.before
-), sums as (select doc_id, count(*) as n, sum(s) as s from s group by doc_id)
-select d.doc_id, coalesce(n, 0)::bigint as n_words, round(coalesce(s, 0), 6) as log_score, case when n > 0 then round(s / n, 6) end as mean_log_score
+), tok as (
+  select doc_id, i, w[i] as c, case when i > 1 then w[i - 1] end as b, case when i > 2 then w[i - 2] end as a
+  from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from doc)
+), counted as (
+  select *, count(*) over () as total, count(*) over (partition by c) as n1,
+    case when b is not null then count(*) over (partition by b, c) end as n2,
+    case when a is not null then count(*) over (partition by a, b, c) end as n3
+  from tok
+), before as (
+  select *, lag(n1) over (partition by doc_id order by i) as v1, lag(n2) over (partition by doc_id order by i) as v2 from counted
+), s as (
+  select doc_id, i > 1 and not coalesce(case when a is not null then n3 else n2 end >= 2, false) as back,
+    case when n3 >= 2 then ln(n3 / v2)
+    when n2 >= 2 then ln(n2 / v1) + case when a is not null then ln(0.4) else 0 end
+    else ln(n1 / total) + least(i - 1, 2) * ln(0.4) end as s from before
+), sums as (select doc_id, count(*) as n, count(*) filter (back) as n_back, sum(s) as s from s group by doc_id)
+select d.doc_id, coalesce(n, 0)::bigint as n_words, coalesce(n_back, 0)::bigint as n_back, round(coalesce(s, 0), 6) as log_score, case when n > 0 then round(s / n, 6) end as mean_log_score
 from doc d left join sums using (doc_id)
 """
 

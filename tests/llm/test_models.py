@@ -10,23 +10,26 @@ from tests.conftest import SF
 from tests.llm.common import odd_documents
 
 
-def brute(texts, corpus, order=2, alpha=0.4):
+def brute(texts, corpus, order=3, alpha=0.4, least=2, back=False):
+    """(words, score) of each text, and the words that step back; n-grams of two words or more that were counted less often than `least` are unseen."""
     grams = Counter()
     for t in corpus:
         w = (t or "").encode().lower().split()
         for n in range(1, order + 1):
             grams.update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
         grams[()] += len(w)
+    grams = Counter({g: c for g, c in grams.items() if len(g) < 2 or c >= least})
     out = []
     for t in texts:
-        w, total = (t or "").encode().lower().split(), 0.0
+        w, total, steps = (t or "").encode().lower().split(), 0.0, 0
         for i in range(len(w)):
             n, factor = min(order, i + 1), 0.0
             while n > 1 and not grams[tuple(w[i - n + 1 : i + 1])]:
                 n, factor = n - 1, factor + math.log(alpha)
             c = grams[tuple(w[i - n + 1 : i + 1])]
+            steps += factor < 0
             total += factor + (math.log(c / grams[tuple(w[i - n + 1 : i])]) if n > 1 else math.log((c or 0.5) / max(1, grams[()])))
-        out.append((len(w), total))
+        out.append((len(w), total, steps) if back else (len(w), total))
     return out
 
 
@@ -38,10 +41,11 @@ def test_backoff_on_another_corpus(spark):
     corpus = ["a b c a b d", "b c d", None, "e"]
     texts = ["a b c", "a d zz b", "zz", "", "c a b d e e"]
     docs, other = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(i, t) for i, t in enumerate(corpus)], "doc_id long, text string")
-    for order in (1, 2, 3):
-        found = {r["doc_id"]: r for r in lm.scored(docs, other, p=lm.Params(order=order, part_bytes=4)).collect()}
-        for i, (n, s) in enumerate(brute(texts, corpus, order)):
-            assert found[i]["n_words"] == n and math.isclose(found[i]["log_score"], s, abs_tol=1e-9)
+    for order in (1, 2, 3, 4):
+        for least in (1, 2):
+            found = {r["doc_id"]: r for r in lm.scored(docs, other, p=lm.Params(order=order, least=least, part_bytes=4, block_bytes=8)).collect()}
+            for i, (n, s, back) in enumerate(brute(texts, corpus, order, least=least, back=True)):
+                assert (found[i]["n_words"], found[i]["n_back"]) == (n, back) and math.isclose(found[i]["log_score"], s, abs_tol=1e-9)
 
 
 def test_backoff_scores_equal_sql(same_rows):
@@ -52,12 +56,27 @@ def test_backoff_on_the_other_documents(spark):
     texts = ["a b c a b d a b c", "a b c d", None, "b c a b", "zz a b", "", "zz a b", "b c d"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for order in (1, 2, 3):
-        found = {r["doc_id"]: r for r in lm.scored(docs, p=lm.Params(order=order, block_bytes=12, part_bytes=4, held_out=True)).collect()}
+        found = {r["doc_id"]: r for r in lm.scored(docs, p=lm.Params(order=order, least=1, block_bytes=12, part_bytes=4, held_out=True)).collect()}
         for i, text in enumerate(texts):
-            [(n, s)] = brute([text], texts[:i] + texts[i + 1 :], order)
+            [(n, s)] = brute([text], texts[:i] + texts[i + 1 :], order, least=1)
             assert found[i]["n_words"] == n and math.isclose(found[i]["log_score"], s, abs_tol=1e-9)
 
 
+def test_the_registered_query_steps_back(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = {r["doc_id"]: r for r in lm.op10_lm_score(spark, SF).collect()}
+    want = dict(zip(texts, brute(list(texts.values()), list(texts.values()), back=True), strict=True))
+    assert {i: r["n_back"] for i, r in rows.items()} == {i: back for i, (_, _, back) in want.items()}
+    assert sum(r["n_back"] > 0 for r in rows.values()) > len(rows) / 2
+
+
+def test_long_blocks_and_equal_rows(spark):
+    texts = [f"w{i % 70000} w{i % 11} w{i % 3}" for i in range(80_000)] + ["a b c d"] * 3000
+    docs = spark.createDataFrame([(i if i < 80_000 else 1, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = Counter((n, round(s, 6)) for n, s in brute(texts, texts))
+    assert Counter((r["n_words"], round(r["log_score"], 6)) for r in lm.scored(docs, p=lm.Params(block_bytes=1 << 20)).collect()) == want
+
+
 def test_scores_of_odd_documents(spark):
     docs = odd_documents(spark)
     texts = [r["text"] for r in docs.collect()]
