@@ -49,10 +49,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids, and whether the bytes decoded from them are the text."""
     import public_tokenizers
 
-    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.with_ids(docs, *vocabulary)
-    same = bpe.decoded("token_ids", *vocabulary) == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return coded.select("*", F.size("token_ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    coded = bpe.with_ids(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, same_col="round_trip")
+    return coded.select(*docs.columns, "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 STAGES = [
