@@ -3,16 +3,21 @@
 Centroids are fitted on a bounded sample; every vector is put in the list of its nearest centroid, and each
 query probes the nearest lists. Within a list, vectors are rotated by one random orthogonal matrix and
 scanned in blocks of columns. After d of D columns a vector's partial squared distance, scaled by D / d,
-estimates the full one; if it exceeds the current k-th best by more than a test with deviation
+estimates the full one; if it exceeds the k-th best so far by more than a test with deviation
 eps / sqrt(d) allows, the vector is abandoned. What survives all columns gets its exact distance on the
-original components. Lists are cut into chunks of rows and of queries, so that a list holding a third of
-all vectors is many tasks; equal vectors are one entry with the smallest ids that any query can need.
+original components. A query's nearest list is scanned first; the k-th distance found there is the bound
+that all its other lists start with.
+
+Small lists share a cell and a large one is cut into several, so that a list holding a third of all vectors is
+many tasks, and a query travels once to a cell, not once to a list. Equal vectors are one entry with the
+smallest ids that any query can need.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,19 +33,22 @@ from caselens.llm.common import read_table, stage
 class Params:
     """k nearest; centroids from at most sample_rows rows (and sample_bytes); sqrt(n) lists, at most max_lists.
 
-    probe: share of the lists that a query probes; on nearly isotropic vectors of 64 components 0.7 finds 0.97 of the
-    nearest, 0.25 only 0.75. columns: width of a column block. eps: width of the test.
+    probe: share of the lists that a query probes, least_lists at least (all, if there are fewer). columns: width of a column block.
+    eps: width of the test: at 1.0 evenly spread vectors of 64 components lose a hundredth of what the lists hold. together: rows that are
+    scanned under one bound. chunk_rows, chunk_queries: vectors of a cell, and queries that meet them in a task.
     """
 
     k: int = 10
     sample_rows: int = 20_000
     sample_bytes: int = 16 << 20
     max_lists: int = 4096
-    probe: float = 0.7
+    probe: float = 0.6
+    least_lists: int = 32
     columns: int = 16
-    eps: float = 2.1
+    eps: float = 1.0
+    together: int = 256
     chunk_rows: int = 8192
-    chunk_queries: int = 2048
+    chunk_queries: int = 8192
     iterations: int = 10
     seed: int = 11
 
@@ -51,9 +59,13 @@ def rotation(d: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def _far(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return (centroids**2).sum(axis=1) - 2 * (x @ centroids.T)
+
+
 def nearest_lists(x: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
     """Numbers of the n nearest centroids of each row of x."""
-    far = (centroids**2).sum(axis=1) - 2 * (x @ centroids.T)
+    far = _far(x, centroids)
     return np.argpartition(far, n - 1, axis=1)[:, :n] if n < len(centroids) else np.tile(np.arange(len(centroids)), (len(x), 1))
 
 
@@ -73,107 +85,184 @@ def kmeans(x: np.ndarray, k: int, iterations: int, seed: int) -> np.ndarray:
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v) of the rows with an id and a vector that is not null, not zero and finite throughout."""
-    v = F.col(vector_col).cast("array<double>")
+    v = F.col(vector_col) if df.schema[vector_col].dataType == T.ArrayType(T.FloatType()) else F.col(vector_col).cast("array<double>")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return df.select(F.col(id_col).alias("id"), v.alias("v")).where(F.col("id").isNotNull() & finite & F.exists("v", lambda x: x != 0))
 
 
-def scan(x: np.ndarray, ids: list, queries: np.ndarray, own: list, p: Params) -> Iterator[tuple[int, object, float]]:
-    """(query number, id, distance) of the k nearest rows of x to each query, by the adaptive scan."""
-    d = x.shape[1]
-    r = rotation(d, p.seed)
-    turned, asked = x @ r, queries @ r
-    cuts = list(range(0, d, p.columns))
-    blocks = [np.ascontiguousarray(turned[:, c : c + p.columns]) for c in cuts]
-    for n, q in enumerate(queries):
-        best: list[tuple[float, object]] = []
-        worst = np.inf
-        for start in range(0, len(x), 512):
-            alive = np.arange(start, min(start + 512, len(x)))
-            partial = np.zeros(len(alive))
-            for c, block in zip(cuts, blocks, strict=True):
-                partial += ((block[alive] - asked[n, c : c + p.columns]) ** 2).sum(axis=1)
-                seen = min(c + p.columns, d)
-                slack = (1 + p.eps / seen**0.5) ** 2 if seen < d else 1 + 1e-9
-                keep = partial * (d / seen) <= worst * slack
-                alive, partial = alive[keep], partial[keep]
-                if not len(alive):
-                    break
+def _matrix(column: pa.Array, d: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, d).astype(float)
+
+
+def cells_of(sizes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first cell, number of cells) of each list: lists share a cell up to so many rows, larger ones have several of their own."""
+    first, cells = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    at, held = 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > rows:
+            at, held = at + 1, 0
+        first[i], cells[i], held = at, max(1, -(-int(n) // rows)), held + int(n)
+        if cells[i] > 1:
+            at, held = at + int(cells[i]), 0
+    return first, cells
+
+
+class Cell:
+    """Rows (list, ids, v) by list, rotated, in blocks of columns."""
+
+    def __init__(self, rows: pd.DataFrame, p: Params):
+        rows = rows.sort_values("list", kind="stable")
+        self.x, self.lists = np.stack(rows["v"].to_numpy()).astype(float), rows["list"].to_numpy()
+        self.ids = [list(i) for i in rows["ids"]]
+        d = self.x.shape[1]
+        self.rotation, self.cuts = rotation(d, p.seed), range(0, d, p.columns)
+        turned = self.x @ self.rotation
+        self.blocks = [np.ascontiguousarray(turned[:, c : c + p.columns]) for c in self.cuts]
+
+    def places(self, n: int) -> tuple[int, int]:
+        return int(np.searchsorted(self.lists, n)), int(np.searchsorted(self.lists, n, side="right"))
+
+
+def scan(cell: Cell, q: np.ndarray, own, lists: list[int], bound: float, p: Params) -> tuple[list[tuple[float, object]], int, int]:
+    """(distance, id) of the k nearest rows in the given lists of a cell, the rows met, and those abandoned before their last columns.
+
+    bound: a distance that k rows elsewhere don't exceed.
+    """
+    d, turned = len(q), q @ cell.rotation
+    worst, best, met, abandoned = bound**2, [], 0, 0
+    for low, high in ((low, min(low + p.together, end)) for first, end in (cell.places(n) for n in lists) for low in range(first, end, p.together)):
+        alive = np.arange(low, high)
+        partial = np.zeros(len(alive))
+        met += len(alive)
+        for c, block in zip(cell.cuts, cell.blocks, strict=True):
+            partial += ((block[alive] - turned[c : c + p.columns]) ** 2).sum(axis=1)
+            seen = min(c + p.columns, d)
+            slack = (1 + p.eps / seen**0.5) ** 2 if seen < d else 1 + 1e-9
+            keep = partial * (d / seen) <= worst * slack
+            abandoned += len(alive) - int(keep.sum()) if seen < d else 0
+            alive, partial = alive[keep], partial[keep]
             if not len(alive):
-                continue
-            exact = np.sqrt(((x[alive] - q) ** 2).sum(axis=1))
-            best += [(s, i) for s, at in zip(exact.tolist(), alive, strict=True) for i in ids[at] if i != own[n]]
-            best.sort()
-            del best[p.k :]
-            if len(best) == p.k:
-                worst = best[-1][0] ** 2
-        for score, i in best:
-            yield n, i, score
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", p: Params = Params()) -> DataFrame:
+                break
+        if not len(alive):
+            continue
+        exact = np.sqrt(((cell.x[alive] - q) ** 2).sum(axis=1))
+        best += [(s, i) for s, at in zip(exact.tolist(), alive, strict=True) for i in cell.ids[at] if i != own]
+        best.sort()
+        del best[p.k :]
+        if len(best) == p.k:
+            worst = min(worst, best[-1][0] ** 2)
+    return best, met, abandoned
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", p: Params = Params(), counts: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): for every query the k nearest rows of vectors found, by Euclidean distance.
 
-    Nearest first, ties to the smaller id; a query is never its own candidate. Ids are taken as unique, and equal
-    repeated rows count once. Rows without an id, and vectors that are null, zero, of a length that few have,
-    or that hold a null or non-finite component take no part, as query or candidate; with nothing left the
-    result is empty. Other columns are ignored.
+    Nearest first, ties to the smaller id; a query is never its own candidate. counts: also n_met, the distinct vectors in the
+    lists that a query probed, and n_abandoned, those left before their last columns. Ids are taken as unique, and equal repeated rows count once;
+    of an id with several vectors each is a row of its own, and none is a candidate of a query of that id. A query is held
+    against the vectors of its own length. Rows without an id, and vectors that are null, zero, or hold a null or
+    non-finite component take no part, as query or candidate; with nothing left the result is empty. Other columns are ignored.
     """
     spark = vectors.sparkSession
     ids = vectors.schema[id_col].dataType
-    out = T.StructType([T.StructField("query_id", ids), T.StructField("vec_id", ids), T.StructField("score", T.DoubleType())])
-    rows = usable(vectors, id_col, vector_col)
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    if sizes is None:
-        return spark.createDataFrame([], out).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
-    d, n = sizes["d"], sizes["n"]
-    rows = rows.where(F.size("v") == d)
-    asked = usable(queries, id_col, vector_col).where(F.size("v") == d).distinct()
+    rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col).distinct()
+    lengths = [r["d"] for r in asked.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]  # a search for each
+    found = [_search(rows.where(F.size("v") == d), asked.where(F.size("v") == d), d, p) for d in lengths]
+    found = [f for f in found if f is not None]
+    whole = reduce(DataFrame.union, found, spark.createDataFrame([], _found(ids)))
+    query = Window.partitionBy("query_id", "key")
+    whole = whole.select("*", F.sum("met").over(query).alias("n_met"), F.sum("abandoned").over(query).alias("n_abandoned")).where("vec_id is not null")
+    rank = F.row_number().over(query.orderBy("score", "vec_id"))
+    return whole.withColumn("rank", rank).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score", *(["n_met", "n_abandoned"] if counts else []))
+
+
+def _found(ids: T.DataType) -> T.StructType:
+    return T.StructType([
+        T.StructField("query_id", ids), T.StructField("key", T.LongType()), T.StructField("vec_id", ids), T.StructField("score", T.DoubleType()),
+        T.StructField("met", T.LongType()), T.StructField("abandoned", T.LongType()),
+    ])
+
+
+def _search(rows: DataFrame, asked: DataFrame, d: int, p: Params) -> DataFrame | None:
+    """Rows of _found for vectors of one length: at most k for each query and cell, and one without a vec_id that counts what was met there."""
+    spark, ids, vector = rows.sparkSession, rows.schema["id"].dataType, rows.schema["v"].dataType
     most = min(p.sample_rows, max(1, p.sample_bytes // (8 * d)))
-    sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id", F.lit(p.seed)), "id").select("v").limit(most).toLocalIterator()])
+    sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id", F.lit(p.seed)), "id").select("v").limit(most).toLocalIterator()], float)
+    if not len(sample):
+        return None
+    n, n_asked = rows.count(), asked.count()
     centroids = kmeans(sample, min(p.max_lists, max(1, round(n**0.5))), p.iterations, p.seed)
-    probes = min(len(centroids), max(p.k + 1, round(p.probe * len(centroids))))  # no list is empty: k candidates at least
+    probes = min(len(centroids), max(p.k + 1, p.least_lists, round(p.probe * len(centroids))))  # no list is empty: k candidates at least
 
     # No query needs more than the k + 1 smallest ids of equal vectors: one may be its own.
     smallest = F.dense_rank().over(Window.partitionBy("v").orderBy("id"))
     distinct = rows.withColumn("nth", smallest).where(F.col("nth") <= p.k + 1).groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids"))
 
-    def lists(wanted: int, width: int):
-        def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                at = nearest_lists(_matrix(b.column("v"), d), centroids, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(at[:, 0].astype(np.int32)), b.column(0), b.column(1)], names=["list", *b.schema.names])
+
+    index = stage(distinct.select("ids", "v").mapInArrow(put, T.StructType([T.StructField("list", T.IntegerType()), T.StructField("ids", T.ArrayType(ids)), T.StructField("v", vector)])), "lists")
+    sizes = np.zeros(len(centroids), np.int64)
+    for r in index.groupBy("list").count().toLocalIterator():  # a row a list: max_lists at most
+        sizes[r["list"]] = r["count"]
+    first, cells = cells_of(sizes, p.chunk_rows)
+    known = spark.createDataFrame([(i, int(f), int(c)) for i, (f, c) in enumerate(zip(first, cells, strict=True))], "list int, first int, cells int")
+    cuts = max(1, -(-n_asked // p.chunk_queries))
+    parts = index.join(F.broadcast(known), "list").select((F.col("first") + F.pmod(F.xxhash64(F.col("ids")[0]), "cells")).cast("int").alias("cell"), "list", "ids", "v")
+    parts = parts.withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))))
+    wanted = T.StructType([
+        T.StructField("cell", T.IntegerType()), T.StructField("id", ids), T.StructField("key", T.LongType()), T.StructField("v", vector), T.StructField("bound", T.DoubleType()), T.StructField("lists", T.ArrayType(T.IntegerType())),
+    ])
+
+    def probed(nearest_only: bool):
+        """Each query (id, key, v, bound) once for each cell that it probes, with the lists there, nearest first."""
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if b.num_rows:
-                    at = nearest_lists(b.column("v").flatten().to_numpy().reshape(-1, d), centroids, wanted)
-                    rows_at = pa.array(np.repeat(np.arange(b.num_rows), width))
-                    yield pa.RecordBatch.from_arrays([pa.array(at.ravel().astype(np.int32)), b.column(0).take(rows_at), b.column(1).take(rows_at)], names=["list", *b.schema.names])
-
-        return put
-
-    held = T.StructType([T.StructField("list", T.IntegerType()), T.StructField("ids", T.ArrayType(ids)), T.StructField("v", T.ArrayType(T.DoubleType()))])
-    index = stage(distinct.select("ids", "v").mapInArrow(lists(1, 1), held), "lists")
-    probed = T.StructType([T.StructField("list", T.IntegerType()), T.StructField("id", ids), T.StructField("v", T.ArrayType(T.DoubleType()))])
-    asks = stage(asked.mapInArrow(lists(probes, probes), probed), "probes")
-
-    def cut(df: DataFrame, size: int, name: str) -> DataFrame:
-        return df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
-
-    cuts = F.broadcast(cut(index, p.chunk_rows, "row_cuts").join(cut(asks, p.chunk_queries, "query_cuts"), "list"))  # a row a list: max_lists at most
-    parts = index.join(cuts, "list").select(
-        "list", F.pmod(F.xxhash64(F.col("ids")[0]), "row_cuts").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("query_cuts") - 1)).alias("j"), "ids", "v")
-    wants = asks.join(cuts, "list").select(
-        "list", F.explode(F.sequence(F.lit(0), F.col("row_cuts") - 1)).alias("i"), F.pmod(F.xxhash64("id"), "query_cuts").cast("int").alias("j"), "id", "v")
+                if not b.num_rows:
+                    continue
+                far = _far(_matrix(b.column("v"), d), centroids)
+                order = np.argsort(far, axis=1, kind="stable")[:, :probes]
+                order = order[:, :1] if nearest_only else order[:, 1:]
+                at, cell, lists = [], [], []
+                for i, row in enumerate(order):
+                    met: dict[int, list[int]] = {}
+                    for x in row.tolist():
+                        for c in range(first[x], first[x] + cells[x]):
+                            met.setdefault(c, []).append(x)
+                    at += [i] * len(met)
+                    cell += met
+                    lists += met.values()
+                taken = [b.column(c).take(pa.array(at, pa.int64())) for c in range(b.num_columns)]
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), *taken, pa.array(lists, pa.list_(pa.int32()))], names=wanted.names)
+
+        return ask
 
     def search(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        own = asked["id"].tolist()
-        found = []
+        out = []
         if len(rows) and len(asked):
-            found = list(scan(np.stack(rows["v"].to_numpy()), [list(x) for x in rows["ids"]], np.stack(asked["v"].to_numpy()), own, p))
-        return pd.DataFrame({"query_id": [own[n] for n, _, _ in found], "vec_id": [i for _, i, _ in found], "score": [s for _, _, s in found]})
+            cell = Cell(rows, p)
+            for id_, key, v, bound, lists in zip(asked["id"].tolist(), asked["key"], asked["v"], asked["bound"], asked["lists"], strict=True):
+                best, met, abandoned = scan(cell, np.asarray(v, float), id_, list(lists), bound, p)
+                out += [(id_, key, i, s, 0, 0) for s, i in best] + [(id_, key, None, None, met, abandoned)]
+        frame = pd.DataFrame(out, columns=["query_id", "key", "vec_id", "score", "met", "abandoned"], dtype=object)
+        return frame.astype({"key": "int64", "score": "float64", "met": "int64", "abandoned": "int64"})
+
+    def met(wants: DataFrame) -> DataFrame:
+        wants = wants.withColumn("cut", F.pmod(F.xxhash64("id"), F.lit(cuts)).cast("int"))
+        return parts.groupBy("cell", "cut").cogroup(wants.groupBy("cell", "cut")).applyInPandas(search, _found(ids))
 
-    found = parts.groupBy("list", "i", "j").cogroup(wants.groupBy("list", "i", "j")).applyInPandas(search, out)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
+    keyed = asked.select("id", F.xxhash64("v").alias("key"), "v")
+    near = stage(met(keyed.withColumn("bound", F.lit(float("inf"))).mapInArrow(probed(True), wanted)), "nearest")
+    kth = F.get(F.sort_array(F.collect_list("score")), p.k - 1)
+    bounds = near.where("score is not null").groupBy(F.col("query_id").alias("id"), "key").agg(kth.alias("bound"))
+    rest = keyed.join(bounds, ["id", "key"], "left").select("id", "key", "v", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    return near.union(met(rest.mapInArrow(probed(False), wanted)))
 
 
 def op2_ann(spark, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
-    return nearest(vectors, vectors.where("vec_id % 100 = 0"))
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"), counts=True)

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from caselens.llm import ann
@@ -25,6 +26,43 @@ def test_recall_and_scores(spark):
     assert all(abs(r["score"] - gaps[r["query_id"], r["vec_id"]]) < 1e-12 for r in found)
 
 
+@pytest.mark.parametrize("table", ["sf0.01", "sf0.1"])
+def test_recall_and_abandoning_by_the_registered_query(spark, table):
+    sf = SF.replace("sf0.001", table)
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    true = brute(rows, [r for r in rows if r[0] % 100 == 0])
+    found = ann.op2_ann(spark, sf).collect()
+    hits = sum((r["query_id"], r["vec_id"]) in {(q, j) for q, best in true.items() for _, j in best} for r in found)
+    assert len(found) == 10 * len(true) and hits >= 0.9 * len(found)
+    each = {r["query_id"]: (r["n_met"], r["n_abandoned"]) for r in found}
+    met, abandoned = (sum(x) for x in zip(*each.values(), strict=True))
+    assert met <= len(rows) * len(true) and abandoned > 0.2 * met
+
+
+def test_repeated_ids_ties_and_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [2.0, 0.0, 0.0]), (5, [2.0, 0.0, 1.0]), (6, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest(df, df.where("vec_id in (2, 4)"), p=ann.Params(k=2)).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 6)))
+    assert found == {2: [(1, 0.0), (1, round(2**0.5, 6))], 4: [(5, 1.0)]}  # vectors of another length are no candidates
+
+
+def test_ties_across_lists_go_to_the_smaller_id(spark):
+    import math
+
+    ring = [(i, [math.cos(i), math.sin(i)]) for i in range(1, 400)]
+    df = spark.createDataFrame([(1000, [1e-9, 0.0]), *[(i + 2000, v) for i, v in ring], *ring], "vec_id long, embedding array<double>")
+    found = [r["vec_id"] for r in ann.nearest(df, df.where("vec_id = 1000"), p=ann.Params(probe=1.0, eps=50.0)).orderBy("rank").collect()]
+    true = brute([(r["vec_id"], r["embedding"]) for r in df.collect()], [(1000, [1e-9, 0.0])])
+    assert found == [j for _, j in true[1000]]
+
+
+def test_cells_hold_every_list_once():
+    first, cells = ann.cells_of(np.array([5, 3, 0, 30, 2, 9, 1]), 10)
+    assert list(zip(first.tolist(), cells.tolist(), strict=True)) == [(0, 1), (0, 1), (0, 1), (1, 3), (4, 1), (5, 1), (5, 1)]
+
+
 def test_all_lists_and_a_wide_test_are_exact(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
