@@ -1,8 +1,9 @@
 """Two-pass external shuffle into shards of equal counts. DataFrame functions only.
 
-First pass: every row goes to a bucket by a seeded hash of its id and text, uniformly and whatever its
-source or group, with as many buckets as keep each within memory. Second pass: each bucket is put in a
-canonical order and shuffled by Fisher and Yates' method, seeded by the bucket. The buckets one after the
+First pass: every row goes to a bucket by a seeded hash of the row, uniformly and whatever its source or
+group, with as many buckets as keep each within memory. Rows that are equal throughout have one hash; where
+there are many, runs of them are dealt out by the hash and the number of the run. Second pass: each bucket is put in
+a canonical order and shuffled by Fisher and Yates' method, seeded by the bucket. The buckets one after the
 other are the new order of all rows; shards are equal consecutive parts of it, so a bucket is written to one
 or two shards only. A row's place is its bucket's offset, a running sum over bucket counts, plus its place
 in the bucket: no global sort.
@@ -12,22 +13,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from caselens.llm.common import blocks_for, read_table, text_bytes
+from caselens.llm.common import blocks_for, read_table, sized_broadcast, stage
 
 #: UTF-8 bytes of text, and rows, that a bucket holds on average at most.
 BUCKET_BYTES = 4 << 20
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 1000
+#: Equal rows that stay together.
+RUN = 100
 #: Buckets whose counts are summed together first.
 SPAN = 1024
 
 
-def buckets(docs: DataFrame, id_col: str, text_col: str, n: int, seed: int) -> DataFrame:
-    """(bucket, row): the first pass. Rows without an id or text are spread by what they have."""
-    hashed = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    return docs.select(F.pmod(hashed, F.lit(n)).cast("int").alias("bucket"), F.struct(hashed.alias("h"), F.struct("*").alias("row")).alias("row"))
-
-
 def permutation(n: Column, bucket: Column, seed: int) -> Column:
     """A random order of 0 to n - 1: number i takes the place of a random earlier one (or its own), which moves to the end."""
 
@@ -39,26 +37,60 @@ def permutation(n: Column, bucket: Column, seed: int) -> Column:
     return F.aggregate(F.slice(F.sequence(F.lit(0), n - 1), F.lit(2), n), F.array(F.lit(0)), step)
 
 
+def _runs(hashes: DataFrame, run_bytes: int) -> DataFrame:
+    """(h, run, times) of hashes (h, n, size) of many equal rows: n cut into runs of RUN rows, or fewer of long texts."""
+    each = F.greatest(F.lit(1), F.least(F.lit(RUN), F.floor(run_bytes * F.col("n") / F.greatest(F.col("size"), F.lit(1)))))
+    last = F.floor((F.col("n") - 1) / F.col("each"))
+    wide = F.lit(4096)  # runs are made in two steps, so that none needs an array of all
+    spans = hashes.withColumn("each", each).withColumn("last", last).withColumn("span", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / wide))))
+    runs = spans.withColumn("run", F.explode(F.sequence(F.col("span") * wide, F.least(F.col("last"), F.col("span") * wide + wide - 1))))
+    return runs.select("h", "run", F.least(F.col("each"), F.col("n") - F.col("run") * F.col("each")).cast("int").alias("times"))
+
+
+def buckets(docs: DataFrame, text_col: str, seed: int, bucket_bytes: int) -> tuple[DataFrame, DataFrame, int]:
+    """((bucket, entries), (bucket, n), number of rows): the first pass. An entry (h, row, times) is one row, or a run of equal ones."""
+    hashed = F.xxhash64(F.lit(seed), *[F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+    length = F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0))
+    hashes = stage(docs.select(hashed.alias("h"), length.alias("size")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")), "hashes")
+    total, size, most = hashes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0)), F.max("n")).first()
+    parts = F.lit(max(blocks_for(size, bucket_bytes), blocks_for(total, BUCKET_ROWS)))
+    single, many = hashes.where(F.col("n") <= RUN), hashes.where(F.col("n") > RUN)
+    own = F.pmod("h", parts).cast("int").alias("bucket")
+    counts = single.select(own, "n")
+    rows = docs.select(hashed.alias("h"), F.struct("*").alias("row"))
+    entries = rows.select(own, F.struct("h", "row", F.lit(1).alias("times")).alias("entry"))
+    if (most or 0) > RUN and not any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in docs.schema):
+        runs = stage(_runs(many, max(1, bucket_bytes // 8)), "runs").select("h", F.pmod(F.xxhash64("h", "run"), parts).cast("int").alias("bucket"), "times")
+        counts = counts.union(runs.select("bucket", F.col("times").cast("long")))
+        hot = sized_broadcast(many.select("h"))
+        once = rows.join(hot, "h", "left_semi").groupBy("h", "row").agg(F.count(F.lit(1)).alias("n"))
+        dealt = once.join(runs, "h").select("bucket", F.struct("h", "row", "times").alias("entry"))
+        entries = rows.join(hot, "h", "left_anti").select(own, F.struct("h", "row", F.lit(1).alias("times")).alias("entry")).union(dealt)
+    else:
+        counts = hashes.select(own, "n")
+    return entries.groupBy("bucket").agg(F.sort_array(F.collect_list("entry")).alias("entries")), counts.groupBy("bucket").agg(F.sum("n").alias("n")), total
+
+
 def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8, seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """docs with shard (0 to shards - 1) and slot (place in the shard, gapless from 0); shard sizes differ by one at most.
 
     The order depends on the seed and the rows alone, not on how they are partitioned; rows equal in every column
-    are interchangeable. Null ids and texts are values like others. Other columns are kept; shard and slot
-    replace columns of these names. An empty table gives no rows.
+    are interchangeable, and however many there are, no bucket holds more of them than of others. Null ids and texts
+    are values like others. Columns of maps and variants take no part in the hash, and rows are then kept in one bucket if they are
+    equal in all others. Other columns are kept; shard and slot replace columns of these names. An empty table gives no rows.
     """
     kept = [c for c in docs.columns if c not in ("shard", "slot")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
-    total, size = text_bytes(docs, text_col)
-    parts = buckets(docs, id_col, text_col, max(blocks_for(size, bucket_bytes), blocks_for(total, BUCKET_ROWS)), seed)
-    counts = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("span", F.floor(F.col("bucket") / SPAN))
+    entries, counts, total = buckets(docs.select(*[F.col(f"`{c}`") for c in kept]), text_col, seed, bucket_bytes)
+    counts = counts.withColumn("span", F.floor(F.col("bucket") / SPAN))
     spans = counts.groupBy("span").agg(F.sum("n").alias("n"))
     spans = spans.select("span", (F.sum("n").over(Window.orderBy("span")) - F.col("n")).alias("base"))
     inner = F.sum("n").over(Window.partitionBy("span").orderBy("bucket")) - F.col("n")
     offsets = counts.withColumn("inner", inner).join(spans, "span").select("bucket", (F.col("base") + F.col("inner")).alias("offset"))
-    gathered = parts.groupBy("bucket").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    rows = F.flatten(F.transform("entries", lambda e: F.array_repeat(e["row"], e["times"])))
+    gathered = entries.select("bucket", F.when(F.exists("entries", lambda e: e["times"] > 1), rows).otherwise(F.transform("entries", lambda e: e["row"])).alias("rows"))
     order = permutation(F.size("rows"), F.col("bucket"), seed)
     mixed = gathered.select("bucket", F.transform(order, lambda i: F.get("rows", i)).alias("rows")).select("bucket", F.posexplode("rows").alias("at", "row"))
-    whole = mixed.join(offsets, "bucket").select("row.row.*", (F.col("offset") + F.col("at")).alias("__place"))
+    whole = mixed.join(offsets, "bucket").select("row.*", (F.col("offset") + F.col("at")).alias("__place"))
     first, shard = _parts(F.col("__place"), total, shards)
     return whole.select(*[F.col(f"`{c}`") for c in kept], shard.alias("shard"), (F.col("__place") - first).alias("slot"))
 
@@ -74,9 +106,8 @@ def _parts(place: Column, total: int, shards: int) -> tuple[Column, Column]:
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """Write the shards as folders shard=0, shard=1, ..., rows in slot order within each file."""
-    out = sharded(docs, **options)
-    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write the shards as folders shard=0, shard=1, ...; every task writes the shuffled buckets that it has, in the order of their slots."""
+    sharded(docs, **options).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op7_sharding(spark, sf_dir: str) -> DataFrame:
