@@ -38,7 +38,7 @@ class Params:
     alpha: float = 0.4
     least: int = 2
     held_out: bool = False
-    block_bytes: int = 16 << 20
+    block_bytes: int = 8 << 20
     part_bytes: int = 8 << 20
     seed: int = 3
 
@@ -73,7 +73,7 @@ class Block:
 
     def __init__(self, vocabulary: np.ndarray, words: np.ndarray, sizes: np.ndarray, p: Params):
         self.hashes, self.sizes, self.p = vocabulary[words], sizes, p
-        self.at = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.at = np.arange(len(words), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
         self.counts: dict[int, np.ndarray] = {}  # for each order, how often the n-gram that ends at a word stands in the table
         self.weights = np.random.default_rng(p.seed).integers(1, 2**63, max(1, p.order), np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -85,7 +85,7 @@ class Block:
         if n > 2:  # orders 1 and 2 are of the same round
             known = self.counts[n - 1] >= self.p.least
             ok[1:] &= known[1:] & known[:-1]
-        places = np.flatnonzero(ok)
+        places = np.flatnonzero(ok).astype(np.int32)
         total = np.full(len(places), n, np.uint64)
         for j in range(n):
             total += self.hashes[places - j] * self.weights[j]
