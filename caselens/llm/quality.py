@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselens.llm.common import read_table, sized_broadcast, stage
+from caselens.llm.common import read_table, sized_broadcast, slices, stage
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’…·•"
 TARGETS = ("quality", "toxic")
@@ -92,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     names = [f"{v}_{t}" for t in TARGETS for v in ("yes", "no")]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 2)):
             got = [np.append(features(t.as_py(), p.bits), every) for t in b.column(2)]
             found, which = np.unique(np.concatenate([np.empty(0, np.int64), *got]), return_inverse=True)
             sizes = [len(x) for x in got]
@@ -136,10 +136,18 @@ def _strength(sites: DataFrame, n: str, s: str) -> tuple[float, float]:
     return rate, min(1e6, max(1.0, rate * (1 - rate) / between - 1))
 
 
-def posteriors(docs: DataFrame, weights: Weights, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
+def sites_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(id, host, path) of pages: the host of the address in lower case without its port, and the first part of its path ("" of none)."""
+    url = F.col(f"`{url_col}`")
+    host, path = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1)), F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]*)", 1)
+    return pages.select(F.col(f"`{id_col}`").alias("id"), F.nullif(host, F.lit("")).alias("host"), path.alias("path")).where("host is not null")
+
+
+def posteriors(docs: DataFrame, weights: Weights, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", p: Params = Params(), sites: DataFrame | None = None) -> DataFrame:
     """(id_col, host, path, and for each target evidence_, host_, path_ and p_; keep) of every row of docs.
 
-    evidence is in log odds. Null and empty texts have the prior as their evidence; null hosts and paths are sites of their
+    sites: (id, host, path) of documents whose address is known, the first in order if there are several; host and path are for the
+    others. evidence is in log odds. Null and empty texts have the prior as their evidence; null hosts and paths are sites of their
     own. Repeated rows count as often as they stand there. Without labels every evidence is even. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
@@ -147,14 +155,18 @@ def posteriors(docs: DataFrame, weights: Weights, host: Column, path: Column, id
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 3)):
             got = [w.evidence(features(t.as_py(), p.bits)) for t in b.column(3)]
             sums = np.clip(np.array(got, float).reshape(b.num_rows, len(TARGETS)), -20, 20)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(sums[:, t]) for t in range(len(TARGETS)))], names=[*b.schema.names[:3], *names])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(f"`{text_col}`").alias("text"))
     kind = f"id {docs.schema[id_col].dataType.simpleString()}, host string, path string, " + ", ".join(f"{c} double" for c in names)
-    evidence = stage(rows.mapInArrow(weigh, kind), "evidence")
+    evidence = rows.mapInArrow(weigh, kind)
+    if sites is not None:
+        known = sites.groupBy("id").agg(F.min(F.struct("host", "path")).alias("site"))
+        evidence = evidence.join(known, "id", "left").select("id", *[F.when(F.col("site").isNull(), F.col(c)).otherwise(F.col(f"site.{c}")).alias(c) for c in ("host", "path")], *names)
+    evidence = stage(evidence, "evidence")
     sums = [F.sum(1 / (1 + F.exp(-F.col(c)))).alias(f"s_{t}") for c, t in zip(names, TARGETS, strict=True)]
     paths = evidence.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), *sums)
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n_host"), *[F.sum(f"s_{t}").alias(f"h_{t}") for t in TARGETS])
@@ -166,8 +178,8 @@ def posteriors(docs: DataFrame, weights: Weights, host: Column, path: Column, id
         _, strong_path = _strength(paths, "n", f"s_{t}")
         met = met.withColumn(f"host_{t}", (F.col(f"h_{t}") + strong * rates[t]) / (F.col("n_host") + strong))
         met = met.withColumn(f"path_{t}", (F.col(f"s_{t}") + strong_path * F.col(f"host_{t}")) / (F.col("n") + strong_path))
-    sites = met.select(F.col("host").alias("host_"), F.col("path").alias("path_"), *[f"{x}_{t}" for t in TARGETS for x in ("host", "path")])
-    out = evidence.join(sized_broadcast(sites), F.col("host").eqNullSafe(F.col("host_")) & F.col("path").eqNullSafe(F.col("path_")))
+    found = met.select(F.col("host").alias("host_"), F.col("path").alias("path_"), *[f"{x}_{t}" for t in TARGETS for x in ("host", "path")])
+    out = evidence.join(sized_broadcast(stage(found, "sites")), F.col("host").eqNullSafe(F.col("host_")) & F.col("path").eqNullSafe(F.col("path_")))
     odds = {t: F.col(f"evidence_{t}") + _logit(F.col(f"path_{t}")) - _logit(F.lit(float(rates[t]))) for t in TARGETS}
     out = out.select(
         F.col("id").alias(id_col), "host", "path", *[c for t in TARGETS for c in (f"evidence_{t}", f"host_{t}", f"path_{t}")],
@@ -177,6 +189,7 @@ def posteriors(docs: DataFrame, weights: Weights, host: Column, path: Column, id
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
+    """Page n of `pages` is taken as the address of document n; documents without one have their source and language as their site."""
     docs = read_table(spark, sf_dir, "documents")
     weights = fit(docs, read_table(spark, sf_dir, "labels"))
-    return posteriors(docs, weights, F.col("source"), F.col("lang"))
+    return posteriors(docs, weights, F.col("source"), F.col("lang"), sites=sites_of(read_table(spark, sf_dir, "pages")))

@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -116,6 +117,48 @@ def test_sparse_sites_shrink_toward_the_whole(spark):
     assert abs(found[0]["host_quality"] - 0.5) < 0.01
 
 
+def moments(sites):
+    """(rate, strength) of sites (n, sum of probabilities) by the method of moments."""
+    n, s = (np.array(x, float) for x in zip(*sites, strict=True))
+    rate = s.sum() / n.sum()
+    spread = (s * s / n).sum() - rate * s.sum() - (len(n) - 1) * rate * (1 - rate)
+    weight = n.sum() - (n * n).sum() / n.sum()
+    between = max(spread / weight if weight > 0 else 0.0, 1e-4 * rate * (1 - rate), 1e-9)
+    return rate, min(1e6, max(1.0, rate * (1 - rate) / between - 1))
+
+
+def test_posteriors_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    w = q.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    found = {r["doc_id"]: r for r in q.op9_quality(spark, SF).collect()}
+    address = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    rows = []
+    for r in docs.collect():
+        url = address.get(r["doc_id"])
+        site = (r["source"], r["lang"])
+        if url is not None:
+            host, _, rest = url.split("://", 1)[1].partition("/")
+            site = (host.lower(), re.split(r"[/?#]", rest)[0])
+        rows.append((r["doc_id"], site, np.clip(w.evidence(q.features(r["text"], 24)), -20, 20)))
+    assert {i for i, _, _ in rows} == set(found) and len({site[0] for _, site, _ in rows}) > 25  # sparse hosts among them
+    for k, target in enumerate(q.TARGETS):
+        paths, hosts = {}, {}
+        for _, site, e in rows:
+            for table, key in ((paths, site), (hosts, site[0])):
+                n, s = table.get(key, (0, 0.0))
+                table[key] = (n + 1, s + 1 / (1 + math.exp(-e[k])))
+        rate, strong = moments(hosts.values())
+        _, strong_path = moments(paths.values())
+        for i, site, e in rows:
+            of_host = (hosts[site[0]][1] + strong * rate) / (hosts[site[0]][0] + strong)
+            of_path = (paths[site][1] + strong_path * of_host) / (paths[site][0] + strong_path)
+            logit = [math.log(x / (1 - x)) for x in (min(max(x, 1e-6), 1 - 1e-6) for x in (of_path, rate))]
+            want = 1 / (1 + math.exp(-(e[k] + logit[0] - logit[1])))
+            assert (found[i]["host"], found[i]["path"]) == site
+            assert math.isclose(found[i][f"host_{target}"], of_host, rel_tol=1e-6) and math.isclose(found[i][f"path_{target}"], of_path, rel_tol=1e-6)
+            assert math.isclose(found[i][f"p_{target}"], want, rel_tol=1e-6, abs_tol=1e-12)
+
+
 def test_quality_of_odd_documents(spark):
     docs = odd_documents(spark)
     labels = spark.createDataFrame([(5, 1, 0), (6, None, None), (None, 1, 1), (8, 0, 1), (8, 0, 1)], "doc_id long, quality int, toxic int")
