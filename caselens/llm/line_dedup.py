@@ -98,6 +98,7 @@ def long_runs(tables: DataFrame, prints: DataFrame, p: Params) -> DataFrame:
     held = F.array(F.when(F.col("next") <= F.col("ahead.high"), F.col("ahead")), F.when(F.col("last") >= F.col("behind.pos"), F.col("behind")))
     units = units.select("key", F.explode(F.filter(held, lambda x: x.isNotNull())).alias("u")).select("key", "u.unit", F.col("u.pos").cast("int").alias("pos"), "u.at")
     first = units.groupBy("unit").agg(F.min(F.struct("key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("unit", "first")
+    first = stage(first, "runs")  # a plain side of the join, so that Spark can split a run that stands in very many documents
     return units.join(first, "unit").where(F.struct("key", "pos") != F.col("first")).select("key", F.col("at").alias("gone"))
 
 
@@ -105,6 +106,7 @@ def later_runs(tables: DataFrame, p: Params) -> DataFrame:
     """(key, gone): numbers of the lines of each document that repeat an earlier run."""
     prints = stage(fingerprints(tables, p), "fingerprints")
     first = prints.groupBy("gram").agg(F.min(F.struct("key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "first")
+    first = stage(first, "grams")
     repeated = prints.join(first, "gram")
     hits = (
         repeated.where(F.struct("key", "pos") != F.col("first"))
