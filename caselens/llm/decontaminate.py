@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caselens.llm.common import blocks_for, read_table, text_bytes
+from caselens.llm.common import blocks_for, read_table, stage, text_bytes, unstage
 
-#: Bytes of item texts that one automaton holds; about 100 MB of states. Larger benchmarks take several.
+#: Bytes of item texts that one automaton holds; about 100 MB of states. Larger benchmarks take several, one after the other.
 AUTOMATON_BYTES = 2 << 20
 
 WORD = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -93,7 +93,7 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     Words are compared with A-Z lower-cased; a word of a text is hit when it lies in an occurrence of a window. Null,
     empty and wordless texts have no words; wordless items have no windows. Items without an id hit words
     but aren't listed; repeated items count once. Columns of docs are kept; the four replace columns of
-    their names. The benchmark is read in parts of a proven size, one automaton each; more parts, more passes.
+    their names. The benchmark is read in parts of a proven size, one automaton each; of several, each is a pass over a written table.
     """
     spark = docs.sparkSession
     size = text_bytes(items, item_text_col)[1]
@@ -101,10 +101,15 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     rows = items.select(F.col(f"`{item_col}`").cast("string").alias("id"), F.col(f"`{item_text_col}`").alias("text"))
     added = ("n_words", "n_hit", "items", "spans")
     out = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
-    kept = out.columns
+    kept, staged = out.columns, None
     for i in range(n):
         part = [(r["id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).toLocalIterator()]
         out = _scanned(out, spark.sparkContext.broadcast(part), text_col, p, i)
+        if n > 1:  # a task holds one automaton at a time
+            before, out = staged, stage(out, "scanned")
+            staged = out
+            if before is not None:
+                unstage(before)
     found = [F.col(f"__hits{i}") for i in range(n)]
     spans = F.array_sort(F.flatten(F.array(*[x["words"] for x in found]))) if n > 1 else found[0]["words"]
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
