@@ -10,8 +10,10 @@ Buckets can hold very many classes. They aren't expanded into all pairs: in each
 its most connected classes as leaders (the ones whose buckets are fullest: the original of a family of
 near copies shares a bucket with more of them than any copy), all others are held against the leaders,
 confirmed links are contracted to components, and leaders leave the bucket, each having been held
-against everything in another component. A later round has more leaders. In the last one what is left meets in
-blocks within tasks, so no candidate is lost and none is capped, and only confirmed links are written.
+against everything in another component. The first round looks at a quarter of the bands, which join most of a large family,
+so that its members don't meet their original again in every other band; the next round looks at all bands and has more
+leaders. In the last one what is left meets in blocks within tasks, so no candidate is lost and none is capped, and only
+confirmed links are written.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ class Params:
     rows: int = 6
     sketch_bits: int = 512
     seed: int = 7
-    leaders: tuple[int, ...] = (1, 16)
+    leaders: tuple[tuple[int, float], ...] = ((1, 0.25), (16, 1.0))  # of a bucket, and the share of the bands that the round looks at
     block: int = 1024
 
 
@@ -148,12 +150,12 @@ def _near(p: Params) -> Column:
     return (100 * F.least("n", "n2") >= p.percent * F.greatest("n", "n2")) & (differing <= most_differing_bits(p))
 
 
-def _propose(live: DataFrame, leaders: int, p: Params) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) to confirm in buckets (bucket, rep, comp, pop, n, sketch); and what stays for later."""
+def _propose(live: DataFrame, leaders: int, bands: int, p: Params) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) to confirm in buckets (bucket, band, rep, comp, pop, n, sketch) of the first bands; and what stays for later."""
     other = live.select("bucket", *(F.col(c).alias(f"{c}2") for c in ("rep", "comp", "n", "sketch")))
     pair = [F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")]
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("pop"), "rep"))
-    first = live.withColumn("rank", rank).where(F.col("rank") <= leaders)
+    first = live.where(F.col("band") < bands).withColumn("rank", rank).where(F.col("rank") <= leaders)
     pairs = first.join(other, "bucket").where((F.col("comp") != F.col("comp2")) & _near(p)).select(*pair)
     return pairs.distinct(), live.join(first.select("bucket", "rep"), ["bucket", "rep"], "left_anti")
 
@@ -204,19 +206,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         full.groupBy("set_key").agg(F.min("id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")),
         "classes",
     )
-    entries = classes.select("rep", F.explode("bands").alias("bucket"))
+    entries = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = stage(entries.join(shared, "bucket"), "buckets")
     popular = members.groupBy("rep").agg(F.sum("size").alias("pop")).join(classes.select("rep", "n", "sketch"), "rep")
-    waiting = stage(members.select("bucket", "rep").join(popular, "rep"), "members")
+    waiting = stage(members.select("bucket", "band", "rep").join(popular, "rep"), "members")
     reps = waiting.select(F.col("rep").alias("id")).distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     full_sets = shingle_sets(texts.join(sized_broadcast(reps), "id", "left_semi"), p).join(classes.select(F.col("rep").alias("id"), "n"), "id")
     sets = stage(full_sets.where(F.size("items") == F.col("n")).dropDuplicates(["id"]), "sets")
     labels = None
-    for leaders in (*p.leaders, None):
+    for leaders, share in (*p.leaders, (None, 1.0)):
         now = waiting if labels is None else waiting.join(labels, waiting.rep == labels.node, "left")
-        now = now.select("bucket", "rep", "pop", "n", "sketch", (F.col("rep") if labels is None else F.coalesce("comp", "rep")).alias("comp"))
+        now = now.select("bucket", "band", "rep", "pop", "n", "sketch", (F.col("rep") if labels is None else F.coalesce("comp", "rep")).alias("comp"))
         mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
         live = stage(now.join(mixed, "bucket"), "live")
         if live.isEmpty():
@@ -224,7 +226,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if leaders is None:
             links = _rest(live, sets, p)
         else:
-            pairs, rest = _propose(live, leaders, p)
+            pairs, rest = _propose(live, leaders, round(share * p.bands), p)
             waiting = rest.drop("comp")
             links = confirmed(pairs, sets, p)
         edges = links if labels is None else links.union(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))
