@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -158,41 +157,37 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, p: Params, asks: bool, c
     return rows.mapInArrow(take, schema)
 
 
-def _block(b: pa.RecordBatch, i: int, p: Params) -> Block:
-    sizes, vocabulary, low, high = (np.frombuffer(b.column(c)[i].as_py(), kind) for c, kind in (("sizes", np.int32), ("vocabulary", np.uint64), ("low", np.uint16), ("high", np.uint8)))
-    return Block(vocabulary, low.astype(np.int32) + (high.astype(np.int32) << 16), sizes.astype(np.int64), p)
-
-
-def _joined(block: Block, told: list[list[dict]], rounds: list[tuple[int, ...]]) -> Block:
-    """The block with the counts of the rounds so far; told: for each round, rows (n, part, counts)."""
-    for orders, rows in zip(rounds, told, strict=False):
+def _block(row: pa.Table, p: Params, known: int) -> Block:
+    """The block of a row, with the counts of the rounds that are known so far (columns told0, told1, ... of rows n, part, counts)."""
+    sizes, vocabulary, low, high = (np.frombuffer(row.column(c)[0].as_py(), kind) for c, kind in (("sizes", np.int32), ("vocabulary", np.uint64), ("low", np.uint16), ("high", np.uint8)))
+    block = Block(vocabulary, low.astype(np.int32) + (high.astype(np.int32) << 16), sizes.astype(np.int64), p)
+    for r, orders in enumerate(p.rounds()[:known]):
+        told = row.column(f"told{r}")[0].as_py() or []
         for n in orders:
-            parts = [numbers(r["counts"], np.int64) for r in sorted((r for r in rows or [] if r["n"] == n), key=lambda r: r["part"])]
+            parts = [numbers(x["counts"], np.int64) for x in sorted((x for x in told if x["n"] == n), key=lambda x: x["part"])]
             block.joined(n, np.concatenate([np.empty(0, np.int64), *parts]))
     return block
 
 
 ASKED = "block long, counts boolean, n int, part int, grams binary, times binary"
-
-
-def _explode(batches: Iterator[pa.RecordBatch], p: Params, parts: int, nth: int) -> Iterator[pa.RecordBatch]:
-    """The n-grams of the nth round, with their counts in the block; a row for each order and part of the count table."""
-    rounds = p.rounds()
-    for b in batches:
-        for i in range(b.num_rows):
-            block = _joined(_block(b, i, p), [b.column(f"told{r}")[i].as_py() for r in range(nth)], rounds)
-            for n in rounds[nth]:
-                keys, times, _, _ = block.exploded(n)
-                part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # in the order of the keys
-                first = np.flatnonzero(np.diff(part, prepend=np.uint64(2**63)))
-                ends = [*first[1:], len(keys)]
-                size = len(first)
-                if size:
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([b.column("block")[i].as_py()] * size, pa.int64()), pa.array([b.column("counts")[i].as_py()] * size), pa.array([n] * size, pa.int32()), pa.array(part[first].astype(np.int32)),
-                        pa.array([planes(np.diff(keys[x:y], prepend=np.uint64(0))) for x, y in zip(first, ends, strict=True)], pa.binary()),
-                        pa.array([planes(times[x:y].astype(np.uint32)) for x, y in zip(first, ends, strict=True)], pa.binary()),
-                    ], names=["block", "counts", "n", "part", "grams", "times"])
+TOLD = "block long, n int, part int, counts binary"
+
+
+def _exploded(row: pa.Table, p: Params, parts: int, nth: int) -> pa.Table:
+    """The n-grams of a block that the nth round looks up, with their counts in the block; a row for each order and part of the count table."""
+    block, out = _block(row, p, nth), []
+    for n in p.rounds()[nth]:
+        keys, times, _, _ = block.exploded(n)
+        part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # in the order of the keys
+        first = np.flatnonzero(np.diff(part, prepend=np.uint64(2**63)))
+        for x, y in zip(first, [*first[1:], len(keys)], strict=False):
+            out.append((n, int(part[x]), planes(np.diff(keys[x:y], prepend=np.uint64(0))), planes(times[x:y].astype(np.uint32))))
+    size = len(out)
+    ns, ps, grams, counts = zip(*out, strict=True) if out else ([], [], [], [])
+    return pa.table({
+        "block": pa.array([row.column("block")[0].as_py()] * size, pa.int64()), "counts": pa.array([row.column("counts")[0].as_py()] * size, pa.bool_()), "n": pa.array(ns, pa.int32()),
+        "part": pa.array(ps, pa.int32()), "grams": pa.array(grams, pa.binary()), "times": pa.array(counts, pa.binary()),
+    })
 
 
 def _summed(rows: pa.Table) -> pa.Table:
@@ -205,18 +200,15 @@ def _summed(rows: pa.Table) -> pa.Table:
     return pa.table({"block": rows.column("block"), "n": rows.column("n"), "part": rows.column("part"), "counts": pa.array([planes(x) for x in back], pa.binary())})
 
 
-def _score(batches: Iterator[pa.RecordBatch], p: Params, names: list[str]) -> Iterator[pa.RecordBatch]:
-    rounds = p.rounds()
-    for b in batches:
-        for i in range(b.num_rows):
-            if not b.column("asks")[i].as_py():
-                continue
-            block = _joined(_block(b, i, p), [b.column(f"told{r}")[i].as_py() for r in range(len(rounds))], rounds)
-            each, back = block.scores()
-            ids, sizes = b.column("ids").slice(i, 1).flatten(), block.sizes
-            text = np.repeat(np.arange(len(sizes)), sizes)
-            sums, stepped = np.bincount(text, each, len(sizes)).astype(float), np.bincount(text, back, len(sizes)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(stepped), pa.array(sums)], names=names)
+def _sums(row: pa.Table, p: Params, names: list[str]) -> pa.Table:
+    """What `scored` gives of the texts of a block."""
+    if not row.column("asks")[0].as_py():
+        return pa.table([row.column("ids").combine_chunks().slice(0, 0).flatten(), *(pa.array([], x) for x in (pa.int64(), pa.int64(), pa.float64()))], names=names)
+    block = _block(row, p, len(p.rounds()))
+    each, back = block.scores()
+    text = np.repeat(np.arange(len(block.sizes)), block.sizes)
+    sums, stepped = (np.bincount(text, x, len(block.sizes)) for x in (each, back))
+    return pa.table([row.column("ids").combine_chunks().flatten(), pa.array(block.sizes), pa.array(stepped.astype(np.int64)), pa.array(sums.astype(float))], names=names)
 
 
 def scored(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
@@ -234,15 +226,25 @@ def scored(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_
     if corpus is not None:
         other = corpus.select(F.lit(None).cast(docs.schema[id_col].dataType).alias(id_col), F.col(f"`{text_col}`").alias(text_col))
         whole = whole.union(blocks(other, id_col, text_col, p, asks=False, counts=True))
+    names = [id_col, "n_words", "n_back", "log_score"]
+    kind = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_back", T.LongType()), T.StructField("log_score", T.DoubleType())])
+
+    def explode(nth: int):
+        def of_block(row: pa.Table) -> pa.Table:
+            return _exploded(row, p, parts, nth)
+
+        return of_block
+
+    def score(row: pa.Table) -> pa.Table:
+        return _sums(row, p, names)
+
     met = whole.repartition("block")
     for r in range(len(p.rounds())):
-        grams = met.mapInArrow(partial(_explode, p=p, parts=parts, nth=r), ASKED)
-        told = grams.groupBy("part").applyInArrow(_summed, "block long, n int, part int, counts binary")
+        grams = met.groupBy("block").applyInArrow(explode(r), ASKED)
+        told = grams.groupBy("part").applyInArrow(_summed, TOLD)
         told = told.groupBy("block").agg(F.collect_list(F.struct("n", "part", "counts")).alias(f"told{r}"))
         met = met.join(told.hint("merge"), "block", "left")
-    names = [id_col, "n_words", "n_back", "log_score"]
-    kind = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_back", T.LongType()), T.StructField("log_score", T.DoubleType())])
-    return met.mapInArrow(partial(_score, p=p, names=names), kind)
+    return met.groupBy("block").applyInArrow(score, kind)
 
 
 def _rounded(found: DataFrame) -> DataFrame:
