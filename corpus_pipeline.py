@@ -33,14 +33,17 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (similarity of 0.8 or more), the one with the smallest id."""
+    """One document of each group of near duplicates (similarity of 0.8 or more), the one with the smallest id.
+
+    An id goes if none of its rows is kept, so repeated rows, and rows without an id, stay or go together.
+    """
     found = near_dedup.near_duplicates(docs, p=NEAR)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    gone = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where(~F.col("kept")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any passage of a benchmark item."""
+    """Documents without any passage of a benchmark item: ten words of it in a row, or all of an item that has fewer."""
     found = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"))
     return found.where("n_hit = 0").select(*docs.columns)
 
