@@ -14,18 +14,27 @@ from caselens.functions import vocab
 STEPS = ("duplicates", "types", "missing", "text")
 REQUIRED = ("case_id", "officer_id", "deviation_type", "severity", "description")
 TEXTS = ("description", "expected_behavior", "actual_behavior", "notes")
-#: White space by Unicode, and control characters.
-SPACE = r"[\s\x1c-\x1f\x85   -     　]"
+#: White space by Unicode, as a class and one by one, and control characters.
+SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
+#: What `spaced` changes inside a text: a run of white space, any that is not a blank, and control characters.
+UNEVEN = rf"{SPACE}{{2}}|(?! ){SPACE}|{CONTROL}"
 
 
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def spaced(c: Column) -> Column:
     """Text without outer white space, with single blanks inside and no control characters."""
-    return F.regexp_replace(F.regexp_replace(stripped(c), f"{SPACE}+", " "), CONTROL, "")
+    return inner_spaced(stripped(c))
+
+
+def inner_spaced(c: Column) -> Column:
+    """The same of a text that is stripped already; most texts are even and pass as they are."""
+    even = F.regexp_replace(F.regexp_replace(c, f"{SPACE}+", " "), CONTROL, "")
+    return F.when(c.rlike(UNEVEN), even).otherwise(c)
 
 
 def duplicate_key() -> list[Column]:
@@ -51,11 +60,14 @@ def as_text(devs: DataFrame, columns: tuple[str, ...] = (*REQUIRED, *TEXTS[1:]))
 
 def severity_of(c: Column) -> Column:
     """One of the four severities: as it is, by its known spellings, else medium."""
-    s = F.lower(stripped(c))
+    return F.when(c.isNotNull(), spelt_severity(F.lower(stripped(c))))
+
+
+def spelt_severity(s: Column) -> Column:
     known = F.when(s.isin(*vocab.SEVERITIES), s)
     for spelling, meant in vocab.SEVERITY_SPELLINGS.items():
         known = known.when(s == spelling, F.lit(meant))
-    return F.when(c.isNotNull(), known.otherwise(F.lit("medium")))
+    return known.otherwise(F.lit("medium"))
 
 
 def severity_fixed(c: Column) -> Column:
@@ -79,34 +91,44 @@ def blank(c: Column) -> Column:
     return c.isNull() | (stripped(c) == "")
 
 
-def lacks_required() -> Column:
-    found = F.lit(False)
-    for c in REQUIRED:
-        found = found | blank(F.col(c))
-    return found
-
-
 def flagged(devs: DataFrame, order_col: str = "deviation_id", steps: tuple[str, ...] = STEPS) -> DataFrame:
-    """devs cleaned, every row still there, with is_duplicate, type_fixes, is_missing, text_fixes and validation_error."""
+    """devs cleaned, every row still there, with is_duplicate, type_fixes, is_missing, text_fixes and validation_error.
+
+    Each value is cleaned once, in a projection of its own; what comes after compares the cleaned values.
+    """
     off, none = F.lit(False), F.lit(0)
     out = marked_duplicates(devs, order_col) if "duplicates" in steps else devs.withColumn("is_duplicate", off)
     out = as_text(out)
+    stripped_of = {c: f"__{c}" for c in dict.fromkeys((*REQUIRED, *TEXTS))}
+    out = out.withColumns({s: stripped(F.col(c)) for c, s in stripped_of.items()})
     if "types" in steps:
-        fixes = severity_fixed(F.col("severity")).cast("int") + type_fixed(F.col("deviation_type")).cast("int")
-        out = out.withColumns({"type_fixes": fixes, "severity": severity_of(F.col("severity")), "deviation_type": type_of(F.col("deviation_type"))})
+        low = out.withColumns({"__low": F.lower("__severity"), "__type": F.regexp_replace(F.lower("__deviation_type"), "[- ]+", "_")})
+        fixes = F.coalesce(~F.col("__low").isin(*vocab.SEVERITIES), off).cast("int") + F.coalesce(F.col("__type") != F.col("deviation_type"), off).cast("int")
+        out = low.withColumns({"type_fixes": fixes, "severity": F.when(F.col("severity").isNotNull(), spelt_severity(F.col("__low"))), "deviation_type": F.col("__type")}).drop("__low", "__type")
+        stripped_of |= {"severity": "severity", "deviation_type": "deviation_type"}
     else:
         out = out.withColumn("type_fixes", none)
-    out = out.withColumn("is_missing", lacks_required() if "missing" in steps else off)
+
+    def empty(c: str) -> Column:
+        return F.col(c).isNull() | (F.col(stripped_of[c]) == "")
+
+    lacking = off
+    for c in REQUIRED:
+        lacking = lacking | empty(c)
+    out = out.withColumn("is_missing", lacking if "missing" in steps else off)
     if "missing" in steps:
-        filled = {c: F.when(blank(F.col(c)), F.lit("Not specified")).otherwise(F.col(c)) for c in ("expected_behavior", "actual_behavior")}
-        out = out.withColumns(filled | {"notes": F.coalesce("notes", F.lit(""))})
+        filled = {c: F.when(empty(c), F.lit("Not specified")).otherwise(F.col(c)) for c in ("expected_behavior", "actual_behavior")}
+        bare = {stripped_of[c]: F.when(empty(c), F.lit("Not specified")).otherwise(F.col(stripped_of[c])) for c in ("expected_behavior", "actual_behavior")}
+        out = out.withColumns(filled | bare | {"notes": F.coalesce("notes", F.lit("")), "__notes": F.coalesce("__notes", F.lit(""))})
     if "text" in steps:
-        changed = sum((F.coalesce(spaced(F.col(c)) != F.col(c), off).cast("int") for c in TEXTS), none)
-        out = out.withColumn("text_fixes", changed).withColumns({c: spaced(F.col(c)) for c in TEXTS})
+        out = out.withColumns({stripped_of[c]: inner_spaced(F.col(stripped_of[c])) for c in TEXTS})
+        changed = sum((F.coalesce(F.col(stripped_of[c]) != F.col(c), off).cast("int") for c in TEXTS), none)
+        out = out.withColumn("text_fixes", changed).withColumns({c: F.col(stripped_of[c]) for c in TEXTS})
     else:
         out = out.withColumn("text_fixes", none)
-    ids = F.when(blank(F.col("case_id")), "Missing case_id").when(blank(F.col("officer_id")), "Missing officer_id")
-    return out.withColumn("validation_error", ids.when(F.coalesce(F.length("description"), none) < 10, "Description too short"))
+    ids = F.when(empty("case_id"), "Missing case_id").when(empty("officer_id"), "Missing officer_id")
+    out = out.withColumn("validation_error", ids.when(F.coalesce(F.length("description"), none) < 10, "Description too short"))
+    return out.drop(*[c for c in stripped_of.values() if c.startswith("__")])
 
 
 def _kept() -> Column:

@@ -8,15 +8,24 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselens.plans.graphs import components
+from caselens.plans.graphs import components, kept
 
 
-def near_pairs(points: DataFrame, eps: float, tables: int = 8, exact: bool = False) -> DataFrame:
-    """(a, b) of points (id, v) with a < b at most eps apart; by locality-sensitive hashing, or exactly by comparing all in blocks."""
+def near_pairs(points: DataFrame, eps: float, tables: int = 8, exact: bool = False, dims: int = 3) -> DataFrame:
+    """(a, b) of points (id, v) with a < b at most eps apart.
+
+    exact: points meet by the cells of a grid of side eps over their first `dims` components, each with the cells around it, so no pair is
+    missed; for vectors whose first components spread over many cells. Otherwise by locality-sensitive hashing, which suits
+    pairs much nearer than most: a pair at distance c * eps shares a bucket of 4 * eps in a table with a probability of about 1 - c / 5.
+    """
     if exact:
-        left, right = points.select(F.col("id").alias("a"), F.col("v").alias("va")), points.select(F.col("id").alias("b"), F.col("v").alias("vb"))
+        cell = [F.floor(F.coalesce(F.get("v", F.lit(i)), F.lit(0.0)) / eps) for i in range(dims)]
+        left = points.select(F.col("id").alias("a"), F.col("v").alias("va"), *[c.alias(f"c{i}") for i, c in enumerate(cell)])
+        for i in range(dims):
+            left = left.withColumn(f"c{i}", F.explode(F.sequence(F.col(f"c{i}") - 1, F.col(f"c{i}") + 1)))
+        right = points.select(F.col("id").alias("b"), F.col("v").alias("vb"), *[c.alias(f"c{i}") for i, c in enumerate(cell)])
         gap = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-        return left.join(right, F.col("a") < F.col("b")).where(gap <= eps * eps).select("a", "b")
+        return left.join(right, [f"c{i}" for i in range(dims)]).where((F.col("a") < F.col("b")) & (gap <= eps * eps)).select("a", "b")
     vectors = points.select("id", array_to_vector("v").alias("f"))
     model = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=4 * eps, numHashTables=tables, seed=42).fit(vectors)
     found = model.approxSimilarityJoin(vectors, vectors, eps, "gap")
@@ -30,7 +39,7 @@ def density_clusters(df: DataFrame, id_col: str, vector_col: str, eps: float = 0
     """
     rows = df.select(F.col(id_col).alias("row"), F.col(vector_col).cast("array<double>").alias("v"))
     points = rows.groupBy("v").agg(F.min("row").alias("id"), F.count(F.lit(1)).alias("weight"))
-    pairs = near_pairs(points, eps, exact=exact)
+    pairs = kept(near_pairs(points, eps, exact=exact))
     both = pairs.union(pairs.select("b", "a")).toDF("id", "other")
     weights = points.select(F.col("id").alias("other"), F.col("weight").alias("w"))
     around = both.join(weights, "other").groupBy("id").agg(F.sum("w").alias("around"))
@@ -46,10 +55,15 @@ def density_clusters(df: DataFrame, id_col: str, vector_col: str, eps: float = 0
 
 def kmeans(df: DataFrame, column: str = "features", k: int | None = None, starts: int = 10, seed: int = 42, iterations: int = 300) -> tuple[DataFrame, float]:
     """(df with cluster, cost): the cheapest of several starts; k between 2 and 10, a fifth of the rows."""
-    k = k or max(2, min(10, df.count() // 5))
-    models = [KMeans(k=k, seed=seed + i, maxIter=iterations, featuresCol=column, predictionCol="cluster").fit(df) for i in range(starts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(df), best.summary.trainingCost
+    vectors = df.select(column)
+    n = vectors.count()
+    held = vectors.coalesce(max(1, n // 20_000)).persist()  # read once, by few tasks when there are few rows
+    k = k or max(2, min(10, n // 5))
+    models = [KMeans(k=k, seed=seed + i, maxIter=iterations, featuresCol=column, predictionCol="cluster").fit(held) for i in range(starts)]
+    costs = [m.summary.trainingCost for m in models]
+    held.unpersist()
+    best = costs.index(min(costs))
+    return models[best].transform(df), costs[best]
 
 
 def clustered(df: DataFrame, id_col: str, vector_col: str, least: int = 3, most: int = 15, eps: float = 0.5) -> tuple[DataFrame, str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, StopWordsRemover, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, StopWordsRemover, VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,20 +13,38 @@ from pyspark.sql import functions as F
 from caselens.functions import times, vocab
 
 
+#: A word as the vectoriser takes it.
+WORD = r"[\p{L}\p{N}_]{2,}"
+
+
 def fitted_text(devs: DataFrame, column: str = "description", terms: int = 100, min_df: int = 2, max_df: float = 0.8) -> PipelineModel:
     """TF-IDF of single words and pairs: English stop words out, the most frequent terms, smoothed idf, rows of length 1."""
-    words = RegexTokenizer(inputCol="__text", outputCol="__words", pattern=r"\w\w+", gaps=False, toLowercase=True)
+    stages = terms_of(column)
+    counted = Pipeline(stages=stages).fit(devs)
+    words = [r["term"] for r in vocabulary(devs, column, terms, min_df, max_df).select("term").collect()]  # `terms` of them at most
+    counter = CountVectorizerModel.from_vocabulary(words or [""], inputCol="__terms", outputCol="__counts")
+    idf = IDF(inputCol="__counts", outputCol="__idf").fit(counter.transform(counted.transform(devs))).idf.toArray() + 1
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="__counts", outputCol="__scaled")
+    return PipelineModel([*counted.stages, counter, scaled, Normalizer(inputCol="__scaled", outputCol="text_features")])
+
+
+def terms_of(column: str) -> list:
+    """Stages that add __terms: words of two letters, digits or underscores and more, in any script and lower-cased, without stop words, then pairs of them."""
+    words = RegexTokenizer(inputCol="__text", outputCol="__words", pattern=WORD, gaps=False, toLowercase=True)
     kept = StopWordsRemover(inputCol="__words", outputCol="__kept", stopWords=StopWordsRemover.loadDefaultStopWords("english"))
     pairs = NGram(n=2, inputCol="__kept", outputCol="__pairs")
-    stages = [
+    return [
         SQLTransformer(statement=f"select *, coalesce({column}, '') as __text from __THIS__"), words, kept, pairs,
         SQLTransformer(statement="select *, concat(__kept, __pairs) as __terms from __THIS__"),
-        CountVectorizer(inputCol="__terms", outputCol="__counts", vocabSize=terms, minDF=min_df, maxDF=max_df),
     ]
-    counted = Pipeline(stages=stages).fit(devs)
-    idf = IDF(inputCol="__counts", outputCol="__idf").fit(counted.transform(devs)).idf.toArray() + 1
-    scaled = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="__counts", outputCol="__scaled")
-    return PipelineModel([*counted.stages, scaled, Normalizer(inputCol="__scaled", outputCol="text_features")])
+
+
+def vocabulary(devs: DataFrame, column: str = "description", terms: int = 100, min_df: int = 2, max_df: float = 0.8) -> DataFrame:
+    """(term, documents, times) of the most frequent terms, ties by name, that stand in min_df rows or more and in a share of max_df or less."""
+    rows = Pipeline(stages=terms_of(column)).fit(devs).transform(devs)
+    each = rows.select(F.explode(F.concat(F.transform("__terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("document"))), F.transform(F.array_distinct("__terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("document"))))).alias("t"))
+    found = each.groupBy("t.term").agg(F.sum("t.document").alias("documents"), F.count_if(F.col("t.document") == 0).alias("times"))
+    return found.where((F.col("documents") >= min_df) & (F.col("documents") <= max_df * devs.count())).orderBy(F.desc("times"), "term").limit(terms)
 
 
 def top_values(devs: DataFrame, column: str, n: int = 20) -> list[str]:

@@ -6,11 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caselens.plans.graphs import kept
+
 EULER = 0.5772156649015329
+#: The threshold's rank is right to one row in so many; what is summed up for it is bounded.
+RANKS = 1_000_000
 
 
 def path_length(n: np.ndarray | float) -> np.ndarray:
@@ -43,13 +47,17 @@ def grow(x: np.ndarray, seed: int) -> pd.DataFrame:
 def forest(df: DataFrame, id_col: str, vector_col: str, trees: int = 100, rows: int = 256, seed: int = 42) -> DataFrame:
     """(tree, node, feature, cut, left, right, length) of trees on `rows` random rows each; at most trees * 2 * rows nodes.
 
-    Each tree takes the rows of smallest hash under its number; a first cut by hash keeps the sort small at any size of df.
+    Each tree takes the rows of smallest hash under its number; a first cut by hash leaves about 4 * rows a tree at any size of df, and
+    only what is drawn is copied.
     """
     n = df.count()
     near = min(1.0, 4 * rows / max(1, n) + 1e-9)
-    tree = df.sparkSession.range(trees).select(F.col("id").cast("int").alias("tree"))
-    lot = F.pmod(F.xxhash64("id", "tree", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    drawn = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).crossJoin(F.broadcast(tree)).withColumn("lot", lot).where(F.col("lot") <= near)
+
+    def lot(tree: Column) -> Column:
+        return F.pmod(F.xxhash64("id", tree, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+
+    drawn = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    drawn = drawn.select("id", "v", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: lot(t) <= near)).alias("tree")).withColumn("lot", lot(F.col("tree")))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["lot", "id"]).head(rows)
@@ -59,9 +67,12 @@ def forest(df: DataFrame, id_col: str, vector_col: str, trees: int = 100, rows:
 
 
 def scored(df: DataFrame, id_col: str, vector_col: str, trees: int = 100, rows: int = 256, contamination: float = 0.1, seed: int = 42) -> DataFrame:
-    """(id, score, is_anomaly): scores below 0 are anomalies, the share contamination (0.2 at most) of all; fewer than 10 rows are all normal."""
+    """(id, score, is_anomaly, threshold): scores below 0 are anomalies, the share contamination (0.2 at most) of all; fewer than 10 rows are all normal.
+
+    The threshold is the raw score of that rank, to a millionth of the rows.
+    """
     if df.limit(10).count() < 10:
-        return df.select(id_col, F.lit(0.0).alias("score"), F.lit(False).alias("is_anomaly"))
+        return df.select(id_col, F.lit(0.0).alias("score"), F.lit(False).alias("is_anomaly"), F.lit(None).cast("double").alias("threshold"))
     grown = forest(df, id_col, vector_col, trees, rows, seed).toPandas()  # bounded by trees * 2 * rows
     shared = df.sparkSession.sparkContext.broadcast([t.sort_values("node") for _, t in grown.groupby("tree")])
     usual = float(path_length(min(rows, df.count())))
@@ -80,9 +91,17 @@ def scored(df: DataFrame, id_col: str, vector_col: str, trees: int = 100, rows:
             yield pd.DataFrame({id_col: pdf["id"], "raw": -(2.0 ** (-length / len(shared.value) / usual))})
 
     schema = T.StructType([df.schema[id_col], T.StructField("raw", T.DoubleType())])
-    raw = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("v is not null").mapInPandas(score, schema)
-    offset = raw.agg(F.percentile("raw", F.lit(min(contamination, 0.2)))).first()[0]
-    return raw.select(id_col, (F.col("raw") - F.lit(offset)).alias("score"), (F.col("raw") < F.lit(offset)).alias("is_anomaly"))
+    raw = kept(df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("v is not null").mapInPandas(score, schema))
+    offset = raw.agg(F.percentile_approx("raw", F.lit(min(contamination, 0.2)), RANKS)).first()[0]
+    return raw.select(id_col, (F.col("raw") - F.lit(offset)).alias("score"), (F.col("raw") < F.lit(offset)).alias("is_anomaly"), F.lit(offset).alias("threshold"))
+
+
+def score_ranges(found: DataFrame) -> DataFrame:
+    """One row of what `scored` gives: rows, anomalies, the threshold of the raw scores, and the least, mean and greatest score."""
+    return found.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("is_anomaly").alias("anomalies"), F.max("threshold").alias("threshold"),
+        F.min("score").alias("least"), F.avg("score").alias("mean"), F.max("score").alias("greatest"),
+    )
 
 
 def top_anomalies(devs: DataFrame, n: int = 10) -> DataFrame:

@@ -1,8 +1,7 @@
 """A small sample of deviations that covers anomalies, clusters, severities, periods of the day and officers.
 
 Rows have deviation_id (which also orders them), cluster, is_anomaly, distance to their cluster's mean, severity,
-officer_id and detected_at. The sample's size is bounded by its budget besides anomalies, so each part is joined by
-broadcast of what is covered already: severities, periods, and the officers of the sample.
+officer_id and detected_at. The sample holds all anomalies, so it grows with the rows: it is joined as a table, never broadcast.
 """
 
 from __future__ import annotations
@@ -45,8 +44,8 @@ def representatives(rows: DataFrame, allocated: DataFrame) -> DataFrame:
 def uncovered(rows: DataFrame, sample: DataFrame, value: Column, reason: str, most: int | None = None) -> DataFrame:
     """The first row of each value that no sampled row has; of the first `most` values in order, if given."""
     valued = rows.select("deviation_id", value.alias("value")).where("value is not null")
-    have = valued.join(F.broadcast(sample.select("deviation_id").distinct()), "deviation_id", "left_semi").select("value").distinct()
-    firsts = valued.join(F.broadcast(have), "value", "left_anti").groupBy("value").agg(F.min("deviation_id").alias("deviation_id"))
+    have = valued.join(sample.select("deviation_id"), "deviation_id", "left_semi").select("value").distinct()
+    firsts = valued.groupBy("value").agg(F.min("deviation_id").alias("deviation_id")).join(have, "value", "left_anti")
     if most is not None:
         firsts = firsts.orderBy("value").limit(most)
     return firsts.select("deviation_id", F.lit(reason).alias("reason"))
@@ -70,7 +69,7 @@ def report(rows: DataFrame, sample: DataFrame) -> DataFrame:
     reasons = ("anomaly", "representative", "severity", "period", "officer")
     made = sample.agg(F.count(F.lit(1)).alias("selected"), *[F.count_if(F.col("reason") == r).alias(r) for r in reasons])
     total = rows.agg(F.count(F.lit(1)).alias("total"))
-    met = rows.join(F.broadcast(sample), "deviation_id")
+    met = rows.join(sample, "deviation_id")
     cover = met.agg(F.count_distinct("severity").alias("severities"), F.count_distinct(F.when(F.col("cluster") != -1, F.col("cluster"))).alias("clusters"), F.count_distinct("officer_id").alias("officers"))
     return total.crossJoin(made).crossJoin(cover).withColumn("compression", F.when(F.col("selected") > 0, F.round(F.col("total") / F.col("selected"), 2)).otherwise(0.0))
 
@@ -78,4 +77,4 @@ def report(rows: DataFrame, sample: DataFrame) -> DataFrame:
 def labelled(rows: DataFrame, sample: DataFrame) -> DataFrame:
     """The sampled rows with a struct ml_labels: cluster (or noise), is_anomaly, score."""
     name = F.when(F.col("cluster") == -1, "noise").otherwise(F.concat(F.lit("cluster_"), F.col("cluster").cast("string")))
-    return rows.join(F.broadcast(sample), "deviation_id").withColumn("ml_labels", F.struct(name.alias("cluster"), "is_anomaly", "score"))
+    return rows.join(sample, "deviation_id").withColumn("ml_labels", F.struct(name.alias("cluster"), "is_anomaly", "score"))

@@ -1,19 +1,41 @@
 """Declarative policy rules over loan logs: a registry of predicates on rows or on cases.
 
-Each rule is a function (logs, **limits) -> (case_id, officer_id, deviation_type, severity, detail). Row rules are a
-filter (pushed down, no shuffle); case rules are one grouped aggregation. Limits are parameters with defaults.
+Each rule is a function (logs, **limits) -> (case_id, officer_id, deviation_type, severity, detail). It is written as
+a hit and a detail on rows (with window columns, if it needs any) or on cases (with aggregates); a few are tables of their
+own. Many rules are applied together: all row rules in one scan without a shuffle, all that look along a case over one
+window, all case rules in one grouped aggregation. Limits are parameters with defaults.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-Rule = Callable[..., DataFrame]
-RULES: dict[str, Rule] = {}
+
+class OnRows(NamedTuple):
+    """Rows where hit holds; columns: what is computed over the rows of a case first, by name."""
+
+    hit: Column
+    detail: Column
+    columns: dict[str, Column] = {}
+
+
+class OnCases(NamedTuple):
+    """Cases whose aggregates fulfil hit. details: instead of one hit, an array of (officer_id, detail) of each case."""
+
+    aggregates: dict[str, Column]
+    hit: Column | None = None
+    detail: Column | None = None
+    details: Column | None = None
+
+
+Rule = Callable[..., "OnRows | OnCases | DataFrame"]
+RULES: dict[str, Callable[..., DataFrame]] = {}
+WRITTEN: dict[str, tuple[Rule, str]] = {}
 
 ROLE_LIMITS = {"officer": 20_000.0, "manager": 40_000.0, "senior_manager": 70_000.0, "director": 1e12}
 APPROVERS = ((0.0, 30_000.0, 1), (30_000.0, 60_000.0, 2), (60_000.0, 1e12, 3))
@@ -28,9 +50,10 @@ def rule(name: str, severity: str) -> Callable[[Rule], Rule]:
     """Register a rule by the type of its deviations."""
 
     def add(f: Rule) -> Rule:
+        WRITTEN[name] = (f, severity)
+
         def run(logs: DataFrame, **limits) -> DataFrame:
-            found = f(logs, **limits)
-            return found.select("case_id", "officer_id", F.lit(name).alias("deviation_type"), F.lit(severity).alias("severity"), F.col("detail").cast("string").alias("detail"))
+            return apply_rules(logs, [name], **{name: limits})
 
         run.__doc__ = f.__doc__
         RULES[name] = run
@@ -41,21 +64,66 @@ def rule(name: str, severity: str) -> Callable[[Rule], Rule]:
 
 def apply_rules(logs: DataFrame, names: Iterable[str] | None = None, **limits: dict) -> DataFrame:
     """The deviations of the named rules, or of all whose columns logs has; limits by rule name."""
-    return reduce(DataFrame.unionByName, [RULES[n](logs, **limits.get(n, {})) for n in (RULES if names is None else names)])
+    written = {n: WRITTEN[n][0](logs, **limits.get(n, {})) for n in (RULES if names is None else names)}
+    on_rows = {n: r for n, r in written.items() if isinstance(r, OnRows) and not r.columns}
+    along = {n: r for n, r in written.items() if isinstance(r, OnRows) and r.columns}
+    on_cases = {n: r for n, r in written.items() if isinstance(r, OnCases)}
+    parts = [_named(r, n) for n, r in written.items() if isinstance(r, DataFrame)]
+    if on_rows:
+        parts.append(_hits(logs, on_rows))
+    if along:
+        parts.append(_hits(logs.withColumns({c: x for r in along.values() for c, x in r.columns.items()}), along))
+    if on_cases:
+        first = F.min_by("officer_id", F.struct("ts", "log_seq")).alias("officer_id")
+        cases = logs.groupBy("case_id").agg(first, *[x.alias(c) for c, x in {c: x for r in on_cases.values() for c, x in r.aggregates.items()}.items()])
+        parts.append(_hits(cases, on_cases))
+    return reduce(DataFrame.unionByName, parts)
+
 
+def _named(found: DataFrame, name: str) -> DataFrame:
+    return found.select("case_id", "officer_id", F.lit(name).alias("deviation_type"), F.lit(WRITTEN[name][1]).alias("severity"), F.col("detail").cast("string").alias("detail"))
 
-def _rows(logs: DataFrame, hit: Column, detail: Column) -> DataFrame:
-    return logs.where(hit).withColumn("detail", detail)
 
+def _hits(rows: DataFrame, rules: dict[str, OnRows | OnCases]) -> DataFrame:
+    """A row for each rule that a row of rows hits."""
 
-def _cases(logs: DataFrame, *aggregates: Column) -> DataFrame:
-    return logs.groupBy("case_id").agg(F.min_by("officer_id", F.struct("ts", "log_seq")).alias("officer_id"), *aggregates)
+    def hit(name: str, officer: Column, detail: Column) -> Column:
+        return F.struct(officer.alias("officer_id"), F.lit(name).alias("deviation_type"), F.lit(WRITTEN[name][1]).alias("severity"), detail.cast("string").alias("detail"))
 
+    if len(rules) == 1:
+        [(name, r)] = rules.items()
+        if r.hit is not None:  # a filter, which is pushed down
+            return _named(rows.where(r.hit).withColumn("detail", r.detail), name)
+    found = F.array_compact(F.array(*[F.when(r.hit, hit(n, F.col("officer_id"), r.detail)) for n, r in rules.items() if r.hit is not None]))
 
-def _table(df: DataFrame, values: dict, key: str, *names: str) -> DataFrame:
-    """A small literal table, for a broadcast join."""
-    rows = [(k, *(v if isinstance(v, tuple) else (v,))) for k, v in values.items()]
-    return F.broadcast(df.sparkSession.createDataFrame(rows, [key, *names]))
+    def hits(name: str, details: Column) -> Column:
+        return F.transform(details, lambda d: hit(name, d["officer_id"], d["detail"]))
+
+    several = [hits(n, r.details) for n, r in rules.items() if r.hit is None]
+    if several:
+        found = F.concat(*([found] if len(several) < len(rules) else []), *several)
+    return rows.select("case_id", F.explode(found).alias("hit")).select("case_id", "hit.*")
+
+
+def _lookup(values: dict, key: str, place: int | None = None) -> Column:
+    """The value of a column's key in a small table, or one of its parts; null for other keys."""
+    found = F.lit(None)
+    for k, v in values.items():
+        found = F.when(F.col(key) == k, F.lit(v if place is None else v[place])).otherwise(found)
+    return found
+
+
+def _band(bands, x: Column) -> Column:
+    """The third part of the band (low, high, value) that x lies in; null outside all."""
+    found = F.lit(None)
+    for low, high, value in bands:
+        found = F.when((x >= low) & (x < high), F.lit(value)).otherwise(found)
+    return found
+
+
+def _distinct(column: str) -> Column:
+    """Number of distinct values in a case."""
+    return F.size(F.collect_set(column))
 
 
 def _disbursing(step: str = "Final Approval") -> Column:
@@ -65,53 +133,54 @@ def _disbursing(step: str = "Final Approval") -> Column:
 @rule("duplicate_step", "medium")
 def duplicate_step(logs, once: tuple[str, ...] = ("Credit Check", "Manager Approval", "Final Approval")):
     """Steps to be done once that a case has several times."""
-    seen = logs.where(F.col("step_name").isin(*once)).groupBy("case_id", "step_name").agg(F.min_by("officer_id", F.struct("ts", "log_seq")).alias("officer_id"), F.count(F.lit(1)).alias("n"))
-    return seen.where("n > 1").withColumn("detail", F.concat("step_name", F.lit(" x"), F.col("n").cast("string")))
+    found = {}
+    for i, step in enumerate(once):
+        at = F.col("step_name") == step
+        found[f"n_once_{i}"], found[f"by_once_{i}"] = F.count_if(at), F.min_by("officer_id", F.when(at, F.struct("ts", "log_seq")))
+    each = [F.when(F.col(f"n_once_{i}") > 1, F.struct(F.col(f"by_once_{i}").alias("officer_id"), F.concat(F.lit(f"{step} x"), F.col(f"n_once_{i}").cast("string")).alias("detail"))) for i, step in enumerate(once)]
+    return OnCases(found, details=F.array_compact(F.array(*each)))
 
 
 @rule("skipped_mandatory_subprocess", "high")
 def skipped_mandatory(logs, mandatory: dict[str, str] = MANDATORY):
     """Cases without the step that their product needs."""
-    cases = _cases(logs, F.min("product").alias("product"), F.collect_set("step_name").alias("steps")).join(_table(logs, mandatory, "product", "needed"), "product")
-    return cases.where(~F.array_contains("steps", F.col("needed"))).withColumn("detail", F.col("needed"))
+    needed = _lookup(mandatory, "least_product")
+    return OnCases({"least_product": F.min("product"), "steps": F.collect_set("step_name")}, ~F.array_contains("steps", needed), needed)
 
 
 @rule("insufficient_approval_hierarchy", "critical")
 def insufficient_hierarchy(logs, needed=APPROVERS):
     """Cases with fewer distinct roles approving than their largest amount needs."""
-    cases = _cases(logs, F.max("amount").alias("amount"), F.count_distinct("approver_role").alias("roles"))
-    bands = F.broadcast(logs.sparkSession.createDataFrame(list(needed), "lo double, hi double, n int"))
-    met = cases.join(bands, (F.col("amount") >= F.col("lo")) & (F.col("amount") < F.col("hi")))
-    return met.where(F.col("roles") < F.col("n")).withColumn("detail", F.concat(F.col("roles").cast("string"), F.lit(" of "), F.col("n").cast("string")))
+    n = _band(needed, F.col("most_amount"))
+    return OnCases({"most_amount": F.max("amount"), "roles": _distinct("approver_role")}, F.col("roles") < n, F.concat(F.col("roles").cast("string"), F.lit(" of "), n.cast("string")))
 
 
 @rule("unauthorized_approver", "critical")
 def unauthorized_approver(logs, limits: dict[str, float] = ROLE_LIMITS):
     """Amounts above the limit of the approver's role."""
-    met = logs.join(_table(logs, limits, "approver_role", "role_limit"), "approver_role")
-    return _rows(met, F.col("amount") > F.col("role_limit"), F.col("approver_role"))
+    return OnRows(F.col("amount") > _lookup(limits, "approver_role"), F.col("approver_role"))
 
 
 @rule("self_approval_violation", "critical")
 def self_approval(logs):
     """Approvals by the officer who opened the case."""
     first = F.first("officer_id").over(Window.partitionBy("case_id").orderBy("ts", "log_seq"))
-    return _rows(logs.withColumn("opened_by", first), F.col("approver_id") == F.col("opened_by"), F.col("approver_id"))
+    return OnRows(F.col("approver_id") == F.col("opened_by"), F.col("approver_id"), {"opened_by": first})
 
 
 @rule("escalation_missing", "high")
 def escalation_missing(logs):
     """High-risk cases without an escalated approval."""
-    cases = _cases(logs, F.bool_or(F.col("risk_grade") == "high").alias("risky"), F.bool_or(F.col("approval_level") == "escalated").alias("escalated"))
-    return _rows(cases, F.col("risky") & ~F.coalesce("escalated", F.lit(False)), F.lit("not escalated"))
+    found = {"risky": F.bool_or(F.col("risk_grade") == "high"), "escalated": F.bool_or(F.col("approval_level") == "escalated")}
+    return OnCases(found, F.col("risky") & ~F.coalesce("escalated", F.lit(False)), F.lit("not escalated"))
 
 
 @rule("tat_breach", "high")
 def tat_breach(logs, sla_days: float = 60):
     """Cases that took longer than agreed, or with a step after its target time or flagged so."""
     late = F.coalesce(F.col("approval_timestamp") > F.col("sla_target_timestamp"), F.lit(False)) | F.coalesce("sla_breach_flag", F.lit(False))
-    cases = _cases(logs, (F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / 86_400_000_000).alias("days"), F.bool_or(late).alias("late"))
-    return _rows(cases, (F.col("days") > sla_days) | F.col("late"), F.when(F.col("late"), "late step").otherwise("long case"))
+    found = {"days": F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / 86_400_000_000, "late": F.bool_or(late)}
+    return OnCases(found, (F.col("days") > sla_days) | F.col("late"), F.when(F.col("late"), "late step").otherwise("long case"))
 
 
 @rule("cutoff_breach", "low")
@@ -119,141 +188,137 @@ def cutoff_breach(logs, hour: int = 18, holidays: tuple[str, ...] = ("1996-12-25
     """Approvals at or after the cut-off hour, on weekends, or on holidays."""
     at, day = F.col("approval_timestamp"), F.date_format("approval_timestamp", "yyyy-MM-dd")
     hit = F.when(F.hour(at) >= hour, "hour").when(F.weekday(at) >= 5, "weekend").when(day.isin(*holidays), "holiday")
-    return _rows(logs, hit.isNotNull(), hit)
+    return OnRows(hit.isNotNull(), hit)
 
 
 @rule("post_disbursement_qc_delay", "medium")
 def qc_delay(logs, days: int = 45):
     """Checks more than so many days after disbursement."""
     gap = F.datediff("qc_date", "disbursement_date")
-    return _rows(logs, gap > days, gap)
+    return OnRows(gap > days, gap)
 
 
 @rule("ineligible_tenor", "high")
 def ineligible_tenor(logs, tenors: dict[str, tuple[int, int]] = TENORS):
     """Tenors outside the product's range."""
-    met = logs.join(_table(logs, tenors, "product", "shortest", "longest"), "product")
-    return _rows(met, (F.col("tenor_months") < F.col("shortest")) | (F.col("tenor_months") > F.col("longest")), F.col("tenor_months"))
+    months = F.col("tenor_months")
+    return OnRows((months < _lookup(tenors, "product", 0)) | (months > _lookup(tenors, "product", 1)), months)
 
 
 @rule("emi_to_income_breach", "high")
 def emi_breach(logs, emi: float = 0.6, dti: float = 0.5):
     """Instalments or debts too high for the income."""
-    return _rows(logs, (F.col("emi_to_income_ratio") > emi) | (F.col("dti_ratio") > dti), F.when(F.col("emi_to_income_ratio") > emi, "emi").otherwise("dti"))
+    return OnRows((F.col("emi_to_income_ratio") > emi) | (F.col("dti_ratio") > dti), F.when(F.col("emi_to_income_ratio") > emi, "emi").otherwise("dti"))
 
 
 @rule("low_score_approved_without_exception", "critical")
 def low_score(logs, least: int = 600):
     """Approvals in spite of a low score and without an exception."""
-    return _rows(logs, (F.col("credit_score") < least) & (F.col("decision") == "A") & ~F.coalesce("exception_flag", F.lit(False)), F.col("credit_score"))
+    return OnRows((F.col("credit_score") < least) & (F.col("decision") == "A") & ~F.coalesce("exception_flag", F.lit(False)), F.col("credit_score"))
 
 
 @rule("kyc_incomplete_progression", "critical")
 def kyc_incomplete(logs, gate: str = "Credit Check", order: tuple[str, ...] = ()):
     """Logs at or after the gate step, in time, at which KYC has not been completed before or then."""
     so_far = Window.partitionBy("case_id").orderBy("ts", "log_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = logs.withColumns({"past": F.max(F.col("step_name") == gate).over(so_far), "done": F.max("kyc_completed_flag").over(so_far)})
-    return _rows(rows, F.col("past") & ~F.coalesce("done", F.lit(False)), F.col("step_name"))
+    found = {"past": F.max(F.col("step_name") == gate).over(so_far), "done": F.max("kyc_completed_flag").over(so_far)}
+    return OnRows(F.col("past") & ~F.coalesce("done", F.lit(False)), F.col("step_name"), found)
 
 
 @rule("sanctions_hit_not_rejected", "critical")
 def sanctions_not_rejected(logs):
     """Hits on a sanctions or watch list that were not rejected."""
-    return _rows(logs, (F.col("sanctions_hit_flag") | F.col("watchlist_hit_flag")) & (F.col("decision") != "R"), F.col("decision"))
+    return OnRows((F.col("sanctions_hit_flag") | F.col("watchlist_hit_flag")) & (F.col("decision") != "R"), F.col("decision"))
 
 
 @rule("pep_no_edd_or_extra_approval", "critical")
 def pep_unchecked(logs, edd: str = "Risk Assessment", approvers: int = 2):
     """Cases of politically exposed persons with neither enhanced diligence nor enough approvers."""
-    cases = _cases(logs, F.bool_or("pep_flag").alias("pep"), F.bool_or(F.col("step_name") == edd).alias("edd"), F.count_distinct("approver_id").alias("approvers"))
-    return _rows(cases, F.col("pep") & ~F.col("edd") & (F.col("approvers") < approvers), F.col("approvers"))
+    found = {"pep": F.bool_or("pep_flag"), "edd": F.bool_or(F.col("step_name") == edd), "approvers": _distinct("approver_id")}
+    return OnCases(found, F.col("pep") & ~F.col("edd") & (F.col("approvers") < approvers), F.col("approvers"))
 
 
 @rule("ltv_breach", "high")
 def ltv_breach(logs, caps: dict[str, float] = LTV_CAPS):
     """Loans too large for their security."""
-    return _rows(logs.join(_table(logs, caps, "product", "cap"), "product"), F.col("ltv_ratio") > F.col("cap"), F.col("product"))
+    return OnRows(F.col("ltv_ratio") > _lookup(caps, "product"), F.col("product"))
 
 
 @rule("valuation_missing_or_stale", "medium")
 def stale_valuation(logs, days: int = 365):
     """Decisions without a valuation, or with one older than so many days."""
     age = F.datediff("ts", "collateral_value_date")
-    return _rows(logs, F.col("collateral_value_date").isNull() | (age > days), F.when(F.col("collateral_value_date").isNull(), "missing").otherwise("stale"))
+    return OnRows(F.col("collateral_value_date").isNull() | (age > days), F.when(F.col("collateral_value_date").isNull(), "missing").otherwise("stale"))
 
 
 @rule("security_not_created", "high")
 def security_not_created(logs):
     """Disbursements without security."""
-    return _rows(logs, _disbursing() & ~F.coalesce("security_created_flag", F.lit(False)), F.lit("no security"))
+    return OnRows(_disbursing() & ~F.coalesce("security_created_flag", F.lit(False)), F.lit("no security"))
 
 
 @rule("pre_disbursement_condition_unmet", "critical")
 def condition_unmet(logs, gates: tuple[str, ...] = ("kyc_completed_flag", "security_created_flag")):
     """Disbursements while a condition is unmet."""
     unmet = F.array_compact(F.array(*[F.when(~F.coalesce(g, F.lit(False)), F.lit(g)) for g in gates]))
-    return _rows(logs, _disbursing() & (F.size(unmet) > 0), F.array_join(unmet, ","))
+    return OnRows(_disbursing() & (F.size(unmet) > 0), F.array_join(unmet, ","))
 
 
 @rule("mandate_not_set_before_disbursement", "high")
 def mandate_not_set(logs):
     """Disbursements without an active mandate."""
-    return _rows(logs, _disbursing() & ~F.col("mandate_status").eqNullSafe("active"), F.col("mandate_status"))
+    return OnRows(_disbursing() & ~F.col("mandate_status").eqNullSafe("active"), F.col("mandate_status"))
 
 
 @rule("incorrect_disbursement_amount", "critical")
 def wrong_amount(logs):
     """Amounts disbursed that aren't those sanctioned."""
-    return _rows(logs, ~F.col("disbursement_amount").eqNullSafe(F.col("loan_amount_sanctioned")), F.round(F.col("disbursement_amount") - F.col("loan_amount_sanctioned"), 2).cast("decimal(12,2)"))
+    return OnRows(~F.col("disbursement_amount").eqNullSafe(F.col("loan_amount_sanctioned")), F.round(F.col("disbursement_amount") - F.col("loan_amount_sanctioned"), 2).cast("decimal(12,2)"))
 
 
 @rule("post_disbursement_qc_missing", "medium")
 def qc_missing(logs):
     """Disbursements without a check."""
-    return _rows(logs, _disbursing() & ~F.coalesce("post_disbursement_qc_flag", F.lit(False)), F.lit("no check"))
+    return OnRows(_disbursing() & ~F.coalesce("post_disbursement_qc_flag", F.lit(False)), F.lit("no check"))
 
 
 @rule("collection_escalation_delay", "medium")
 def escalation_delay(logs, buckets=BUCKETS):
     """Overdue loans in a lower bucket than their days call for."""
-    bands = F.broadcast(logs.sparkSession.createDataFrame(list(buckets), "lo int, hi int, due int"))
-    met = logs.join(bands, (F.col("overdue_days") >= F.col("lo")) & (F.col("overdue_days") < F.col("hi")))
-    return _rows(met, F.col("bucket") < F.col("due"), F.col("overdue_days"))
+    return OnRows(F.col("bucket") < _band(buckets, F.col("overdue_days")), F.col("overdue_days"))
 
 
 @rule("unauthorized_restructure", "critical")
 def unauthorized_restructure(logs, allowed: tuple[str, ...] = ("senior_manager", "director")):
     """Restructured loans without an approver of sufficient rank."""
-    return _rows(logs, F.col("restructure_flag") & ~F.coalesce(F.col("approver_role").isin(*allowed), F.lit(False)), F.col("approver_role"))
+    return OnRows(F.col("restructure_flag") & ~F.coalesce(F.col("approver_role").isin(*allowed), F.lit(False)), F.col("approver_role"))
 
 
 @rule("unauthorized_writeoff", "critical")
 def unauthorized_writeoff(logs, limits: dict[str, float] = ROLE_LIMITS):
     """Write-offs above the limit of the approver's role."""
-    met = logs.join(_table(logs, limits, "approver_role", "role_limit"), "approver_role")
-    return _rows(met, F.col("writeoff_amount") > F.col("role_limit"), F.col("approver_role"))
+    return OnRows(F.col("writeoff_amount") > _lookup(limits, "approver_role"), F.col("approver_role"))
 
 
 @rule("missing_core_field", "high")
 def missing_core_field(logs, fields: tuple[str, ...] = CORE):
     """Rows that lack a field every log must have."""
     lacking = F.array_compact(F.array(*[F.when(F.col(f).isNull() | (F.trim(F.col(f).cast("string")) == ""), F.lit(f)) for f in fields]))
-    return _rows(logs, F.size(lacking) > 0, F.array_join(lacking, ","))
+    return OnRows(F.size(lacking) > 0, F.array_join(lacking, ","))
 
 
 @rule("invalid_format", "medium")
 def invalid_format(logs, column: str = "raw_amount", pattern: str = r"^-?\d+(\.\d+)?$"):
     """Values that are there but aren't numbers."""
     value = F.col(column)
-    return _rows(logs, value.isNotNull() & (value.try_cast("double").isNull() | ~value.rlike(pattern)), value)
+    return OnRows(value.isNotNull() & (value.try_cast("double").isNull() | ~value.rlike(pattern)), value)
 
 
 @rule("inconsistent_value_across_steps", "medium")
 def inconsistent_values(logs, columns: tuple[str, ...] = ("branch_code", "product")):
     """Cases with several values of what should be one."""
-    cases = _cases(logs, *[F.count_distinct(c).alias(f"n_{c}") for c in columns])
     several = F.array_compact(F.array(*[F.when(F.col(f"n_{c}") > 1, F.lit(c)) for c in columns]))
-    return _rows(cases, F.size(several) > 0, F.array_join(several, ","))
+    return OnCases({f"n_{c}": _distinct(c) for c in columns}, F.size(several) > 0, F.array_join(several, ","))
 
 
 @rule("duplicate_active_case", "medium")
@@ -267,8 +332,8 @@ def duplicate_active(logs):
 @rule("audit_trail_missing", "medium")
 def audit_missing(logs, trail: DataFrame | None = None):
     """Logs without an audit trail, or whose trail isn't in the audit table."""
-    absent = logs.where("audit_trail_id is null").withColumn("detail", F.lit("no trail"))
     if trail is None:
-        return absent
+        return OnRows(F.col("audit_trail_id").isNull(), F.lit("no trail"))
+    absent = logs.where("audit_trail_id is null").withColumn("detail", F.lit("no trail"))
     unknown = logs.where("audit_trail_id is not null").join(trail.select("audit_trail_id").distinct(), "audit_trail_id", "left_anti").withColumn("detail", F.lit("unknown trail"))
     return absent.select("case_id", "officer_id", "detail").unionByName(unknown.select("case_id", "officer_id", "detail"))

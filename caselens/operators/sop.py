@@ -9,19 +9,40 @@ from caselens.functions import vocab
 from caselens.operators.clean import stripped
 
 
+def _cut(text_col: str) -> Column:
+    return F.transform(F.split(text_col, r"[.!?]+"), stripped)
+
+
 def sentences(docs: DataFrame, id_col: str = "sop_id", text_col: str = "text") -> DataFrame:
     """(id, position, sentence): texts cut at runs of . ! ? with outer white space off; empty ones are left out."""
-    cut = docs.select(F.col(id_col), F.posexplode(F.split(text_col, r"[.!?]+")).alias("position", "part"))
-    return cut.select(id_col, "position", stripped(F.col("part")).alias("sentence")).where("sentence != ''")
+    return docs.select(F.col(id_col), F.posexplode(_cut(text_col)).alias("position", "sentence")).where("sentence != ''")
 
 
-def kind_of(sentence: Column) -> tuple[Column, Column]:
-    """(rule_type, severity) of the first kind with a pattern that the sentence matches anywhere; null of none."""
-    text, kind, severity = F.lower(sentence), F.lit(None).cast("string"), F.lit(None).cast("string")
+def kind(sentence: Column) -> Column:
+    """struct(rule_type, severity) of the first kind with a pattern that the lower-case sentence matches anywhere; null of none."""
+    found = F.lit(None).cast("struct<rule_type:string,severity:string>")
     for name, level, patterns in reversed(vocab.RULE_PATTERNS):
-        hit = text.rlike("|".join(patterns))
-        kind, severity = F.when(hit, name).otherwise(kind), F.when(hit, level).otherwise(severity)
-    return kind, severity
+        found = F.when(_matches(sentence, patterns), F.struct(F.lit(name).alias("rule_type"), F.lit(level).alias("severity"))).otherwise(found)
+    return found
+
+
+def _matches(text: Column, patterns: tuple[str, ...]) -> Column:
+    """Whether any pattern matches. Those that are words, or alternatives of words, are looked up as they are; only the rest are regular expressions."""
+    hit, rest = F.lit(False), []
+    for p in patterns:
+        words = p.removeprefix("(").removesuffix(")").split("|")
+        if all(w.isalpha() for w in words):
+            for w in words:
+                hit = hit | F.contains(text, F.lit(w))
+        else:
+            rest.append(p)
+    return hit | text.rlike("|".join(rest)) if rest else hit
+
+
+def kind_of(sentence: Column) -> tuple[Column, Column]:
+    """(rule_type, severity) of the first kind that the sentence matches; null of none."""
+    found = kind(F.lower(sentence))
+    return found["rule_type"], found["severity"]
 
 
 def step_number(sentence: Column) -> Column:
@@ -36,10 +57,14 @@ def timing_constraint(sentence: Column) -> Column:
 
 
 def extracted_rules(docs: DataFrame, id_col: str = "sop_id", text_col: str = "text") -> DataFrame:
-    """(id, position, rule_type, rule_description, step_number, severity, condition_logic) of every sentence that is a rule."""
+    """(id, position, rule_type, rule_description, step_number, severity, condition_logic) of every sentence that is a rule.
+
+    Sentences are cut, lower-cased and matched within the array of each text, each once, and only rules leave it.
+    """
+    lowered = F.transform(_cut(text_col), lambda s, i: F.struct(i.alias("position"), s.alias("sentence"), F.lower(s).alias("low")))
+    matched = F.transform(lowered, lambda x: F.struct(x["position"].alias("position"), x["sentence"].alias("sentence"), kind(x["low"]).alias("kind")))
+    found = docs.select(id_col, F.explode(F.filter(matched, lambda x: x["kind"].isNotNull())).alias("r")).select(id_col, "r.position", "r.sentence", "r.kind.rule_type", "r.kind.severity")
     s = F.col("sentence")
-    kind, severity = kind_of(s)
-    found = sentences(docs, id_col, text_col).withColumns({"rule_type": kind, "severity": severity}).where("rule_type is not null")
     return found.select(id_col, "position", "rule_type", s.alias("rule_description"), step_number(s).alias("step_number"), "severity", F.when(F.col("rule_type") == "timing", timing_constraint(s)).alias("condition_logic"))
 
 
@@ -67,8 +92,17 @@ def confidences(rules: DataFrame, id_col: str = "sop_id") -> DataFrame:
 
 
 def compared(rules: DataFrame, id_col: str = "sop_id") -> DataFrame:
-    """Number of rules of each id by method (pattern, model), side by side; rules have a column method."""
-    return rules.groupBy(id_col).pivot("method", ["pattern", "model"]).agg(F.count(F.lit(1))).na.fill(0, ["pattern", "model"])
+    """(id, pattern, model, pattern_confidence, model_confidence, more_rules): the rules that two methods found, side by side.
+
+    rules have a column method; a method without rules counts 0 and has no confidence. more_rules names the method that found more.
+    """
+    sides = []
+    for m in ("pattern", "model"):
+        found = confidences(rules.where(F.col("method") == m), id_col)
+        sides.append(found.select(id_col, F.col("n_rules").alias(m), F.col("confidence").alias(f"{m}_confidence")))
+    both = sides[0].join(sides[1], id_col, "full").na.fill(0, ["pattern", "model"])
+    more = F.when(F.col("pattern") > F.col("model"), "pattern").when(F.col("model") > F.col("pattern"), "model").otherwise("equal")
+    return both.select(id_col, "pattern", "model", "pattern_confidence", "model_confidence", more.alias("more_rules"))
 
 
 def json_in(text: Column) -> Column:

@@ -7,11 +7,22 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from caselens.operators.sop import json_in
 from caselens.plans.graphs import kept
 
-ANSWER = """overall_summary string, behavioral_patterns array<struct<pattern:string,frequency:string,risk_level:string>>, hidden_rules array<struct<rule:string,confidence:string>>,
-systemic_issues array<struct<issue:string,impact:string>>, time_patterns array<struct<pattern:string>>, risk_insights array<string>, recommendations array<string>, api_calls_made int"""
+ANSWER = """overall_summary string,
+behavioral_patterns array<struct<pattern:string,frequency:string,risk_level:string,officers_involved:array<string>,supporting_evidence:string>>,
+hidden_rules array<struct<rule:string,confidence:string,evidence:string,compliance_impact:string>>,
+systemic_issues array<struct<issue:string,frequency:string,impact:string,recommended_fix:string>>,
+time_patterns array<struct<pattern:string,reason:string,recommendation:string>>,
+justification_analysis struct<note:string,most_common_reasons:array<struct<reason:string,count:int,percentage:string>>,justified_count:int,not_justified_count:int,unclear_count:int,justification_quality:string>,
+risk_insights array<string>, recommendations array<string>, api_calls_made int, deviations_analyzed int"""
+#: The result that stands for an answer that can't be read.
+EMPTY = """{"overall_summary": "Pattern analysis not available", "behavioral_patterns": [], "hidden_rules": [], "systemic_issues": [], "time_patterns": [],
+"justification_analysis": {"most_common_reasons": [], "justified_count": 0, "not_justified_count": 0, "unclear_count": 0},
+"risk_insights": ["Model analysis unavailable - manual review recommended"], "recommendations": ["Enable a model for pattern analysis"], "api_calls_made": 0, "deviations_analyzed": 0}"""
 #: Keys that an answer must have, and how many entries of each list a merged answer keeps.
 REQUIRED = ("overall_summary", "behavioral_patterns", "hidden_rules", "systemic_issues", "recommendations")
 KEPT = {"behavioral_patterns": 10, "hidden_rules": 5, "systemic_issues": 5, "time_patterns": 5, "risk_insights": 10, "recommendations": 10}
@@ -19,12 +30,13 @@ KEPT = {"behavioral_patterns": 10, "hidden_rules": 5, "systemic_issues": 5, "tim
 PRICE_IN, PRICE_OUT = 0.003, 0.015
 
 
-def numbered(devs: DataFrame, order: str = "deviation_id", spans: int = 64) -> DataFrame:
+def numbered(devs: DataFrame, order: str = "deviation_id", spans: int | None = None, span_rows: int = 50_000) -> DataFrame:
     """devs with position, from 0 in the order of a column, without bringing all rows together.
 
-    Rows are dealt to ranges of the order and kept so; a position is the rows in the ranges before, a sum over few
-    counts, plus the place in the range.
+    Rows are dealt to ranges of the order, as many as keep about span_rows rows in each, and kept so; a position is the rows in
+    the ranges before, a sum over few counts, plus the place in the range.
     """
+    spans = spans or max(1, -(-devs.count() // span_rows))
     ranged = kept(devs.repartitionByRange(spans, order).withColumn("__span", F.spark_partition_id()))
     counts = ranged.groupBy("__span").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select("__span", (F.sum("__n").over(Window.orderBy("__span")) - F.col("__n")).alias("__before"))  # spans rows
@@ -104,46 +116,59 @@ def nothing(texts: pd.Series) -> pd.Series:
     return pd.Series([None] * len(texts), dtype=object)
 
 
+def counting(texts: pd.Series) -> pd.Series:
+    """A scorer that answers by rule: how many deviations of a batch are critical, in a fence and with a trailing comma as models write them."""
+    n = texts.str.count("- Severity: critical\\n").astype(str)
+    return "Found:\n```json\n{\"overall_summary\": \"" + n + " critical\", \"behavioral_patterns\": [], \"hidden_rules\": [], \"systemic_issues\": [], \"recommendations\": [], \"api_calls_made\": 1,}\n```"
+
+
 def answered(batches: DataFrame, model: Callable[[pd.Series], pd.Series] = nothing) -> DataFrame:
     """batches with answer, by a function from a series of texts to a series of answers, run in the tasks."""
 
     def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            yield pdf[["batch"]].assign(answer=model(pdf["text"]).to_numpy())
+            yield pdf.assign(answer=model(pdf["text"]).to_numpy())
 
-    return batches.join(batches.select("batch", "text").mapInPandas(ask, "batch long, answer string"), "batch")
+    rows = batches.drop("answer")
+    return rows.mapInPandas(ask, T.StructType([*rows.schema.fields, T.StructField("answer", T.StringType())]))
 
 
-def parsed(answers: DataFrame, json: Column) -> DataFrame:
-    """answers with result, a struct: the JSON read; the empty result where it can't be read or lacks a required key.
+def parsed(answers: DataFrame, text: Column) -> DataFrame:
+    """answers with result, a struct: the JSON in the text read, fenced or bare; the empty result where it can't be read or lacks a required key.
 
-    Recommendations that are objects become "[PRIORITY] text".
+    Recommendations that are objects become "[priority] text", NORMAL without a priority, the object itself without a text.
     """
-    whole = F.from_json(json, ANSWER)
+    rows = answers.withColumn("__json", json_in(text))
+    json = F.col("__json")
     spelt = F.from_json(F.get_json_object(json, "$.recommendations"), "array<string>")
 
     def plain(r: Column) -> Column:
-        text = F.coalesce(F.get_json_object(r, "$.recommendation"), F.get_json_object(r, "$.text"))
-        return F.when(r.startswith("{"), F.concat(F.lit("["), F.upper(F.coalesce(F.get_json_object(r, "$.priority"), F.lit("medium"))), F.lit("] "), text)).otherwise(r)
+        text = F.coalesce(F.get_json_object(r, "$.recommendation"), r)
+        return F.when(r.startswith("{"), F.concat(F.lit("["), F.coalesce(F.get_json_object(r, "$.priority"), F.lit("NORMAL")), F.lit("] "), text)).otherwise(r)
 
-    there = [F.get_json_object(json, f"$.{k}").isNotNull() for k in REQUIRED]
-    ok = there[0]
-    for t in there[1:]:
-        ok = ok & t
-    empty = F.from_json(F.lit('{"overall_summary": "Pattern analysis not available", "behavioral_patterns": [], "hidden_rules": [], "systemic_issues": [], "time_patterns": [], "risk_insights": [], "recommendations": [], "api_calls_made": 0}'), ANSWER)
-    return answers.withColumn("result", F.when(F.coalesce(ok, F.lit(False)), whole.withField("recommendations", F.transform(spelt, plain))).otherwise(empty))
+    keys = F.json_object_keys(json)
+    ok = F.coalesce(F.size(F.array_intersect(keys, F.array(*map(F.lit, REQUIRED)))) == len(REQUIRED), F.lit(False))
+    read = rows.withColumns({"__read": F.from_json(json, ANSWER), "__spelt": spelt, "__ok": ok})
+    result = F.when(F.col("__ok"), F.col("__read").withField("recommendations", F.coalesce(F.transform("__spelt", plain), F.col("__read.recommendations")))).otherwise(F.from_json(F.lit(EMPTY), ANSWER))
+    return read.withColumn("result", result).drop("__json", "__read", "__spelt", "__ok")
 
 
-def merged(results: DataFrame) -> DataFrame:
-    """One row of rows (batch, result): lists joined in the order of batches, so many entries of each kept; calls summed."""
+def merged(results: DataFrame, count_col: str | None = None) -> DataFrame:
+    """One row of rows (batch, result): a summary, lists joined in the order of batches, so many entries of each kept; calls and deviations summed.
+
+    count_col: the number of deviations of a batch; without it the results' own numbers count.
+    """
     results = kept(results)
-    out = results.agg(F.count(F.lit(1)).alias("batches"), F.sum(F.coalesce("result.api_calls_made", F.lit(1))).alias("api_calls_made"))
+    own = "deviations_analyzed" in results.schema["result"].dataType.names
+    n = F.col(count_col) if count_col else F.coalesce("result.deviations_analyzed", F.lit(0)) if own else F.lit(0)
+    out = results.agg(F.count(F.lit(1)).alias("batches"), F.sum(F.coalesce("result.api_calls_made", F.lit(1))).alias("api_calls_made"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("deviations_analyzed"))
     for name, most in KEPT.items():
         entries = results.select("batch", "result", F.posexplode(f"result.{name}").alias("place", "entry"))
         first = entries.orderBy("batch", "result", "place").limit(most)  # at most so many rows of each partition meet
         row = F.array_sort(F.collect_list(F.struct("batch", "result", "place", "entry")))
         out = out.crossJoin(first.agg(F.transform(row, lambda x: x["entry"]).alias(name)))
-    return out
+    summary = F.concat(F.lit("Aggregated analysis from "), F.col("batches").cast("string"), F.lit(" batches covering "), F.col("deviations_analyzed").cast("string"), F.lit(" deviations"))
+    return out.withColumns({"overall_summary": summary, "justification_analysis": F.struct(F.lit("Aggregated from multiple batches").alias("note"))})
 
 
 def usage(calls: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from caselens.operators import clean, detect, stats
 from caselens.operators.ml import clusters, features, outliers, sampling
+from caselens.plans.graphs import kept
 
 
 def analysed_logs(logs: DataFrame, rules: DataFrame) -> DataFrame:
@@ -27,14 +28,14 @@ def ml_sample(devs: DataFrame, target: int = 75) -> DataFrame:
     if devs.limit(10).count() < 10:
         return devs.select("deviation_id", F.lit("cluster_0").alias("cluster"), F.lit(False).alias("is_anomaly"), F.lit(0.0).alias("score"), F.lit("all").alias("reason"))
     made = features.fit(devs).transform(devs).select("deviation_id", "officer_id", "severity", "detected_at", "features")
-    scaled = features.standardised(made)
+    scaled = kept(features.standardised(made))
     cluster, _ = clusters.kmeans(scaled, starts=3)
-    rows = cluster.select("deviation_id", "officer_id", "severity", "detected_at", "cluster", vector_to_array("features").alias("v")).persist()
+    rows = kept(cluster.select("deviation_id", "officer_id", "severity", "detected_at", "cluster", vector_to_array("features").alias("v")))
     score = outliers.scored(rows, "deviation_id", "v")
     means = rows.select("cluster", F.posexplode("v").alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("mean"))
     means = means.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "mean"))), lambda m: m["mean"]).alias("mean"))  # a row a cluster
     gap = F.sqrt(F.aggregate(F.zip_with("v", "mean", lambda x, m: (x - m) * (x - m)), F.lit(0.0), lambda s, x: s + x))
     near = rows.join(F.broadcast(means), "cluster").select("deviation_id", "officer_id", "severity", "detected_at", "cluster", gap.alias("distance"))
-    found = near.join(score, "deviation_id").persist()
+    found = kept(near.join(score.drop("threshold"), "deviation_id"))
     sample = sampling.sampled(found, target)
     return sampling.labelled(found, sample).select("deviation_id", "ml_labels.*", "reason")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from caselens.functions import times, vocab
 from caselens.operators import ingest as g
+from caselens.plans.graphs import shared_dir
 from caselens.registry import query
 from caselens.sources import files
 from caselens.sources import tables as t
@@ -20,8 +20,7 @@ STAMP = "%Y-%m-%d %H:%M:%S"
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="caselens-")
-    return f"{base}/caselens/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/caselens/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def raw_events(spark, sf) -> DataFrame:
@@ -59,9 +58,11 @@ def a1(spark, sf):
 
 @query("a2_json_scan", "select event_id, event_type, user_id from events")
 def a2(spark, sf):
+    """Files of one JSON array of a thousand records each."""
     path = scratch(spark, "json")
-    t.read(spark, sf, "events").select("event_id", "event_type", "user_id").write.json(path)
-    return spark.read.schema("event_id long, event_type string, user_id long").json(path)
+    events = t.read(spark, sf, "events").select(F.floor(F.col("event_id") / 1000).alias("file"), F.struct("event_id", "event_type", "user_id").alias("record"))
+    events.groupBy("file").agg(F.to_json(F.collect_list("record")).alias("value")).repartition("file").write.partitionBy("file").text(path)
+    return files.json_logs(spark, path, "event_id long, event_type string, user_id long").select("event_id", "event_type", "user_id")
 
 
 @query("a3_record", "select o_orderkey, o_totalprice from orders where o_orderkey = 7")
@@ -118,12 +119,15 @@ def a9(spark, sf):
     return files.without_upload(events, first, "ts").select("event_id")
 
 
-@query("a10_without_sop", "select o_custkey as sop_id, count(*) as rules from orders where o_custkey <> 7 group by all")
+@query("a10_without_sop", "select c_custkey as sop_id, count(o_orderkey) as rules from customer left join orders on o_custkey = c_custkey where c_custkey <> 7 group by all union all select -1, count(*) from orders where o_custkey not in (select c_custkey from customer where c_custkey <> 7) and o_custkey <> 7")
 def a10(spark, sf):
+    """The procedures left with their number of rules, and under -1 the rules left without a procedure."""
     rules = t.read(spark, sf, "orders").select(F.col("o_custkey").alias("sop_id"), "o_orderkey")
     sops = t.read(spark, sf, "customer").select(F.col("c_custkey").alias("sop_id"))
-    _, left = files.without_sop(sops, rules, 7)
-    return left.groupBy("sop_id").agg(F.count(F.lit(1)).alias("rules"))
+    left, left_rules = files.without_sop(sops, rules, 7)
+    n = left_rules.groupBy("sop_id").agg(F.count(F.lit(1)).alias("n"))
+    alone = left_rules.join(left, "sop_id", "left_anti").agg(F.count(F.lit(1)).alias("rules"))
+    return left.join(n, "sop_id", "left").select("sop_id", F.coalesce("n", F.lit(0)).alias("rules")).union(alone.select(F.lit(-1).alias("sop_id"), "rules"))
 
 
 @query("a11_saved_mapping", "select p_partkey as sop_id, p_brand as header, case when p_size % 2 = 0 then 'status' else 'action' end as field from part")

@@ -39,6 +39,30 @@ def h1(spark, sf):
     return rows.select("doc_id", F.size(v).alias("terms"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared_length"))
 
 
+def stop_words() -> list[str]:
+    """The English stop words that come with Spark, as they stand in its own files."""
+    import zipfile
+    from pathlib import Path
+
+    import pyspark
+
+    jars = list(Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"))  # none on executors, which need no SQL
+    return zipfile.ZipFile(jars[0]).read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split() if jars else []
+
+
+def _vocabulary(table: str, key: str, text: str) -> str:
+    """SQL of term, documents and times of the vocabulary of a table's texts."""
+    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in stop_words())
+    return f"""words as (select {key}, list_filter(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x not in ({stop})) as w from {table}),
+terms as (select {key}, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from words),
+vocabulary as (select term, count(distinct {key}) as documents, count(*) as times from terms group by term having count(distinct {key}) between 2 and 0.8 * (select count(*) from {table}) order by times desc, term limit 100)"""
+
+
+@query("h1_vocabulary", f"with {_vocabulary('documents', 'doc_id', 'text')} select * from vocabulary")
+def h1_vocabulary(spark, sf):
+    return f.vocabulary(t.read(spark, sf, "documents").select(F.col("text").alias("description")))
+
+
 def _slots(column: str) -> str:
     return f"""with {DEVIATIONS}, top as (select {column}, row_number() over (order by count(*) desc, {column}) - 1 as slot from devs group by {column} order by count(*) desc, {column} limit 20)
 select deviation_id, coalesce(slot, -1)::int as slot from devs left join top using ({column})"""
@@ -67,10 +91,27 @@ def h5(spark, sf):
     return devs.select("deviation_id", f.slot("officer_id", f.top_values(devs, "officer_id")).alias("slot"))
 
 
-@query("h6_features")
+def _top(column: str) -> str:
+    return f"top_{column} as (select {column}, row_number() over (order by count(*) desc, {column}) - 1 as slot from devs group by {column} order by count(*) desc, {column} limit 20)"
+
+
+# The hot places of types and officers, and the four numbers after them, stand at known places of the assembled vector.
+@query("h6_features", f"""with {DEVIATIONS}, {_vocabulary('devs', 'deviation_id', 'description')}, {_top('deviation_type')}, {_top('officer_id')}, n as (select (select count(*) from vocabulary) as terms, (select count(*) from top_deviation_type) as types, (select count(*) from top_officer_id) as officers)
+select deviation_id, (terms + types + officers + 4)::int as width, coalesce(a.slot, -1)::int as type_slot, coalesce(b.slot, -1)::int as officer_slot, case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 else 1 end::double as severity_score,
+  length(description)::double as description_length, round(hour(detected_at) / 24, 6) as hour_part, round((isodow(detected_at) - 1) / 7, 6) as weekday_part
+from devs left join top_deviation_type a using (deviation_type) left join top_officer_id b using (officer_id) cross join n""")
 def h6(spark, sf):
     devs = t.deviations(spark, sf)
-    return f.fit(devs).transform(devs).select("deviation_id", F.size(vector_to_array("features")).alias("width"))
+    made = f.fit(devs)
+    types, officers = len(made.types), len(made.officers)
+    rows = made.transform(devs).select("deviation_id", vector_to_array("features").alias("v")).select("deviation_id", "v", F.size("v").alias("width"))
+    first = F.col("width") - (types + officers + 4)
+
+    def hot(start, n: int):
+        return (F.array_position(F.slice("v", start + 1, F.lit(n)), 1.0) - 1).cast("int")
+
+    numbers = ("severity_score", "description_length", "hour_part", "weekday_part")
+    return rows.select("deviation_id", "width", hot(first, types).alias("type_slot"), hot(first + types, officers).alias("officer_slot"), *[F.round(F.get("v", F.col("width") - 4 + i), 6).alias(c) for i, c in enumerate(numbers)])
 
 
 Z = """parts as (select vec_id, unnest(range(0, len(embedding))) as position, unnest(embedding)::double as x from embeddings), stats as (select position, avg(x) as mean, stddev_pop(x) as sd from parts group by position)"""
@@ -81,9 +122,26 @@ def h7(spark, sf):
     return f.standardised_components(vectors(spark, sf), "vec_id", "v").select("vec_id", "position", (F.round("z", 6) + 0.0).alias("z"))
 
 
-@query("h8_density_clusters")
+# Parts by size and price, on scales on which some stand together and some alone.
+@query("h8_density_clusters", """with recursive rows as (select p_partkey as id, p_size / 10.0::double as x, p_retailprice / 100.0::double as y from part),
+points as (select x, y, min(id) as id, count(*) as w from rows group by x, y),
+pairs as (select a.id as a, b.id as b, b.w from points a join points b on a.id <> b.id and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.105::double * 0.105::double),
+core as (select p.id from points p left join (select a, sum(w) as around from pairs group by a) n on n.a = p.id where p.w + coalesce(around, 0) >= 5),
+inside as (select a, b from pairs where a in (select id from core) and b in (select id from core)),
+reach as (select id as x, id as y from core union select r.x, i.b from reach r join inside i on r.y = i.a),
+labels as (select x as id, min(y) as cluster from reach group by x),
+border as (select a as id, min(cluster) as cluster from pairs join labels on labels.id = pairs.b where a not in (select id from core) group by a),
+every as (select * from labels union all select * from border)
+select r.id as p_partkey, coalesce(e.cluster, -1) as cluster from rows r join points p using (x, y) left join every e on e.id = p.id""")
 def h8(spark, sf):
-    return c.density_clusters(vectors(spark, sf), "vec_id", "v", eps=0.9)
+    rows = t.read(spark, sf, "part").select("p_partkey", F.array(F.col("p_size") / 10.0, F.col("p_retailprice") / 100.0).alias("v"))
+    return c.density_clusters(rows, "p_partkey", "v", eps=0.105, exact=True)
+
+
+# By hashing instead of a grid: embeddings are nearly evenly spread, and few of them have neighbours.
+@query("h8_density_of_embeddings")
+def h8_embeddings(spark, sf):
+    return c.density_clusters(vectors(spark, sf), "vec_id", "v", eps=1.08)
 
 
 @query("h9_clusters")
@@ -95,8 +153,8 @@ def h9(spark, sf):
 def h10(spark, sf):
     from pyspark.ml.functions import array_to_vector
 
-    rows, _ = c.kmeans(vectors(spark, sf).select("vec_id", array_to_vector("v").alias("features")))
-    return rows.select("vec_id", "cluster")
+    rows, cost = c.kmeans(vectors(spark, sf).select("vec_id", array_to_vector("v").alias("features")))
+    return rows.select("vec_id", "cluster", F.lit(cost).alias("cost"))
 
 
 def _most(column: str, name: str) -> str:
@@ -126,6 +184,11 @@ def h13(spark, sf):
     return o.scored(vectors(spark, sf), "vec_id", "v")
 
 
+@query("h13_score_ranges")
+def h13_score_ranges(spark, sf):
+    return o.score_ranges(o.scored(vectors(spark, sf), "vec_id", "v"))
+
+
 @query("h14_top_anomalies", f"{W} select deviation_id, score from rows where is_anomaly order by score, deviation_id limit 10")
 def h14(spark, sf):
     return o.top_anomalies(labelled(spark, sf)).select("deviation_id", "score")

@@ -81,9 +81,18 @@ def c6(spark, sf):
     return s.confidences(rules(spark, sf))
 
 
-@query("c7_compared_methods", f"{W} select sop_id, count_if(position % 3 <> 0)::bigint as pattern, count_if(position % 3 = 0)::bigint as model from rules group by sop_id")
+CONFIDENCE = "round(avg(least(0.5::double + case when step_number <> 0 then 0.15 else 0 end::double + case when rule_type = 'timing' and duration is not null then 0.1 else 0 end::double, 1))"
+
+
+# Two methods: the patterns on whole sentences, and a stricter one that takes only sentences of 12 words or fewer.
+@query("c7_compared_methods", f"""{W}, both_methods as (select *, 'pattern' as method from rules union all select *, 'model' as method from rules where length(rule_description) - length(replace(rule_description, ' ', '')) < 12),
+sides as (select sop_id, count_if(method = 'pattern')::bigint as pattern, count_if(method = 'model')::bigint as model, {CONFIDENCE} filter (method = 'pattern'), 2) as pattern_confidence, {CONFIDENCE} filter (method = 'model'), 2) as model_confidence
+  from both_methods group by sop_id)
+select *, case when pattern > model then 'pattern' when model > pattern then 'model' else 'equal' end as more_rules from sides""")
 def c7(spark, sf):
-    return s.compared(rules(spark, sf).withColumn("method", F.when(F.col("position") % 3 == 0, "model").otherwise("pattern")))
+    found = rules(spark, sf)
+    blanks = F.length("rule_description") - F.length(F.replace("rule_description", F.lit(" "), F.lit("")))
+    return s.compared(found.withColumn("method", F.lit("pattern")).union(found.where(blanks < 12).withColumn("method", F.lit("model"))))
 
 
 @query("c8_json_in_text", r"""with answers as (select event_id, case event_id % 4 when 0 then 'Here it is: ```json' || chr(10) || replace(props, '}', ', }') || chr(10) || '``` as asked' when 1 then 'Answer ' || props || ' end'

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +197,58 @@ def test_every_document_is_loaded_as_a_text(spark):
 def test_preview_is_the_first_rows_in_order(spark):
     rows = spark.createDataFrame([(i, None if i % 2 else "x") for i in range(50)], "k long, v string").repartition(7)
     assert [(r["position"], r["row"]) for r in files.preview(rows, "k").orderBy("position").collect()] == [(0, '{"k":0,"v":"x"}'), (1, '{"k":1,"v":null}'), (2, '{"k":2,"v":"x"}')]
+
+
+def test_saved_reports_are_read_back_whole(spark):
+    report = {
+        "overall_summary": "9 deviations", "behavioral_patterns": [{"pattern": "p", "frequency": "all", "risk_level": "critical", "officers_involved": ["a", "b"], "supporting_evidence": "e"}],
+        "hidden_rules": [{"rule": "r", "confidence": "high", "evidence": "e", "compliance_impact": "c"}], "systemic_issues": [{"issue": "i", "frequency": "9", "impact": "m", "recommended_fix": "f"}],
+        "time_patterns": [{"pattern": "p", "reason": "r", "recommendation": "n"}],
+        "justification_analysis": {"most_common_reasons": [{"reason": "w", "count": 3, "percentage": "33.3%"}], "justified_count": 0, "not_justified_count": 9, "unclear_count": 0, "justification_quality": "poor"},
+        "risk_insights": ["k"], "recommendations": ["[CRITICAL] audit"], "api_calls_made": 1, "deviations_analyzed": 9,
+    }
+    merged = report | {"justification_analysis": {"note": "Aggregated from multiple batches"}}
+    texts = [json.dumps(report), "As asked:\n```json\n" + json.dumps(merged)[:-1] + ",\n}\n```", json.dumps({k: v for k, v in report.items() if k != "hidden_rules"}), json.dumps(report | {"recommendations": [{"priority": "high", "recommendation": "x"}, {"text": "y"}, "z"]})]
+    df = spark.createDataFrame(list(enumerate(texts)), "batch long, answer string")
+    rows = {r["batch"]: r["result"].asDict(recursive=True) for r in textbatch.parsed(df, F.col("answer")).collect()}
+
+    def there(x):
+        return {k: there(v) for k, v in x.items() if v is not None} if isinstance(x, dict) else [there(v) for v in x] if isinstance(x, list) else x
+
+    assert there(rows[0]) == report and there(rows[1]) == merged
+    assert rows[2]["overall_summary"] == "Pattern analysis not available" and rows[2]["api_calls_made"] == 0 and rows[2]["hidden_rules"] == []
+    assert rows[3]["recommendations"] == ["[high] x", '[NORMAL] {"text":"y"}', "z"]
+
+
+def test_rules_together_are_the_rules_one_by_one(spark):
+    from collections import Counter
+
+    from caselens.queries.rules import loans
+
+    df = loans(spark, SF).persist()
+    together = Counter(map(tuple, rules.apply_rules(df).collect()))
+    assert together == sum((Counter(map(tuple, r(df).collect())) for r in rules.RULES.values()), Counter())
+    scans = rules.apply_rules(loans(spark, SF))._jdf.queryExecution().executedPlan().toString().count("FileScan")
+    assert scans <= 5
+    df.unpersist()
+
+
+def test_pairs_by_grid_and_by_hashing(spark):
+    import random
+
+    r = random.Random(3)
+    centres = [[r.gauss(0, 1) for _ in range(16)] for _ in range(60)]
+    points = [(i, [x + r.gauss(0, 0.05) for x in centres[i % 60]]) for i in range(300)]
+    df = spark.createDataFrame(points, "id long, v array<double>")
+    near = {(a, b) for a, v in points for b, w in points if a < b and sum((x - y) * (x - y) for x, y in zip(v, w, strict=True)) <= 0.25}
+    assert {tuple(p) for p in clusters.near_pairs(df, 0.5, exact=True).collect()} == near
+    hashed = {tuple(p) for p in clusters.near_pairs(df, 0.5).collect()}
+    assert hashed <= near and len(hashed) >= 0.99 * len(near)
+
+
+def test_words_in_any_script(spark):
+    from caselens.operators.ml import features
+
+    df = spark.createDataFrame([("Théâtre größe niño",), ("théâtre GRÖSSE x",)], "description string")
+    found = {r["term"]: (r["documents"], r["times"]) for r in features.vocabulary(df, min_df=1, max_df=1.0).collect()}
+    assert found["théâtre"] == (2, 2) and found["größe"] == (1, 1) and found["niño"] == (1, 1) and found["größe niño"] == (1, 1) and "x" not in found
