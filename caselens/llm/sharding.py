@@ -48,7 +48,7 @@ def _runs(hashes: DataFrame, run_bytes: int) -> DataFrame:
 
 
 def buckets(docs: DataFrame, text_col: str, seed: int, bucket_bytes: int) -> tuple[DataFrame, DataFrame, int]:
-    """((bucket, entries), (bucket, n), number of rows): the first pass. An entry (h, row, times) is one row, or a run of equal ones."""
+    """((bucket, entries), (bucket, n), number of rows): the first pass. An entry is a hash and a row."""
     hashed = F.xxhash64(F.lit(seed), *[F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))])
     length = F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0))
     hashes = stage(docs.select(hashed.alias("h"), length.alias("size")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")), "hashes")
@@ -58,14 +58,15 @@ def buckets(docs: DataFrame, text_col: str, seed: int, bucket_bytes: int) -> tup
     own = F.pmod("h", parts).cast("int").alias("bucket")
     counts = single.select(own, "n")
     rows = docs.select(hashed.alias("h"), F.struct("*").alias("row"))
-    entries = rows.select(own, F.struct("h", "row", F.lit(1).alias("times")).alias("entry"))
+    entries = rows.select(own, F.struct("h", "row").alias("entry"))
     if (most or 0) > RUN and not any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in docs.schema):
         runs = stage(_runs(many, max(1, bucket_bytes // 8)), "runs").select("h", F.pmod(F.xxhash64("h", "run"), parts).cast("int").alias("bucket"), "times")
         counts = counts.union(runs.select("bucket", F.col("times").cast("long")))
         hot = sized_broadcast(many.select("h"))
         once = rows.join(hot, "h", "left_semi").groupBy("h", "row").agg(F.count(F.lit(1)).alias("n"))
-        dealt = once.join(runs, "h").select("bucket", F.struct("h", "row", "times").alias("entry"))
-        entries = rows.join(hot, "h", "left_anti").select(own, F.struct("h", "row", F.lit(1).alias("times")).alias("entry")).union(dealt)
+        dealt = once.join(runs, "h").repartition("bucket")  # a run becomes rows where its bucket is, not where all equal ones meet
+        dealt = dealt.select("bucket", F.explode(F.array_repeat(F.struct("h", "row"), F.col("times"))).alias("entry"))
+        entries = rows.join(hot, "h", "left_anti").select(own, F.struct("h", "row").alias("entry")).union(dealt)
     else:
         counts = hashes.select(own, "n")
     return entries.groupBy("bucket").agg(F.sort_array(F.collect_list("entry")).alias("entries")), counts.groupBy("bucket").agg(F.sum("n").alias("n")), total
@@ -86,11 +87,9 @@ def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
     spans = spans.select("span", (F.sum("n").over(Window.orderBy("span")) - F.col("n")).alias("base"))
     inner = F.sum("n").over(Window.partitionBy("span").orderBy("bucket")) - F.col("n")
     offsets = counts.withColumn("inner", inner).join(spans, "span").select("bucket", (F.col("base") + F.col("inner")).alias("offset"))
-    rows = F.flatten(F.transform("entries", lambda e: F.array_repeat(e["row"], e["times"])))
-    gathered = entries.select("bucket", F.when(F.exists("entries", lambda e: e["times"] > 1), rows).otherwise(F.transform("entries", lambda e: e["row"])).alias("rows"))
-    order = permutation(F.size("rows"), F.col("bucket"), seed)
-    mixed = gathered.select("bucket", F.transform(order, lambda i: F.get("rows", i)).alias("rows")).select("bucket", F.posexplode("rows").alias("at", "row"))
-    whole = mixed.join(offsets, "bucket").select("row.*", (F.col("offset") + F.col("at")).alias("__place"))
+    order = permutation(F.size("entries"), F.col("bucket"), seed)
+    mixed = entries.select("bucket", F.transform(order, lambda i: F.get("entries", i)).alias("entries")).select("bucket", F.posexplode("entries").alias("at", "entry"))
+    whole = mixed.join(offsets, "bucket").select("entry.row.*", (F.col("offset") + F.col("at")).alias("__place"))
     first, shard = _parts(F.col("__place"), total, shards)
     return whole.select(*[F.col(f"`{c}`") for c in kept], shard.alias("shard"), (F.col("__place") - first).alias("slot"))
 
