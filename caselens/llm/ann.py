@@ -47,7 +47,7 @@ class Params:
     columns: int = 16
     eps: float = 1.0
     together: int = 256
-    chunk_rows: int = 8192
+    chunk_rows: int = 2048
     chunk_queries: int = 8192
     iterations: int = 10
     seed: int = 11
