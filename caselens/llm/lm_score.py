@@ -37,8 +37,8 @@ class Params:
     alpha: float = 0.4
     least: int = 2
     held_out: bool = False
-    block_bytes: int = 8 << 20
-    part_bytes: int = 8 << 20
+    block_bytes: int = 6 << 20
+    part_bytes: int = 4 << 20
     seed: int = 3
 
     def rounds(self) -> list[tuple[int, ...]]:
@@ -76,20 +76,30 @@ class Block:
         self.counts: dict[int, np.ndarray] = {}  # for each order, how often the n-gram that ends at a word stands in the table
         self.weights = np.random.default_rng(p.seed).integers(1, 2**63, max(1, p.order), np.uint64) * np.uint64(2) + np.uint64(1)
 
+    def counted(self, n: int) -> np.ndarray:
+        """Zeros where nothing was looked up, as no text is long enough."""
+        return self.counts.get(n, np.zeros(len(self.at), np.int32))
+
     def exploded(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(distinct n-grams in order, how often each, places of the words that they end at, number of the n-gram at each place)."""
         if n == 0:
             return np.zeros(1, np.uint64), np.array([len(self.at)]), np.empty(0, np.int64), np.empty(0, np.int64)
         ok = self.at >= n - 1
         if n > 2:  # orders 1 and 2 are of the same round
-            known = self.counts[n - 1] >= self.p.least
+            known = self.counted(n - 1) >= self.p.least
             ok[1:] &= known[1:] & known[:-1]
         places = np.flatnonzero(ok).astype(np.int32)
         total = np.full(len(places), n, np.uint64)
         for j in range(n):
             total += self.hashes[places - j] * self.weights[j]
-        keys, which, times = np.unique(_mix(total), return_inverse=True, return_counts=True)
-        return keys, times, places, which
+        total = _mix(total)
+        order = np.argsort(total)  # np.unique by hand: numbers of 32 bits take half the memory
+        total = total[order]
+        first = np.flatnonzero(np.concatenate([[True], total[1:] != total[:-1]])[: len(total)])
+        times = np.diff(np.append(first, len(total)))
+        which = np.empty(len(total), np.int32)
+        which[order] = np.repeat(np.arange(len(first), dtype=np.int32), times)
+        return total[first], times, places, which
 
     def joined(self, n: int, told: np.ndarray) -> None:
         """Take the table's counts of the n-grams that `exploded` has."""
@@ -100,19 +110,19 @@ class Block:
         found = told[which]
         if self.p.held_out:
             text = np.repeat(np.arange(len(self.sizes)), self.sizes)[places]
-            _, pair, own = np.unique(text * max(1, len(told)) + which, return_inverse=True, return_counts=True)
+            _, pair, own = np.unique(text * np.int64(max(1, len(told))) + which, return_inverse=True, return_counts=True)
             found = found - own[pair]
-        self.counts[n] = np.zeros(len(self.at), np.int64)
+        self.counts[n] = np.zeros(len(self.at), np.int64 if told.max(initial=0) > 2**31 - 1 else np.int32)
         self.counts[n][places] = found
 
     def scores(self) -> tuple[np.ndarray, np.ndarray]:
         """Natural log of every word's score, and whether it steps back; a word never counted has half an occurrence."""
-        once = self.counts[1]
+        once = self.counted(1)
         score, back = np.log(np.where(once > 0, once, 0.5) / np.maximum(1, self.total)), np.zeros(len(once), bool)
         for n in range(2, self.p.order + 1):
-            exists, own = self.at >= n - 1, self.counts[n]
+            exists, own = self.at >= n - 1, self.counted(n)
             seen = exists & (own >= max(1, self.p.least))
-            before = np.concatenate([[0], self.counts[n - 1][:-1]])[: len(own)]
+            before = np.concatenate([[0], self.counted(n - 1)[:-1]])[: len(own)]
             ratio = np.log(np.where(seen, own, 1) / np.where(seen, np.maximum(before, 1), 1))
             score = np.where(seen, ratio, np.where(exists, np.log(self.p.alpha) + score, score))
             back = np.where(exists, ~seen, back)
@@ -150,6 +160,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, p: Params, asks: bool, c
                 if size >= p.block_bytes:
                     yield whole(block, ids, hashes)
                     ids, hashes, size = [], [], 0
+                    pa.default_memory_pool().release_unused()
         if ids:
             yield whole(block, ids, hashes)
 
@@ -157,15 +168,14 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, p: Params, asks: bool, c
     return rows.mapInArrow(take, schema)
 
 
-def _block(row: pa.Table, p: Params, known: int) -> Block:
-    """The block of a row, with the counts of the rounds that are known so far (columns told0, told1, ... of rows n, part, counts)."""
+def _block(row: pa.Table, told: pa.Table, p: Params) -> Block:
+    """The block of a row, with the counts (n, part, counts) that are known so far."""
     sizes, vocabulary, low, high = (np.frombuffer(row.column(c)[0].as_py(), kind) for c, kind in (("sizes", np.int32), ("vocabulary", np.uint64), ("low", np.uint16), ("high", np.uint8)))
     block = Block(vocabulary, low.astype(np.int32) + (high.astype(np.int32) << 16), sizes.astype(np.int64), p)
-    for r, orders in enumerate(p.rounds()[:known]):
-        told = row.column(f"told{r}")[0].as_py() or []
-        for n in orders:
-            parts = [numbers(x["counts"], np.int64) for x in sorted((x for x in told if x["n"] == n), key=lambda x: x["part"])]
-            block.joined(n, np.concatenate([np.empty(0, np.int64), *parts]))
+    order, part = told.column("n").to_numpy(), told.column("part").to_numpy()
+    for n in np.unique(order):
+        rows = np.flatnonzero(order == n)
+        block.joined(int(n), np.concatenate([numbers(told.column("counts")[i].as_py(), np.int64) for i in rows[np.argsort(part[rows])].tolist()]))
     return block
 
 
@@ -173,15 +183,17 @@ ASKED = "block long, counts boolean, n int, part int, grams binary, times binary
 TOLD = "block long, n int, part int, counts binary"
 
 
-def _exploded(row: pa.Table, p: Params, parts: int, nth: int) -> pa.Table:
+def _exploded(row: pa.Table, told: pa.Table, p: Params, parts: int, nth: int) -> pa.Table:
     """The n-grams of a block that the nth round looks up, with their counts in the block; a row for each order and part of the count table."""
-    block, out = _block(row, p, nth), []
+    block, out = _block(row, told, p), []
     for n in p.rounds()[nth]:
         keys, times, _, _ = block.exploded(n)
         part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # in the order of the keys
         first = np.flatnonzero(np.diff(part, prepend=np.uint64(2**63)))
         for x, y in zip(first, [*first[1:], len(keys)], strict=False):
             out.append((n, int(part[x]), planes(np.diff(keys[x:y], prepend=np.uint64(0))), planes(times[x:y].astype(np.uint32))))
+    del block
+    pa.default_memory_pool().release_unused()
     size = len(out)
     ns, ps, grams, counts = zip(*out, strict=True) if out else ([], [], [], [])
     return pa.table({
@@ -197,14 +209,15 @@ def _summed(rows: pa.Table) -> pa.Table:
     _, which = np.unique(np.concatenate(grams), return_inverse=True)
     sums = np.bincount(which, np.concatenate(times)).astype(np.int64)[which]
     back = np.split(sums, np.cumsum([len(x) for x in grams])[:-1])
+    pa.default_memory_pool().release_unused()
     return pa.table({"block": rows.column("block"), "n": rows.column("n"), "part": rows.column("part"), "counts": pa.array([planes(x) for x in back], pa.binary())})
 
 
-def _sums(row: pa.Table, p: Params, names: list[str]) -> pa.Table:
+def _sums(row: pa.Table, told: pa.Table, p: Params, names: list[str]) -> pa.Table:
     """What `scored` gives of the texts of a block."""
     if not row.column("asks")[0].as_py():
         return pa.table([row.column("ids").combine_chunks().slice(0, 0).flatten(), *(pa.array([], x) for x in (pa.int64(), pa.int64(), pa.float64()))], names=names)
-    block = _block(row, p, len(p.rounds()))
+    block = _block(row, told, p)
     each, back = block.scores()
     text = np.repeat(np.arange(len(block.sizes)), block.sizes)
     sums, stepped = (np.bincount(text, x, len(block.sizes)) for x in (each, back))
@@ -230,21 +243,23 @@ def scored(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_
     kind = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_back", T.LongType()), T.StructField("log_score", T.DoubleType())])
 
     def explode(nth: int):
-        def of_block(row: pa.Table) -> pa.Table:
-            return _exploded(row, p, parts, nth)
+        def of_block(row: pa.Table, told: pa.Table) -> pa.Table:
+            return _exploded(row, told, p, parts, nth)
 
         return of_block
 
-    def score(row: pa.Table) -> pa.Table:
-        return _sums(row, p, names)
+    def first(row: pa.Table) -> pa.Table:
+        return _exploded(row, pa.table({c: pa.array([], pa.int32()) for c in ("n", "part", "counts")}), p, parts, 0)
+
+    def score(row: pa.Table, told: pa.Table) -> pa.Table:
+        return _sums(row, told, p, names)
 
-    met = whole.repartition("block")
+    whole, told = whole.repartition("block"), None
     for r in range(len(p.rounds())):
-        grams = met.groupBy("block").applyInArrow(explode(r), ASKED)
-        told = grams.groupBy("part").applyInArrow(_summed, TOLD)
-        told = told.groupBy("block").agg(F.collect_list(F.struct("n", "part", "counts")).alias(f"told{r}"))
-        met = met.join(told.hint("merge"), "block", "left")
-    return met.groupBy("block").applyInArrow(score, kind)
+        grams = whole.groupBy("block").applyInArrow(first, ASKED) if told is None else whole.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(explode(r), ASKED)
+        counted = grams.groupBy("part").applyInArrow(_summed, TOLD).repartition("block")
+        told = counted if told is None else told.union(counted)
+    return whole.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, kind)
 
 
 def _rounded(found: DataFrame) -> DataFrame:
