@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -51,3 +53,54 @@ def test_odd_documents(spark):
     assert lg.predicted(docs.limit(0), m).count() == 0
     assert {r["lang_pred"] for r in lg.predicted(docs, lg.fit(docs.limit(0))).collect()} == {"und"}
     assert docs.where("doc_id is null").select(lg.held_out().alias("h")).where(F.col("h")).count() == 2
+
+
+def brute(rows, texts, p=lg.Params()):
+    """(language, probability) of texts, learned from rows (lang, text) by plain counting."""
+    tables = {0: defaultdict(Counter)} | {n: defaultdict(Counter) for n in p.grams}
+    for lang, text in rows:
+        tables[0][lang].update(lg.words(text))
+    for lang, counted in tables[0].items():
+        for word, times in counted.items():
+            for n in p.grams:
+                for g in lg.grams(word, n):
+                    tables[n][lang][g] += times
+    langs = sorted(tables[0])
+    totals = {n: {x: sum(t[x].values()) for x in langs} for n, t in tables.items()}
+    known = {n: {k for x in langs for k, c in t[x].items() if c >= p.share * totals[n][x]} for n, t in tables.items()}
+
+    def logs(n, key):
+        return [math.log((tables[n][x][key] or 0.5) / totals[n][x]) for x in langs]
+
+    def of_word(word):
+        if word in known[0]:
+            return logs(0, word)
+        for n in p.grams:
+            found = [logs(n, g) for g in lg.grams(word, n) if g in known[n]]
+            if found:
+                return [sum(x) / len(found) for x in zip(*found, strict=True)]
+        return [0.0] * len(langs)
+
+    out = []
+    for text in texts:
+        if text is None or not any(c.isalpha() for c in text):
+            out.append(("und", 0.0))
+            continue
+        scores = [of_word(w) for w in lg.words(text)]
+        total = [sum(x) for x in zip(*scores, strict=True)] if scores else [0.0] * len(langs)
+        best = max(range(len(langs)), key=lambda i: (total[i], -i))
+        out.append((langs[best], 1 / sum(math.exp(t - total[best]) for t in total)))
+    return out
+
+
+def test_predictions_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    learn = [(r["lang"], r["text"]) for r in docs if r["lang"] is not None and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    found = {r["doc_id"]: r for r in lg.op6_language_id(spark, SF).collect()}
+    for r, (lang, score) in zip(docs, brute(learn, [r["text"] for r in docs]), strict=True):
+        assert found[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        assert found[r["doc_id"]]["lang_pred"] == lang and math.isclose(found[r["doc_id"]]["score"], score, rel_tol=1e-6, abs_tol=1e-9)
+
+
+def test_marks_alone_are_no_words():
+    assert lg.words("áb ́ ́́ ́c 1") == ["áb", "́c"]
