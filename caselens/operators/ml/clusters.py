@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
@@ -10,6 +12,9 @@ from pyspark.sql import functions as F
 
 from caselens.plans.graphs import components, kept
 
+#: Starts of k-means that run at the same time.
+AT_ONCE = 8
+
 
 def near_pairs(points: DataFrame, eps: float, tables: int = 8, exact: bool = False, dims: int = 3) -> DataFrame:
     """(a, b) of points (id, v) with a < b at most eps apart.
@@ -59,7 +64,12 @@ def kmeans(df: DataFrame, column: str = "features", k: int | None = None, starts
     n = vectors.count()
     held = vectors.coalesce(max(1, n // 20_000)).persist()  # read once, by few tasks when there are few rows
     k = k or max(2, min(10, n // 5))
-    models = [KMeans(k=k, seed=seed + i, maxIter=iterations, featuresCol=column, predictionCol="cluster").fit(held) for i in range(starts)]
+
+    def fit(i: int):
+        return KMeans(k=k, seed=seed + i, maxIter=iterations, featuresCol=column, predictionCol="cluster").fit(held)
+
+    with ThreadPoolExecutor(min(starts, AT_ONCE)) as pool:  # an iteration is a small job: starts side by side fill the cluster
+        models = list(pool.map(fit, range(starts)))
     costs = [m.summary.trainingCost for m in models]
     held.unpersist()
     best = costs.index(min(costs))
