@@ -10,9 +10,9 @@ Buckets can hold very many classes. They aren't expanded into all pairs: in each
 its most connected classes as leaders (the ones whose buckets are fullest: the original of a family of
 near copies shares a bucket with more of them than any copy), all others are held against the leaders,
 confirmed links are contracted to components, and leaders leave the bucket, each having been held
-against everything in another component. The first round looks at a quarter of the bands, which join most of a large family,
-so that its members don't meet their original again in every other band; the next round looks at all bands and has more
-leaders. In the last one what is left meets in blocks within tasks, so no candidate is lost and none is capped, and only
+against everything in another component. The first rounds look at a quarter of the bands, which join most of a large family,
+so that its members don't meet their original and its nearest copies again in every other band; later ones have more leaders, then
+all bands. In the last one what is left meets in blocks within tasks, so no candidate is lost and none is capped, and only
 confirmed links are written.
 """
 
@@ -46,7 +46,7 @@ class Params:
     rows: int = 6
     sketch_bits: int = 512
     seed: int = 7
-    leaders: tuple[tuple[int, float], ...] = ((1, 0.25), (16, 1.0))  # of a bucket, and the share of the bands that the round looks at
+    leaders: tuple[tuple[int, float], ...] = ((1, 0.25), (16, 0.25), (16, 1.0))  # of a bucket, and the share of the bands that the round looks at
     block: int = 1024
 
 
