@@ -118,3 +118,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
         seen = now
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL of the CRC-32 of an expression's ASCII text: eight steps a byte, the first of which takes the byte in."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::bigint, 0, 0, 0, 0, 0, 0, 0]))"
+    step = "case when xor(h, x) % 2 = 1 then xor(xor(h, x) // 2, 3988292384) else xor(h, x) // 2 end"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {steps}), lambda h, x: {step}), 4294967295)"
