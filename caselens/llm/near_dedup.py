@@ -12,7 +12,7 @@ near copies shares a bucket with more of them than any copy), all others are hel
 confirmed links are contracted to components, and leaders leave the bucket, each having been held
 against everything in another component. The first round looks at a quarter of the bands, which join most of a large family,
 so that its members don't meet their original again in every other band; the next round looks at all bands and has more
-leaders. In the last one what is left meets in blocks within tasks, so no candidate is lost and none is capped, and only
+leaders. A pair that shares several bands is held against each other in the first of them only. In the last one what is left meets in blocks within tasks, so no candidate is lost and none is capped, and only
 confirmed links are written.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caselens.llm.common import connected_components, read_table, sized_broadcast, stage
+from caselens.llm.common import connected_components, read_table, sized_broadcast, stage, unstage
 
 
 @dataclass(frozen=True)
@@ -134,14 +134,15 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, p: Params) -> DataFr
 
 
 def shingle_sets(docs: DataFrame, p: Params) -> DataFrame:
-    """(id, items) of rows (id, text): the full sets that confirm links."""
+    """(rep, items) of rows (id, text): the full sets that confirm links, named by their keys."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = [shingle_set(t.as_py(), p).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.list_(pa.int64()))], names=["id", "items"])
+            items = [shingle_set(t.as_py(), p) for t in batch.column(1)]
+            keys = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in items], pa.binary())
+            yield pa.RecordBatch.from_arrays([keys, pa.array([x.view(np.int64) for x in items], pa.list_(pa.int64()))], names=["rep", "items"])
 
-    return docs.mapInArrow(sets, T.StructType([docs.schema["id"], T.StructField("items", T.ArrayType(T.LongType()))]))
+    return docs.mapInArrow(sets, T.StructType([T.StructField("rep", T.BinaryType()), T.StructField("items", T.ArrayType(T.LongType()))]))
 
 
 def _near(p: Params) -> Column:
@@ -151,12 +152,15 @@ def _near(p: Params) -> Column:
 
 
 def _propose(live: DataFrame, leaders: int, bands: int, p: Params) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) to confirm in buckets (bucket, band, rep, comp, pop, n, sketch) of the first bands; and what stays for later."""
-    other = live.select("bucket", *(F.col(c).alias(f"{c}2") for c in ("rep", "comp", "n", "sketch")))
+    """Pairs (a, b) to confirm in buckets (bucket, band, rep, comp, pop, n, sketch, seen) of the first bands; and what stays for later.
+
+    seen are the keys of the bands before this one. A pair that has one in common has met there, or meets there later.
+    """
+    other = live.select("bucket", *(F.col(c).alias(f"{c}2") for c in ("rep", "comp", "n", "sketch", "seen")))
     pair = [F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")]
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("pop"), "rep"))
     first = live.where(F.col("band") < bands).withColumn("rank", rank).where(F.col("rank") <= leaders)
-    pairs = first.join(other, "bucket").where((F.col("comp") != F.col("comp2")) & _near(p)).select(*pair)
+    pairs = first.join(other, "bucket").where((F.col("comp") != F.col("comp2")) & _near(p) & ~F.arrays_overlap("seen", "seen2")).select(*pair)
     return pairs.distinct(), live.join(first.select("bucket", "rep"), ["bucket", "rep"], "left_anti")
 
 
@@ -167,7 +171,7 @@ def _rest(live: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     full sets; only links leave it, one less than members at most.
     """
     cuts = live.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / p.block).cast("int").alias("cuts"))
-    held = live.select("bucket", "rep", "comp", "n", "sketch").join(cuts, "bucket").join(sets.select(F.col("id").alias("rep"), "items"), "rep")
+    held = live.select("bucket", "rep", "comp", "n", "sketch").join(cuts, "bucket").join(sets.select("rep", "items"), "rep")
     own = F.pmod(F.xxhash64("rep"), "cuts").cast("int")
     held = held.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     held = held.select("bucket", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "rep", "comp", "n", "sketch", "items")
@@ -197,28 +201,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts are lower-cased (A-Z) and split at ASCII white space. component_id is the smallest id reachable over
     links; kept is true for that id's row. Null, empty and blank texts have no shingles and are linked with
-    nothing; rows without an id get no component and are kept. Repeated rows get the same component. Other
-    columns of docs are ignored, whatever their names.
+    nothing; rows without an id get no component and are kept. All rows of an id are one document: where their texts differ, it is
+    linked with whatever any of them is linked with, and n_shingles is each row's own. Other columns of docs are ignored, whatever their names.
     """
     signed = stage(signatures(docs, id_col, text_col, p), "signatures")
     full = signed.where("n_shingles > 0 and id is not null")
     classes = stage(
-        full.groupBy("set_key").agg(F.min("id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")),
+        full.groupBy(F.col("set_key").alias("rep")).agg(F.min("id").alias("id"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")),
         "classes",
     )
     entries = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = stage(entries.join(shared, "bucket"), "buckets")
-    popular = members.groupBy("rep").agg(F.sum("size").alias("pop")).join(classes.select("rep", "n", "sketch"), "rep")
-    waiting = stage(members.select("bucket", "band", "rep").join(popular, "rep"), "members")
-    reps = waiting.select(F.col("rep").alias("id")).distinct()
+    popular = members.groupBy("rep").agg(F.sum("size").alias("pop")).join(classes.select("rep", "n", "sketch", "bands"), "rep")
+    waiting = stage(members.select("bucket", "band", "rep").join(popular, "rep").withColumn("seen", F.slice("bands", F.lit(1), F.col("band"))).drop("bands"), "members")
+    unstage(members)
+    reps = classes.join(waiting.select("rep").distinct(), "rep", "left_semi").select("id", "rep", "n")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    full_sets = shingle_sets(texts.join(sized_broadcast(reps), "id", "left_semi"), p).join(classes.select(F.col("rep").alias("id"), "n"), "id")
-    sets = stage(full_sets.where(F.size("items") == F.col("n")).dropDuplicates(["id"]), "sets")
+    full_sets = shingle_sets(texts.join(sized_broadcast(reps.select("id").distinct()), "id", "left_semi"), p).join(reps.select("rep", "n"), "rep")
+    sets = stage(full_sets.dropDuplicates(["rep"]), "sets")
     labels = None
     for leaders, share in (*p.leaders, (None, 1.0)):
         now = waiting if labels is None else waiting.join(labels, waiting.rep == labels.node, "left")
-        now = now.select("bucket", "band", "rep", "pop", "n", "sketch", (F.col("rep") if labels is None else F.coalesce("comp", "rep")).alias("comp"))
+        now = now.select("bucket", "band", "rep", "pop", "n", "sketch", "seen", (F.col("rep") if labels is None else F.coalesce("comp", "rep")).alias("comp"))
         mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
         live = stage(now.join(mixed, "bucket"), "live")
         if live.isEmpty():
@@ -231,14 +236,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             links = confirmed(pairs, sets, p)
         edges = links if labels is None else links.union(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))
         labels = connected_components(edges)
-    out = signed.select("id", "n_shingles", "set_key").join(classes.select("set_key", "rep"), "set_key", "left")
-    comp = F.coalesce("rep", "id")
+    of_class = full.select("id", F.col("set_key").alias("rep"))
+    several = of_class.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("id", "a")
+    together = stage(of_class.join(several, "id").select("a", F.col("rep").alias("b")).where("a < b").distinct(), "together")
+    if not together.isEmpty():
+        edges = together if labels is None else together.union(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))
+        labels = connected_components(edges)
     if labels is not None:
-        out = out.join(labels, out.rep == labels.node, "left")
-        comp = F.coalesce("comp", "rep", "id")
-    return out.select(
+        of_class = of_class.join(labels, of_class.rep == labels.node, "left").select("id", F.coalesce("comp", "rep").alias("rep"))
+    lowest = of_class.groupBy("rep").agg(F.min("id").alias("component_id"))
+    of_id = of_class.distinct().join(lowest, "rep").groupBy("id").agg(F.min("component_id").alias("component_id"))
+    comp = F.coalesce("component_id", "id")
+    return signed.select("id", "n_shingles").join(of_id, "id", "left").select(
         F.col("id").alias(id_col), "n_shingles",
-        F.when(F.col("id").isNotNull(), comp).alias("component_id"),
+        comp.alias("component_id"),
         F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"),
     )
 
@@ -247,7 +258,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     """The pairs (a, b) whose full sets confirm the link."""
 
     def side(key: str) -> DataFrame:
-        return sets.select(F.col("id").alias(key), F.col("n").alias(f"n_{key}"), F.col("items").alias(f"items_{key}"))
+        return sets.select(F.col("rep").alias(key), F.col("n").alias(f"n_{key}"), F.col("items").alias(f"items_{key}"))
 
     met = pairs.join(side("a"), "a").join(side("b"), "b")
     met = met.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), F.size(F.array_intersect("items_a", "items_b")).cast("long").alias("common"))

@@ -102,3 +102,38 @@ def test_partitions_do_not_matter(spark, partitions):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).repartition(partitions)
     found = nd.near_duplicates(docs.withColumn("rep", F.lit(1)))
     assert found.where("component_id > doc_id").count() == 0
+
+
+def test_an_id_of_several_texts_is_one_document(spark):
+    r = random.Random(9)
+    a, b = ([f"w{r.randrange(900)}" for _ in range(120)] for _ in range(2))
+    near_a, near_b = (x[:60] + ["changed"] + x[61:] for x in (a, b))
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(near_a)), (3, " ".join(near_b)), (3, None), (4, "alone")]
+    for order in (rows, rows[::-1], [rows[1], rows[0], *rows[2:]]):
+        found = nd.near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert sorted((x["doc_id"], x["component_id"], x["kept"]) for x in found) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 1, False), (4, 4, True)]
+
+
+def test_pairs_meet_in_their_first_band_only(spark):
+    """A family of which most share many bands without a link: no pair is proposed twice, and links are those of brute force."""
+    r = random.Random(3)
+    base, rows = [f"w{i}" for i in range(300)], []
+    for i in range(300):
+        w = list(base)
+        for _ in range(9):
+            w[r.randrange(300)] = f"x{r.randrange(9999)}"
+        rows.append((i, " ".join(w)))
+    check(spark, rows)
+    p = nd.Params()
+    signed = nd.signatures(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", p)
+    live = signed.select(F.col("id").alias("rep"), F.col("id").alias("comp"), F.lit(1).alias("pop"), F.col("n_shingles").alias("n"), "sketch", "bands", F.posexplode("bands").alias("band", "bucket"))
+    live = live.withColumn("seen", F.slice("bands", F.lit(1), F.col("band"))).drop("bands")
+    pairs, _ = nd._propose(live, 10_000, p.bands, p)
+    joined = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_overlap" in joined
+    bands = {x["id"]: x["bands"] for x in signed.collect()}
+    met = {(x["a"], x["b"]) for x in pairs.collect()}
+    for x in range(0, 300, 17):
+        for y in range(x + 1, 300):
+            if not set(bands[x]) & set(bands[y]):
+                assert (x, y) not in met
