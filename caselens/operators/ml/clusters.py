@@ -5,57 +5,36 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caselens.operators.ml import epsjoin
+from caselens.operators.ml.features import standardised
 from caselens.plans.graphs import components, kept
 
 #: Starts of k-means that run at the same time.
 AT_ONCE = 8
 
 
-def near_pairs(points: DataFrame, eps: float, tables: int = 8, exact: bool = False, dims: int = 3) -> DataFrame:
-    """(a, b) of points (id, v) with a < b at most eps apart.
-
-    exact: points meet by the cells of a grid of side eps over their first `dims` components, each with the cells around it, so no pair is
-    missed; for vectors whose first components spread over many cells. Otherwise by locality-sensitive hashing, which suits
-    pairs much nearer than most: a pair at distance c * eps shares a bucket of 4 * eps in a table with a probability of about 1 - c / 5.
-    """
-    if exact:
-        cell = [F.floor(F.coalesce(F.get("v", F.lit(i)), F.lit(0.0)) / eps) for i in range(dims)]
-        left = points.select(F.col("id").alias("a"), F.col("v").alias("va"), *[c.alias(f"c{i}") for i, c in enumerate(cell)])
-        for i in range(dims):
-            left = left.withColumn(f"c{i}", F.explode(F.sequence(F.col(f"c{i}") - 1, F.col(f"c{i}") + 1)))
-        right = points.select(F.col("id").alias("b"), F.col("v").alias("vb"), *[c.alias(f"c{i}") for i, c in enumerate(cell)])
-        gap = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-        return left.join(right, [f"c{i}" for i in range(dims)]).where((F.col("a") < F.col("b")) & (gap <= eps * eps)).select("a", "b")
-    vectors = points.select("id", array_to_vector("v").alias("f"))
-    model = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=4 * eps, numHashTables=tables, seed=42).fit(vectors)
-    found = model.approxSimilarityJoin(vectors, vectors, eps, "gap")
-    return found.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b")).where("a < b").distinct()
-
-
-def density_clusters(df: DataFrame, id_col: str, vector_col: str, eps: float = 0.5, least: int = 5, exact: bool = False) -> DataFrame:
+def density_clusters(df: DataFrame, id_col: str, vector_col: str, eps: float = 0.5, least: int = 5) -> DataFrame:
     """(id, cluster): clusters of points with `least` neighbours or more within eps (themselves included), and points in their reach; -1 is noise.
 
-    Equal vectors are one point with a weight. A cluster is named by its smallest id; a point in reach of several goes to the smallest.
+    Equal vectors are one point with a weight. A cluster is named by the smallest id of its dense points; a point in reach of several goes to the
+    smallest. Exact for vectors of any number of components, all of one length; rows without a vector are noise. Neighbours are counted and linked
+    where they meet, so nothing grows with the square of a dense group.
     """
     rows = df.select(F.col(id_col).alias("row"), F.col(vector_col).cast("array<double>").alias("v"))
-    points = rows.groupBy("v").agg(F.min("row").alias("id"), F.count(F.lit(1)).alias("weight"))
-    pairs = kept(near_pairs(points, eps, exact=exact))
-    both = pairs.union(pairs.select("b", "a")).toDF("id", "other")
-    weights = points.select(F.col("id").alias("other"), F.col("weight").alias("w"))
-    around = both.join(weights, "other").groupBy("id").agg(F.sum("w").alias("around"))
-    core = points.join(around, "id", "left").where(F.col("weight") + F.coalesce("around", F.lit(0)) >= least).select("id")
-    inner = both.join(core, "id").join(core.select(F.col("id").alias("other")), "other")
-    labels = components(inner.select(F.col("id").alias("a"), F.col("other").alias("b")))
+    points = rows.where("v is not null").groupBy("v").agg(F.min("row").alias("id"), F.count(F.lit(1)).alias("weight"))
+    members = kept(epsjoin.cells(points, eps))
+    core = kept(epsjoin.around(members, eps).where(F.col("around") >= least).select("id", F.lit(True).alias("core")))
+    found = kept(epsjoin.links(members.join(core, "id", "left").withColumn("core", F.coalesce("core", F.lit(False))), eps))
+    labels = components(found.where("inner").select(F.col("id").alias("a"), F.col("other").alias("b")))
     labelled = core.join(labels.select(F.col("node").alias("id"), "comp"), "id", "left").select("id", F.coalesce("comp", "id").alias("cluster"))
-    border = both.join(labelled.select(F.col("id").alias("other"), "cluster"), "other").join(core, "id", "left_anti").groupBy("id").agg(F.min("cluster").alias("cluster"))
+    border = found.where("not inner").select("id", "other").join(labelled.select(F.col("id").alias("other"), "cluster"), "other").groupBy("id").agg(F.min("cluster").alias("cluster"))
     of_point = labelled.unionByName(border)
-    found = rows.join(points.select("v", "id"), "v").join(of_point, "id", "left")
-    return found.select(F.col("row").alias(id_col), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    met = rows.join(points.select("v", "id"), "v", "left").join(of_point, "id", "left")
+    return met.select(F.col("row").alias(id_col), F.coalesce("cluster", F.lit(-1).cast(df.schema[id_col].dataType)).alias("cluster"))
 
 
 def kmeans(df: DataFrame, column: str = "features", k: int | None = None, starts: int = 10, seed: int = 42, iterations: int = 300) -> tuple[DataFrame, float]:
@@ -76,16 +55,18 @@ def kmeans(df: DataFrame, column: str = "features", k: int | None = None, starts
     return models[best].transform(df), costs[best]
 
 
-def clustered(df: DataFrame, id_col: str, vector_col: str, least: int = 3, most: int = 15, eps: float = 0.5) -> tuple[DataFrame, str]:
-    """((id, cluster), method): density-based if that gives least to most clusters, else k-means; one cluster of fewer than 10 rows."""
+def clustered(df: DataFrame, id_col: str, vector_col: str, least: int = 3, most: int = 15, eps: float = 0.5, starts: int = 10) -> tuple[DataFrame, str]:
+    """((id, cluster), method) of standardised vectors: density-based if that gives least to most clusters, numbered by their names with -1 for noise, else k-means; one cluster of fewer than 10 rows."""
     if df.limit(10).count() < 10:
         return df.select(id_col, F.lit(0).alias("cluster")), "single"
-    dense = density_clusters(df, id_col, vector_col, eps)
-    n = dense.where("cluster != -1").agg(F.count_distinct("cluster")).first()[0]
-    if least <= n <= most:
-        return dense, "density"
     vectors = df.select(id_col, array_to_vector(F.col(vector_col).cast("array<double>")).alias("features"))
-    return kmeans(vectors)[0].select(id_col, "cluster"), "kmeans"
+    scaled = kept(standardised(vectors))
+    dense = kept(density_clusters(scaled.select(id_col, vector_to_array("features").alias("v")), id_col, "v", eps))
+    names = dense.where(F.col("cluster") != F.lit(-1).cast(df.schema[id_col].dataType)).select("cluster").distinct().limit(most + 1)
+    names = sorted(r["cluster"] for r in names.collect())  # most + 1 at most
+    if least <= len(names) <= most:
+        return dense.select(id_col, (F.array_position(F.array(*map(F.lit, names)), F.col("cluster")) - 1).cast("int").alias("cluster")), "density"
+    return kmeans(scaled, starts=starts)[0].select(id_col, "cluster"), "kmeans"
 
 
 def summary(devs: DataFrame, cluster: str = "cluster") -> DataFrame:

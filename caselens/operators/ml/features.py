@@ -28,10 +28,15 @@ def fitted_text(devs: DataFrame, column: str = "description", terms: int = 100,
     return PipelineModel([*counted.stages, counter, scaled, Normalizer(inputCol="__scaled", outputCol="text_features")])
 
 
+def terms_in(model: PipelineModel) -> list[str]:
+    """The terms of fitted text, by their places in the vector."""
+    return next(x.vocabulary for x in model.stages if isinstance(x, CountVectorizerModel))
+
+
 def terms_of(column: str) -> list:
     """Stages that add __terms: words of two letters, digits or underscores and more, in any script and lower-cased, without stop words, then pairs of them."""
     words = RegexTokenizer(inputCol="__text", outputCol="__words", pattern=WORD, gaps=False, toLowercase=True)
-    kept = StopWordsRemover(inputCol="__words", outputCol="__kept", stopWords=StopWordsRemover.loadDefaultStopWords("english"))
+    kept = StopWordsRemover(inputCol="__words", outputCol="__kept", stopWords=list(vocab.STOP_WORDS))
     pairs = NGram(n=2, inputCol="__kept", outputCol="__pairs")
     return [
         SQLTransformer(statement=f"select *, coalesce({column}, '') as __text from __THIS__"), words, kept, pairs,

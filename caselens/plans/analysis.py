@@ -27,10 +27,10 @@ def ml_sample(devs: DataFrame, target: int = 75) -> DataFrame:
     """(deviation_id, cluster, is_anomaly, score, reason) of a sample that stands for all; all rows pass if there are fewer than 10."""
     if devs.limit(10).count() < 10:
         return devs.select("deviation_id", F.lit("cluster_0").alias("cluster"), F.lit(False).alias("is_anomaly"), F.lit(0.0).alias("score"), F.lit("all").alias("reason"))
-    made = features.fit(devs).transform(devs).select("deviation_id", "officer_id", "severity", "detected_at", "features")
-    scaled = kept(features.standardised(made))
-    cluster, _ = clusters.kmeans(scaled, starts=3)
-    rows = kept(cluster.select("deviation_id", "officer_id", "severity", "detected_at", "cluster", vector_to_array("features").alias("v")))
+    made = features.fit(devs).transform(devs).select("deviation_id", "officer_id", "severity", "detected_at", vector_to_array("features").alias("v"))
+    made = kept(made)
+    cluster, _ = clusters.clustered(made, "deviation_id", "v")
+    rows = kept(made.join(cluster, "deviation_id"))
     score = outliers.scored(rows, "deviation_id", "v")
     means = rows.select("cluster", F.posexplode("v").alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("mean"))
     means = means.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "mean"))), lambda m: m["mean"]).alias("mean"))  # a row a cluster

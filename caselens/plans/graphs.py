@@ -27,6 +27,11 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def few(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A broadcast hint for a kept table of few numbers or short names a row, if it has so many rows at most; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of edges (a, b), comp being the smallest node that can be reached.
 

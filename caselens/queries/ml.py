@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caselens.functions import vocab
 from caselens.operators.ml import clusters as c
+from caselens.operators.ml import epsjoin
 from caselens.operators.ml import features as f
 from caselens.operators.ml import outliers as o
 from caselens.operators.ml import sampling as s
@@ -31,28 +32,9 @@ def vectors(spark, sf):
     return t.read(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
 
 
-@query("h1_text_features")
-def h1(spark, sf):
-    devs = t.read(spark, sf, "documents").select("doc_id", F.col("text").alias("description"))
-    rows = f.fitted_text(devs).transform(devs)
-    v = vector_to_array("text_features")
-    return rows.select("doc_id", F.size(v).alias("terms"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared_length"))
-
-
-def stop_words() -> list[str]:
-    """The English stop words that come with Spark, as they stand in its own files."""
-    import zipfile
-    from pathlib import Path
-
-    import pyspark
-
-    jars = list(Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"))  # none on executors, which need no SQL
-    return zipfile.ZipFile(jars[0]).read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split() if jars else []
-
-
 def _vocabulary(table: str, key: str, text: str) -> str:
     """SQL of term, documents and times of the vocabulary of a table's texts."""
-    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in stop_words())
+    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in vocab.STOP_WORDS)
     return f"""words as (select {key}, list_filter(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x not in ({stop})) as w from {table}),
 terms as (select {key}, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from words),
 vocabulary as (select term, count(distinct {key}) as documents, count(*) as times from terms group by term having count(distinct {key}) between 2 and 0.8 * (select count(*) from {table}) order by times desc, term limit 100)"""
@@ -63,6 +45,29 @@ def h1_vocabulary(spark, sf):
     return f.vocabulary(t.read(spark, sf, "documents").select(F.col("text").alias("description")))
 
 
+WEIGHTS = f"""{_vocabulary('documents', 'doc_id', 'text')}, n as (select count(*) as n from documents),
+counted as (select doc_id, term, count(*) as tf, any_value(documents) as documents from terms join vocabulary using (term) group by doc_id, term),
+raw as (select doc_id, term, tf, tf * (ln((n + 1.0::double) / (documents + 1)) + 1) as w from counted cross join n),
+weights as (select doc_id, term, tf, w / sqrt(sum(w * w) over (partition by doc_id)) as weight from raw)"""
+
+
+@query("h1_text_features", f"with {WEIGHTS} select doc_id, (select count(*) from vocabulary)::int as terms, round(coalesce((select sum(weight * weight) from weights w where w.doc_id = d.doc_id), 0), 6) as squared_length from documents d")
+def h1(spark, sf):
+    devs = t.read(spark, sf, "documents").select("doc_id", F.col("text").alias("description"))
+    rows = f.fitted_text(devs).transform(devs)
+    v = vector_to_array("text_features")
+    return rows.select("doc_id", F.size(v).alias("terms"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared_length"))
+
+
+@query("h1_term_weights", f"with {WEIGHTS} select doc_id, term, round(weight, 6) as weight from weights")
+def h1_weights(spark, sf):
+    devs = t.read(spark, sf, "documents").select("doc_id", F.col("text").alias("description"))
+    model = f.fitted_text(devs)
+    words = F.array(*map(F.lit, f.terms_in(model)))
+    each = model.transform(devs).select("doc_id", F.posexplode(vector_to_array("text_features")).alias("at", "weight")).where("weight > 0")
+    return each.select("doc_id", F.get(words, F.col("at")).alias("term"), F.round("weight", 6).alias("weight"))
+
+
 def _slots(column: str) -> str:
     return f"""with {DEVIATIONS}, top as (select {column}, row_number() over (order by count(*) desc, {column}) - 1 as slot from devs group by {column} order by count(*) desc, {column} limit 20)
 select deviation_id, coalesce(slot, -1)::int as slot from devs left join top using ({column})"""
@@ -135,11 +140,30 @@ every as (select * from labels union all select * from border)
 select r.id as p_partkey, coalesce(e.cluster, -1) as cluster from rows r join points p using (x, y) left join every e on e.id = p.id""")
 def h8(spark, sf):
     rows = t.read(spark, sf, "part").select("p_partkey", F.array(F.col("p_size") / 10.0, F.col("p_retailprice") / 100.0).alias("v"))
-    return c.density_clusters(rows, "p_partkey", "v", eps=0.095, exact=True)
+    return c.density_clusters(rows, "p_partkey", "v", eps=0.095)
+
 
+def _density(rows: str, square: str, eps: str) -> str:
+    """SQL of density clusters of points (id, w) in `points`, named by their smallest dense id; square: squared distance of points a and b."""
+    return f"""{rows},
+pairs as materialized (select a.id as a, b.id as b, b.w from points a join points b on a.id <> b.id and {square} <= {eps}::double * {eps}::double),
+core as materialized (select p.id from points p left join (select a, sum(w) as around from pairs group by a) n on n.a = p.id where p.w + coalesce(around, 0) >= 5),
+inside as materialized (select a, b from pairs where a in (select id from core) and b in (select id from core)),
+reach as (select id as x, id as y from core union select r.x, i.b from reach r join inside i on r.y = i.a),
+labels as (select x as id, min(y) as cluster from reach group by x),
+border as (select a as id, min(cluster) as cluster from pairs join labels on labels.id = pairs.b where a not in (select id from core) group by a),
+every as (select * from labels union all select * from border)"""
 
-# By hashing instead of a grid: embeddings are nearly evenly spread, and few of them have neighbours.
-@query("h8_density_of_embeddings")
+
+EMBEDDED = _density("points as materialized (select min(vec_id) as id, embedding::double[] as v, count(*) as w from embeddings group by embedding)", "list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])))", "1.08")
+
+
+@query("h8_pairs_of_embeddings", "select a.vec_id as a, b.vec_id as b from embeddings a join embeddings b on a.vec_id < b.vec_id and list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: (a.embedding[i]::double - b.embedding[i]::double) * (a.embedding[i]::double - b.embedding[i]::double))) <= 1.08::double * 1.08::double")
+def h8_pairs(spark, sf):
+    return epsjoin.pairs(vectors(spark, sf).select(F.col("vec_id").alias("id"), "v"), 1.08)
+
+
+@query("h8_density_of_embeddings", f"with recursive {EMBEDDED} select r.vec_id, coalesce(e.cluster, -1) as cluster from embeddings r join points p on p.v = r.embedding::double[] left join every e on e.id = p.id")
 def h8_embeddings(spark, sf):
     return c.density_clusters(vectors(spark, sf), "vec_id", "v", eps=1.08)
 
@@ -149,6 +173,23 @@ def h9(spark, sf):
     return c.clustered(vectors(spark, sf), "vec_id", "v")[0]
 
 
+# Customers by segment and balance: dense within each segment, which is what the choice is for.
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+_HOT = [f"(c_mktsegment = '{x}')::int" for x in SEGMENTS]
+_MOMENTS = ", ".join(f"avg({x}) as m{i}, stddev_pop({x}) as s{i}" for i, x in enumerate([*_HOT, "c_acctbal"]))
+_SCALED = ", ".join(f"case when s{i} > 0 then ({x} - m{i}) / s{i} else 0 end as x{i}" for i, x in enumerate([*_HOT, "c_acctbal"]))
+_SQUARE = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(6))
+CUSTOMERS = _density(f"moments as (select {_MOMENTS} from customer), points as materialized (select c_custkey as id, 1 as w, {_SCALED} from customer cross join moments)", _SQUARE, "0.5")
+
+
+@query("h9_density_of_customers", f"with recursive {CUSTOMERS}, numbers as (select cluster, row_number() over (order by cluster) - 1 as number from (select distinct cluster from every)) select p.id as c_custkey, coalesce(number, -1)::int as cluster, 'density' as method from points p left join every e using (id) left join numbers using (cluster)")
+def h9_customers(spark, sf):
+    hot = [(F.col("c_mktsegment") == x).cast("double") for x in SEGMENTS]
+    rows = t.read(spark, sf, "customer").select("c_custkey", F.array(*hot, F.col("c_acctbal").cast("double")).alias("v"))
+    found, method = c.clustered(rows, "c_custkey", "v")
+    return found.withColumn("method", F.lit(method))
+
+
 @query("h10_kmeans")
 def h10(spark, sf):
     from pyspark.ml.functions import array_to_vector

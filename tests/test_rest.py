@@ -117,9 +117,8 @@ def test_components(spark):
 def test_density_clusters(spark):
     points = [(i, [float(i % 5) / 10, 0.0]) for i in range(10)] + [(100 + i, [5.0 + i / 10, 5.0]) for i in range(6)] + [(200, [9.0, -9.0])]
     df = spark.createDataFrame(points, "id long, v array<double>")
-    for exact in (True, False):
-        found = {r["id"]: r["cluster"] for r in clusters.density_clusters(df, "id", "v", eps=0.5, exact=exact).collect()}
-        assert {found[i] for i in range(10)} == {0} and {found[100 + i] for i in range(6)} == {100} and found[200] == -1
+    found = {r["id"]: r["cluster"] for r in clusters.density_clusters(df, "id", "v", eps=0.5).collect()}
+    assert {found[i] for i in range(10)} == {0} and {found[100 + i] for i in range(6)} == {100} and found[200] == -1
 
 
 def test_outlier_stands_out(spark):
@@ -233,19 +232,6 @@ def test_rules_together_are_the_rules_one_by_one(spark):
     df.unpersist()
 
 
-def test_pairs_by_grid_and_by_hashing(spark):
-    import random
-
-    r = random.Random(3)
-    centres = [[r.gauss(0, 1) for _ in range(16)] for _ in range(60)]
-    points = [(i, [x + r.gauss(0, 0.05) for x in centres[i % 60]]) for i in range(300)]
-    df = spark.createDataFrame(points, "id long, v array<double>")
-    near = {(a, b) for a, v in points for b, w in points if a < b and sum((x - y) * (x - y) for x, y in zip(v, w, strict=True)) <= 0.25}
-    assert {tuple(p) for p in clusters.near_pairs(df, 0.5, exact=True).collect()} == near
-    hashed = {tuple(p) for p in clusters.near_pairs(df, 0.5).collect()}
-    assert hashed <= near and len(hashed) >= 0.99 * len(near)
-
-
 def test_words_in_any_script(spark):
     from caselens.operators.ml import features
 
