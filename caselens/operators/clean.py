@@ -44,13 +44,22 @@ def duplicate_key() -> list[Column]:
 
 
 def marked_duplicates(devs: DataFrame, order_col: str, key: list[Column] | None = None) -> DataFrame:
-    """devs with is_duplicate: whether an earlier row has the same key. The row of smallest order_col stays."""
-    first = F.row_number().over(Window.partitionBy(*(key or duplicate_key())).orderBy(order_col)) == 1
-    return devs.withColumn("is_duplicate", ~first)
+    """devs with is_duplicate: whether an earlier row has the same key. The row of smallest order_col stays.
+
+    The first row of each key and partition is found first, then the first of those; so a key may have any number of copies.
+    """
+    names = [f"__key{i}" for i in range(len(key or duplicate_key()))]
+    rows = devs.withColumns(dict(zip(names, key or duplicate_key(), strict=True))).withColumn("__part", F.spark_partition_id())
+    own = F.row_number().over(Window.partitionBy(*names, "__part").orderBy(order_col))
+    rows = rows.withColumn("__part", F.when(own == 1, F.lit(-1)).otherwise(F.col("__part")))
+    first = F.row_number().over(Window.partitionBy(*names, "__part").orderBy(order_col))
+    return rows.withColumn("is_duplicate", (F.col("__part") >= 0) | (first > 1)).drop(*names, "__part")
 
 
 def without_duplicates(devs: DataFrame, order_col: str, key: list[Column] | None = None) -> DataFrame:
-    return marked_duplicates(devs, order_col, key).where(~F.col("is_duplicate")).drop("is_duplicate")
+    """The rows that are no duplicates; of each key, a partition passes on one row at most."""
+    first = F.row_number().over(Window.partitionBy(*(key or duplicate_key())).orderBy(order_col))
+    return devs.withColumn("__first", first).where("__first = 1").drop("__first")
 
 
 def as_text(devs: DataFrame, columns: tuple[str, ...] = (*REQUIRED, *TEXTS[1:])) -> DataFrame:

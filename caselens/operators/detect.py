@@ -1,17 +1,18 @@
 """Deviations of event logs from a procedure: missing, misplaced and unexpected steps, missing approvals, timing.
 
 Logs have case_id, officer_id, step_name, ts and log_seq (which orders equal times). Checks per case read one
-profile of the case (a single grouped aggregation); checks on neighbouring steps share one window.
+profile of the case (a single grouped aggregation); checks on neighbouring steps share one window, over chunks of long cases.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselens.functions import vocab
+from caselens.operators.neighbours import LONG, followed
 from caselens.operators.textbatch import numbered
 
 CONTEXT = "struct<missing_step:string,step_1:string,step_2:string,unexpected_step:string,approval_type:string,issue:string,duration_hours:double,gap_days:double>"
@@ -74,12 +75,12 @@ def sequences(logs: DataFrame) -> DataFrame:
     return logs.groupBy("case_id").agg(F.min_by("officer_id", F.struct("ts", "log_seq")).alias("officer_id"), steps.alias("actual_sequence"))
 
 
-def step_pairs(logs: DataFrame) -> DataFrame:
-    """Every log with the officer of its case's first log, and the step and time that follow it in its case."""
-    order = Window.partitionBy("case_id").orderBy("ts", "log_seq")
-    return logs.select(
-        "case_id", F.first("officer_id").over(order).alias("officer_id"), F.col("step_name").alias("step_1"), F.lead("step_name").over(order).alias("step_2"),
-        F.col("ts").alias("ts_1"), F.lead("ts").over(order).alias("ts_2"),
+def step_pairs(logs: DataFrame, long: int = LONG) -> DataFrame:
+    """Every log with the officer of its case's first log, and the step and time that follow it in its case; cases of over `long` logs are many tasks."""
+    found = followed(logs, ("step_name", "ts"), ("officer_id",), long=long)
+    return found.select(
+        "case_id", F.col("first.officer_id").alias("officer_id"), F.col("step_name").alias("step_1"), F.col("next.step_name").alias("step_2"),
+        F.col("ts").alias("ts_1"), F.col("next.ts").alias("ts_2"),
     )
 
 

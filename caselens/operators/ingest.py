@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselens.functions import times, vocab
+from caselens.operators.textbatch import numbered
 
 FIELDS = tuple(name for name, _ in vocab.LOG_ALIASES)
 
@@ -105,9 +106,10 @@ def page(logs: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
 
 
 def trace(logs: DataFrame, case_id: str) -> DataFrame:
-    """One case's logs, oldest first, numbered."""
-    order = Window.partitionBy("case_id").orderBy("ts", "log_seq")
-    return logs.where(F.col("case_id") == case_id).withColumn("position", F.row_number().over(order)).orderBy("position")
+    """One case's logs, oldest first, numbered from 1; a case of any length, by ranges of its times."""
+    own = logs.where(F.col("case_id") == case_id)
+    placed = numbered(own.withColumn("__place", F.struct("ts", "log_seq")), "__place").drop("__place")
+    return placed.withColumn("position", (F.col("position") + 1).cast("int")).orderBy("position")
 
 
 def new_officers(logs: DataFrame, officers: DataFrame) -> DataFrame:
