@@ -3,7 +3,8 @@
 Each rule is a function (logs, **limits) -> (case_id, officer_id, deviation_type, severity, detail). It is written as
 a hit and a detail on rows (with window columns, if it needs any) or on cases (with aggregates); a few are tables of their
 own. Many rules are applied together: row rules in a few scans without a shuffle, all that look along a case over one
-window, all case rules in one grouped aggregation. Limits are parameters with defaults.
+window, all case rules in one grouped aggregation. Limits are parameters with defaults; those that hang on a role, a product, an amount or a day are tables
+(see limits), which may have dates of validity and any number of rows.
 """
 
 from __future__ import annotations
@@ -15,13 +16,16 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caselens.operators.limits import Lookup, of_rows, with_limits
+
 
 class OnRows(NamedTuple):
-    """Rows where hit holds; columns: what is computed over the rows of a case first, by name."""
+    """Rows where hit holds; columns: what is computed over the rows of a case first, by name; looks: limits that are looked up first, by name."""
 
     hit: Column
     detail: Column
     columns: dict[str, Column] = {}
+    looks: dict[str, Lookup] = {}
 
 
 class OnCases(NamedTuple):
@@ -31,6 +35,7 @@ class OnCases(NamedTuple):
     hit: Column | None = None
     detail: Column | None = None
     details: tuple[Column, ...] = ()
+    looks: dict[str, Lookup] = {}
 
 
 Rule = Callable[..., "OnRows | OnCases | DataFrame"]
@@ -45,6 +50,7 @@ TENORS = {"home": (60, 360), "auto": (12, 84), "personal": (6, 60)}
 LTV_CAPS = {"home": 0.8, "auto": 0.9, "personal": 0.5}
 BUCKETS = ((0, 30, 0), (30, 60, 1), (60, 90, 2), (90, 1_000_000, 3))
 MANDATORY = {"home": "Risk Assessment", "auto": "Credit Check", "personal": "Income Verification"}
+HOLIDAYS = ("1996-12-25", "1997-01-01")
 CORE = ("case_id", "officer_id", "step_name", "action", "ts")
 
 
@@ -88,6 +94,7 @@ def _named(found: DataFrame, name: str) -> DataFrame:
 
 def _hits(rows: DataFrame, rules: dict[str, OnRows | OnCases]) -> DataFrame:
     """A row for each rule that a row of rows hits."""
+    rows = with_limits(rows, {name: look for r in rules.values() for name, look in r.looks.items()})
 
     def hit(name: str, officer: Column, detail: Column) -> Column:
         return F.struct(officer.alias("officer_id"), F.lit(name).alias("deviation_type"), F.lit(WRITTEN[name][1]).alias("severity"), detail.cast("string").alias("detail"))
@@ -101,20 +108,14 @@ def _hits(rows: DataFrame, rules: dict[str, OnRows | OnCases]) -> DataFrame:
     return rows.select("case_id", F.explode(F.array(*found)).alias("hit")).where("hit is not null").select("case_id", "hit.*")
 
 
-def _lookup(values: dict, key: str, place: int | None = None) -> Column:
-    """The value of a column's key in a small table, or one of its parts; null for other keys."""
-    found = F.lit(None)
-    for k, v in values.items():
-        found = F.when(F.col(key) == k, F.lit(v if place is None else v[place])).otherwise(found)
-    return found
+def _by(logs: DataFrame, limits: DataFrame | dict, key: str, kind: str = "double") -> DataFrame:
+    """A table (key, limit): as it is given, or of a dict."""
+    return limits if isinstance(limits, DataFrame) else of_rows(logs.sparkSession, f"{key} string, limit {kind}", limits.items())
 
 
-def _band(bands, x: Column) -> Column:
-    """The third part of the band (low, high, value) that x lies in; null outside all."""
-    found = F.lit(None)
-    for low, high, value in bands:
-        found = F.when((x >= low) & (x < high), F.lit(value)).otherwise(found)
-    return found
+def _bands(logs: DataFrame, limits: DataFrame | Iterable, kind: str = "int") -> DataFrame:
+    """A table (low, high, limit): as it is given, or of rows."""
+    return limits if isinstance(limits, DataFrame) else of_rows(logs.sparkSession, f"low double, high double, limit {kind}", limits)
 
 
 def _distinct(column: str) -> Column:
@@ -138,25 +139,28 @@ def duplicate_step(logs, once: tuple[str, ...] = ("Credit Check", "Manager Appro
 
 
 @rule("skipped_mandatory_subprocess", "high")
-def skipped_mandatory(logs, mandatory: dict[str, str] = MANDATORY):
-    """Cases without the step that their product needs."""
-    needed = _lookup(mandatory, "least_product")
-    steps = {step: f"done_{i}" for i, step in enumerate(dict.fromkeys(mandatory.values()))}
-    done = _lookup({product: F.col(steps[step]) for product, step in mandatory.items()}, "least_product")
-    return OnCases({"least_product": F.min("product")} | {c: F.count_if(F.col("step_name") == step) > 0 for step, c in steps.items()}, ~done, needed)
+def skipped_mandatory(logs, mandatory: DataFrame | dict[str, str] = MANDATORY):
+    """Cases without the step that their product needs; mandatory has (product, limit), limit being the step."""
+    needed = Lookup(_by(logs, mandatory, "product", "string"), (("least_product", "product"),))
+    return OnCases({"least_product": F.min("product"), "steps_done": F.collect_set("step_name")}, ~F.array_contains("steps_done", F.col("step_needed")), F.col("step_needed"), looks={"step_needed": needed})
 
 
 @rule("insufficient_approval_hierarchy", "critical")
-def insufficient_hierarchy(logs, needed=APPROVERS):
-    """Cases with fewer distinct roles approving than their largest amount needs."""
-    n = _band(needed, F.col("most_amount"))
-    return OnCases({"most_amount": F.max("amount"), "roles": _distinct("approver_role")}, F.col("roles") < n, F.concat(F.col("roles").cast("string"), F.lit(" of "), n.cast("string")))
+def insufficient_hierarchy(logs, needed: DataFrame | Iterable = APPROVERS):
+    """Cases with fewer distinct roles approving than their largest amount needs; needed has (low, high, limit), limit being a number of roles."""
+    n = F.col("roles_needed")
+    found = {"most_amount": F.max("amount"), "roles": _distinct("approver_role")}
+    return OnCases(found, F.col("roles") < n, F.concat(F.col("roles").cast("string"), F.lit(" of "), n.cast("string")), looks={"roles_needed": Lookup(_bands(logs, needed), value="most_amount")})
 
 
 @rule("unauthorized_approver", "critical")
-def unauthorized_approver(logs, limits: dict[str, float] = ROLE_LIMITS):
-    """Amounts above the limit of the approver's role."""
-    return OnRows(F.col("amount") > _lookup(limits, "approver_role"), F.col("approver_role"))
+def unauthorized_approver(logs, limits: DataFrame | dict[str, float] = ROLE_LIMITS):
+    """Amounts above the limit of the approver's role on that day; limits has (role, limit) and may have dates of validity."""
+    return OnRows(F.col("amount") > F.col("role_limit"), F.col("approver_role"), looks={"role_limit": _role_limit(logs, limits)})
+
+
+def _role_limit(logs: DataFrame, limits: DataFrame | dict[str, float]) -> Lookup:
+    return Lookup(_by(logs, limits, "role"), (("approver_role", "role"),), at="ts")
 
 
 @rule("self_approval_violation", "critical")
@@ -182,11 +186,13 @@ def tat_breach(logs, sla_days: float = 60):
 
 
 @rule("cutoff_breach", "low")
-def cutoff_breach(logs, hour: int = 18, holidays: tuple[str, ...] = ("1996-12-25", "1997-01-01")):
-    """Approvals at or after the cut-off hour, on weekends, or on holidays."""
-    at, day = F.col("approval_timestamp"), F.date_format("approval_timestamp", "yyyy-MM-dd")
-    hit = F.when(F.hour(at) >= hour, "hour").when(F.weekday(at) >= 5, "weekend").when(day.isin(*holidays), "holiday")
-    return OnRows(hit.isNotNull(), hit)
+def cutoff_breach(logs, hour: int = 18, holidays: DataFrame | Iterable[str] = HOLIDAYS):
+    """Approvals at or after the cut-off hour, on weekends, or on holidays; holidays has (day, limit), limit being a name."""
+    table = holidays if isinstance(holidays, DataFrame) else of_rows(logs.sparkSession, "day string, limit string", [(d, "holiday") for d in holidays]).withColumn("day", F.col("day").cast("date"))
+    at = F.col("approval_timestamp")
+    hit = F.when(F.hour(at) >= hour, "hour").when(F.weekday(at) >= 5, "weekend").when(F.col("holiday").isNotNull(), F.lit("holiday"))
+    days = table.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "limit")
+    return OnRows(hit.isNotNull(), hit, looks={"holiday": Lookup(days, (("date_format(approval_timestamp, 'yyyy-MM-dd')", "day"),))})
 
 
 @rule("post_disbursement_qc_delay", "medium")
@@ -197,10 +203,13 @@ def qc_delay(logs, days: int = 45):
 
 
 @rule("ineligible_tenor", "high")
-def ineligible_tenor(logs, tenors: dict[str, tuple[int, int]] = TENORS):
-    """Tenors outside the product's range."""
-    months = F.col("tenor_months")
-    return OnRows((months < _lookup(tenors, "product", 0)) | (months > _lookup(tenors, "product", 1)), months)
+def ineligible_tenor(logs, tenors: DataFrame | dict[str, tuple[int, int]] = TENORS):
+    """Tenors outside all ranges of the product; tenors has (product, low, high), low inclusive and high exclusive. Products without a range are not judged."""
+    table = tenors if isinstance(tenors, DataFrame) else of_rows(logs.sparkSession, "product string, low double, high double", [(p, low, high + 1) for p, (low, high) in tenors.items()])
+    table = table.withColumn("limit", F.lit(1))
+    key, months = (("product", "product"),), F.col("tenor_months")
+    looks = {"tenor_fits": Lookup(table, key, "tenor_months"), "tenor_known": Lookup(table.select("product", "limit").distinct(), key)}
+    return OnRows(months.isNotNull() & F.col("tenor_known").isNotNull() & F.col("tenor_fits").isNull(), months, looks=looks)
 
 
 @rule("emi_to_income_breach", "high")
@@ -237,9 +246,9 @@ def pep_unchecked(logs, edd: str = "Risk Assessment", approvers: int = 2):
 
 
 @rule("ltv_breach", "high")
-def ltv_breach(logs, caps: dict[str, float] = LTV_CAPS):
-    """Loans too large for their security."""
-    return OnRows(F.col("ltv_ratio") > _lookup(caps, "product"), F.col("product"))
+def ltv_breach(logs, caps: DataFrame | dict[str, float] = LTV_CAPS):
+    """Loans too large for their security; caps has (product, limit) and may have dates of validity."""
+    return OnRows(F.col("ltv_ratio") > F.col("ltv_cap"), F.col("product"), looks={"ltv_cap": Lookup(_by(logs, caps, "product"), (("product", "product"),), at="ts")})
 
 
 @rule("valuation_missing_or_stale", "medium")
@@ -281,9 +290,9 @@ def qc_missing(logs):
 
 
 @rule("collection_escalation_delay", "medium")
-def escalation_delay(logs, buckets=BUCKETS):
-    """Overdue loans in a lower bucket than their days call for."""
-    return OnRows(F.col("bucket") < _band(buckets, F.col("overdue_days")), F.col("overdue_days"))
+def escalation_delay(logs, buckets: DataFrame | Iterable = BUCKETS):
+    """Overdue loans in a lower bucket than their days call for; buckets has (low, high, limit), limit being the bucket."""
+    return OnRows(F.col("bucket") < F.col("bucket_due"), F.col("overdue_days"), looks={"bucket_due": Lookup(_bands(logs, buckets), value="overdue_days")})
 
 
 @rule("unauthorized_restructure", "critical")
@@ -293,9 +302,9 @@ def unauthorized_restructure(logs, allowed: tuple[str, ...] = ("senior_manager",
 
 
 @rule("unauthorized_writeoff", "critical")
-def unauthorized_writeoff(logs, limits: dict[str, float] = ROLE_LIMITS):
-    """Write-offs above the limit of the approver's role."""
-    return OnRows(F.col("writeoff_amount") > _lookup(limits, "approver_role"), F.col("approver_role"))
+def unauthorized_writeoff(logs, limits: DataFrame | dict[str, float] = ROLE_LIMITS):
+    """Write-offs above the limit of the approver's role on that day."""
+    return OnRows(F.col("writeoff_amount") > F.col("writeoff_limit"), F.col("approver_role"), looks={"writeoff_limit": _role_limit(logs, limits)})
 
 
 @rule("missing_core_field", "high")

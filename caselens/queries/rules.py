@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caselens.functions import vocab
+from caselens.operators import limits
 from caselens.operators import rules as r
 from caselens.registry import query
 from caselens.sources import tables as t
@@ -129,7 +130,26 @@ for number, rule_name in enumerate(r.RULES, 1):
     _register(number, rule_name)
 
 
-@query("x_all_rules", f"with {LOANS}, found as (" + " union all ".join(f"select '{n}' as deviation_type, '{LEVELS[n]}' as severity from ({q})" for n, q in FOUND.items() if n != "audit_trail_missing") + ") select deviation_type, severity, count(*) as n from found group by all")
+@query("x_all_rules", f"with {LOANS}, found as (" + " union all ".join(f"select '{n}' as deviation_type, '{LEVELS[n]}' as severity from ({q})" for n, q in FOUND.items()) + ") select deviation_type, severity, count(*) as n from found group by all")
 def all_rules(spark, sf):
-    names = [n for n in r.RULES if n != "audit_trail_missing"]
-    return r.apply_rules(loans(spark, sf), names).groupBy("deviation_type", "severity").agg(F.count(F.lit(1)).alias("n"))
+    limits = {"audit_trail_missing": _limits("audit_trail_missing", spark, sf)}
+    return r.apply_rules(loans(spark, sf), **limits).groupBy("deviation_type", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Limits of an amount by product and day: a band for each part, valid from its own day or always.
+BAND = "(p_retailprice * 10)::double"
+
+
+@query("x_limit_bands", f"""with {LOANS}, bands as (
+  select {list(PRODUCTS)}[p_partkey % 3 + 1] as product, case when p_partkey % 11 <> 0 then {BAND} end as low, {BAND} + p_size * 10 as high, case when p_partkey % 5 <> 0 then date '1992-01-01' + (p_partkey % 2000)::int end as valid_from, p_partkey as "limit" from part),
+asked as (select distinct product, amount, ts::date as day from loans),
+held as (select a.*, "limit" from asked a join bands b on a.product = b.product and (low is null or amount >= low) and amount < high and (valid_from is null or day >= valid_from)
+  qualify row_number() over (partition by a.product, a.amount, a.day order by valid_from desc nulls last, low desc nulls last, "limit"::varchar) = 1)
+select case_id, log_seq, "limit" from loans l left join held h on l.product = h.product and l.amount = h.amount and l.ts::date = h.day""")
+def limit_bands(spark, sf):
+    k, low = F.col("p_partkey"), (F.col("p_retailprice") * 10).cast("double")
+    bands = t.read(spark, sf, "part").select(
+        F.get(F.array(*map(F.lit, PRODUCTS)), (k % 3).cast("int")).alias("product"), F.when(k % 11 != 0, low).alias("low"), (low + F.col("p_size") * 10).alias("high"),
+        F.when(k % 5 != 0, F.date_add(F.lit("1992-01-01").cast("date"), (k % 2000).cast("int"))).alias("valid_from"), k.alias("limit"))
+    look = limits.Lookup(bands, (("product", "product"),), "amount", "ts")
+    return limits.with_limit(loans(spark, sf), "limit", look, small=False).select("case_id", "log_seq", "limit")
