@@ -13,6 +13,7 @@ from caselens.plans.graphs import shared_dir
 from caselens.registry import query
 from caselens.sources import files
 from caselens.sources import tables as t
+from caselens.sources.stored import Store
 from caselens.sources.tables import ORDER_LOGS
 
 STAMP = "%Y-%m-%d %H:%M:%S"
@@ -137,6 +138,80 @@ def a11(spark, sf):
     return files.merged_mapping(saved.drop("p_size"), confirmed)
 
 
+LOG_ROWS = "case_id string, log_seq long, ts timestamp, officer_id string, upload_id string, uploaded_at string"
+
+
+def _uploads(spark, sf):
+    """Two uploads of the order logs, by even and odd cases."""
+    logs = t.order_logs(spark, sf)
+    return [(f"u{i}", logs.where(F.col("case_id").cast("long") % 2 == i).withColumns({"upload_id": F.lit(f"u{i}"), "uploaded_at": F.lit(f"2025-01-1{i} 10:00:00")})) for i in (0, 1)]
+
+
+# Each upload is applied twice, and one is stopped between its rows and its version.
+@query("a6_repeated_uploads", f"with {ORDER_LOGS} select 'u' || (case_id::bigint % 2)::varchar as upload_id, count(*) as n, count(distinct case_id) as cases, 3::bigint as version from logs group by 1")
+def a6_repeated(spark, sf):
+    store = Store(spark, scratch(spark, "store"))
+    store.create("logs", LOG_ROWS, ("case_id",))
+    for name, rows in _uploads(spark, sf):
+        store.write(store.snapshot().tables["logs"], rows)  # stopped before its version
+        store.append("logs", rows, name)
+        store.append("logs", rows, name)
+    now = store.snapshot()
+    return now.read("logs").groupBy("upload_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("case_id").alias("cases")).withColumn("version", F.lit(now.version).cast("long"))
+
+
+@query("a8_insert_absent_officers", f"with {ORDER_LOGS} select s_suppkey::varchar as officer_id, s_name as name from supplier where s_suppkey % 3 = 0 union all select distinct officer_id, 'Officer ' || officer_id from logs where officer_id not in (select s_suppkey::varchar from supplier where s_suppkey % 3 = 0)")
+def a8_insert(spark, sf):
+    store = Store(spark, scratch(spark, "store"))
+    store.create("officers", "officer_id string, name string, role string", ("officer_id",))
+    store.append("officers", t.officers(spark, sf).where(F.col("officer_id").cast("long") % 3 == 0), "known")
+    for name, rows in _uploads(spark, sf):
+        store.insert_absent("officers", g.new_officers(rows, store.snapshot().read("officers")), name)
+    return store.snapshot().read("officers").select("officer_id", "name")
+
+
+# What a reader sees who opened the store before the deletion, and after.
+@query("a9_delete_upload", f"with {ORDER_LOGS} select 'before' as seen, count(*) as n, count(distinct case_id) as cases from logs union all select 'after', count(*), count(distinct case_id) from logs where case_id::bigint % 2 = 1")
+def a9_delete(spark, sf):
+    store = Store(spark, scratch(spark, "store"))
+    store.create("logs", LOG_ROWS, ("case_id",))
+    for name, rows in _uploads(spark, sf):
+        store.append("logs", rows, name)
+    before = store.snapshot()
+    store.delete({"logs": F.col("uploaded_at") == "2025-01-10 10:00:00"}, "delete u0")
+    counts = [s.read("logs").agg(F.lit(seen).alias("seen"), F.count(F.lit(1)).alias("n"), F.count_distinct("case_id").alias("cases")) for seen, s in (("before", before), ("after", store.snapshot()))]
+    return counts[0].union(counts[1])
+
+
+@query("a10_delete_sops", "select 'sops' as name, count(*) as n from customer where c_custkey % 10 <> 7 union all select 'rules', count(*) from orders where o_custkey % 10 <> 7")
+def a10_delete(spark, sf):
+    store = Store(spark, scratch(spark, "store"))
+    store.create("sops", "sop_id long, title string", ("sop_id",))
+    store.create("rules", "sop_id long, rule_id long", ("sop_id",))
+    store.append("sops", t.read(spark, sf, "customer").select(F.col("c_custkey").alias("sop_id"), F.col("c_name").alias("title")), "sops")
+    store.append("rules", t.read(spark, sf, "orders").select(F.col("o_custkey").alias("sop_id"), F.col("o_orderkey").alias("rule_id")), "rules")
+    gone = F.col("sop_id") % 10 == 7
+    store.delete({"sops": gone, "rules": gone}, "delete")  # both sides in one version
+    now = store.snapshot()
+    counts = [now.read(n).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n in ("sops", "rules")]
+    return counts[0].union(counts[1])
+
+
+@query("d18_stored_edits", f"""with {t.DEVIATIONS}, edits as (select min(deviation_id) as deviation_id from devs group by case_id)
+select d.deviation_id, case when e.deviation_id is not null then 'Reviewed order ' || d.case_id else d.notes end as notes, case when e.deviation_id is not null then 'auditor' end as edited_by
+from devs d left join edits e using (deviation_id)""")
+def d18_stored(spark, sf):
+    store = Store(spark, scratch(spark, "store"))
+    store.create("devs", "deviation_id string, case_id string, notes string, edited_by string, edited_at string", ("deviation_id",))
+    none = F.lit(None).cast("string")
+    store.append("devs", t.deviations(spark, sf).withColumns({"edited_by": none, "edited_at": none}), "all")
+    now = store.snapshot().read("devs")
+    edits = now.groupBy("case_id").agg(F.min("deviation_id").alias("deviation_id")).select(
+        "deviation_id", "case_id", F.concat(F.lit("Reviewed order "), "case_id").alias("notes"), F.lit("auditor").alias("edited_by"), F.lit("2025-01-15 10:00:00").alias("edited_at"))
+    store.upsert("devs", edits, "review")
+    return store.snapshot().read("devs").select("deviation_id", "notes", "edited_by")
+
+
 @query("a12_json_export", f"with {t.DEVIATIONS} select severity, count(*) as n, min(description) as first_description from devs group by severity")
 def a12(spark, sf):
     path = scratch(spark, "export")
