@@ -57,13 +57,15 @@ def encode_text(enc: tiktoken.Encoding, text: str | None) -> list[int]:
     return enc.encode_ordinary(text)
 
 
-def with_ids(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", same_col: str | None = None) -> DataFrame:
+def with_ids(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", same_col: str | None = None, digest_cols: tuple[str, str] | None = None) -> DataFrame:
     """docs and the ids of each whole text, as array<int>; a null or empty text has none. All other columns are kept.
 
     same_col: name of a further column that tells whether the bytes decoded from the ids are those of the text (null: none).
+    digest_cols: names of two columns with the sha256 of the ids, as little-endian unsigned 32-bit integers, and of the bytes decoded from them.
     Texts are encoded in parts of at most 1000 rows and 8 MB.
     """
     added = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + ([T.StructField(same_col, T.BooleanType())] if same_col else [])
+    added += [T.StructField(c, T.StringType()) for c in digest_cols or ()]
     kept = [f for f in docs.schema.fields if f.name not in [x.name for x in added]]
     schema = T.StructType(kept + added)
 
@@ -75,8 +77,12 @@ def with_ids(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "tex
                 ids = [np.array(encode_text(enc, t), np.int32) for t in texts]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 out = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))]
+                back = [enc.decode_bytes(x.tolist()) for x in ids] if same_col or digest_cols else []
                 if same_col:
-                    out.append(pa.array([enc.decode_bytes(x.tolist()) == (t or "").encode() for x, t in zip(ids, texts, strict=True)]))
+                    out.append(pa.array([x == (t or "").encode() for x, t in zip(back, texts, strict=True)]))
+                if digest_cols:
+                    out.append(pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]))
+                    out.append(pa.array([hashlib.sha256(x).hexdigest() for x in back]))
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *out], names=schema.names)
 
     columns = dict.fromkeys([*(f.name for f in kept), text_col])
@@ -94,17 +100,7 @@ def decoded(ids_col: str, rank_file: str, pattern: str):
     return decode(ids_col)
 
 
-@F.pandas_udf(T.StringType())
-def ids_digest(ids: pd.Series) -> pd.Series:
-    """sha256 of the ids as little-endian unsigned 32-bit integers."""
-    return ids.map(lambda x: hashlib.sha256(np.asarray(x).astype("<u4").tobytes()).hexdigest())
-
-
 def op5_bpe(spark, sf_dir: str) -> DataFrame:
-    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = with_ids(docs, *vocabulary).select("doc_id", "token_ids")
-    return coded.select(
-        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), ids_digest("token_ids").alias("ids_sha256"),
-        F.sha2(decoded("token_ids", *vocabulary), 256).alias("decoded_sha256"),
-    )
+    coded = with_ids(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digest_cols=("ids_sha256", "decoded_sha256"))
+    return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "ids_sha256", "decoded_sha256")

@@ -144,8 +144,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.col(f"`{text_col}`")
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), _key(id_col, text_col).alias("key"), text.alias("text"))
-    met = rows.join(gone, "key", "left")
-    left = F.array_join(F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    met = rows.join(gone, "key", "left").withColumn("lines", F.when(F.col("gone").isNotNull(), _lines(F.col("text"))))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")  # by hashes, whatever the number of lines
+    left = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
     new = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
     return met.select(
         *[(new if c == text_col else F.col("row").getField(c)).alias(c) for c in kept],

@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from caselens.llm.common import read_table
+from caselens.llm.common import read_table, slices
 
 LONGS, INTS, SHORTS = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int16())
 #: Distinct pre-tokens whose counts a task remembers; beyond it the memory starts afresh and some are counted again.
 REMEMBERED = 2_000_000
+#: UTF-8 bytes of the texts of a block, unless one text alone has more.
+BLOCK_BYTES = 16 << 20
 
 
 @lru_cache(maxsize=2)
@@ -88,8 +90,7 @@ def frequencies(docs: DataFrame, id_col: str, text_col: str, path: str, pattern:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter(path, pattern)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1 << 15):
-                b = whole.slice(at, 1 << 15)
+            for b in slices(whole, 2, 1 << 15, BLOCK_BYTES):
                 block = b.column(0)[0].as_py()
                 number: dict[str, int] = {}
                 piece_of, place_of, times_of, sizes = [], [], [], []

@@ -123,3 +123,10 @@ def test_empty_table(spark):
 def test_no_python_in_the_plan(spark):
     plan = ld.op3_line_dedup(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_text_of_many_lines(spark):
+    text = "\n".join(f"line {i} of a text with many lines that stand in two documents" for i in range(2000))
+    rows = [(1, text), (2, text + "\nand a last line of its own")]
+    found = {r["doc_id"]: r for r in ld.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1]["text"] == text and found[2]["text"] == "and a last line of its own" and found[2]["n_removed"] == 2000

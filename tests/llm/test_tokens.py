@@ -75,3 +75,12 @@ def test_odd_documents_round_trip(spark, reference):
 def test_cuts_change_nothing(reference, text):
     parts = list(bpe.safe_cuts(text, 37))
     assert "".join(parts) == text and [i for p in parts for i in reference.encode_ordinary(p)] == reference.encode_ordinary(text)
+
+
+def test_blocks_are_bounded_by_bytes(spark, monkeypatch):
+    rows = [(i, f"some words of text {i} " * (1 + 400 * (i % 3))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    whole = {tuple(r) for r in tc.token_counts(docs, JSON, PATTERN).collect()}
+    monkeypatch.setattr(tc, "BLOCK_BYTES", 20_000)
+    assert {tuple(r) for r in tc.token_counts(docs, JSON, PATTERN).collect()} == whole
+    assert tc.frequencies(docs, "doc_id", "text", JSON, PATTERN, 1).where("part = -1").count() > 10
