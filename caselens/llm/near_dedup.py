@@ -134,15 +134,15 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, p: Params) -> DataFr
 
 
 def shingle_sets(docs: DataFrame, p: Params) -> DataFrame:
-    """(rep, items) of rows (id, text): the full sets that confirm links, named by their keys."""
+    """(set_key, items) of rows (id, text): the full sets that confirm links."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             items = [shingle_set(t.as_py(), p) for t in batch.column(1)]
             keys = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in items], pa.binary())
-            yield pa.RecordBatch.from_arrays([keys, pa.array([x.view(np.int64) for x in items], pa.list_(pa.int64()))], names=["rep", "items"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array([x.view(np.int64) for x in items], pa.list_(pa.int64()))], names=["set_key", "items"])
 
-    return docs.mapInArrow(sets, T.StructType([T.StructField("rep", T.BinaryType()), T.StructField("items", T.ArrayType(T.LongType()))]))
+    return docs.mapInArrow(sets, T.StructType([T.StructField("set_key", T.BinaryType()), T.StructField("items", T.ArrayType(T.LongType()))]))
 
 
 def _near(p: Params) -> Column:
@@ -207,7 +207,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = stage(signatures(docs, id_col, text_col, p), "signatures")
     full = signed.where("n_shingles > 0 and id is not null")
     classes = stage(
-        full.groupBy(F.col("set_key").alias("rep")).agg(F.min("id").alias("id"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")),
+        full.groupBy("set_key").agg(F.min("id").alias("id"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+        .withColumn("rep", F.monotonically_increasing_id()),  # a number for each class, which the written table keeps
         "classes",
     )
     entries = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
@@ -216,10 +217,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     popular = members.groupBy("rep").agg(F.sum("size").alias("pop")).join(classes.select("rep", "n", "sketch", "bands"), "rep")
     waiting = stage(members.select("bucket", "band", "rep").join(popular, "rep").withColumn("seen", F.slice("bands", F.lit(1), F.col("band"))).drop("bands"), "members")
     unstage(members)
-    reps = classes.join(waiting.select("rep").distinct(), "rep", "left_semi").select("id", "rep", "n")
+    reps = classes.join(waiting.select("rep").distinct(), "rep", "left_semi").select("id", "set_key", "rep", "n")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    full_sets = shingle_sets(texts.join(sized_broadcast(reps.select("id").distinct()), "id", "left_semi"), p).join(reps.select("rep", "n"), "rep")
-    sets = stage(full_sets.dropDuplicates(["rep"]), "sets")
+    full_sets = shingle_sets(texts.join(sized_broadcast(reps.select("id").distinct()), "id", "left_semi"), p).join(reps.select("set_key", "rep", "n"), "set_key")
+    sets = stage(full_sets.select("rep", "n", "items").dropDuplicates(["rep"]), "sets")
     labels = None
     for leaders, share in (*p.leaders, (None, 1.0)):
         now = waiting if labels is None else waiting.join(labels, waiting.rep == labels.node, "left")
@@ -236,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             links = confirmed(pairs, sets, p)
         edges = links if labels is None else links.union(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))
         labels = connected_components(edges)
-    of_class = full.select("id", F.col("set_key").alias("rep"))
+    of_class = full.select("id", "set_key").join(classes.select("set_key", "rep"), "set_key").select("id", "rep")
     several = of_class.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("id", "a")
     together = stage(of_class.join(several, "id").select("a", F.col("rep").alias("b")).where("a < b").distinct(), "together")
     if not together.isEmpty():
