@@ -101,6 +101,37 @@ def fit(devs: DataFrame) -> Features:
     return Features(fitted_text(devs), top_values(devs, "deviation_type"), top_values(devs, "officer_id"))
 
 
+def fitted_stages(devs: DataFrame) -> PipelineModel:
+    """The same features as `fit` gives, as a pipeline that can be written: text, one-hot types and officers, numbers and times, assembled with their names."""
+    found = fit(devs)
+    quoted = {c: [(f"{c}_{i}", "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'") for i, v in enumerate(values)] for c, values in (("deviation_type", found.types), ("officer_id", found.officers))}
+    hot = [f"coalesce(cast({c} = {v} as double), 0D) as {n}" for c, own in quoted.items() for n, v in own]
+    weights = " ".join(f"when severity = '{n}' then {w}D" for n, w in vocab.SEVERITY_WEIGHTS.items())
+    plain = [f"case {weights} else 1D end as severity_score", "cast(coalesce(length(description), 0) as double) as description_length"]
+    when = _time_sql(devs)
+    timed = [f"coalesce(hour({when}) / 24, 0.5D) as hour_part", f"coalesce(weekday({when}) / 7, 0.5D) as weekday_part"]
+    made = [*(n for own in quoted.values() for n, _ in own), "severity_score", "description_length", "hour_part", "weekday_part"]
+    added = SQLTransformer(statement=f"select *, {', '.join([*hot, *plain, *timed])} from __THIS__")
+    assembled = VectorAssembler(inputCols=["text_features", *made], outputCol="features")
+    dropped = SQLTransformer(statement=f"select * except ({', '.join(['text_features', *made, *TEXT_COLUMNS])}) from __THIS__")
+    return PipelineModel([*found.text.stages, added, assembled, dropped])
+
+
+#: Columns that the stages of texts add.
+TEXT_COLUMNS = ("__text", "__words", "__kept", "__pairs", "__terms", "__counts", "__scaled")
+
+
+def _time_sql(devs: DataFrame) -> str:
+    """The time of a row as `temporal` reads it, in SQL."""
+    there = [c for c in ("detected_at", "created_at") if c in devs.columns]
+    if not there:
+        return "cast(null as timestamp)"
+    if all(dict(devs.dtypes)[c] != "string" for c in there):
+        return f"coalesce({', '.join(there)})"
+    cut = "regexp_replace(split_part(trim(coalesce(" + ", ".join(f"nullif(cast({c} as string), '')" for c in there) + ")), '.', 1), 'Z$', '')"
+    return "coalesce(" + ", ".join("try_to_timestamp({}, '{}')".format(cut, f.replace("'", "\\'")) for f in times.FORMATS) + ")"
+
+
 def standardised(df: DataFrame, column: str = "features") -> DataFrame:
     """df with column at mean 0 and deviation 1 of the population; constant components become 0."""
     n = df.count()

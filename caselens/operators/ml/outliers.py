@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from caselens.plans.graphs import kept
 
 EULER = 0.5772156649015329
-#: The threshold's rank is right to one row in so many; what is summed up for it is bounded.
-RANKS = 1_000_000
+#: Values that are looked at one by one when a rank has been narrowed down to so many.
+FEW = 10_000
 
 
 def path_length(n: np.ndarray | float) -> np.ndarray:
@@ -66,10 +66,54 @@ def forest(df: DataFrame, id_col: str, vector_col: str, trees: int = 100, rows:
     return drawn.groupBy("tree").applyInPandas(build, "tree int, node int, feature int, cut double, left int, right int, length double")
 
 
+def ranked(values: DataFrame, column: str, rank: int) -> float:
+    """The value of that rank (from 0) in ascending order, exactly, without gathering or sorting them.
+
+    Each pass takes two values close to the rank on either side and counts what is below, at, between and above them; what is left is some
+    ten-thousandth of the values.
+    """
+    x, inside = F.col(column), F.lit(True)
+    while True:
+        rows = values.where(inside)
+        n = rows.agg(F.count(x)).first()[0]
+        if n <= FEW:
+            return sorted(r[0] for r in rows.where(x.isNotNull()).select(x).collect())[rank]
+        low, high = rows.agg(F.percentile_approx(x, [max(0.0, rank / n - 2e-4), min(1.0, rank / n + 2e-4)], 10_000)).first()[0]
+        below, at_low, between, at_high = rows.agg(F.count_if(x < low), F.count_if(x == low), F.count_if((x > low) & (x < high)), F.count_if((x == high) & (x > low))).first()
+        if rank < below:
+            inside = inside & (x < low)
+        elif rank < below + at_low:
+            return low
+        elif rank < below + at_low + between:
+            inside, rank = inside & (x > low) & (x < high), rank - below - at_low
+        elif rank < below + at_low + between + at_high:
+            return high
+        else:
+            inside, rank = inside & (x > high), rank - below - at_low - between - at_high
+
+
+def percentile(values: DataFrame, column: str, share: float) -> float | None:
+    """The exact percentile, between two values in proportion; None without values."""
+    n = values.agg(F.count(column)).first()[0]
+    if not n:
+        return None
+    at = (n - 1) * share
+    low = ranked(values, column, int(at))
+    high = ranked(values, column, int(at) + 1) if at > int(at) else low
+    return low + (high - low) * (at - int(at))
+
+
+def flagged(raw: DataFrame, contamination: float = 0.1) -> DataFrame:
+    """Rows with raw as score, is_anomaly and threshold: below the exact percentile of the share contamination, 0.2 at most, are anomalies."""
+    offset = percentile(raw, "raw", min(contamination, 0.2))
+    cut = F.lit(offset).cast("double")
+    return raw.select(*[c for c in raw.columns if c != "raw"], (F.col("raw") - cut).alias("score"), (F.col("raw") < cut).alias("is_anomaly"), cut.alias("threshold"))
+
+
 def scored(df: DataFrame, id_col: str, vector_col: str, trees: int = 100, rows: int = 256, contamination: float = 0.1, seed: int = 42) -> DataFrame:
     """(id, score, is_anomaly, threshold): scores below 0 are anomalies, the share contamination (0.2 at most) of all; fewer than 10 rows are all normal.
 
-    The threshold is the raw score of that rank, to a millionth of the rows.
+    The threshold is the raw score of that share, exactly.
     """
     if df.limit(10).count() < 10:
         return df.select(id_col, F.lit(0.0).alias("score"), F.lit(False).alias("is_anomaly"), F.lit(None).cast("double").alias("threshold"))
@@ -92,8 +136,7 @@ def scored(df: DataFrame, id_col: str, vector_col: str, trees: int = 100, rows:
 
     schema = T.StructType([df.schema[id_col], T.StructField("raw", T.DoubleType())])
     raw = kept(df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("v is not null").mapInPandas(score, schema))
-    offset = raw.agg(F.percentile_approx("raw", F.lit(min(contamination, 0.2)), RANKS)).first()[0]
-    return raw.select(id_col, (F.col("raw") - F.lit(offset)).alias("score"), (F.col("raw") < F.lit(offset)).alias("is_anomaly"), F.lit(offset).alias("threshold"))
+    return flagged(raw, contamination)
 
 
 def score_ranges(found: DataFrame) -> DataFrame:

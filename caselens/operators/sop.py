@@ -69,11 +69,21 @@ def extracted_rules(docs: DataFrame, id_col: str = "sop_id", text_col: str = "te
 
 
 def rule_sets(rules: DataFrame, id_col: str = "sop_id", types: tuple[str, ...] = vocab.RULE_TYPES) -> DataFrame:
-    """(id, n_rules, is_valid): a set is valid if every rule of it has a description, a known type and a known severity."""
-    ok = F.coalesce((F.col("rule_description").isNotNull()) & F.col("rule_type").isin(*types) & F.col("severity").isin(*vocab.SEVERITIES), F.lit(False))
+    """(id, n_rules, is_valid): a set is valid if every rule of it has a description that isn't blank, a known type and a known severity."""
+    ok = F.coalesce((stripped(F.col("rule_description")) != "") & F.col("rule_type").isin(*types) & F.col("severity").isin(*vocab.SEVERITIES), F.lit(False))
     return rules.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_rules"), F.bool_and(ok).alias("is_valid"))
 
 
+def rule_faults(rules: DataFrame, id_col: str = "sop_id", rule_col: str = "rule_id", types: tuple[str, ...] = vocab.RULE_TYPES) -> DataFrame:
+    """(id, rule, fault) of what makes a rule set invalid: an absent or blank field, by its name, or an unknown type or severity."""
+    def absent(c: str) -> Column:
+        return F.col(c).isNull() | (stripped(F.col(c)) == "")
+
+    faults = [F.when(absent(c), F.lit(f"no {c}")) for c in ("rule_type", "rule_description", "severity")]
+    faults += [F.when(~absent(c) & ~F.col(c).isin(*known), F.concat(F.lit(f"unknown {c}: "), c)) for c, known in (("rule_type", types), ("severity", vocab.SEVERITIES))]
+    return rules.select(id_col, rule_col, F.explode(F.array_compact(F.array(*faults))).alias("fault"))
+
+
 def confidences(rules: DataFrame, id_col: str = "sop_id") -> DataFrame:
     """(id, n_rules, confidence): mean over rules of how complete each is, two places.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,10 +20,13 @@ systemic_issues array<struct<issue:string,frequency:string,impact:string,recomme
 time_patterns array<struct<pattern:string,reason:string,recommendation:string>>,
 justification_analysis struct<note:string,most_common_reasons:array<struct<reason:string,count:int,percentage:string>>,justified_count:int,not_justified_count:int,unclear_count:int,justification_quality:string>,
 risk_insights array<string>, recommendations array<string>, api_calls_made int, deviations_analyzed int"""
-#: The result that stands for an answer that can't be read.
-EMPTY = """{"overall_summary": "Pattern analysis not available", "behavioral_patterns": [], "hidden_rules": [], "systemic_issues": [], "time_patterns": [],
-"justification_analysis": {"most_common_reasons": [], "justified_count": 0, "not_justified_count": 0, "unclear_count": 0},
-"risk_insights": ["Model analysis unavailable - manual review recommended"], "recommendations": ["Enable a model for pattern analysis"], "api_calls_made": 0, "deviations_analyzed": 0}"""
+#: What stands for an answer that can't be read: empty lists, counts of 0, and a status of the library's own as its summary.
+UNREAD = "unread"
+EMPTY = json.dumps({
+    "overall_summary": UNREAD, "behavioral_patterns": [], "hidden_rules": [], "systemic_issues": [], "time_patterns": [],
+    "justification_analysis": {"most_common_reasons": [], "justified_count": 0, "not_justified_count": 0, "unclear_count": 0},
+    "risk_insights": [], "recommendations": [], "api_calls_made": 0, "deviations_analyzed": 0,
+})
 #: Keys that an answer must have, and how many entries of each list a merged answer keeps.
 REQUIRED = ("overall_summary", "behavioral_patterns", "hidden_rules", "systemic_issues", "recommendations")
 KEPT = {"behavioral_patterns": 10, "hidden_rules": 5, "systemic_issues": 5, "time_patterns": 5, "risk_insights": 10, "recommendations": 10}
@@ -139,16 +143,16 @@ def parsed(answers: DataFrame, text: Column) -> DataFrame:
     Recommendations that are objects become "[priority] text", NORMAL without a priority, the object itself without a text.
     """
     rows = answers.withColumn("__json", json_in(text))
-    json = F.col("__json")
-    spelt = F.from_json(F.get_json_object(json, "$.recommendations"), "array<string>")
+    said = F.col("__json")
+    spelt = F.from_json(F.get_json_object(said, "$.recommendations"), "array<string>")
 
     def plain(r: Column) -> Column:
         text = F.coalesce(F.get_json_object(r, "$.recommendation"), r)
         return F.when(r.startswith("{"), F.concat(F.lit("["), F.coalesce(F.get_json_object(r, "$.priority"), F.lit("NORMAL")), F.lit("] "), text)).otherwise(r)
 
-    keys = F.json_object_keys(json)
+    keys = F.json_object_keys(said)
     ok = F.coalesce(F.size(F.array_intersect(keys, F.array(*map(F.lit, REQUIRED)))) == len(REQUIRED), F.lit(False))
-    read = rows.withColumns({"__read": F.from_json(json, ANSWER), "__spelt": spelt, "__ok": ok})
+    read = rows.withColumns({"__read": F.from_json(said, ANSWER), "__spelt": spelt, "__ok": ok})
     result = F.when(F.col("__ok"), F.col("__read").withField("recommendations", F.coalesce(F.transform("__spelt", plain), F.col("__read.recommendations")))).otherwise(F.from_json(F.lit(EMPTY), ANSWER))
     return read.withColumn("result", result).drop("__json", "__read", "__spelt", "__ok")
 

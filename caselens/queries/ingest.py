@@ -86,6 +86,23 @@ def a4_rows(spark, sf):
     return first.crossJoin(F.broadcast(names)).select("position", "header", F.element_at(values, F.col("header")).alias("value"))
 
 
+@query("a4_file_head", "with r as (select *, row_number() over (order by event_id)::int - 1 as position from events order by event_id limit 3), c as (select position, unnest([['event_id', event_id::varchar], ['user_id', user_id::varchar], ['event_type', event_type], ['props', props]]) as x from r) select position, x[1] as header, x[2] as value from c")
+def a4_head(spark, sf):
+    path = scratch(spark, "head")
+    t.read(spark, sf, "events").select("event_id", "user_id", "event_type", "props").repartitionByRange(8, "event_id").sortWithinPartitions("event_id").write.csv(path, header=True, escape='"')
+    return files.head(spark, path)
+
+
+@query("a13_corpus_files", "select 'd' || doc_id::varchar || '.txt' as file, 'Document ' || doc_id::varchar || ' of ' || source as title, (1 + doc_id % 3)::varchar || '.0' as version, 'txt' as file_type, case when doc_id % 2 = 0 then 'pending' else 'processed' end as status, length(text) as length, md5(text) as digest from documents")
+def a13_corpus(spark, sf):
+    path, i = scratch(spark, "corpus"), F.col("doc_id").cast("string")
+    texts = t.read(spark, sf, "documents").select(
+        F.concat(F.lit("d"), i, F.lit(".txt")).alias("file"), F.concat(F.lit("Document "), i, F.lit(" of "), "source").alias("title"), F.concat((1 + F.col("doc_id") % 3).cast("string"), F.lit(".0")).alias("version"),
+        F.lit("txt").alias("file_type"), F.when(F.col("doc_id") % 2 == 0, "pending").otherwise("processed").alias("status"), "text")
+    files.write_corpus(texts, path)
+    return files.corpus(spark, path).select("file", "title", "version", "file_type", "status", F.length("text").cast("long").alias("length"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @query("a5_filtered_scan", "select o_orderkey, o_totalprice from orders where o_orderpriority = '1-URGENT' and o_totalprice >= 100000 and o_totalprice < 200000")
 def a5(spark, sf):
     return t.read(spark, sf, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice >= 100000 and o_totalprice < 200000").select("o_orderkey", "o_totalprice")

@@ -230,6 +230,15 @@ def h13_score_ranges(spark, sf):
     return o.score_ranges(o.scored(vectors(spark, sf), "vec_id", "v"))
 
 
+# Raw scores by arithmetic, many of them equal.
+@query("h13_flagged", """with raw as (select o_orderkey, -((o_orderkey * 7919) % 100003) / 100003.0::double - (o_custkey % 5) as raw from orders), cut as (select quantile_cont(raw, 0.1) as t from raw)
+select o_orderkey, round(raw - t, 9) + 0.0 as score, raw < t as is_anomaly from raw cross join cut""")
+def h13_flagged(spark, sf):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    raw = t.read(spark, sf, "orders").select("o_orderkey", (-((k * 7919) % 100003) / F.lit(100003.0) - (c % 5)).alias("raw"))
+    return o.flagged(raw).select("o_orderkey", (F.round("score", 9) + 0.0).alias("score"), "is_anomaly")
+
+
 @query("h14_top_anomalies", f"{W} select deviation_id, score from rows where is_anomaly order by score, deviation_id limit 10")
 def h14(spark, sf):
     return o.top_anomalies(labelled(spark, sf)).select("deviation_id", "score")
@@ -249,10 +258,14 @@ def h16(spark, sf):
     return s.anomalies(labelled(spark, sf))
 
 
-ALLOCATION = """sizes as (select cluster, count(*) as size from rows where not is_anomaly and cluster <> -1 group by cluster),
-dealt as (select cluster, size, least(greatest(1, round_even(size / (select sum(size) from sizes) * 75, 0)::int), size::int) as dealt from sizes),
-cut as (select *, greatest((select sum(dealt) from dealt) - 75, 0) as over, coalesce(sum(dealt - 1) over (order by dealt desc, cluster rows between unbounded preceding and 1 preceding), 0) as before from dealt),
-allocated as (select cluster, size, (dealt - greatest(0, least(dealt - 1, over - before)))::int as allocated from cut)"""
+def _allocation(budget: str) -> str:
+    return """sizes as (select cluster, count(*) as size from rows where not is_anomaly and cluster <> -1 group by cluster),
+dealt as (select cluster, size, least(greatest(1, round_even(size / (select sum(size) from sizes) * BUDGET, 0)::int), size::int) as dealt from sizes),
+cut as (select *, greatest((select sum(dealt) from dealt) - BUDGET, 0) as over, coalesce(sum(dealt - 1) over (order by dealt desc, cluster rows between unbounded preceding and 1 preceding), 0) as before from dealt),
+allocated as (select cluster, size, (dealt - greatest(0, least(dealt - 1, over - before)))::int as allocated from cut)""".replace("BUDGET", budget)
+
+
+ALLOCATION = _allocation("75")
 
 
 @query("h17_allocation", f"{W}, {ALLOCATION} select * from allocated")
@@ -304,7 +317,22 @@ def h21(spark, sf):
     return s.uncovered(*_small(spark, sf), F.col("officer_id"), "officer", 5)
 
 
-@query("h22_sampling_report")
+def _next(name: str, value: str, before: str, most: str = "") -> str:
+    """SQL of the first rows of values that what is chosen before doesn't cover, and of what is chosen then."""
+    firsts = f"select '{name}' as reason, min(deviation_id) as deviation_id from (select deviation_id, {value} as value from rows) where value is not null and value not in (select {value} from rows where deviation_id in (select deviation_id from {before}) and {value} is not null) group by value {most}"
+    return f"{name}_firsts as ({firsts}), with_{name} as (select deviation_id, reason from {before} union all select deviation_id, reason from {name}_firsts)"
+
+
+SAMPLED = f"""{_allocation("(2000 - (select count(*) from rows where is_anomaly))")}, {REPRESENTATIVES},
+chosen as (select deviation_id, 'anomaly' as reason from rows where is_anomaly union all select deviation_id, reason from representatives),
+{_next('severity', 'severity', 'chosen')}, {_next('period', PERIOD, 'with_severity')}, {_next('officer', 'officer_id', 'with_period', 'order by value limit 5')}"""
+REASONS = ("anomaly", "representative", "severity", "period", "officer")
+
+
+@query("h22_sampling_report", f"""{W}, {SAMPLED}, met as (select rows.* from rows join with_officer using (deviation_id))
+select (select count(*) from rows) as total, (select count(*) from with_officer) as selected, {", ".join(f"(select count(*) from with_officer where reason = '{x}') as {x}" for x in REASONS)},
+  (select count(distinct severity) from met) as severities, (select count(distinct cluster) from met where cluster <> -1) as clusters, (select count(distinct officer_id) from met) as officers,
+  round((select count(*) from rows) / (select count(*) from with_officer), 2) as compression""")
 def h22(spark, sf):
     rows = labelled(spark, sf)
     return s.report(rows, s.sampled(rows, target=2000))

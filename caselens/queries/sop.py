@@ -75,6 +75,33 @@ def c5(spark, sf):
     return s.rule_sets(rules(spark, sf))
 
 
+# Rule sets that are invalid in each way, and some that aren't: a set for each size of part.
+FAULTY = f"""faulty as (select p_size as sop_id, p_partkey as rule_id, case when p_size % 7 = 1 and p_partkey % 3 = 0 then null when p_size % 7 = 2 and p_partkey % 3 = 0 then 'custom' else {list(vocab.RULE_TYPES)}[p_partkey % 16 + 1] end as rule_type,
+  case when p_size % 7 = 3 and p_partkey % 3 = 0 then '  ' else p_brand end as rule_description, case when p_size % 7 = 4 and p_partkey % 3 = 0 then null when p_size % 7 = 5 and p_partkey % 3 = 0 then 'urgent' else {list(vocab.SEVERITIES)}[p_partkey % 4 + 1] end as severity from part)"""
+
+
+def faulty(spark, sf):
+    k, third, way = F.col("p_partkey"), F.col("p_partkey") % 3 == 0, F.col("p_size") % 7
+
+    def pick(values):
+        return F.get(F.array(*map(F.lit, values)), (k % len(values)).cast("int"))
+
+    return t.read(spark, sf, "part").select(
+        F.col("p_size").alias("sop_id"), k.alias("rule_id"), F.when((way == 1) & third, F.lit(None)).when((way == 2) & third, "custom").otherwise(pick(vocab.RULE_TYPES)).alias("rule_type"),
+        F.when((way == 3) & third, "  ").otherwise(F.col("p_brand")).alias("rule_description"), F.when((way == 4) & third, F.lit(None)).when((way == 5) & third, "urgent").otherwise(pick(vocab.SEVERITIES)).alias("severity"))
+
+
+@query("c5_invalid_sets", f"""with {FAULTY} select sop_id, count(*) as n_rules, bool_and(coalesce(rule_type in ({TYPES}) and severity in ('critical', 'high', 'medium', 'low') and trim(rule_description) <> '', false)) as is_valid from faulty group by sop_id""")
+def c5_invalid(spark, sf):
+    return s.rule_sets(faulty(spark, sf))
+
+
+@query("c5_rule_faults", f"""with {FAULTY}, found as (select sop_id, rule_id, unnest([case when rule_type is null then 'no rule_type' end, case when trim(rule_description) = '' then 'no rule_description' end, case when severity is null then 'no severity' end,
+  case when rule_type = 'custom' then 'unknown rule_type: custom' end, case when severity = 'urgent' then 'unknown severity: urgent' end]) as fault from faulty) select * from found where fault is not null""")
+def c5_faults(spark, sf):
+    return s.rule_faults(faulty(spark, sf))
+
+
 @query("c6_confidence", f"""{W} select sop_id, count(*) as n_rules, round(avg(least(0.5::double + case when step_number <> 0 then 0.15 else 0 end::double + case when rule_type = 'timing' and duration is not null then 0.1 else 0 end::double, 1)), 2) as confidence
 from rules group by sop_id""")
 def c6(spark, sf):

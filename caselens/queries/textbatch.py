@@ -88,8 +88,8 @@ def answers(spark, sf):
     return t.read(spark, sf, "events").select(F.col("event_id").alias("batch"), text.alias("answer"))
 
 
-@query("i7_parsed_answers", f"""with {ANSWERS} select batch, case batch % 5 when 0 then 's' || batch::varchar when 1 then 't' when 4 then 'u' else 'Pattern analysis not available' end as summary, (batch % 5 = 0)::int as n_patterns,
-  case when batch % 5 = 0 then 2 when batch % 5 in (2, 3) then 0 end::int as calls, case batch % 5 when 0 then 'check ' || e when 1 then '[high] do ' || e || '|[NORMAL] more' when 4 then '' else 'Enable a model for pattern analysis' end as recommendations,
+@query("i7_parsed_answers", f"""with {ANSWERS} select batch, case batch % 5 when 0 then 's' || batch::varchar when 1 then 't' when 4 then 'u' else 'unread' end as summary, (batch % 5 = 0)::int as n_patterns,
+  case when batch % 5 = 0 then 2 when batch % 5 in (2, 3) then 0 end::int as calls, case batch % 5 when 0 then 'check ' || e when 1 then '[high] do ' || e || '|[NORMAL] more' else '' end as recommendations,
   case when batch % 5 = 0 then 'a,b' end as officers, case when batch % 5 = 4 then e || '/high/y/z' end as rule, case when batch % 5 = 4 then 'i/2/m/fix ' || batch::varchar end as issue, case when batch % 5 = 4 then 'p/r/q' end as time_pattern,
   case when batch % 5 = 4 then 'w/3/33%' end as reason, case when batch % 5 = 4 then (batch % 7)::int when batch % 5 in (2, 3) then 0 end as unclear, case when batch % 5 = 4 then 9 when batch % 5 in (2, 3) then 0 end::int as analyzed from answers""")
 def i7(spark, sf):
@@ -115,7 +115,7 @@ select batches, (select sum(case batch % 5 when 0 then 2 when 1 then 1 when 4 th
   'Aggregated analysis from ' || batches::varchar || ' batches covering ' || analyzed::varchar || ' deviations' as summary,
   (select string_agg(e, ',' order by batch) from (select * from answers where batch % 5 = 0 order by batch limit 10)) as patterns,
   (select string_agg('fix ' || batch::varchar, ',' order by batch) from (select * from answers where batch % 5 = 4 order by batch limit 5)) as fixes,
-  (select string_agg(r, ',' order by batch, place) from (select * from (select batch, 0 as place, case batch % 5 when 0 then 'check ' || e when 1 then '[high] do ' || e else 'Enable a model for pattern analysis' end as r from answers where batch % 5 <> 4
+  (select string_agg(r, ',' order by batch, place) from (select * from (select batch, 0 as place, case batch % 5 when 0 then 'check ' || e when 1 then '[high] do ' || e end as r from answers where batch % 5 < 2
     union all select batch, 1, '[NORMAL] more' from answers where batch % 5 = 1) order by batch, place limit 10)) as recommendations from n""")
 def i8(spark, sf):
     rows = b.merged(b.parsed(answers(spark, sf), F.col("answer")).select("batch", "result"))

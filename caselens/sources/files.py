@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +76,46 @@ def export_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+#: Lines of a file that its head is looked for in, however large it is.
+HEAD_LINES = 200
+
+
+def head(spark: SparkSession, path: str, n: int = 3) -> DataFrame:
+    """(position, header, value) of the first n records of a CSV file, or of the first by name of a folder's, every column; what is read doesn't grow with the file.
+
+    The first HEAD_LINES lines are taken from the first split; values may hold line breaks and quotes. Blank lines are passed over; absent values are null.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = [x.getPath() for x in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+    first = min((str(x.toString()) for x in found if not x.getName().startswith(("_", "."))), default=None)
+    lines = [r["value"] for r in spark.read.text(first).limit(HEAD_LINES).collect()] if first else []
+    records = [r for r in csv.reader(io.StringIO("\n".join(lines).removeprefix(BOM))) if r]
+    names, rows = (records[0], records[1 : n + 1]) if records else ([], [])
+    cells = [(i, c, row[k] if k < len(row) else None) for i, row in enumerate(rows) for k, c in enumerate(names)]
+    return spark.createDataFrame(cells, "position int, header string, value string")
+
+
+#: Separates the texts of a corpus file, and what stands for it, and for itself, within a text.
+BETWEEN, ESCAPE = "\x1e", "\x1a"
+ENTRY = "file string, title string, version string, file_type string, status string"
+
+
+def write_corpus(texts: DataFrame, path: str) -> None:
+    """Texts (file, title, version, file_type, status, text) in a few files, many texts in each, which readers can split between texts."""
+    whole = F.concat(F.to_json(F.struct(*[c.split()[0] for c in ENTRY.split(", ")])), F.lit("\n"), F.coalesce("text", F.lit("")))
+    safe = F.replace(F.replace(whole, F.lit(ESCAPE), F.lit(f"{ESCAPE}0")), F.lit(BETWEEN), F.lit(f"{ESCAPE}1"))
+    texts.select(safe.alias("value")).write.mode("overwrite").option("lineSep", BETWEEN).text(path)
+
+
+def corpus(spark: SparkSession, path: str) -> DataFrame:
+    """(file, title, version, file_type, status, text) of the texts of corpus files; a null text has come back empty."""
+    whole = spark.read.option("lineSep", BETWEEN).text(path)
+    plain = F.replace(F.replace("value", F.lit(f"{ESCAPE}1"), F.lit(BETWEEN)), F.lit(f"{ESCAPE}0"), F.lit(ESCAPE))
+    cut = F.locate("\n", "value")
+    rows = whole.withColumn("value", plain).where("value != ''")
+    return rows.select(F.from_json(F.substring("value", F.lit(1), cut - 1), ENTRY).alias("entry"), F.substring("value", cut + 1, F.length("value")).alias("text")).select("entry.*", "text")
+
+
 def sop_texts(spark: SparkSession, path: str, version: str = "1.0") -> DataFrame:
     """Procedure texts of a folder, one row a file, with name, version, type and status, and the columns that its folders name."""
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)

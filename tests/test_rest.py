@@ -215,7 +215,7 @@ def test_saved_reports_are_read_back_whole(spark):
         return {k: there(v) for k, v in x.items() if v is not None} if isinstance(x, dict) else [there(v) for v in x] if isinstance(x, list) else x
 
     assert there(rows[0]) == report and there(rows[1]) == merged
-    assert rows[2]["overall_summary"] == "Pattern analysis not available" and rows[2]["api_calls_made"] == 0 and rows[2]["hidden_rules"] == []
+    assert rows[2]["overall_summary"] == "unread" and rows[2]["api_calls_made"] == 0 and rows[2]["hidden_rules"] == []
     assert rows[3]["recommendations"] == ["[high] x", '[NORMAL] {"text":"y"}', "z"]
 
 
