@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselens.functions import vocab
@@ -17,6 +17,8 @@ from caselens.operators.textbatch import numbered
 
 CONTEXT = "struct<missing_step:string,step_1:string,step_2:string,unexpected_step:string,approval_type:string,issue:string,duration_hours:double,gap_days:double>"
 COLUMNS = ("case_id", "officer_id", "deviation_type", "severity", "description", "expected_behavior", "actual_behavior", "context")
+#: Sequence rules that are put in order by one task.
+FEW_RULES = 10_000
 HOUR_US, DAY_US = 3_600_000_000, 86_400_000_000
 
 
@@ -45,7 +47,11 @@ def expected_sequence(rules: DataFrame) -> DataFrame:
     """
     named = rules.where(F.col("rule_type") == "sequence").select("step_number", "rule_id", step_named(F.col("rule_description")).alias("step_name"))
     placed = named.where("step_name is not null").select(F.struct(F.coalesce("step_number", F.lit(999)).alias("step_number"), "rule_id").alias("place"), "step_name")
-    found = numbered(placed, "place").select(F.col("position").cast("int").alias("idx"), "step_name")
+    if placed.limit(FEW_RULES + 1).count() <= FEW_RULES:
+        ordered = placed.withColumn("position", F.row_number().over(Window.orderBy("place")) - 1)  # FEW_RULES rows at most
+    else:
+        ordered = numbered(placed, "place")
+    found = ordered.select(F.col("position").cast("int").alias("idx"), "step_name")
     counts = named.agg(F.count(F.lit(1)).alias("rules"), F.count("step_name").alias("named"))
     standard = counts.where("rules > 0 and named = 0").select(F.posexplode(F.array(*map(F.lit, vocab.STANDARD_STEPS))).alias("idx", "step_name"))
     return found.unionByName(standard)
