@@ -35,16 +35,20 @@ def few(df: DataFrame, rows: int = 200_000) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of edges (a, b), comp being the smallest node that can be reached.
 
-    Every node takes the smallest label around it, then the label of its label, until none changes.
+    In turns, every node hands its larger neighbours, then its smaller ones, to the smallest node that it knows, until nothing changes. The rounds grow with
+    the logarithm of the longest way; a node with very many neighbours is only summed up.
     """
-    both = kept(edges.union(edges.select("b", "a")).toDF("node", "other").distinct())
-    labels = kept(both.select("node").distinct().withColumn("comp", F.col("node")))
+    ways = kept(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    seen = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("other"), "comp"), "other").groupBy("node").agg(F.min("comp").alias("low"))
-        lower = labels.join(near, "node").select("node", F.least("comp", "low").alias("comp"), F.col("comp").alias("was"))
-        jumped = lower.join(labels.select(F.col("node").alias("comp"), F.col("comp").alias("next")), "comp", "left")
-        now = kept(jumped.select("node", F.least("comp", F.coalesce("next", "comp")).alias("comp"), "was"))
-        changed = now.where("comp != was").limit(1).count()
-        labels = now.drop("was")
-        if not changed:
-            return labels
+        both = ways.unionByName(ways.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        larger = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = larger.groupBy("u").agg(F.min("v").alias("m"))
+        smaller = larger.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        ways = kept(smaller.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        now = tuple(ways.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == seen:
+            alone = edges.where(F.col("a") == F.col("b")).select(F.col("a").alias("u")).distinct().join(ways, "u", "left_anti").select("u", F.col("u").alias("v"))
+            return ways.unionByName(ways.select(F.col("v").alias("u"), "v").distinct()).unionByName(alone).distinct().toDF("node", "comp")
+        seen = now

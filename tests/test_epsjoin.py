@@ -84,3 +84,23 @@ def test_the_choice_of_a_method(spark):
     found, method = clusters.clustered(table(spark, r.normal(size=(60, 30))), "id", "v")
     assert method == "kmeans" and found.count() == 60
     assert clusters.clustered(table(spark, four[:9]), "id", "v")[1] == "single"
+
+
+def test_components_against_a_search(spark):
+    from caselens.plans.graphs import components
+
+    r = np.random.default_rng(4)
+    edges = [(int(a), int(b)) for a, b in r.integers(0, 400, (260, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, 5000)]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    for kind, made in (("long", edges), ("string", [(f"{a:05}", f"{b:05}") for a, b in edges])):
+        found = components(spark.createDataFrame(made, f"a {kind}, b {kind}")).collect()
+        assert {int(x["node"]): int(x["comp"]) for x in found} == {x: root(x) for x in parent} and len(found) == len(parent)
