@@ -1,12 +1,14 @@
 """Approximate nearest neighbours by inverted lists and an adaptive scan over dimensions.
 
 Centroids are fitted on a bounded sample; every vector is put in the list of its nearest centroid, and each
-query probes the nearest lists. Within a list, vectors are rotated by one random orthogonal matrix and
+query probes the nearest lists: as many as hold the wanted share of the exact neighbours of some trial queries, which are searched for
+among all vectors. Within a list, vectors are rotated by one random orthogonal matrix and
 scanned in blocks of columns. After d of D columns a vector's partial squared distance, scaled by D / d,
 estimates the full one; if it exceeds the k-th best so far by more than a test with deviation
 eps / sqrt(d) allows, the vector is abandoned. What survives all columns gets its exact distance on the
 original components. A query's nearest list is scanned first; the k-th distance found there is the bound
-that all its other lists start with.
+that all its other lists start with. A list is passed over where nothing in it can be within that bound: its members lie no further
+from their centroid than its radius, and on that centroid's side of the plane between it and the query's own.
 
 Small lists share a cell and a large one is cut into several, so that a list holding a third of all vectors is
 many tasks, and a query travels once to a cell, not once to a list. Equal vectors are one entry with the
@@ -33,7 +35,8 @@ from caselens.llm.common import read_table, stage
 class Params:
     """k nearest; centroids from at most sample_rows rows (and sample_bytes); sqrt(n) lists, at most max_lists.
 
-    probe: share of the lists that a query probes, least_lists at least (all, if there are fewer). columns: width of a column block.
+    recall: share of the exact neighbours of `trials` queries that the probed lists must hold (1: all lists are probed); least_lists at least are probed
+    (all, if there are fewer). columns: width of a column block.
     eps: width of the test: at 1.0 evenly spread vectors of 64 components lose a hundredth of what the lists hold. together: rows that are
     scanned under one bound. chunk_rows, chunk_queries: vectors of a cell, and queries that meet them in a task.
     """
@@ -42,7 +45,8 @@ class Params:
     sample_rows: int = 20_000
     sample_bytes: int = 16 << 20
     max_lists: int = 4096
-    probe: float = 0.6
+    recall: float = 0.97
+    trials: int = 200
     least_lists: int = 32
     columns: int = 16
     eps: float = 1.0
@@ -63,10 +67,19 @@ def _far(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return (centroids**2).sum(axis=1) - 2 * (x @ centroids.T)
 
 
+def squared(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of x to each centroid."""
+    return _far(x, centroids) + (x**2).sum(axis=1)[:, None]
+
+
 def nearest_lists(x: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
     """Numbers of the n nearest centroids of each row of x."""
-    far = _far(x, centroids)
-    return np.argpartition(far, n - 1, axis=1)[:, :n] if n < len(centroids) else np.tile(np.arange(len(centroids)), (len(x), 1))
+    return nearest_of_rows(_far(x, centroids), n)
+
+
+def nearest_of_rows(gaps: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of the n smallest entries of each row (all, if there are fewer)."""
+    return np.argpartition(gaps, n - 1, axis=1)[:, :n] if n < gaps.shape[1] else np.tile(np.arange(gaps.shape[1]), (len(gaps), 1))
 
 
 def kmeans(x: np.ndarray, k: int, iterations: int, seed: int) -> np.ndarray:
@@ -107,6 +120,21 @@ def cells_of(sizes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     return first, cells
 
 
+def lists_for(places: np.ndarray, weights: np.ndarray, recall: float) -> int:
+    """The fewest nearest lists that hold so large a share of neighbours, each in the list at a place (from 0) of its query's order."""
+    order = np.argsort(places, kind="stable")
+    share = np.cumsum(weights[order]) / weights.sum()
+    return int(places[order][np.searchsorted(share, min(recall, share[-1]) - 1e-12)]) + 1
+
+
+def floors(far: np.ndarray, own: np.ndarray, centroids: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """Distances below which a query has nothing in each list; far: squared ones to the centroids, own: number of the nearest."""
+    between = np.sqrt(np.maximum(squared(centroids[own], centroids), 0))
+    nearest_of = np.take_along_axis(far, own[:, None], axis=1)
+    plane = np.where(between > 0, (far - nearest_of) / np.where(between > 0, 2 * between, 1), 0)
+    return np.maximum(np.sqrt(np.maximum(far, 0)) - radii, plane)
+
+
 class Cell:
     """Rows (list, ids, v) by list, rotated, in blocks of columns."""
 
@@ -183,6 +211,39 @@ def _found(ids: T.DataType) -> T.StructType:
     ])
 
 
+def _probes(index: DataFrame, asked: DataFrame, centroids: np.ndarray, p: Params) -> int:
+    """How many nearest lists hold the wanted share of the exact neighbours of some trial queries; every vector is held against those."""
+    if p.recall >= 1:
+        return len(centroids)
+    trials = asked.orderBy(F.xxhash64("id", F.lit(p.seed)), "id").limit(p.trials).collect()
+    own, x = [r["id"] for r in trials], np.array([r["v"] for r in trials], float)
+    width = p.k + 1  # one may be the query itself
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [np.full((len(x), width), np.inf), np.zeros((len(x), width), np.int32), np.zeros((len(x), width), np.int64)]
+        for b in (whole.slice(i, 4096) for whole in batches for i in range(0, whole.num_rows, 4096)):
+            gaps = squared(x, _matrix(b.column("v"), x.shape[1]))
+            near = nearest_of_rows(gaps, width)
+            ids, lists = b.column("ids"), b.column("list").to_numpy()
+            others = np.array([[sum(i != me for i in ids[j].as_py()) for j in row] for me, row in zip(own, near.tolist(), strict=True)])
+            both = [np.hstack(pair) for pair in zip(best, (np.take_along_axis(gaps, near, axis=1), lists[near], others), strict=True)]
+            order = np.argsort(np.where(both[2] > 0, both[0], np.inf), axis=1, kind="stable")[:, :width]
+            best = [np.take_along_axis(c, order, axis=1) for c in both]
+        trial, at = np.nonzero(np.isfinite(best[0]) & (best[2] > 0))
+        yield pa.RecordBatch.from_arrays([pa.array(trial.astype(np.int32)), *(pa.array(c[trial, at]) for c in best)], names=["trial", "gap", "list", "others"])
+
+    found = index.mapInArrow(exact, "trial int, gap double, list int, others long")
+    rank = F.row_number().over(Window.partitionBy("trial").orderBy("gap", "list"))
+    rows = found.withColumn("rank", rank).where(F.col("rank") <= p.k).orderBy("trial", "rank").collect()  # trials x k
+    order = np.argsort(np.argsort(squared(x, centroids), axis=1, kind="stable"), axis=1)
+    left, places, weights = [p.k] * len(x), [], []
+    for r in rows:
+        places.append(order[r["trial"], r["list"]])
+        weights.append(min(left[r["trial"]], r["others"]))
+        left[r["trial"]] -= weights[-1]
+    return lists_for(np.array(places), np.array(weights), p.recall) if any(weights) else len(centroids)
+
+
 def _search(rows: DataFrame, asked: DataFrame, d: int, p: Params) -> DataFrame | None:
     """Rows of _found for vectors of one length: at most k for each query and cell, and one without a vec_id that counts what was met there."""
     spark, ids, vector = rows.sparkSession, rows.schema["id"].dataType, rows.schema["v"].dataType
@@ -192,7 +253,6 @@ def _search(rows: DataFrame, asked: DataFrame, d: int, p: Params) -> DataFrame |
         return None
     n, n_asked = rows.count(), asked.count()
     centroids = kmeans(sample, min(p.max_lists, max(1, round(n**0.5))), p.iterations, p.seed)
-    probes = min(len(centroids), max(p.k + 1, p.least_lists, round(p.probe * len(centroids))))  # no list is empty: k candidates at least
 
     # No query needs more than the k + 1 smallest ids of equal vectors: one may be its own.
     smallest = F.dense_rank().over(Window.partitionBy("v").orderBy("id"))
@@ -201,13 +261,17 @@ def _search(rows: DataFrame, asked: DataFrame, d: int, p: Params) -> DataFrame |
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                at = nearest_lists(_matrix(b.column("v"), d), centroids, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(at[:, 0].astype(np.int32)), b.column(0), b.column(1)], names=["list", *b.schema.names])
-
-    index = stage(distinct.select("ids", "v").mapInArrow(put, T.StructType([T.StructField("list", T.IntegerType()), T.StructField("ids", T.ArrayType(ids)), T.StructField("v", vector)])), "lists")
-    sizes = np.zeros(len(centroids), np.int64)
-    for r in index.groupBy("list").count().toLocalIterator():  # a row a list: max_lists at most
-        sizes[r["list"]] = r["count"]
+                x = _matrix(b.column("v"), d)
+                at = nearest_lists(x, centroids, 1)[:, 0]
+                away = np.sqrt(((x - centroids[at]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(away), b.column(0), b.column(1)], names=["list", "away", *b.schema.names])
+
+    kinds = {"list": T.IntegerType(), "away": T.DoubleType(), "ids": T.ArrayType(ids), "v": vector}
+    index = stage(distinct.select("ids", "v").mapInArrow(put, T.StructType([T.StructField(*x) for x in kinds.items()])), "lists")
+    sizes, radii = np.zeros(len(centroids), np.int64), np.zeros(len(centroids))
+    for r in index.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).toLocalIterator():  # a row a list: max_lists at most
+        sizes[r["list"]], radii[r["list"]] = r["n"], r["radius"]
+    probes = min(len(centroids), max(p.k + 1, p.least_lists, _probes(index, asked, centroids, p)))  # no list is empty: k candidates at least
     first, cells = cells_of(sizes, p.chunk_rows)
     known = spark.createDataFrame([(i, int(f), int(c)) for i, (f, c) in enumerate(zip(first, cells, strict=True))], "list int, first int, cells int")
     cuts = max(1, -(-n_asked // p.chunk_queries))
@@ -221,16 +285,16 @@ def _search(rows: DataFrame, asked: DataFrame, d: int, p: Params) -> DataFrame |
         """Each query (id, key, v, bound) once for each cell that it probes, with the lists there, nearest first."""
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                far = _far(_matrix(b.column("v"), d), centroids)
+            for b in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
+                far = squared(_matrix(b.column("v"), d), centroids)
                 order = np.argsort(far, axis=1, kind="stable")[:, :probes]
-                order = order[:, :1] if nearest_only else order[:, 1:]
+                bound = b.column("bound").to_numpy()[:, None] * (1 + 1e-9) + 1e-12
+                reached = np.take_along_axis(floors(far, order[:, 0], centroids, radii), order, axis=1) <= bound
+                chosen = np.arange(order.shape[1]) == 0 if nearest_only else np.arange(order.shape[1]) > 0
                 at, cell, lists = [], [], []
-                for i, row in enumerate(order):
+                for i, (row, ok) in enumerate(zip(order, reached & chosen, strict=True)):
                     met: dict[int, list[int]] = {}
-                    for x in row.tolist():
+                    for x in row[ok].tolist():
                         for c in range(first[x], first[x] + cells[x]):
                             met.setdefault(c, []).append(x)
                     at += [i] * len(met)

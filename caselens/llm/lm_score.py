@@ -35,7 +35,7 @@ class Params:
 
     order: int = 3
     alpha: float = 0.4
-    least: int = 2
+    least: int = 1
     held_out: bool = False
     block_bytes: int = 6 << 20
     part_bytes: int = 4 << 20
@@ -268,16 +268,21 @@ def _rounded(found: DataFrame) -> DataFrame:
 
 
 def op10_lm_score(spark, sf_dir: str) -> DataFrame:
-    """Order 3 under the n-grams that all documents hold twice or more."""
-    return _rounded(scored(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    """Order 3, every document under all n-grams of all others."""
+    return _rounded(scored(read_table(spark, sf_dir, "documents").select("doc_id", "text"), p=Params(least=1, held_out=True)))
 
 
 def op10_lm_score_backoff(spark, sf_dir: str) -> DataFrame:
-    """Order 3, every document under the counts of all others."""
-    return _rounded(scored(read_table(spark, sf_dir, "documents").select("doc_id", "text"), p=Params(least=1, held_out=True))).drop("n_back")
+    """The scores alone."""
+    return op10_lm_score(spark, sf_dir).drop("n_back")
 
 
-OP10_SQL = r"""
+def op10_lm_score_cutoff(spark, sf_dir: str) -> DataFrame:
+    """Order 3 under the n-grams that all documents, the scored one included, hold twice or more."""
+    return _rounded(scored(read_table(spark, sf_dir, "documents").select("doc_id", "text"), p=Params(least=2)))
+
+
+OP10_CUTOFF_SQL = r"""
 with doc as (
   select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents
 ), tok as (
@@ -300,7 +305,7 @@ select d.doc_id, coalesce(n, 0)::bigint as n_words, coalesce(n_back, 0)::bigint
 from doc d left join sums using (doc_id)
 """
 
-OP10_BACKOFF_SQL = r"""
+OP10_SQL = r"""
 with doc as (
   select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents
 ), tok as (
@@ -315,10 +320,12 @@ with doc as (
 ), before as (
   select *, lag(n1) over (partition by doc_id order by i) as v1, lag(n2) over (partition by doc_id order by i) as v2 from others
 ), s as (
-  select doc_id, case when n3 > 0 then ln(n3 / v2)
+  select doc_id, i > 1 and not coalesce(case when a is not null then n3 else n2 end > 0, false) as back,
+    case when n3 > 0 then ln(n3 / v2)
     when n2 > 0 then ln(n2 / v1) + case when a is not null then ln(0.4) else 0 end
     else ln(case when n1 > 0 then n1 else 0.5 end / greatest(total, 1)) + least(i - 1, 2) * ln(0.4) end as s from before
-), sums as (select doc_id, count(*) as n, sum(s) as s from s group by doc_id)
-select d.doc_id, coalesce(n, 0)::bigint as n_words, round(coalesce(s, 0), 6) as log_score, case when n > 0 then round(s / n, 6) end as mean_log_score
+), sums as (select doc_id, count(*) as n, count(*) filter (back) as n_back, sum(s) as s from s group by doc_id)
+select d.doc_id, coalesce(n, 0)::bigint as n_words, coalesce(n_back, 0)::bigint as n_back, round(coalesce(s, 0), 6) as log_score, case when n > 0 then round(s / n, 6) end as mean_log_score
 from doc d left join sums using (doc_id)
 """
+OP10_BACKOFF_SQL = f"select * exclude (n_back) from ({OP10_SQL})"

@@ -39,6 +39,41 @@ def test_recall_and_abandoning_by_the_registered_query(spark, table):
     assert met <= len(rows) * len(true) and abandoned > 0.2 * met
 
 
+def clustered(n, d=32, clusters=60, seed=4):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((clusters, d)) * 3
+    return centres[rng.integers(0, clusters, n)] + rng.standard_normal((n, d)) * 0.3
+
+
+def test_clustered_vectors_probe_few_lists(spark):
+    x = clustered(6000)
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    true = brute(rows, [r for r in rows if r[0] % 100 == 0])
+    found = ann.nearest(df, df.where("vec_id % 100 = 0"), counts=True).collect()
+    hits = sum((r["query_id"], r["vec_id"]) in {(q, j) for q, best in true.items() for _, j in best} for r in found)
+    assert len(found) == 10 * len(true) and hits >= 0.9 * len(found)
+    assert np.mean([r["n_met"] for r in found if r["rank"] == 1]) < 0.1 * len(rows)
+
+
+def test_lists_for_a_share():
+    places, weights = np.array([0, 3, 1, 7]), np.array([4, 3, 2, 1])
+    assert [ann.lists_for(places, weights, r) for r in (0.4, 0.6, 0.61, 0.9, 0.91, 0.99)] == [1, 2, 4, 4, 8, 8]
+
+
+def test_no_member_of_a_list_is_nearer_than_its_floor():
+    x = clustered(800, d=6, clusters=9)
+    centroids = ann.kmeans(x, 25, 5, 1)
+    at = ann.nearest_lists(x, centroids, 1)[:, 0]
+    radii = np.array([np.sqrt(((x[at == i] - c) ** 2).sum(axis=1)).max() for i, c in enumerate(centroids)])
+    q = clustered(50, d=6, clusters=9, seed=5)
+    far = ann.squared(q, centroids)
+    low = ann.floors(far, far.argmin(axis=1), centroids, radii)
+    gaps = np.sqrt(((q[:, None] - x[None]) ** 2).sum(axis=2))
+    assert all((gaps[:, at == i] >= low[:, [i]] - 1e-9).all() for i in range(len(centroids)))
+    assert (low > 0).mean() > 0.5
+
+
 def test_repeated_ids_ties_and_lengths(spark):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [2.0, 0.0, 0.0]), (5, [2.0, 0.0, 1.0]), (6, [-1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -53,7 +88,7 @@ def test_ties_across_lists_go_to_the_smaller_id(spark):
 
     ring = [(i, [math.cos(i), math.sin(i)]) for i in range(1, 400)]
     df = spark.createDataFrame([(1000, [1e-9, 0.0]), *[(i + 2000, v) for i, v in ring], *ring], "vec_id long, embedding array<double>")
-    found = [r["vec_id"] for r in ann.nearest(df, df.where("vec_id = 1000"), p=ann.Params(probe=1.0, eps=50.0)).orderBy("rank").collect()]
+    found = [r["vec_id"] for r in ann.nearest(df, df.where("vec_id = 1000"), p=ann.Params(recall=1.0, eps=50.0)).orderBy("rank").collect()]
     true = brute([(r["vec_id"], r["embedding"]) for r in df.collect()], [(1000, [1e-9, 0.0])])
     assert found == [j for _, j in true[1000]]
 
@@ -67,7 +102,7 @@ def test_all_lists_and_a_wide_test_are_exact(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
     true = brute(rows, [r for r in rows if r[0] % 100 == 0])
-    found = ann.nearest(df, df.where("vec_id % 100 = 0"), p=ann.Params(probe=1.0, eps=50.0, chunk_rows=64, chunk_queries=2)).orderBy("query_id", "rank").collect()
+    found = ann.nearest(df, df.where("vec_id % 100 = 0"), p=ann.Params(recall=1.0, eps=50.0, chunk_rows=64, chunk_queries=2)).orderBy("query_id", "rank").collect()
     for q, best in true.items():
         assert [r["vec_id"] for r in found if r["query_id"] == q] == [j for _, j in best]
 

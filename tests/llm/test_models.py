@@ -11,7 +11,7 @@ from tests.conftest import SF
 from tests.llm.common import odd_documents
 
 
-def brute(texts, corpus, order=3, alpha=0.4, least=2, back=False):
+def brute(texts, corpus, order=3, alpha=0.4, least=1, back=False):
     """(words, score) of each text, and the words that step back; n-grams of two words or more that were counted less often than `least` are unseen."""
     grams = Counter()
     for t in corpus:
@@ -53,6 +53,10 @@ def test_backoff_scores_equal_sql(same_rows):
     same_rows(lm.op10_lm_score_backoff, lm.OP10_BACKOFF_SQL)
 
 
+def test_scores_of_counts_cut_off_equal_sql(same_rows):
+    same_rows(lm.op10_lm_score_cutoff, lm.OP10_CUTOFF_SQL)
+
+
 def test_backoff_on_the_other_documents(spark):
     texts = ["a b c a b d a b c", "a b c d", None, "b c a b", "zz a b", "", "zz a b", "b c d"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -63,10 +67,10 @@ def test_backoff_on_the_other_documents(spark):
             assert found[i]["n_words"] == n and math.isclose(found[i]["log_score"], s, abs_tol=1e-9)
 
 
-def test_the_registered_query_steps_back(spark):
+def test_a_cut_off_table_steps_back(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    rows = {r["doc_id"]: r for r in lm.op10_lm_score(spark, SF).collect()}
-    want = dict(zip(texts, brute(list(texts.values()), list(texts.values()), back=True), strict=True))
+    rows = {r["doc_id"]: r for r in lm.op10_lm_score_cutoff(spark, SF).collect()}
+    want = dict(zip(texts, brute(list(texts.values()), list(texts.values()), least=2, back=True), strict=True))
     assert {i: r["n_back"] for i, r in rows.items()} == {i: back for i, (_, _, back) in want.items()}
     assert sum(r["n_back"] > 0 for r in rows.values()) > len(rows) / 2
 
