@@ -104,3 +104,25 @@ def test_components_against_a_search(spark):
     for kind, made in (("long", edges), ("string", [(f"{a:05}", f"{b:05}") for a, b in edges])):
         found = components(spark.createDataFrame(made, f"a {kind}, b {kind}")).collect()
         assert {int(x["node"]): int(x["comp"]) for x in found} == {x: root(x) for x in parent} and len(found) == len(parent)
+
+
+def test_a_split_that_only_copies_is_not_made(spark, monkeypatch):
+    monkeypatch.setattr(epsjoin, "CELL", 100)
+    x = np.random.default_rng(3).normal(size=(600, 64))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    df = table(spark, x)
+    assert epsjoin.cells(df.withColumn("weight", F.lit(1)), 1.08).count() == 600  # every border is within eps: 32 copies each otherwise
+    a, b = np.nonzero(np.triu(squares(x) <= 1.08**2, 1))
+    assert {tuple(p) for p in epsjoin.pairs(df, 1.08).collect()} == set(zip(a.tolist(), b.tolist()))
+
+
+def test_a_dense_line_is_neither_copied_nor_counted_point_by_point(spark, monkeypatch):
+    monkeypatch.setattr(epsjoin, "CELL", 100)
+    r, rows = np.random.default_rng(4), []
+    met = epsjoin.blocks
+    monkeypatch.setattr(epsjoin, "blocks", lambda members: rows.append(members.count()) or met(members))
+    x = np.column_stack([np.repeat(np.arange(3.0) * 5, 500), r.uniform(0, 6, 1500)])
+    x = np.concatenate([x, [[2.5, 3.0], [0.4, -0.2], [10.0, 6.4]]])
+    found = {row["id"]: row["cluster"] for row in clusters.density_clusters(table(spark, x), "id", "v", eps=0.5).collect()}
+    assert [found[i] for i in range(len(x))] == brute_clusters(x, 0.5).tolist()
+    assert sum(rows) < 3 * len(x)
