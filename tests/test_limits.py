@@ -57,6 +57,27 @@ def test_bands_without_keys_and_keys_without_bands(spark, small):
     assert sorted(found, key=str) == [("a", 1.0), ("a", 2.0), ("b", 5.0), (None, None)]
 
 
+@pytest.mark.parametrize("chunk", [8, 60])
+def test_large_tables_in_many_chunks(spark, monkeypatch, chunk):
+    monkeypatch.setattr(limits, "CHUNK", chunk)
+    bands, rows = tables(3)
+    bands += [("a", None, None, DAY + datetime.timedelta(9), None, 500), ("b", float("nan"), None, None, None, 501), ("c", -0.0, float("inf"), None, DAY, 502)]
+    rows += [("b", float("nan"), DAY, 500), ("a", float("inf"), DAY, 501), ("c", 0.0, DAY, 502), ("c", -0.0, None, 503)]
+    table = spark.createDataFrame(bands, "product string, low double, high double, valid_from date, valid_to date, limit long")
+    df = spark.createDataFrame(rows, "kind string, x double, day date, limit0 long")
+    look = limits.Lookup(table, (("kind", "product"),), "x", "day")
+    found, wanted = (sorted(map(str, limits.with_limit(df, "limit", look, small).collect())) for small in (False, True))
+    assert found == wanted
+
+
+def test_lookups_dont_meet_all_bands_that_hold(spark):
+    table = spark.range(3000).select(F.col("id").alias("low"), F.lit(1e9).alias("high"), F.date_add(F.lit(DAY), (F.col("id") % 50).cast("int")).alias("valid_from"), F.col("id").alias("limit"))
+    df = spark.range(3000).select((F.col("id") + 3000).alias("x"), F.date_add(F.lit(DAY), (F.col("id") % 60).cast("int")).alias("day"))
+    found = limits.with_limit(df, "limit", limits.Lookup(table, value="x", at="day"), small=False)
+    assert found.where("limit = 2950 + least(datediff(day, '2024-01-01'), 49)").count() == 3000
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_the_size_of_a_table_decides(spark):
     one = spark.range(300).select(F.lit("a").alias("k"), F.col("id").alias("low"), (F.col("id") + 1).alias("high"), F.col("id").alias("limit"))
     assert not limits.is_small(limits.Lookup(one, (("k", "k"),), "x")) and limits.is_small(limits.Lookup(one.where("low < 200"), (("k", "k"),), "x"))
