@@ -34,23 +34,28 @@ KEPT = {"behavioral_patterns": 10, "hidden_rules": 5, "systemic_issues": 5, "tim
 PRICE_IN, PRICE_OUT = 0.003, 0.015
 
 
+def spans_of(devs: DataFrame, span_rows: int = 50_000) -> int:
+    """How many ranges keep about span_rows rows in each."""
+    return max(1, -(-devs.count() // span_rows))
+
+
 def numbered(devs: DataFrame, order: str = "deviation_id", spans: int | None = None, span_rows: int = 50_000) -> DataFrame:
     """devs with position, from 0 in the order of a column, without bringing all rows together.
 
-    Rows are dealt to ranges of the order, as many as keep about span_rows rows in each, and kept so; a position is the rows in
-    the ranges before, a sum over few counts, plus the place in the range.
+    Rows are dealt to ranges of the order, as many as keep about span_rows rows in each, put in order there by the task that gets them, and kept so; a position
+    is the rows in the ranges before, a sum over few counts, plus the place in the range.
     """
-    spans = spans or max(1, -(-devs.count() // span_rows))
-    ranged = kept(devs.repartitionByRange(spans, order).withColumn("__span", F.spark_partition_id()))
+    ranged = devs.repartitionByRange(spans or spans_of(devs, span_rows), order).sortWithinPartitions(order)
+    ranged = kept(ranged.withColumn("__row", F.monotonically_increasing_id()))  # the range in the upper 31 bits, the place in the lower 33
+    ranged = ranged.withColumns({"__span": F.shiftright("__row", 33), "__place": F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__row")
     counts = ranged.groupBy("__span").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select("__span", (F.sum("__n").over(Window.orderBy("__span")) - F.col("__n")).alias("__before"))  # spans rows
-    place = F.row_number().over(Window.partitionBy("__span").orderBy(order)) - 1
-    return ranged.withColumn("__place", place).join(F.broadcast(before), "__span").withColumn("position", F.col("__before") + F.col("__place")).drop("__span", "__place", "__before")
+    return ranged.join(F.broadcast(before), "__span").withColumn("position", F.col("__before") + F.col("__place")).drop("__span", "__place", "__before")
 
 
-def batched(devs: DataFrame, size: int = 100, order: str = "deviation_id") -> DataFrame:
+def batched(devs: DataFrame, size: int = 100, order: str = "deviation_id", spans: int | None = None) -> DataFrame:
     """devs with position and batch: `size` rows each, in order."""
-    return numbered(devs, order).withColumn("batch", F.floor(F.col("position") / size).cast("long"))
+    return numbered(devs, order, spans).withColumn("batch", F.floor(F.col("position") / size).cast("long"))
 
 
 def block(position: Column) -> Column:
@@ -68,8 +73,9 @@ def block(position: Column) -> Column:
 
 
 def batch_texts(devs: DataFrame, size: int = 100, order: str = "deviation_id") -> DataFrame:
-    """(batch, n, text): the blocks of each batch in order, a blank line between them."""
-    rows = batched(devs, size, order)
+    """(batch, n, text): the blocks of each batch in order, a blank line between them; as many tasks as ranges."""
+    spans = spans_of(devs)
+    rows = batched(devs, size, order, spans).repartition(spans, "batch")
     texts = rows.select("batch", "position", block(F.col("position") % size + 1).alias("block"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "block"))), lambda x: x["block"]), "\n\n")
     return texts.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), joined.alias("text"))

@@ -19,7 +19,7 @@ BLOCK = """'Deviation ' || (position % 100 + 1)::varchar || ':' || chr(10) || '-
 
 @query("i1_batches", f"with {BATCHED} select deviation_id, position, position // 100 as batch from batched")
 def i1(spark, sf):
-    return b.batched(t.deviations(spark, sf)).select("deviation_id", "position", "batch")
+    return b.batched(t.deviations(spark, sf).select("deviation_id")).select("deviation_id", "position", "batch")
 
 
 @query("i2_batch_texts", f"with {BATCHED} select position // 100 as batch, count(*) as n, string_agg({BLOCK}, chr(10) || chr(10) order by position) as text from batched group by 1")
