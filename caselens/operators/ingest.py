@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselens.functions import times, vocab
 from caselens.operators.textbatch import numbered
+from caselens.plans.graphs import spread
 
 FIELDS = tuple(name for name, _ in vocab.LOG_ALIASES)
 
@@ -61,14 +64,12 @@ def ingest_summary(rows: DataFrame, errors: int = 10) -> DataFrame:
 def header_mapping(headers: DataFrame, strict: bool = False) -> DataFrame:
     """(file, header, field) of rows (file, header): the first field with a pattern that equals the header or is part of it.
 
-    strict takes a field whose pattern equals the header before any whose pattern is only a part. The pattern table is small.
+    strict takes a field whose pattern equals the header before any whose pattern is only a part. Patterns are a fixed list, tried in one expression.
     """
-    patterns = [(i, name, p) for i, (name, words) in enumerate(vocab.HEADER_PATTERNS) for p in words]
-    table = headers.sparkSession.createDataFrame(patterns, "field_order int, field string, pattern string")
     h = F.lower(F.trim("header"))
-    met = headers.join(F.broadcast(table), h.contains(F.col("pattern")), "left")
-    exact = (h != F.col("pattern")).cast("int") if strict else F.lit(0)
-    return met.groupBy("file", "header").agg(F.min_by("field", F.struct(exact, "field_order")).alias("field"))
+    tried = [F.when(h.isin(*words), name) for name, words in vocab.HEADER_PATTERNS] if strict else []
+    tried += [F.when(reduce(Column.__or__, [h.contains(p) for p in words]), name) for name, words in vocab.HEADER_PATTERNS]
+    return spread(headers.select("file", "header"), "file").distinct().withColumn("field", F.coalesce(*tried))
 
 
 def mapping_check(mapping: DataFrame) -> DataFrame:
