@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselens.functions import times, vocab
+from caselens.plans.graphs import kept
+
+#: Rows of a cluster that are ranked together, at least.
+PART = 200_000
 
 
 def anomalies(rows: DataFrame) -> DataFrame:
@@ -30,13 +34,23 @@ def allocation(rows: DataFrame, budget: int) -> DataFrame:
 
 
 def representatives(rows: DataFrame, allocated: DataFrame) -> DataFrame:
-    """Half of each cluster's allocation nearest to its mean, one at least, the rest farthest; normal rows only."""
-    group = Window.partitionBy("cluster")
-    ranked = rows.where("not is_anomaly and cluster != -1").select(
-        "deviation_id", "cluster", F.row_number().over(group.orderBy("distance", "deviation_id")).alias("near"), F.row_number().over(group.orderBy(F.desc("distance"), "deviation_id")).alias("far"))
+    """Half of each cluster's allocation nearest to its mean, one at least, the rest farthest; normal rows only.
+
+    A cluster is dealt to parts first; a part passes on as many of its nearest and farthest as the largest allocation, so no task holds a whole cluster.
+    """
+    group, allocated = Window.partitionBy("cluster"), kept(allocated)
+    normal = rows.where("not is_anomaly and cluster != -1").select("deviation_id", "cluster", "distance")
+    most = allocated.agg(F.max("allocated")).first()[0] or 0
+    parts = max(1, normal.count() // max(PART, 50 * most))
+
+    def ranked(df: DataFrame, own) -> DataFrame:
+        return df.withColumns({"near": F.row_number().over(own.orderBy("distance", "deviation_id")), "far": F.row_number().over(own.orderBy(F.desc("distance"), "deviation_id"))})
+
+    dealt = normal.withColumn("part", F.pmod(F.hash("deviation_id"), F.lit(parts))).repartition(parts, "cluster", "part")
+    ends = ranked(dealt, Window.partitionBy("cluster", "part")).where((F.col("near") <= most) | (F.col("far") <= most))
     n = F.col("allocated")
     close = F.greatest(F.lit(1), F.floor(n / 2))
-    met = ranked.join(F.broadcast(allocated.select("cluster", "allocated")), "cluster").where((F.col("near") <= close) | (F.col("far") <= n - close))
+    met = ranked(ends.drop("part"), group).join(F.broadcast(allocated.select("cluster", "allocated")), "cluster").where((F.col("near") <= close) | (F.col("far") <= n - close))
     order = F.row_number().over(group.orderBy("deviation_id"))
     return met.withColumn("nth", order).where(F.col("nth") <= n).select("deviation_id", F.lit("representative").alias("reason"))
 
