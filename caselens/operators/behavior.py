@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselens.functions import times, vocab
+from caselens.plans.graphs import spread
 
 
 def _severities() -> list[Column]:
@@ -22,9 +23,14 @@ def weight(severity: Column) -> Column:
     return out
 
 
+def days_of(logs: DataFrame) -> DataFrame:
+    """(officer_id, day, case_id), each once, dealt to tasks before they are told apart, not a whole file to a task."""
+    return spread(logs.select("officer_id", F.to_date("ts").alias("day"), "case_id"), "officer_id", "day", "case_id").distinct()
+
+
 def workload(logs: DataFrame) -> DataFrame:
     """(officer_id, average_workload, peak_day, peak_cases): distinct cases a day over active days; the earliest of equal peaks."""
-    days = logs.groupBy("officer_id", F.to_date("ts").alias("day")).agg(F.count_distinct("case_id").alias("cases"))
+    days = days_of(logs).groupBy("officer_id", "day").agg(F.count("case_id").alias("cases"))
     peak = F.min_by("day", F.struct(-F.col("cases"), "day"))
     return days.groupBy("officer_id").agg(F.round(F.avg("cases"), 2).alias("average_workload"), F.date_format(peak, "yyyy-MM-dd").alias("peak_day"), F.max("cases").alias("peak_cases"))
 
@@ -36,7 +42,7 @@ def risk_score(weighted: Column, cases: Column) -> Column:
 
 def profiles(logs: DataFrame, devs: DataFrame) -> DataFrame:
     """A row for every officer with logs or deviations: cases, deviations, rate, workload, risk and most common deviation."""
-    done = logs.groupBy("officer_id").agg(F.count_distinct("case_id").alias("total_cases"))
+    done = spread(logs.select("officer_id", "case_id"), "officer_id", "case_id").distinct().groupBy("officer_id").agg(F.count("case_id").alias("total_cases"))
     kinds = devs.groupBy("officer_id", "deviation_type").agg(F.count(F.lit(1)).alias("n"), F.sum(weight(F.col("severity"))).alias("w"))
     best = F.min_by(F.concat("deviation_type", F.lit(" ("), F.col("n").cast("string"), F.lit(")")), F.struct(-F.col("n"), "deviation_type"))
     found = kinds.groupBy("officer_id").agg(F.sum("n").alias("deviation_count"), F.sum("w").alias("weighted"), best.alias("most_common_deviation"))
@@ -63,7 +69,7 @@ def _trigger(**fields: Column) -> Column:
 
 def workload_patterns(logs: DataFrame, devs: DataFrame, busy: int = 15, least: float = 2) -> DataFrame:
     """Officers who have more than `least` deviations a day, on average, on days with more than `busy` cases."""
-    cases = logs.groupBy("officer_id", F.to_date("ts").alias("day")).agg(F.count_distinct("case_id").alias("cases")).where(F.col("cases") > busy)
+    cases = days_of(logs).groupBy("officer_id", "day").agg(F.count("case_id").alias("cases")).where(F.col("cases") > busy)
     found = devs.groupBy("officer_id", F.to_date("detected_at").alias("day")).agg(F.count(F.lit(1)).alias("deviations"))
     days = cases.join(found, ["officer_id", "day"], "left").groupBy("officer_id").agg(
         F.count(F.lit(1)).alias("n"), F.avg("cases").alias("load"), F.avg(F.coalesce("deviations", F.lit(0))).alias("rate"))
