@@ -91,3 +91,17 @@ def test_corpus_files_hold_many_texts(spark, tmp_path):
     files.write_corpus(df.coalesce(2), str(tmp_path / "corpus"))
     assert len(list((tmp_path / "corpus").glob("part-*"))) == 2
     assert sorted(map(tuple, files.corpus(spark, str(tmp_path / "corpus")).collect())) == sorted((*r[:5], r[5] or "") for r in rows)
+
+
+def test_rare_pairs_are_left_out_before_they_are_counted(spark, monkeypatch):
+    r = random.Random(5)
+    texts = [(" ".join(f"w{min(int(r.expovariate(0.2)), 60)}" for _ in range(r.randrange(0, 30))),) for _ in range(200)] + [(None,), ("",)]
+    df = spark.createDataFrame(texts, "description string")
+    counted, seen = features._counted, []
+    monkeypatch.setattr(features, "_counted", lambda rows, found: seen.append(counted(rows, found)) or seen[-1])
+    few = features.vocabulary(df, terms=12).collect()
+    pruned = seen[1].count()
+    monkeypatch.setattr(features, "MANY", 0)
+    assert few == features.vocabulary(df, terms=12).collect() and len(few) == 12 and any(" " in x["term"] for x in few)
+    assert pruned < seen[3].count() / 2
+    assert features.vocabulary(df, terms=5000).count() > 100
