@@ -126,3 +126,19 @@ def test_a_dense_line_is_neither_copied_nor_counted_point_by_point(spark, monkey
     found = {row["id"]: row["cluster"] for row in clusters.density_clusters(table(spark, x), "id", "v", eps=0.5).collect()}
     assert [found[i] for i in range(len(x))] == brute_clusters(x, 0.5).tolist()
     assert sum(rows) < 3 * len(x)
+
+
+def test_starts_of_kmeans_step_together_to_the_centres_of_spark_ml(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.linalg import Vectors
+
+    x = np.random.default_rng(5).random((1000, 3))
+    df = spark.createDataFrame([(i, Vectors.dense(v)) for i, v in enumerate(x)], ["id", "features"]).coalesce(1).cache()
+    ml = [KMeans(k=6, seed=7 + i, maxIter=300, featuresCol="features", predictionCol="cluster").fit(df) for i in range(4)]
+    best = min(ml, key=lambda m: m.summary.trainingCost)
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    found, cost = clusters.kmeans(df, k=6, starts=4, seed=7)
+    assert jobs() - before < sum(m.summary.numIter for m in ml)  # each start had a job a step
+    assert cost == pytest.approx(best.summary.trainingCost)
+    assert found.select("id", "cluster").exceptAll(best.transform(df).select("id", "cluster")).count() == 0
