@@ -13,17 +13,23 @@ from caselens.functions import vocab
 
 STEPS = ("duplicates", "types", "missing", "text")
 REQUIRED = ("case_id", "officer_id", "deviation_type", "severity", "description")
+COUNTS = ("original_count", "duplicates_removed", "type_fixes", "missing_handled", "text_fields_normalized", "validation_errors", "final_count")
 TEXTS = ("description", "expected_behavior", "actual_behavior", "notes")
 #: White space by Unicode, as a class and one by one, and control characters.
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
 #: What `spaced` changes inside a text, besides two blanks in a row: white space that is not a blank, and control characters.
-UNEVEN = r"[\x00-\x1f\x7f-\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+UNEVEN = "".join(map(chr, [*range(0x20), *range(0x7F, 0xA1), 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+#: Rows that a task puts in order to find duplicates, and keys that a pass can hold to have more copies.
+HELD = 1_200_000
+TRACKED = 1000
 
 
 def stripped(c: Column) -> Column:
-    return F.btrim(c, F.lit(SPACES))
+    """Text without outer white space. Most texts have none and pass as they are: trimming by a list of characters costs microseconds a text."""
+    return F.when(F.substring(c, 1, 1).isin(*SPACES) | F.substring(c, -1, 1).isin(*SPACES), F.btrim(c, F.lit(SPACES))).otherwise(c)
 
 
 def spaced(c: Column) -> Column:
@@ -34,7 +40,7 @@ def spaced(c: Column) -> Column:
 def inner_spaced(c: Column) -> Column:
     """The same of a text that is stripped already; most texts are even and pass as they are."""
     even = F.regexp_replace(F.regexp_replace(c, f"{SPACE}+", " "), CONTROL, "")
-    return F.when(F.contains(c, F.lit("  ")) | c.rlike(UNEVEN), even).otherwise(c)
+    return F.when(F.contains(c, F.lit("  ")) | (F.translate(c, UNEVEN, "") != c), even).otherwise(c)
 
 
 def duplicate_key() -> list[Column]:
@@ -57,9 +63,22 @@ def marked_duplicates(devs: DataFrame, order_col: str, key: list[Column] | None
 
 
 def without_duplicates(devs: DataFrame, order_col: str, key: list[Column] | None = None) -> DataFrame:
-    """The rows that are no duplicates; of each key, a partition passes on one row at most."""
-    first = F.row_number().over(Window.partitionBy(*(key or duplicate_key())).orderBy(order_col))
-    return devs.withColumn("__first", first).where("__first = 1").drop("__first")
+    """The rows that are no duplicates.
+
+    Rows are dealt by their key to tasks of a bounded number each and put in order there alone: a sort before they are dealt would have to hold whole input
+    partitions. Keys with more copies than a task should hold are found by a sketch first; of those, a partition passes on one row at most.
+    """
+    names = [f"__key{i}" for i in range(len(key or duplicate_key()))]
+    rows = devs.withColumns(dict(zip(names, key or duplicate_key(), strict=True))).withColumn("__hash", F.xxhash64(*names))
+    n, tops = rows.agg(F.count(F.lit(1)), F.expr(f"approx_top_k(__hash, {TRACKED}, {10 * TRACKED})")).first()
+    hot = [r["item"] for r in tops or [] if r["count"] > HELD]
+    first = F.row_number().over(Window.partitionBy("__hash", *names).orderBy(order_col))
+    rest, tasks = rows.where(~F.col("__hash").isin(hot)) if hot else rows, -(-n // HELD)
+    rest = rest.repartition(tasks, "__hash") if tasks > int(devs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rest.repartition("__hash")
+    dealt = rest.withColumn("__first", first).where("__first = 1")
+    if hot:
+        dealt = dealt.unionByName(rows.where(F.col("__hash").isin(hot)).withColumn("__first", first).where("__first = 1"))
+    return dealt.drop("__first", "__hash", *names)
 
 
 def as_text(devs: DataFrame, columns: tuple[str, ...] = (*REQUIRED, *TEXTS[1:])) -> DataFrame:
@@ -101,13 +120,14 @@ def blank(c: Column) -> Column:
 
 
 def flagged(devs: DataFrame, order_col: str = "deviation_id", steps: tuple[str, ...] = STEPS) -> DataFrame:
-    """devs cleaned, every row still there, with is_duplicate, type_fixes, is_missing, text_fixes and validation_error.
+    """devs cleaned, every row still there, with is_duplicate, type_fixes, is_missing, text_fixes and validation_error."""
+    return checked(marked_duplicates(devs, order_col) if "duplicates" in steps else devs.withColumn("is_duplicate", F.lit(False)), steps)
 
-    Each value is cleaned once, in a projection of its own; what comes after compares the cleaned values.
-    """
+
+def checked(devs: DataFrame, steps: tuple[str, ...] = STEPS) -> DataFrame:
+    """devs with what `flagged` adds but is_duplicate. Each value is cleaned once, in a projection of its own; what comes after compares the cleaned values."""
     off, none = F.lit(False), F.lit(0)
-    out = marked_duplicates(devs, order_col) if "duplicates" in steps else devs.withColumn("is_duplicate", off)
-    out = as_text(out)
+    out = as_text(devs)
     stripped_of = {c: f"__{c}" for c in dict.fromkeys((*REQUIRED, *TEXTS))}
     out = out.withColumns({s: stripped(F.col(c)) for c, s in stripped_of.items()})
     if "types" in steps:
@@ -130,7 +150,8 @@ def flagged(devs: DataFrame, order_col: str = "deviation_id", steps: tuple[str,
         bare = {stripped_of[c]: F.when(empty(c), F.lit("Not specified")).otherwise(F.col(stripped_of[c])) for c in ("expected_behavior", "actual_behavior")}
         out = out.withColumns(filled | bare | {"notes": F.coalesce("notes", F.lit("")), "__notes": F.coalesce("__notes", F.lit(""))})
     if "text" in steps:
-        out = out.withColumns({stripped_of[c]: inner_spaced(F.col(stripped_of[c])) for c in TEXTS})
+        even = F.transform(F.array(*[stripped_of[c] for c in TEXTS]), inner_spaced)  # one function for all: written out for each, the code is slower than this
+        out = out.withColumn("__even", even).withColumns({stripped_of[c]: F.get("__even", F.lit(i)) for i, c in enumerate(TEXTS)}).drop("__even")
         changed = sum((F.coalesce(F.col(stripped_of[c]) != F.col(c), off).cast("int") for c in TEXTS), none)
         out = out.withColumn("text_fixes", changed).withColumns({c: F.col(stripped_of[c]) for c in TEXTS})
     else:
@@ -140,13 +161,22 @@ def flagged(devs: DataFrame, order_col: str = "deviation_id", steps: tuple[str,
     return out.drop(*[c for c in stripped_of.values() if c.startswith("__")])
 
 
-def _kept() -> Column:
-    return ~F.col("is_duplicate") & ~F.col("is_missing")
+def _valid() -> Column:
+    return ~F.col("is_missing") & F.col("validation_error").isNull()
+
+
+def _fresh(devs: DataFrame, order_col: str, steps: tuple[str, ...], columns: list[str]) -> DataFrame:
+    """Columns of the checked rows that are no duplicates: rows are checked before they are dealt, so that only these columns and the key travel."""
+    if "duplicates" not in steps:
+        return checked(devs, steps).select(columns)
+    names = [f"__of{i}" for i in range(len(duplicate_key()))]
+    rows = checked(devs.withColumns(dict(zip(names, duplicate_key(), strict=True)) | {"__order": F.col(order_col)}), steps).select(*columns, *names, "__order")
+    return without_duplicates(rows, "__order", [F.col(c) for c in names]).select(columns)
 
 
 def cleaned(devs: DataFrame, order_col: str = "deviation_id", steps: tuple[str, ...] = STEPS) -> DataFrame:
     """The rows of devs that pass every step, cleaned, with the columns of devs."""
-    return flagged(devs, order_col, steps).where(_kept() & F.col("validation_error").isNull()).select(*devs.columns)
+    return _fresh(devs, order_col, steps, [*devs.columns, "is_missing", "validation_error"]).where(_valid()).select(*devs.columns)
 
 
 def rejected(devs: DataFrame, order_col: str = "deviation_id", steps: tuple[str, ...] = STEPS) -> DataFrame:
@@ -157,13 +187,13 @@ def rejected(devs: DataFrame, order_col: str = "deviation_id", steps: tuple[str,
 
 def report(devs: DataFrame, order_col: str = "deviation_id", steps: tuple[str, ...] = STEPS) -> DataFrame:
     """One row: rows before, what each step did, rows after, and the share kept. A step counts what the ones before it left."""
-    row, fresh = flagged(devs, order_col, steps), ~F.col("is_duplicate")
-    counts = row.agg(
-        F.count(F.lit(1)).alias("original_count"), F.count_if("is_duplicate").alias("duplicates_removed"),
-        F.coalesce(F.sum(F.when(fresh, F.col("type_fixes"))), F.lit(0)).cast("long").alias("type_fixes"), F.count_if(fresh & F.col("is_missing")).alias("missing_handled"),
-        F.coalesce(F.sum(F.when(_kept(), F.col("text_fixes"))), F.lit(0)).cast("long").alias("text_fields_normalized"),
-        F.count_if(_kept() & F.col("validation_error").isNotNull()).alias("validation_errors"), F.count_if(_kept() & F.col("validation_error").isNull()).alias("final_count"),
+    row, filled = _fresh(devs, order_col, steps, ["type_fixes", "is_missing", "text_fixes", "validation_error"]), ~F.col("is_missing")
+    of_fresh = row.agg(
+        F.count(F.lit(1)).alias("fresh"), F.coalesce(F.sum("type_fixes"), F.lit(0)).cast("long").alias("type_fixes"), F.count_if("is_missing").alias("missing_handled"),
+        F.coalesce(F.sum(F.when(filled, F.col("text_fixes"))), F.lit(0)).cast("long").alias("text_fields_normalized"),
+        F.count_if(filled & F.col("validation_error").isNotNull()).alias("validation_errors"), F.count_if(_valid()).alias("final_count"),
     )
+    counts = devs.agg(F.count(F.lit(1)).alias("original_count")).crossJoin(of_fresh).withColumn("duplicates_removed", F.col("original_count") - F.col("fresh")).select(*COUNTS)
     share = F.when(F.col("original_count") > 0, F.round(100.0 * F.col("final_count") / F.col("original_count"), 2)).otherwise(0.0)
     return counts.withColumn("retained_pct", share)
 

@@ -57,3 +57,26 @@ def test_a_hot_duplicate_key(spark):
     twice = devs.union(devs)  # rows alike throughout: one of them stays
     assert clean.marked_duplicates(twice, "n").where("not is_duplicate").count() == 11 == clean.without_duplicates(twice, "n").count()
     assert "WindowGroupLimit" in clean.without_duplicates(devs, "n")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_are_dealt_before_they_are_put_in_order_and_hot_keys_after(spark, monkeypatch):
+    devs = spark.range(3000).select(F.col("id").alias("n"), F.when(F.col("id") < 2000, "same").otherwise((F.col("id") % 700).cast("string")).alias("case_id"), F.lit("o").alias("officer_id"), F.lit("t").alias("deviation_type")).repartition(5)
+    expected = sorted({("same" if i < 2000 else str(i % 700)): i for i in range(2999, -1, -1)}.values())
+
+    def found():
+        df = clean.without_duplicates(devs, "n")
+        return sorted(r["n"] for r in df.collect()), "Partial" in df._jdf.queryExecution().executedPlan().toString()
+
+    assert found() == (expected, False)  # no sort of input partitions
+    monkeypatch.setattr(clean, "HELD", 100)
+    assert found() == (expected, True)  # of the hot key, a partition passes on one row
+
+
+def test_a_report_deals_flags_and_keys_but_no_texts(spark):
+    devs = spark.range(40).select(
+        F.col("id").cast("string").alias("deviation_id"), (F.col("id") % 30).cast("string").alias("case_id"), F.lit("o").alias("officer_id"), F.lit("t t").alias("deviation_type"), F.lit("HI").alias("severity"),
+        F.lit("a  long text").alias("description"), F.lit(None).cast("string").alias("expected_behavior"), F.lit("x").alias("actual_behavior"), F.lit("n").alias("notes"))
+    report = clean.report(devs)
+    assert report.first().asDict() == {"original_count": 40, "duplicates_removed": 10, "type_fixes": 60, "missing_handled": 0, "text_fields_normalized": 30, "validation_errors": 0, "final_count": 30, "retained_pct": 75.0}
+    assert all("description" not in line for line in report._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in line or "Window" in line)
+    assert report._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
