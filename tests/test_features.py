@@ -105,3 +105,39 @@ def test_rare_pairs_are_left_out_before_they_are_counted(spark, monkeypatch):
     assert few == features.vocabulary(df, terms=12).collect() and len(few) == 12 and any(" " in x["term"] for x in few)
     assert pruned < seen[3].count() / 2
     assert features.vocabulary(df, terms=5000).count() > 100
+
+
+def test_pairs_of_many_words_as_frequent_as_the_last_are_left_out(spark, monkeypatch):
+    """Hundreds of words tie with the last of the list: the pairs that may enter are still a few, and none is lost."""
+    r = random.Random(8)
+    texts = [f"order {'aA' if i % 2 else 'z'}{i} deviates" for i in range(300) for _ in range(2 + i % 3)] + [f"zz{i % 3} common aa{i % 2}" for i in range(30)]
+    texts += [" ".join(r.choice(("common", "zz1", "b7", "b8", "odd")) for _ in range(r.randrange(9))) for _ in range(40)]
+    n, times, documents = len(texts), {}, {}
+    for text in texts:
+        words = text.lower().split()
+        found = words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+        for term in found:
+            times[term] = times.get(term, 0) + 1
+        for term in set(found):
+            documents[term] = documents.get(term, 0) + 1
+    counted, seen = features._counted, []
+    monkeypatch.setattr(features, "_counted", lambda rows, found: seen.append(counted(rows, found)) or seen[-1])
+    monkeypatch.setattr(features, "MANY", 110)
+    df = spark.createDataFrame([(x,) for x in texts], "description string")
+    for terms in (1, 3, 7, 12, 40, 100, 250, 2000):
+        for max_df in (0.3, 0.8, 1.0):
+            wanted = sorted(((-times[t], t) for t in times if documents[t] >= 2 and documents[t] <= max_df * n))[:terms]
+            assert [(-x["times"], x["term"]) for x in features.vocabulary(df, terms=terms, max_df=max_df).collect()] == wanted
+            if terms == 40:
+                assert seen[-1].count() < 100 < sum(" " in t for t in times) / 5
+
+
+@pytest.mark.parametrize("made", ["embedded", "texts"])
+def test_code_of_features_is_short_enough_to_be_compiled(spark, made):
+    """The JVM leaves methods of over 8000 bytes uncompiled."""
+    from caselens.queries.ml import h6
+
+    devs = t.deviations(spark, SF)
+    rows = h6(spark, SF) if made == "embedded" else features.Features(features.fitted_text(devs.limit(50)), [f"type {i}" for i in range(40)], [f"officer {i}" for i in range(40)]).transform(devs)
+    stages = rows._jdf.queryExecution().debug().codegenToSeq()
+    assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
