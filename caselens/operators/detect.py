@@ -6,7 +6,9 @@ profile of the case (a single grouped aggregation); checks on neighbouring steps
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,11 +27,25 @@ def _context(**fields) -> Column:
     return F.struct(*[fields.get(n, F.lit(None)).alias(n) for n in names]).cast(CONTEXT)
 
 
-def _deviations(df: DataFrame, kind: str, severity: str, description: Column, expected: Column, actual: Column, **context) -> DataFrame:
-    return df.select(
-        "case_id", "officer_id", F.lit(kind).alias("deviation_type"), F.lit(severity).alias("severity"), description.alias("description"),
-        expected.alias("expected_behavior"), actual.alias("actual_behavior"), _context(**context).alias("context"),
-    )
+class Told(NamedTuple):
+    """What a check says of a hit, from the hit's columns."""
+
+    deviation_type: str
+    severity: str
+    description: Column
+    expected_behavior: Column
+    actual_behavior: Column
+    context: dict[str, Column]
+
+
+def _told(hits: DataFrame, checks: dict[str, Told]) -> DataFrame:
+    """The deviations of hits, each told as its `check` does."""
+
+    def by_check(text: Callable[[Told], Column]) -> Column:
+        return reduce(lambda out, n: out.when(F.col("check") == n, text(checks[n])), list(checks)[1:], F.when(F.col("check") == next(iter(checks)), text(next(iter(checks.values())))))
+
+    told = {n: by_check(lambda c, n=n: F.lit(v) if isinstance(v := getattr(c, n), str) else v) for n in Told._fields[:-1]}
+    return hits.select("case_id", "officer_id", *[v.alias(n) for n, v in told.items()], by_check(lambda c: _context(**c.context)).alias("context"))
 
 
 def step_named(description: Column) -> Column:
@@ -84,84 +100,113 @@ def step_pairs(logs: DataFrame, long: int = LONG) -> DataFrame:
     )
 
 
+def _gates(rules: DataFrame, *kinds: str) -> DataFrame:
+    """One row: whether the rule table has a rule of each of the kinds."""
+    return F.broadcast(rules.agg(*[F.coalesce(F.bool_or(F.col("rule_type") == k), F.lit(False)).alias(f"has_{k}_rule") for k in kinds]))
+
+
 def _steps(expected: DataFrame) -> DataFrame:
-    return F.broadcast(expected.agg(F.array_distinct(F.collect_list("step_name")).alias("expected")).where(F.size("expected") > 0))
+    return F.broadcast(expected.agg(F.array_distinct(F.collect_list("step_name")).alias("expected")))
+
+
+def _on_cases(profiles: DataFrame, checks: tuple[str, ...], expected: DataFrame | None = None, rules: DataFrame | None = None, min_hours: float = 1.0) -> DataFrame:
+    """The hits of checks on cases, all from one pass over the profiles."""
+    step, hours = F.col("hit.step"), F.col("hours")
+    needed = {"manager": "Manager approval required before final approval", "final": "Final approval required to complete case"}
+    told = {
+        "missing_step": Told("missing_step", "high", F.concat(F.lit("Missing required step: "), step), F.concat(F.lit('Step "'), step, F.lit('" should be completed')),
+            F.concat(F.lit('Step "'), step, F.lit('" was skipped')), {"missing_step": step}),
+        "unexpected_step": Told("unexpected_step", "medium", F.concat(F.lit("Unexpected step performed: "), step), F.lit("Only standard SOP steps should be performed"),
+            F.concat(F.lit('Unexpected step "'), step, F.lit('" was performed')), {"unexpected_step": step}),
+        **{k: Told("missing_approval", "critical", F.lit(f"Missing {k} approval"), F.lit(text), F.lit(f"{k.capitalize()} approval step not found"), {"approval_type": F.lit(k)}) for k, text in needed.items()},
+        "rushed": Told("timing_violation", "medium", F.lit("Process completed too quickly"), F.lit("Proper review time required for each step"),
+            F.format_string("Process completed in %.1f hours", hours), {"duration_hours": hours, "issue": F.lit("rushed_process")}),
+    }
+
+    def hit(check: str, step: Column | None = None) -> Column:
+        return F.struct(F.lit(check).alias("check"), (F.lit(None).cast("string") if step is None else step).alias("step"))
+
+    hits = {
+        "missing_step": lambda: F.transform(F.array_except("expected", "steps"), lambda s: hit("missing_step", s)),
+        "unexpected_step": lambda: F.transform(F.when(F.size("expected") > 0, F.array_except("steps", "expected")).otherwise(F.array().cast("array<string>")), lambda s: hit("unexpected_step", s)),
+        **{k: lambda k=k: F.array(F.when(F.col("has_approval_rule") & ~F.col(f"has_{k}"), hit(k))) for k in needed},
+        "rushed": lambda: F.array(F.when(F.col("has_timing_rule") & (F.col("n_logs") >= 2) & (F.col("hours") < min_hours), hit("rushed"))),
+    }
+    rows = profiles
+    if "rushed" in checks:
+        rows = rows.withColumn("hours", F.timestamp_diff("MICROSECOND", F.col("first_ts"), F.col("last_ts")) / HOUR_US)
+    if expected is not None:
+        rows = rows.crossJoin(_steps(expected))
+    if rules is not None:
+        rows = rows.crossJoin(_gates(rules, "approval", "timing"))
+    found = rows.select("case_id", "officer_id", *(["hours"] if "rushed" in checks else []), F.explode(F.concat(*[hits[c]() for c in checks])).alias("hit")).where("hit is not null")
+    return _told(found.withColumn("check", F.col("hit.check")), {c: told[c] for c in checks})
+
+
+def _on_pairs(pairs: DataFrame, checks: tuple[str, ...], expected: DataFrame | None = None, rules: DataFrame | None = None, max_days: float = 7.0) -> DataFrame:
+    """The hits of checks on neighbouring steps, all from one pass over the pairs."""
+    a, b, days = F.col("step_1"), F.col("step_2"), F.col("days")
+    told = {
+        "wrong_order": Told("wrong_sequence", "high", F.concat(F.lit("Wrong step order: "), b, F.lit(" before "), a), F.concat(a, F.lit(" should come before "), b),
+            F.concat(b, F.lit(" was performed before "), a), {"step_1": a, "step_2": b}),
+        "long_gap": Told("timing_violation", "low", F.concat(F.lit("Long delay between "), a, F.lit(" and "), b), F.lit("Steps should be completed in timely manner"),
+            F.format_string("Gap of %.1f days between steps", days), {"step_1": a, "step_2": b, "gap_days": days}),
+    }
+    hits, rows = {"wrong_order": F.col("idx_1") > F.col("idx_2"), "long_gap": F.col("has_timing_rule") & (days > max_days)}, pairs
+    if "wrong_order" in checks:
+        place = expected.groupBy("step_name").agg(F.max("idx").alias("idx"))
+        for i in (1, 2):
+            rows = rows.join(F.broadcast(place.select(F.col("step_name").alias(f"step_{i}"), F.col("idx").alias(f"idx_{i}"))), f"step_{i}", "left")
+    if "long_gap" in checks:
+        rows = rows.withColumn("days", F.timestamp_diff("MICROSECOND", F.col("ts_1"), F.col("ts_2")) / DAY_US).crossJoin(_gates(rules, "timing"))
+    if len(checks) == 1:  # a filter, which is pushed down
+        return _told(rows.where(hits[checks[0]]).withColumn("check", F.lit(checks[0])), {checks[0]: told[checks[0]]})
+    found = rows.where(reduce(lambda x, y: x | y, [hits[c] for c in checks])).withColumn("check", F.explode(F.array(*[F.when(hits[c], c) for c in checks])))
+    return _told(found.where("check is not null"), {c: told[c] for c in checks})
 
 
 def missing_steps(profiles: DataFrame, expected: DataFrame) -> DataFrame:
     """missing_step: once for each expected step that a case lacks."""
-    lacking = profiles.crossJoin(_steps(expected)).select("case_id", "officer_id", F.explode(F.array_except("expected", "steps")).alias("step"))
-    step = F.col("step")
-    return _deviations(
-        lacking, "missing_step", "high", F.concat(F.lit("Missing required step: "), step), F.concat(F.lit('Step "'), step, F.lit('" should be completed')),
-        F.concat(F.lit('Step "'), step, F.lit('" was skipped')), missing_step=step)
+    return _on_cases(profiles, ("missing_step",), expected)
 
 
 def unexpected_steps(profiles: DataFrame, expected: DataFrame) -> DataFrame:
     """unexpected_step: once for each step of a case that the procedure doesn't have."""
-    extra = profiles.crossJoin(_steps(expected)).select("case_id", "officer_id", F.explode(F.array_except("steps", "expected")).alias("step"))
-    step = F.col("step")
-    return _deviations(
-        extra, "unexpected_step", "medium", F.concat(F.lit("Unexpected step performed: "), step), F.lit("Only standard SOP steps should be performed"),
-        F.concat(F.lit('Unexpected step "'), step, F.lit('" was performed')), unexpected_step=step)
+    return _on_cases(profiles, ("unexpected_step",), expected)
 
 
 def wrong_order(pairs: DataFrame, expected: DataFrame) -> DataFrame:
     """wrong_sequence: each pair of neighbouring expected steps that stands the wrong way round; of a repeated expected step the last place counts."""
-    place = expected.groupBy("step_name").agg(F.max("idx").alias("idx"))
-    one, two = (F.broadcast(place.select(F.col("step_name").alias(f"step_{i}"), F.col("idx").alias(f"idx_{i}"))) for i in (1, 2))
-    met = pairs.join(one, "step_1").join(two, "step_2").where("idx_1 > idx_2")
-    a, b = F.col("step_1"), F.col("step_2")
-    return _deviations(
-        met, "wrong_sequence", "high", F.concat(F.lit("Wrong step order: "), b, F.lit(" before "), a), F.concat(a, F.lit(" should come before "), b),
-        F.concat(b, F.lit(" was performed before "), a), step_1=a, step_2=b)
+    return _on_pairs(pairs, ("wrong_order",), expected)
 
 
 def missing_approvals(profiles: DataFrame, rules: DataFrame, kinds: tuple[str, ...] = ("manager", "final")) -> DataFrame:
     """missing_approval: cases without a manager's or without a final approval step, where there is an approval rule."""
-    expected = {"manager": "Manager approval required before final approval", "final": "Final approval required to complete case"}
-    gated = has_rule(profiles, rules, "approval")
-    found = [
-        _deviations(
-            gated.where(~F.col(f"has_{k}")), "missing_approval", "critical", F.lit(f"Missing {k} approval"), F.lit(expected[k]),
-            F.lit(f"{k.capitalize()} approval step not found"), approval_type=F.lit(k))
-        for k in kinds
-    ]
-    return reduce(DataFrame.unionByName, found)
+    return _on_cases(profiles, kinds, rules=rules)
 
 
 def rushed_cases(profiles: DataFrame, rules: DataFrame, min_hours: float = 1.0) -> DataFrame:
     """timing_violation: cases of two logs or more done in less than min_hours, where there is a timing rule."""
-    hours = F.timestamp_diff("MICROSECOND", F.col("first_ts"), F.col("last_ts")) / HOUR_US
-    met = has_rule(profiles, rules, "timing").withColumn("hours", hours).where((F.col("n_logs") >= 2) & (F.col("hours") < min_hours))
-    return _deviations(
-        met, "timing_violation", "medium", F.lit("Process completed too quickly"), F.lit("Proper review time required for each step"),
-        F.format_string("Process completed in %.1f hours", "hours"), duration_hours=F.col("hours"), issue=F.lit("rushed_process"))
+    return _on_cases(profiles, ("rushed",), rules=rules, min_hours=min_hours)
 
 
 def long_gaps(pairs: DataFrame, rules: DataFrame, max_days: float = 7.0) -> DataFrame:
     """timing_violation: more than max_days between neighbouring steps, where there is a timing rule."""
-    days = F.timestamp_diff("MICROSECOND", F.col("ts_1"), F.col("ts_2")) / DAY_US
-    met = has_rule(pairs, rules, "timing").withColumn("days", days).where(F.col("days") > max_days)
-    a, b = F.col("step_1"), F.col("step_2")
-    return _deviations(
-        met, "timing_violation", "low", F.concat(F.lit("Long delay between "), a, F.lit(" and "), b), F.lit("Steps should be completed in timely manner"),
-        F.format_string("Gap of %.1f days between steps", "days"), step_1=a, step_2=b, gap_days=F.col("days"))
+    return _on_pairs(pairs, ("long_gap",), rules=rules, max_days=max_days)
 
 
 CHECKS = ("sequence", "approval", "timing")
+OF_CASES = {"sequence": ("missing_step", "unexpected_step"), "approval": ("manager", "final"), "timing": ("rushed",)}
+OF_PAIRS = {"sequence": ("wrong_order",), "timing": ("long_gap",)}
 
 
 def detect(logs: DataFrame, rules: DataFrame, checks: tuple[str, ...] = CHECKS) -> DataFrame:
-    """All deviations of the chosen checks. rule_id is there for rules that name one; these checks don't."""
-    expected, profiles, pairs = expected_sequence(rules), case_profiles(logs), step_pairs(logs)
-    found = []
-    if "sequence" in checks:
-        found += [missing_steps(profiles, expected), wrong_order(pairs, expected), unexpected_steps(profiles, expected)]
-    if "approval" in checks:
-        found.append(missing_approvals(profiles, rules))
-    if "timing" in checks:
-        found += [rushed_cases(profiles, rules), long_gaps(pairs, rules)]
+    """All deviations of the chosen checks, from one shuffle of profiles and one of neighbours. rule_id is there for rules that name one; these checks don't."""
+    on_cases, on_pairs = (tuple(n for c in CHECKS if c in checks for n in of.get(c, ())) for of in (OF_CASES, OF_PAIRS))
+    expected = expected_sequence(rules) if "sequence" in checks else None
+    found = [_on_cases(case_profiles(logs), on_cases, expected, rules)]
+    if on_pairs:
+        found.append(_on_pairs(step_pairs(logs), on_pairs, expected, rules))
     return reduce(DataFrame.unionByName, found).withColumn("rule_id", F.lit(None).cast("long"))
 
 

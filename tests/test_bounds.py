@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from caselens.operators import behavior, ingest, textbatch
+from caselens.operators import behavior, detect, ingest, textbatch
 from caselens.operators.ml import sampling
 from caselens.sources import tables as t
 from tests.conftest import SF
@@ -48,3 +48,19 @@ def test_cases_of_a_day_are_dealt_before_they_are_counted(spark):
     assert "REPARTITION_BY_NUM" in plan(found) and "count(distinct" not in plan(found)
     n = {(r["officer_id"], r["cases"]) for r in logs.groupBy("officer_id", F.to_date("ts").alias("day")).agg(F.count_distinct("case_id").alias("cases")).groupBy("officer_id").agg(F.max("cases").alias("cases")).collect()}
     assert {(r["officer_id"], r["peak_cases"]) for r in found.collect()} == n
+
+
+def test_all_checks_read_the_logs_twice(spark):
+    rules = t.rules(spark)
+    found = detect.detect(t.order_logs(spark, SF), rules)
+    assert plan(found).count("FileScan parquet") == 2  # profiles of cases, and what follows what
+    profiles, pairs, expected = detect.case_profiles(t.order_logs(spark, SF)), detect.step_pairs(t.order_logs(spark, SF)), detect.expected_sequence(rules)
+    single = [detect.missing_steps(profiles, expected), detect.unexpected_steps(profiles, expected), detect.missing_approvals(profiles, rules), detect.rushed_cases(profiles, rules), detect.wrong_order(pairs, expected), detect.long_gaps(pairs, rules)]
+    apart = single[0]
+    for other in single[1:]:
+        apart = apart.unionByName(other)
+    found = found.drop("rule_id")
+    assert found.count() == apart.count() > 0 and not found.exceptAll(apart).take(1)
+    for gone, types in (("approval", {"missing_approval"}), ("timing", {"timing_violation"}), ("sequence", {"missing_step", "wrong_sequence", "unexpected_step"})):
+        less = detect.detect(t.order_logs(spark, SF), rules.where(F.col("rule_type") != gone)).drop("rule_id")
+        assert less.count() == found.where(~F.col("deviation_type").isin(*types)).count()
