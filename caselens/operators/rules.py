@@ -29,13 +29,14 @@ class OnRows(NamedTuple):
 
 
 class OnCases(NamedTuple):
-    """Cases whose aggregates fulfil hit. details: instead of one hit, several (officer_id, detail), null where there is none."""
+    """Cases whose aggregates fulfil hit. details: instead of one hit, several (officer_id, detail), null where there is none; given: what is computed on rows first, by name."""
 
     aggregates: dict[str, Column]
     hit: Column | None = None
     detail: Column | None = None
     details: tuple[Column, ...] = ()
     looks: dict[str, Lookup] = {}
+    given: dict[str, Column] = {}
 
 
 Rule = Callable[..., "OnRows | OnCases | DataFrame"]
@@ -83,7 +84,9 @@ def apply_rules(logs: DataFrame, names: Iterable[str] | None = None, **limits: d
         parts.append(_hits(logs.withColumns({c: x for r in along.values() for c, x in r.columns.items()}), along))
     if on_cases:
         first = F.min_by("officer_id", F.struct("ts", "log_seq")).alias("officer_id")
-        cases = logs.groupBy("case_id").agg(first, *[x.alias(c) for c, x in {c: x for r in on_cases.values() for c, x in r.aggregates.items()}.items()])
+        # Rows are dealt by case first, as sets and texts that are grouped before the shuffle are sorted, and spilled, by every map task.
+        rows = logs.withColumns({c: x for r in on_cases.values() for c, x in r.given.items()}).repartition("case_id")
+        cases = rows.groupBy("case_id").agg(first, *[x.alias(c) for c, x in {c: x for r in on_cases.values() for c, x in r.aggregates.items()}.items()])
         parts.append(_hits(cases, on_cases))
     return reduce(DataFrame.unionByName, parts)
 
@@ -173,16 +176,17 @@ def self_approval(logs):
 @rule("escalation_missing", "high")
 def escalation_missing(logs):
     """High-risk cases without an escalated approval."""
-    found = {"risky": F.bool_or(F.col("risk_grade") == "high"), "escalated": F.bool_or(F.col("approval_level") == "escalated")}
-    return OnCases(found, F.col("risky") & ~F.coalesce("escalated", F.lit(False)), F.lit("not escalated"))
+    given = {"__risky": F.col("risk_grade") == "high", "__escalated": F.col("approval_level") == "escalated"}
+    found = {"risky": F.bool_or("__risky"), "escalated": F.bool_or("__escalated")}
+    return OnCases(found, F.col("risky") & ~F.coalesce("escalated", F.lit(False)), F.lit("not escalated"), given=given)
 
 
 @rule("tat_breach", "high")
 def tat_breach(logs, sla_days: float = 60):
     """Cases that took longer than agreed, or with a step after its target time or flagged so."""
     late = F.coalesce(F.col("approval_timestamp") > F.col("sla_target_timestamp"), F.lit(False)) | F.coalesce("sla_breach_flag", F.lit(False))
-    found = {"days": F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / 86_400_000_000, "late": F.bool_or(late)}
-    return OnCases(found, (F.col("days") > sla_days) | F.col("late"), F.when(F.col("late"), "late step").otherwise("long case"))
+    found = {"days": F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / 86_400_000_000, "late": F.bool_or("__late")}
+    return OnCases(found, (F.col("days") > sla_days) | F.col("late"), F.when(F.col("late"), "late step").otherwise("long case"), given={"__late": late})
 
 
 @rule("cutoff_breach", "low")

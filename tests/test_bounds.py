@@ -64,3 +64,15 @@ def test_all_checks_read_the_logs_twice(spark):
     for gone, types in (("approval", {"missing_approval"}), ("timing", {"timing_violation"}), ("sequence", {"missing_step", "wrong_sequence", "unexpected_step"})):
         less = detect.detect(t.order_logs(spark, SF), rules.where(F.col("rule_type") != gone)).drop("rule_id")
         assert less.count() == found.where(~F.col("deviation_type").isin(*types)).count()
+
+
+def test_cases_are_not_grouped_before_the_shuffle(spark):
+    """Grouping of sets and texts sorts, and spills, all rows of a map task."""
+    from caselens.operators import rules
+    from caselens.queries.rules import loans
+
+    found = rules.apply_rules(loans(spark, SF), ["skipped_mandatory_subprocess", "tat_breach", "pep_no_edd_or_extra_approval"])
+    text = plan(found)
+    assert text.count("Exchange hashpartitioning(case_id") == 1 and "REPARTITION_BY_COL" in text
+    exchanged = text.index("Exchange hashpartitioning(case_id")
+    assert "collect_set" in text[:exchanged] and "collect_set" not in text[exchanged:]
