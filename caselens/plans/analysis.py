@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 from caselens.operators import clean, detect, stats
 from caselens.operators.ml import clusters, features, outliers, sampling
-from caselens.plans.graphs import kept
+from caselens.plans.graphs import kept, spread
+
+#: Deviations that a task of the way to a sample takes, about; the columns of them that it needs, if they are there.
+ROWS = 20_000
+NEEDED = ("deviation_id", "officer_id", "deviation_type", "severity", "description", "detected_at", "created_at")
 
 
 def analysed_logs(logs: DataFrame, rules: DataFrame) -> DataFrame:
@@ -24,13 +28,16 @@ def analysed_deviations(raw: DataFrame) -> dict[str, DataFrame]:
 
 
 def ml_sample(devs: DataFrame, target: int = 75) -> DataFrame:
-    """(deviation_id, cluster, is_anomaly, score, reason) of a sample that stands for all; all rows pass if there are fewer than 10."""
+    """(deviation_id, cluster, is_anomaly, score, reason) of a sample that stands for all; all rows pass if there are fewer than 10.
+
+    Rows are dealt to tasks first, while they are short; their features are kept as Spark's sparse vectors and only spread out where they are read.
+    """
     if devs.limit(10).count() < 10:
         return devs.select("deviation_id", F.lit("cluster_0").alias("cluster"), F.lit(False).alias("is_anomaly"), F.lit(0.0).alias("score"), F.lit("all").alias("reason"))
-    made = features.fit(devs).transform(devs).select("deviation_id", "officer_id", "severity", "detected_at", vector_to_array("features").alias("v"))
-    made = kept(made)
-    cluster, _ = clusters.clustered(made, "deviation_id", "v")
-    rows = kept(made.join(cluster, "deviation_id"))
+    devs = kept(spread(devs.select(*[c for c in NEEDED if c in devs.columns]), "deviation_id", rows=ROWS))
+    made = kept(features.fit(devs).transform(devs).select("deviation_id", "officer_id", "severity", "detected_at", "features"))
+    cluster, _ = clusters.clustered(made, "deviation_id", "features")
+    rows = kept(made.join(cluster, "deviation_id")).withColumn("v", vector_to_array("features"))
     score = outliers.scored(rows, "deviation_id", "v")
     means = rows.select("cluster", F.posexplode("v").alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("mean"))
     means = means.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "mean"))), lambda m: m["mean"]).alias("mean"))  # a row a cluster

@@ -142,3 +142,59 @@ def test_starts_of_kmeans_step_together_to_the_centres_of_spark_ml(spark):
     assert jobs() - before < sum(m.summary.numIter for m in ml)  # each start had a job a step
     assert cost == pytest.approx(best.summary.trainingCost)
     assert found.select("id", "cluster").exceptAll(best.transform(df).select("id", "cluster")).count() == 0
+
+
+def test_equal_vectors_are_clustered_once_with_a_weight(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    x = np.repeat(r.normal(size=(60, 30)), r.integers(1, 9, 60), axis=0)
+    x[:, 7] = np.where(x[:, 7] > 0, 0.0, -0.0)  # equal, and constant
+    x = x[r.permutation(len(x))]
+    x[::3, 7] *= -1
+    held, make = [], clusters.kmeans
+    monkeypatch.setattr(clusters, "kmeans", lambda df, **p: held.append(df.count()) or make(df, **p))
+    for given in (table(spark, x), table(spark, x).withColumn("v", clusters.array_to_vector("v"))):
+        found, method = clusters.clustered(given, "id", "v")
+        found = {row["id"]: row["cluster"] for row in found.collect()}
+        assert method == "kmeans" and sorted(found) == list(range(len(x)))
+        z = np.delete(x, 7, axis=1)
+        z, own = (z - z.mean(axis=0)) / z.std(axis=0), np.array([found[i] for i in range(len(x))])
+        means = np.array([z[own == j].mean(axis=0) for j in sorted(set(own))])  # of all rows, however often a vector stands
+        assert [sorted(set(own))[j] for j in ((z[:, None] - means) ** 2).sum(axis=2).argmin(axis=1)] == own.tolist()
+        assert len({(row.tobytes(), found[i]) for i, row in enumerate(z)}) == 60
+    assert max(held) <= 120 < len(x)
+
+
+def test_weights_of_kmeans_and_of_density_are_rows(spark):
+    r = np.random.default_rng(7)
+    x, weights = np.round(r.normal(size=(90, 2)), 1), r.integers(1, 6, 90)
+    df = spark.createDataFrame([(i, v.tolist(), int(w)) for i, (v, w) in enumerate(zip(x, weights))], "id long, v array<double>, weight long")
+    rows = np.repeat(x, weights, axis=0)
+    first = np.repeat(np.arange(90), weights)
+    found = {row["id"]: row["cluster"] for row in clusters.density_clusters(df, "id", "v", eps=0.15, weight_col="weight").collect()}
+    wanted = brute_clusters(rows, 0.15)
+    assert {i: found[i] for i in first} == {i: c if c < 0 else first[c] for i, c in zip(first, wanted)}
+    vectors = df.withColumn("features", clusters.array_to_vector("v"))
+    of, cost = clusters.kmeans(vectors, k=4, weight_col="weight")
+    own = np.array([row["cluster"] for row in of.orderBy("id").collect()])[first]
+    assert cost == pytest.approx(sum(((rows[own == j] - rows[own == j].mean(axis=0)) ** 2).sum() for j in set(own)))
+    assert clusters.kmeans(vectors.limit(3), weight_col="weight")[0].count() == 3
+
+
+def test_rows_that_one_task_has_read_are_dealt_to_several(spark, monkeypatch):
+    from caselens.operators.ml import features
+    from caselens.plans import analysis
+    from caselens.plans.graphs import dealt
+    from caselens.sources import tables as t
+    from tests.conftest import SF
+
+    def most(df):
+        return max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+    one = spark.range(4000).coalesce(1)
+    assert most(dealt(one, 8, 1000)) < 1000 and "Exchange" not in dealt(one, 8, 4000)._jdf.queryExecution().executedPlan().toString()
+    held, fit = [], features.fit
+    monkeypatch.setattr(analysis, "ROWS", 500)
+    monkeypatch.setattr(features, "fit", lambda devs: held.append(most(devs)) or fit(devs))
+    monkeypatch.setattr(clusters, "clustered", lambda df, *names: held.append(most(df)) or (df.select("deviation_id", F.lit(0).alias("cluster")), "single"))
+    analysis.ml_sample(t.deviations(spark, SF).coalesce(1))
+    assert max(held) < 1000 and len(held) == 2
